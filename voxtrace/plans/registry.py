@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrace.plans import audit_plans
+from voxtrace.plans import audit_plans, component_plans, source_plans, volume_plans
 
-MODULES = [audit_plans]
+MODULES = [audit_plans, source_plans, volume_plans, component_plans]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
