@@ -130,3 +130,19 @@ def matches_pattern(value: Column, patterns: Sequence[str]) -> Column:
         glob = any(c in p for c in "*?[")
         found = found | (value.rlike(glob_to_regex(p)) if glob else value.contains(p))
     return found
+
+
+def reduce_list(items: Column, limit: int = MAX_LIST) -> Column:
+    """Struct (items, omitted): at most ``limit`` items and the number left out."""
+    return F.struct(
+        F.slice(items, 1, limit).alias("items"),
+        F.greatest(F.size(items) - limit, F.lit(0)).cast("bigint").alias("omitted"),
+    )
+
+
+def reduce_map(entries: Column, limit: int = MAX_MAP) -> Column:
+    """Struct (entries, omitted): at most ``limit`` keys and the number left out."""
+    return F.struct(
+        F.map_from_entries(F.slice(F.map_entries(entries), 1, limit)).alias("entries"),
+        F.greatest(F.size(entries) - limit, F.lit(0)).cast("bigint").alias("omitted"),
+    )

@@ -6,9 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtrace.plans import audit_plans, component_plans, source_plans, volume_plans
-
-MODULES = [audit_plans, source_plans, volume_plans, component_plans]
+from voxtrace.plans import (
+    audit_plans,
+    component_plans,
+    run_plans,
+    segmentation_plans,
+    similarity_plans,
+    source_plans,
+    trace_plans,
+    volume_plans,
+)
+
+MODULES = [
+    audit_plans,
+    source_plans,
+    volume_plans,
+    component_plans,
+    segmentation_plans,
+    similarity_plans,
+    trace_plans,
+    run_plans,
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
