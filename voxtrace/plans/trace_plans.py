@@ -592,13 +592,13 @@ ORACLES = {
     "registry_merge": """WITH b AS (SELECT 0 AS side, o_orderkey AS position, o_totalprice AS value, * FROM orders
         UNION ALL SELECT 1, o_orderkey, -o_totalprice, * FROM orders WHERE o_orderstatus = 'F'),
       k AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'id:' || o_custkey WHEN '2-HIGH' THEN 'origin:in/' || o_custkey
-        WHEN '5-LOW' THEN NULL ELSE 'path:out/' || o_custkey END AS key, side * 1000000000 + position AS at FROM b)
-      SELECT key, arg_max(value, at) AS value, arg_min(side, at)::BIGINT AS side, arg_min(position, at) AS position
+        WHEN '5-LOW' THEN NULL ELSE 'path:out/' || o_custkey END AS key, side * 1000000000 + position AS spot FROM b)
+      SELECT key, arg_max(value, spot) AS value, arg_min(side, spot)::BIGINT AS side, arg_min(position, spot) AS position
         FROM k WHERE key IS NOT NULL GROUP BY key
       UNION ALL SELECT key, value, side, position FROM k WHERE key IS NULL""",
     "lineage": """WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_size > 3 AND p_partkey > 0
         THEN p_partkey // 2 END AS parent FROM part),
-      up AS (SELECT id, id AS at, 0::BIGINT AS depth FROM p
-        UNION ALL SELECT up.id, p.parent, depth + 1 FROM up JOIN p ON p.id = up.at WHERE p.parent IS NOT NULL)
-      SELECT id, arg_max(at, depth) AS root, max(depth) AS depth FROM up GROUP BY id""",
+      up AS (SELECT id, id AS spot, 0::BIGINT AS depth FROM p
+        UNION ALL SELECT up.id, p.parent, depth + 1 FROM up JOIN p ON p.id = up.spot WHERE p.parent IS NOT NULL)
+      SELECT id, arg_max(spot, depth) AS root, max(depth) AS depth FROM up GROUP BY id""",
 }
