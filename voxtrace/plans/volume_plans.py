@@ -8,11 +8,14 @@ from voxtrace.functions.rounding import round_columns
 from voxtrace.operators import histogram as hist
 from voxtrace.operators import morphology as morph
 from voxtrace.operators import volume as vol
+from voxtrace.operators.preprocess import kmeans_intensities, preprocess_slices
 from voxtrace.plans.views_sql import DENSE, SPARSE
 from voxtrace.sources.tables import (
     DENSE_SHAPE,
+    IMAGE_SHAPE,
     VOXEL_UM,
     dense_volume,
+    price_images,
     sparse_grid,
     table,
 )
@@ -223,13 +226,23 @@ def z_blocks(spark, sf_dir):
     )
 
 
+def preprocess_chain(spark, sf_dir):
+    return preprocess_slices(price_images(spark, sf_dir), "v", *IMAGE_SHAPE)
+
+
+def kmeans_intensity(spark, sf_dir):
+    rows = kmeans_intensities(dense_volume(spark, sf_dir), ["volume_id"], "v")
+    return rows.withColumn("center", F.round("center", 4))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vol_geometry, bit_depth, histogram10, histogram_range, intensity_stats, snr, volume_mb,
         flat_slices, cohort_dims, otsu, otsu_integer, otsu_slices, otsu_apply, bv_tv, bone_volume,
         voxel_measure, minmax_slices, gauss1, grad_mag, pct_clip, imadjust, mask_diff, opening,
-        closing, tiles, tiles_overlap, tissue_tiles, stitch, z_blocks,
+        closing, tiles, tiles_overlap, tissue_tiles, stitch, z_blocks, preprocess_chain,
+        kmeans_intensity,
     )
 }
 

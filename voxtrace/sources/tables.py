@@ -43,6 +43,39 @@ def dense_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+IMAGE_SHAPE = (61, 50)  # y, x of one price image
+
+
+def _places(extent: int):
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(extent - 1).cast("bigint"))
+
+
+def price_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels (volume_id, z, y, x, v): one image per 50 suppliers and line number.
+
+    y is a sixth of the day of the year, x the quantity, v the mean price; cells without a
+    row are 0.
+    """
+    height, width = IMAGE_SHAPE
+    cells = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.floor(F.col("l_suppkey") / 50).cast("bigint").alias("volume_id"),
+            (F.col("l_linenumber") - 1).cast("bigint").alias("z"),
+            F.floor((F.dayofyear("l_shipdate") - 1) / 6).cast("bigint").alias("y"),
+            (F.col("l_quantity") - 1).cast("bigint").alias("x"),
+        )
+        .agg(F.round(F.sum("l_extendedprice") / F.count("*")).alias("v"))
+    )
+    images = cells.select("volume_id", "z").distinct()
+    grid = images.select(
+        "*", F.explode(_places(height)).alias("y")
+    ).select("*", F.explode(_places(width)).alias("x"))
+    return grid.join(cells, ["volume_id", "z", "y", "x"], "left").withColumn(
+        "v", F.coalesce("v", F.lit(0.0))
+    )
+
+
 def sparse_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreground voxels (volume_id, z, y, x, label, v): one mask per 40 users.
 
