@@ -114,8 +114,10 @@ def glob_to_regex(pattern: str) -> str:
         elif char == "?":
             out += "."
         elif char == "[" and close > 0:
-            inner = pattern[i + 1 : close].replace("\\", "\\\\")
-            out += "[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]"
+            inner = pattern[i + 1 : close]
+            negated = inner.startswith("!")
+            inner = re.sub(r"([\\\[&^])", r"\\\1", inner[1:] if negated else inner)
+            out += ("[^" if negated else "[") + inner + "]"
             i = close
         else:
             out += re.escape(char)
