@@ -46,16 +46,15 @@ def histogram(
         raise ValueError("give both ends of the range or neither")
     counted = value_counts(df, [], value)
     if low is None:
-        least = counted.agg(F.min("value")).scalar()
-        most = counted.agg(F.max("value")).scalar()
+        v = F.col(value).cast("double")
+        ends = df.agg(F.struct(F.min(v).alias("least"), F.max(v).alias("most"))).scalar()
     else:
-        least, most = F.lit(float(low)), F.lit(float(high))
+        ends = F.struct(F.lit(float(low)).alias("least"), F.lit(float(high)).alias("most"))
+    least, most = F.col("_ends.least"), F.col("_ends.most")
+    half = F.when(least == most, 0.5).otherwise(0.0)
     ranged = (
-        counted.withColumn("_least", least)
-        .withColumn("_most", most)
-        .withColumn("_half", F.when(F.col("_least") == F.col("_most"), 0.5).otherwise(0.0))
-        .withColumn("_lo", F.col("_least") - F.col("_half"))
-        .withColumn("_hi", F.col("_most") + F.col("_half"))
+        counted.withColumn("_ends", ends)
+        .select("value", "n", (least - half).alias("_lo"), (most + half).alias("_hi"))
         .where(F.col("value").between(F.col("_lo"), F.col("_hi")))
     )
     filled = (
@@ -86,13 +85,13 @@ def otsu_from_counts(
     threshold is the centre of the bin that maximises the between-class variance, the first
     one on ties; a constant input gives its own value.
     """
-    grouping = list(keys) or [F.lit(0).alias("_all")]
-    names = list(keys) or ["_all"]
-    ranges = counted.groupBy(*grouping).agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("total")
-    )
-    if not keys:
-        counted = counted.withColumn("_all", F.lit(0))
+    names = list(keys)
+    measured = [F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("total")]
+    if names:
+        ranged = counted.join(counted.groupBy(*names).agg(*measured), names)
+    else:
+        one = counted.agg(F.struct(*measured)).scalar()
+        ranged = counted.withColumn("_r", one).select("value", "n", "_r.*")
     low, high = F.col("min"), F.col("max")
     if bins is None:
         number = (F.col("value") - low).cast("bigint")
@@ -103,8 +102,7 @@ def otsu_from_counts(
         )
         centre = low + (F.col("bin") + 0.5) * (high - low) / bins
     binned = (
-        counted.join(ranges, names)
-        .groupBy(*names, "min", "max", "total", number.alias("bin"))
+        ranged.groupBy(*names, "min", "max", "total", number.alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
     # One window per key over its bins: at most ``bins`` rows, or one per whole number.
@@ -128,7 +126,7 @@ def otsu_from_counts(
         F.max("max").alias("max"),
         F.max("total").alias("n"),
     )
-    return best if keys else best.drop("_all")
+    return best
 
 
 def otsu_threshold(

@@ -378,11 +378,12 @@ def nearest_other_patients(
     bounds = near.groupBy("query_id").agg(bound.alias("bound"))
 
     extent = placed.agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("variance").alias("v"),
-        F.min("s.n").alias("n"), F.count("*").alias("c"),
-    )
-    lo, hi, v, n, c = (extent.select(x).scalar() for x in ("lo", "hi", "v", "n", "c"))
-    buckets = F.least(F.greatest(F.floor(c / 64), F.lit(1)), F.lit(100_000)).cast("bigint")
+        F.struct(
+            F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("variance").alias("v"),
+            F.min("s.n").alias("n"), F.count("*").alias("c"),
+        )
+    ).scalar()
+    buckets = F.least(F.greatest(F.floor(F.col("_e.c") / 64), F.lit(1)), F.lit(100_000)).cast("bigint")
     scale = F.col("q.n") * F.col("_n") / (F.col("q.n") + F.col("_n"))
     slack = 1 + 1e-9
     radius = F.sqrt(F.col("bound") * slack * F.greatest("variance", "_v") / scale)
@@ -393,9 +394,8 @@ def nearest_other_patients(
         return F.least(F.floor(inside * F.col("_b")), F.col("_b") - 1).cast("bigint")
 
     def with_extent(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {"_lo": lo, "_hi": hi, "_v": v, "_n": n, "_b": buckets}
-        )
+        named = [F.col(f"_e.{c}").alias(f"_{c}") for c in ("lo", "hi", "v", "n")]
+        return df.withColumn("_e", extent).select(*df.columns, *named, buckets.alias("_b"))
 
     seekers = (
         with_extent(left.join(bounds, "query_id", "left"))

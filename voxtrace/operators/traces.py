@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtrace.operators.ordered import carry_forward, row_numbers, salted_lookup
+from voxtrace.session import stage
 
 ORDER = ["ts", "event_id"]
 # Tools that do not count, and a prefix that is not part of a tool's name.
@@ -152,11 +153,15 @@ def tool_checks(
         F.col("tool").isNotNull()
     )
     runs = named.groupBy("run_id").agg(F.max("flagged").alias("_any"))
-    counted = (
+    # Staged, since the tool counts and every item of the sequence read it.
+    counted = stage(
         salted_lookup(named, runs, ["run_id"], ["event_id"])
         .where(F.col("flagged") | ~F.col("_any"))
         .where(~F.col("tool").isin(INFRASTRUCTURE_TOOLS))
-        .withColumn("_good", ~F.col("success").eqNullSafe(False))
+        .select(
+            "run_id", *ORDER, "tool", (~F.col("success").eqNullSafe(False)).alias("_good")
+        ),
+        "tool-calls",
     )
     per_tool = counted.groupBy("run_id", "tool").agg(
         F.count("*").alias("_n"), F.max("_good").alias("_good")

@@ -69,10 +69,8 @@ def decile_signal_to_noise(df: DataFrame, value: str) -> DataFrame:
     cuts = exact_percentiles(df, [], [value], [0.1, 0.9])
     v = F.col(value)
     bounded = df.select(
-        v.alias(value),
-        cuts.select("p0").scalar().alias("_low"),
-        cuts.select("p1").scalar().alias("_high"),
-    )
+        v.alias(value), cuts.select(F.struct("p0", "p1")).scalar().alias("_cuts")
+    ).select(value, F.col("_cuts.p0").alias("_low"), F.col("_cuts.p1").alias("_high"))
     return bounded.agg(
         F.avg(F.when(v >= F.col("_high"), v)).alias("signal"),
         F.stddev_pop(F.when(v <= F.col("_low"), v)).alias("noise"),
@@ -345,10 +343,8 @@ def percentile_clip(df: DataFrame, value: str, low: float, high: float) -> DataF
     cuts = exact_percentiles(df, [], [value], [low, high])
     v = F.col(value)
     bounded = df.select(
-        v.alias(value),
-        cuts.select("p0").scalar().alias("_low"),
-        cuts.select("p1").scalar().alias("_high"),
-    )
+        v.alias(value), cuts.select(F.struct("p0", "p1")).scalar().alias("_cuts")
+    ).select(value, F.col("_cuts.p0").alias("_low"), F.col("_cuts.p1").alias("_high"))
     return bounded.agg(
         F.max("_low").alias("lower"),
         F.max("_high").alias("upper"),

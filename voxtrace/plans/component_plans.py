@@ -45,9 +45,9 @@ def components6(spark, sf_dir):
 
 
 def components26(spark, sf_dir):
-    """Same labels from cubes of eight voxels that have to be merged across their faces."""
+    """Labels from cubes of sixteen voxels that have to be merged across their faces."""
     return comp.label_components(
-        _mask(spark, sf_dir), VOLUME, SPARSE_SHAPE, 26, edge=8
+        _mask(spark, sf_dir), VOLUME, SPARSE_SHAPE, 26, edge=16
     ).select("volume_id", "voxel", "root")
 
 

@@ -15,6 +15,20 @@ MISSING_TEXTS = [
 ]
 
 
+TEXT, BOOLEAN, DOUBLE, WHOLE = range(4)
+
+
+def _cell_kind(column: str):
+    """Narrowest kind of a cell; the smallest kind in a column is the column's."""
+    cell = F.col(f"`{column}`")
+    return (
+        F.when(cell.rlike(r"^[+-]?\d{1,18}$"), WHOLE)
+        .when(cell.try_cast("double").isNotNull(), DOUBLE)
+        .when(F.lower(cell).isin("true", "false"), BOOLEAN)
+        .when(cell.isNotNull(), TEXT)
+    )
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a ``.csv`` file or folder; whole numbers become bigint, other numbers double.
 
@@ -35,24 +49,18 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
     )
     fits = cells.agg(
         *[
-            F.struct(
-                F.count(F.col(f"`{c}`")).alias("n"),
-                F.count(F.col(f"`{c}`").try_cast("bigint")).alias("i"),
-                F.count(F.col(f"`{c}`").try_cast("double")).alias("d"),
-                F.count_if(F.lower(F.col(f"`{c}`")).isin("true", "false")).alias("b"),
-                F.count_if(F.col(f"`{c}`").contains(".")).alias("dot"),
-            ).alias(f"c{i}")
+            F.struct(F.min(_cell_kind(c)).alias("least"), F.max(_cell_kind(c)).alias("most")).alias(f"c{i}")
             for i, c in enumerate(cells.columns)
         ]
     ).head()
     typed = []
     for i, c in enumerate(cells.columns):
-        found, column = fits[f"c{i}"], F.col(f"`{c}`")
-        if found["n"] and found["i"] == found["n"] and not found["dot"]:
-            column = column.cast("bigint")
-        elif found["n"] == 0 or found["d"] == found["n"]:
+        least, most, column = fits[f"c{i}"]["least"], fits[f"c{i}"]["most"], F.col(f"`{c}`")
+        if least is None or least == DOUBLE:
             column = column.cast("double")
-        elif found["b"] == found["n"]:
+        elif least == WHOLE:
+            column = column.cast("bigint")
+        elif least == most == BOOLEAN:
             column = column.cast("boolean")
         typed.append(column.alias(c))
     return nan_to_null(cells.select(*typed))
