@@ -32,15 +32,15 @@ def kmeans_intensities(
     """(keys, cluster, center, pixels): k-means on one feature, all keys at once.
 
     Works on counted values, so a round reads distinct values only. Centers start evenly
-    spaced over the range of a key and stop moving when no center shifts by more than
-    ``epsilon``. A cluster that loses all its values keeps its center.
+    spaced over the range of a key; a key is done once no center of it shifts by more than
+    ``epsilon``, whatever the other keys do. A cluster without values keeps its center.
     """
     counted = stage(value_counts(df, keys, value), "value-counts")
     step = (F.max("value") - F.min("value")) / k
-    centers = counted.groupBy(*keys).agg(
+    start = counted.groupBy(*keys).agg(
         F.array(*[F.min("value") + (i + 0.5) * step for i in range(k)]).alias("centers")
     )
-    centers = stage(centers, "centers")
+    centers = stage(start.withColumn("done", F.lit(False)), "centers")
 
     def assign(current: DataFrame) -> DataFrame:
         gaps = F.transform("centers", lambda c: F.abs(c - F.col("value")))
@@ -49,7 +49,6 @@ def kmeans_intensities(
         )
 
     for _ in range(rounds):
-        assigned = assign(centers)
         sums = [
             F.try_divide(
                 F.sum(F.when(F.col("cluster") == i, F.col("value") * F.col("n"))),
@@ -57,18 +56,16 @@ def kmeans_intensities(
             ).alias(f"_m{i}")
             for i in range(k)
         ]
-        moved = assigned.groupBy(*keys, "centers").agg(*sums)
+        moved = assign(centers.where("NOT done")).groupBy(*keys, "centers").agg(*sums)
         fresh = F.array(*[F.coalesce(f"_m{i}", F.get("centers", F.lit(i))) for i in range(k)])
         shift = F.array_max(F.zip_with("centers", "_fresh", lambda a, b: F.abs(a - b)))
-        updated = stage(
-            moved.withColumn("_fresh", fresh).select(
-                *keys, F.col("_fresh").alias("centers"), shift.alias("_shift")
-            ),
-            "centers",
+        active = moved.withColumn("_fresh", fresh).select(
+            *keys, F.col("_fresh").alias("centers"), (shift <= epsilon).alias("done")
         )
-        centers = updated.drop("_shift")
-        if updated.where(F.col("_shift") > epsilon).isEmpty():
+        centers = stage(centers.where("done").unionByName(active), "centers")
+        if centers.where("NOT done").isEmpty():
             break
+    centers = centers.drop("done")
     pixels = assign(centers).groupBy(*keys, "cluster").agg(F.sum("n").alias("pixels"))
     return (
         centers.select(*keys, F.posexplode("centers").alias("cluster", "center"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtrace.functions.predicates import is_dict, is_string
+from voxtrace.operators.ordered import salted_lookup
 from voxtrace.sources.json_docs import json_status
 
 # The five evaluation keys of a task.
@@ -49,7 +50,7 @@ def validate_tasks(tasks: DataFrame, index: str, text: str) -> DataFrame:
     not_object = F.coalesce(
         *[F.when(~is_dict(part(f"$.evaluation.{k}")), F.lit(k)) for k in sorted(EVALUATION_KEYS)]
     )
-    checked = read.join(first, "task_id", "left")
+    checked = salted_lookup(read, first, ["task_id"], [index], "left")
     return checked.select(
         index,
         "task_id",

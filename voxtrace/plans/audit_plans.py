@@ -11,7 +11,7 @@ from voxtrace.functions.student_t import mean_half_width_sql
 from voxtrace.operators import audit
 from voxtrace.operators.audit import Condition
 from voxtrace.plans.views_sql import MISSING
-from voxtrace.session import staging_root
+from voxtrace.session import staging_path
 from voxtrace.sources.csv_table import read_csv_table
 from voxtrace.sources.tables import lineitem_with_missing, table
 
@@ -19,9 +19,7 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def src_csv_infer(spark, sf_dir):
-    import uuid
-
-    path = f"{staging_root(spark).rstrip('/')}/lineitem-{uuid.uuid4().hex}.csv"
+    path = staging_path(spark, "lineitem") + ".csv"
     items = table(spark, sf_dir, "lineitem").drop("l_shipdate")
     items.write.csv(path, header=True)
     return read_csv_table(spark, path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxtrace.functions import text
@@ -16,7 +14,7 @@ from voxtrace.operators.audit import seven_number_summary
 from voxtrace.operators.histogram import otsu_threshold
 from voxtrace.plans.views_sql import DENSE, SPARSE
 from voxtrace.plans.volume_plans import otsu_sql
-from voxtrace.session import stage, staging_root
+from voxtrace.session import stage, staging_path
 from voxtrace.sources.csv_table import read_csv_table
 from voxtrace.sources.tables import (
     DENSE_SHAPE,
@@ -66,11 +64,11 @@ def component_sizes(spark, sf_dir):
 
 
 def component_csv(spark, sf_dir):
-    """Component table written as CSV, one folder per volume, and read back."""
+    """Component table written as CSV and read back."""
     sizes = comp.component_sizes(_labelled(spark, sf_dir, 18), VOLUME)
-    path = f"{staging_root(spark).rstrip('/')}/components-{uuid.uuid4().hex}.csv"
+    path = staging_path(spark, "components") + ".csv"
     rows = comp.component_table(sizes, VOLUME, CELL, minimum=2)
-    rows.withColumn("volume_id", F.col("volume_id")).write.csv(path, header=True)
+    rows.write.csv(path, header=True)
     back = read_csv_table(spark, path)
     return back.withColumn("volume_um3", F.round("volume_um3", 4))
 
@@ -156,6 +154,13 @@ def shape_features(spark, sf_dir):
     )
 
 
+def shape_axes(spark, sf_dir):
+    """Shape features that do not depend on the sign of an axis."""
+    rows = morpho.shape_features(_lacunae(spark, sf_dir), VOLUME, VOXEL_UM)
+    names = ["stretch", "oblateness", "major_um", "minor_um", "axis_ratio"]
+    return rows.select("volume_id", "root", "voxels", *[F.round(n, 4).alias(n) for n in names])
+
+
 def exposed_faces(spark, sf_dir):
     rows = morpho.surface_measures(_lacunae(spark, sf_dir), VOLUME, VOXEL_UM)
     return round_columns(rows, {"surface_um2": 6, "ratio_raw": 6, "ratio_um": 6})
@@ -231,7 +236,7 @@ QUERIES = {
     for f in (
         components6, components26, components_2d, component_sizes, component_csv,
         component_totals, class_components, paired_component_counts, clear_border, sample_id,
-        lacuna_moments, lacuna_band, shape_features, exposed_faces, dedupe_centroids,
+        lacuna_moments, lacuna_band, shape_features, shape_axes, exposed_faces, dedupe_centroids,
         block_density, block_density_legacy, global_density, lacuna_summary,
     )
 }
@@ -371,6 +376,20 @@ ORACLES = {
     "lacuna_band": f"""WITH {LABELS26}, {SIZES} SELECT volume_id, root, voxels, row_number() OVER
         (PARTITION BY volume_id ORDER BY root) AS component_id FROM sizes
       WHERE voxels BETWEEN 58 AND 899""",
+    "shape_axes": f"""WITH {LACUNAE}, c AS (SELECT volume_id, root, count(*) AS voxels, covar_pop(x, x) AS a,
+        covar_pop(y, y) AS b, covar_pop(z, z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f
+        FROM lac GROUP BY ALL),
+      q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2
+        + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM c),
+      r AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e)
+        + e * (d * f - (b - q) * e)) / (p * p * p) / 2))) / 3 AS phi FROM q),
+      v AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS raw3 FROM r),
+      w AS (SELECT *, CASE WHEN raw3 < 1e-6::DOUBLE THEN 0 ELSE raw3 END AS e3,
+        CASE WHEN 3 * q - e1 - raw3 < 1e-6::DOUBLE THEN 0 ELSE 3 * q - e1 - raw3 END AS e2 FROM v)
+      SELECT volume_id, root, voxels, round((sqrt(e1) - sqrt(e3)) / sqrt(e1), 4) AS stretch,
+        round(2 * (sqrt(e2) - sqrt(e3)) / (sqrt(e1) - sqrt(e3)) - 1, 4) AS oblateness,
+        round(e1 / 2 * {VOXEL_UM}::DOUBLE, 4) AS major_um, round(e3 * {VOXEL_UM}::DOUBLE, 4) AS minor_um,
+        round(e3 / (e1 / 2), 4) AS axis_ratio FROM w""",
     "exposed_faces": f"""WITH {LACUNAE}, {FACES} SELECT volume_id, root, voxels, faces,
       round(faces * {VOXEL_UM**2!r}::DOUBLE, 6) AS surface_um2, round(faces / voxels, 6) AS ratio_raw,
       round(faces / voxels / {VOXEL_UM}::DOUBLE, 6) AS ratio_um FROM faces""",

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxtrace.functions.student_t import mean_half_width_sql
 from voxtrace.operators import runs as run_ops
 from voxtrace.operators import scoring
 from voxtrace.plans.views_sql import RUNS
-from voxtrace.session import staging_root
+from voxtrace.session import staging_path
 from voxtrace.sources.tables import table, urgent_runs
 
 
@@ -55,7 +53,7 @@ def score_rollup(spark, sf_dir):
 
 def score_sink(spark, sf_dir):
     """Score rows written as Parquet by section and read back."""
-    path = f"{staging_root(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    path = staging_path(spark, "scores")
     _scored(spark, sf_dir).write.partitionBy("section").parquet(path)
     back = spark.read.parquet(path).where("section IN ('tools', 'artifacts')")
     return back.groupBy("section", "criterion_id").agg(

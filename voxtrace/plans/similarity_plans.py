@@ -10,6 +10,7 @@ from voxtrace.session import stage
 from voxtrace.sources.tables import block_library, block_rows, table
 
 TWO = ["quantity", "discount"]
+THREE = ["quantity", "discount", "tax"]
 FOUR = ["quantity", "discount", "tax", "price"]
 
 
@@ -48,6 +49,10 @@ def hotelling2(spark, sf_dir):
     return _matches(spark, sf_dir)[1].select("block_id", F.round("t2", 6).alias("t2"))
 
 
+def hotelling3(spark, sf_dir):
+    return _matches(spark, sf_dir, THREE)[1].select("block_id", F.round("t2", 6).alias("t2"))
+
+
 def hotelling4(spark, sf_dir):
     return _matches(spark, sf_dir, FOUR)[1].select("block_id", F.round("t2", 6).alias("t2"))
 
@@ -193,7 +198,7 @@ def stats_refresh(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        block_stats, hotelling2, hotelling4, knn_topk, patient_summary, class_vote, feature_diffs,
+        block_stats, hotelling2, hotelling3, hotelling4, knn_topk, patient_summary, class_vote, feature_diffs,
         ref_filter, ref_exclude, ref_guard, loo_matches, loo_accuracy, loo_distances,
         loo_calibration, loo_auc, stats_refresh,
     )
@@ -219,6 +224,38 @@ def _t2_sql(q: str, r: str) -> str:
     )
 
 
+def _hotelling3_sql() -> str:
+    """Distance over three features by the adjugate of the pooled matrix."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    cells = [(i, j) for i in range(3) for j in range(i, 3)]
+    raw = ", ".join(
+        [f"avg({c}) AS m{i}" for i, c in enumerate(columns)]
+        + [f"covar_samp({columns[i]}, {columns[j]}) AS r{i}{j}" for i, j in cells]
+    )
+    shrunk = ", ".join(
+        f"0.95::DOUBLE * r{i}{j}" + (" + 0.05::DOUBLE * (r00 + r11 + r22) / 3" if i == j else "") + f" AS s{i}{j}"
+        for i, j in cells
+    )
+    pooled = ", ".join(
+        f"((q.n - 1) * q.s{i}{j} + (r.n - 1) * r.s{i}{j}) / (q.n + r.n - 2) AS p{i}{j}" for i, j in cells
+    )
+    delta = ", ".join(f"q.m{i} - r.m{i} AS d{i}" for i in range(3))
+
+    def minor(i: int, j: int) -> str:
+        rows, cols = [a for a in range(3) if a != i], [a for a in range(3) if a != j]
+        cell = [[f"p{min(a, b)}{max(a, b)}" for b in cols] for a in rows]
+        sign = "" if (i + j) % 2 == 0 else "-"
+        return f"{sign}({cell[0][0]} * {cell[1][1]} - {cell[0][1]} * {cell[1][0]})"
+
+    form = " + ".join(f"d{i} * d{j} * ({minor(i, j)})" for i in range(3) for j in range(3))
+    det = " + ".join(f"p0{j} * ({minor(0, j)})" for j in range(3))
+    return f"""WITH {LIBRARY}, raw AS (SELECT l_suppkey AS block_id, count(*) AS n, {raw} FROM lineitem GROUP BY ALL),
+      s3 AS (SELECT raw.*, patient_id, {shrunk} FROM raw JOIN library USING (block_id) WHERE n >= 5),
+      p AS (SELECT r.block_id, q.n * r.n / (q.n + r.n) AS k, {delta}, {pooled} FROM s3 q JOIN s3 r
+        ON q.block_id = 0 AND q.patient_id <> r.patient_id)
+      SELECT block_id, round(k * ({form}) / ({det}), 6) AS t2 FROM p"""
+
+
 PAIRS = f"""{STATS}, {LIBRARY}, full_stats AS (SELECT * FROM stats JOIN library USING (block_id) WHERE n >= 5),
   pairs AS (SELECT q.block_id AS query_id, q.class_label AS query_class, r.block_id, r.patient_id,
       r.class_label, {_t2_sql("q", "r")} AS t2
@@ -244,6 +281,7 @@ ORACLES = {
     "block_stats": f"""WITH {STATS} SELECT block_id, n, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1,
       round(a, 5) AS cov_00, round(b, 6) AS cov_01, round(b, 6) AS cov_10, round(d, 6) AS cov_11 FROM stats""",
     "hotelling2": f"WITH {ONE} SELECT block_id, round(t2, 6) AS t2 FROM matches",
+    "hotelling3": _hotelling3_sql(),
     "knn_topk": f"""WITH {ONE}, {_top_sql(10)} SELECT rank, block_id, patient_id, class_label,
       round(t2, 6) AS t2, round(weight, 4) AS weight FROM top""",
     "patient_summary": f"""WITH {ONE}, {_top_sql(40)},

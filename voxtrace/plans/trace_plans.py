@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxtrace.functions import predicates, text
@@ -11,7 +9,7 @@ from voxtrace.operators import artifacts as art
 from voxtrace.operators import tasks as task_ops
 from voxtrace.operators import traces
 from voxtrace.plans.views_sql import TRACE
-from voxtrace.session import staging_root
+from voxtrace.session import staging_path
 from voxtrace.sources.tables import messages, table, trace_events
 from voxtrace.streaming import rollup
 
@@ -29,7 +27,7 @@ def trace_routes(spark, sf_dir):
 
 def trace_stream(spark, sf_dir):
     """The run index kept by a streaming query over appended JSON lines."""
-    root = f"{staging_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = staging_path(spark, "stream")
     trace_events(spark, sf_dir).drop("value").write.json(f"{root}/events")
     query = rollup.keep_index(
         rollup.read_event_stream(spark, f"{root}/events"), f"{root}/index", f"{root}/progress"
@@ -117,7 +115,7 @@ def render(spark, sf_dir):
 
 def route_checks(spark, sf_dir):
     return traces.route_checks(
-        trace_events(spark, sf_dir).where(F.col("value") > 30), "view", ["view", "click"], ["signup"]
+        trace_events(spark, sf_dir).where(F.col("value") > 150), "view", ["view", "click"], ["signup"]
     )
 
 
@@ -492,7 +490,7 @@ ORACLES = {
           WHEN 'PROMO' THEN n || '_1' ELSE n END AS dataset_slug FROM p""",
     "render": """SELECT p_partkey, 'Audit ' || p_name || ' of ' || p_size || CASE WHEN p_size > 25 THEN ' {nothing}'
         ELSE '' END || ': ' || p_brand || ' {' || p_size || '}' AS rendered FROM part""",
-    "route_checks": f"""WITH {TRACE}, e AS (SELECT * FROM trace WHERE value > 30),
+    "route_checks": f"""WITH {TRACE}, e AS (SELECT * FROM trace WHERE value > 150),
       r AS (SELECT run_id, route, count(*) AS n FROM e GROUP BY ALL),
       c AS (SELECT run_id, list(route) AS routes, coalesce(string_agg(route, ',' ORDER BY route) FILTER (n > 1), '') AS dup,
         max(n) AS most FROM r GROUP BY run_id),

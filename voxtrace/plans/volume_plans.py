@@ -15,7 +15,7 @@ from voxtrace.sources.tables import (
     IMAGE_SHAPE,
     VOXEL_UM,
     dense_volume,
-    price_images,
+    quantity_images,
     sparse_grid,
     table,
 )
@@ -227,7 +227,7 @@ def z_blocks(spark, sf_dir):
 
 
 def preprocess_chain(spark, sf_dir):
-    return preprocess_slices(price_images(spark, sf_dir), "v", *IMAGE_SHAPE)
+    return preprocess_slices(quantity_images(spark, sf_dir), "v", *IMAGE_SHAPE)
 
 
 def kmeans_intensity(spark, sf_dir):
@@ -284,30 +284,31 @@ OTSU_SLICES = f"""{DENSE}, {otsu_sql("dense", ["volume_id", "z"], "v")},
     FROM dense JOIN otsu USING (volume_id, z) GROUP BY volume_id, z, threshold)"""
 
 
-KERNEL = ", ".join(repr(w) for w in vol.gaussian_kernel(1.0))
-RADIUS = len(vol.gaussian_kernel(1.0)) // 2
+def gauss_sql(
+    source: str, value: str, out: str, sigma: float = 1.0, height: int = HEIGHT, width: int = WIDTH
+) -> str:
+    """CTE chain ``<out>(volume_id, z, y, x, g)``: columns first, then rows."""
+    weights = vol.gaussian_kernel(sigma)
+    kernel, radius = ", ".join(repr(w) for w in weights), len(weights) // 2
 
-
-def gauss_sql(source: str, value: str, out: str) -> str:
-    """CTE chain ``<out>(volume_id, z, y, x, g)``: sigma 1, columns first, then rows."""
     def mirrored(axis: str, extent: int) -> str:
         place = f"((({axis} + o) % {2 * extent} + {2 * extent}) % {2 * extent})"
         return f"CASE WHEN {place} < {extent} THEN {place} ELSE {2 * extent - 1} - {place} END"
 
-    return f"""{out}_k AS (SELECT unnest([{KERNEL}]) AS w,
-        unnest(range({-RADIUS}, {RADIUS + 1})) AS o),
+    return f"""{out}_k AS (SELECT unnest([{kernel}]) AS w,
+        unnest(range({-radius}, {radius + 1})) AS o),
       {out}_grid AS (SELECT c.*, coalesce(s.v, 0) AS v FROM (
-          SELECT volume_id, z, unnest(range({HEIGHT})) AS y, x FROM (
-            SELECT volume_id, z, unnest(range({WIDTH})) AS x FROM (
+          SELECT volume_id, z, unnest(range({height})) AS y, x FROM (
+            SELECT volume_id, z, unnest(range({width})) AS x FROM (
               SELECT DISTINCT volume_id, z FROM {source}))) c
           LEFT JOIN (SELECT volume_id, z, y, x, {value} AS v FROM {source}) s
           USING (volume_id, z, y, x)),
       {out}_v AS (SELECT g.volume_id, g.z, g.y, g.x, sum(w * s.v) AS v FROM
-          (SELECT *, {mirrored("y", HEIGHT)} AS sy FROM {out}_grid, {out}_k) g
+          (SELECT *, {mirrored("y", height)} AS sy FROM {out}_grid, {out}_k) g
           JOIN {out}_grid s ON s.volume_id = g.volume_id AND s.z = g.z AND s.x = g.x AND s.y = g.sy
           GROUP BY ALL),
       {out} AS (SELECT g.volume_id, g.z, g.y, g.x, sum(w * s.v) AS g FROM
-          (SELECT *, {mirrored("x", WIDTH)} AS sx FROM {out}_v, {out}_k) g
+          (SELECT *, {mirrored("x", width)} AS sx FROM {out}_v, {out}_k) g
           JOIN {out}_v s ON s.volume_id = g.volume_id AND s.z = g.z AND s.y = g.y AND s.x = g.sx
           GROUP BY ALL)"""
 
@@ -363,6 +364,48 @@ def _histogram_sql(bins: int, value: str, lo: str, hi: str) -> str:
       FROM (SELECT unnest(range({bins})) AS bin) b LEFT JOIN h USING (bin), r"""
 
 
+def _line_step(out: str, source: str, axis: str, grow: bool) -> str:
+    """Dilation or erosion of a mask by twenty places along one axis, offsets -10..9."""
+    other = "y" if axis == "x" else "x"
+    extent = IMAGE_SHAPE[1] if axis == "x" else IMAGE_SHAPE[0]
+    offsets = "(SELECT unnest(range(-10, 10)) AS o)"
+    if grow:
+        return f"""{out} AS (SELECT DISTINCT volume_id, z, {other}, {axis} + o AS {axis} FROM {source}, {offsets}
+          WHERE {axis} + o BETWEEN 0 AND {extent - 1})"""
+    return f"""{out} AS (SELECT volume_id, z, {other}, {axis} - o AS {axis} FROM {source}, {offsets}
+      GROUP BY ALL HAVING count(*) = 20)"""
+
+
+CHAIN = f"""cells AS (SELECT l_suppkey // 50 AS volume_id,
+    (CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END)::BIGINT AS z,
+    ((l_quantity - 1) * 2 + CASE WHEN round(l_discount * 100) > 5 THEN 1 ELSE 0 END)::BIGINT AS y,
+    ((dayofyear(l_shipdate) - 1) // 4)::BIGINT AS x,
+    round(sum(l_quantity * (100 - round(l_discount * 100))) / count(*)) AS v FROM lineitem GROUP BY ALL),
+  image AS (SELECT g.*, coalesce(v, 0) AS v FROM (SELECT volume_id, z, y, unnest(range({IMAGE_SHAPE[1]})) AS x FROM (
+      SELECT volume_id, z, unnest(range({IMAGE_SHAPE[0]})) AS y FROM (SELECT DISTINCT volume_id, z FROM cells))) g
+    LEFT JOIN cells USING (volume_id, z, y, x)),
+  unit AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255 AS u FROM image
+    WINDOW w AS (PARTITION BY volume_id, z)),
+  bins AS (SELECT volume_id, z, least(floor(u), 254)::BIGINT AS bin, count(*) AS n FROM unit GROUP BY ALL),
+  cums AS (SELECT *, sum(n) OVER (PARTITION BY volume_id, z ORDER BY bin) AS cum,
+    sum(n) OVER (PARTITION BY volume_id, z) AS total FROM bins),
+  limits AS (SELECT volume_id, z, (min(bin) FILTER (cum >= total * 1 / 100))::DOUBLE AS lim_lo,
+    (min(bin) FILTER (cum >= total * 99 / 100))::DOUBLE AS lim_hi FROM cums GROUP BY ALL),
+  adjusted AS (SELECT volume_id, z, y, x, least(CASE WHEN u < lim_lo THEN 0 ELSE u - lim_lo END
+    * (255.0::DOUBLE / (lim_hi - lim_lo)) + 0.5::DOUBLE, 255) AS a FROM unit JOIN limits USING (volume_id, z)),
+  {gauss_sql("adjusted", "a", "soft", 2.0, *IMAGE_SHAPE)},
+  {otsu_sql("soft", ["volume_id", "z"], "g")},
+  mask AS (SELECT volume_id, z, y, x FROM soft JOIN otsu USING (volume_id, z) WHERE g > threshold),
+  {_line_step("m1", "mask", "x", False)}, {_line_step("m2", "m1", "y", False)},
+  {_line_step("m3", "m2", "x", True)}, {_line_step("m4", "m3", "y", True)},
+  disk AS (SELECT dy, dx FROM (SELECT unnest(range(-25, 26)) AS dy), (SELECT unnest(range(-25, 26)) AS dx)
+    WHERE dy * dy + dx * dx <= 625),
+  grown AS (SELECT DISTINCT volume_id, z, y + dy AS y, x + dx AS x FROM m4, disk
+    WHERE y + dy BETWEEN 0 AND {IMAGE_SHAPE[0] - 1} AND x + dx BETWEEN 0 AND {IMAGE_SHAPE[1] - 1}),
+  closed AS (SELECT volume_id, z, y - dy AS y, x - dx AS x, 1 AS inside FROM grown, disk GROUP BY ALL
+    HAVING count(*) = (SELECT count(*) FROM disk))"""
+
+
 TILED = f"""{DENSE}, ty AS (SELECT row_number() OVER () - 1 AS tile_row, least(s, {HEIGHT - 5}) AS y0
     FROM (SELECT unnest(range(0, {HEIGHT}, 4)) AS s ORDER BY s)),
   tx AS (SELECT row_number() OVER () - 1 AS tile_col, least(s, {WIDTH - 5}) AS x0
@@ -478,6 +521,26 @@ ORACLES = {
         floor(sum(v * 8 + tile_row + tile_col) / count(*)) AS s FROM tiled GROUP BY ALL)
       SELECT volume_id, z, y, x, (CASE WHEN max(s) OVER (PARTITION BY volume_id, z) > 1
         THEN least(s, 255) ELSE s * 255 END)::BIGINT AS stitched FROM m""",
+    "preprocess_chain": f"""WITH {CHAIN} SELECT volume_id, z, y, x,
+      (CASE WHEN inside = 1 THEN floor(a) ELSE 0 END)::BIGINT AS masked
+      FROM adjusted LEFT JOIN closed USING (volume_id, z, y, x)""",
+    "kmeans_intensity": f"""WITH RECURSIVE {DENSE}, lloyd AS (
+        SELECT volume_id, 0 AS turn, 1e9::DOUBLE AS shift, min(v) + 0.5::DOUBLE * (max(v) - min(v)) / 3 AS c0,
+          min(v) + 1.5::DOUBLE * (max(v) - min(v)) / 3 AS c1, min(v) + 2.5::DOUBLE * (max(v) - min(v)) / 3 AS c2
+        FROM dense GROUP BY volume_id
+        UNION ALL SELECT volume_id, turn + 1, greatest(abs(n0 - c0), abs(n1 - c1), abs(n2 - c2)), n0, n1, n2 FROM (
+          SELECT l.volume_id, l.turn, l.c0, l.c1, l.c2,
+            coalesce(avg(v) FILTER (abs(v - c0) <= least(abs(v - c1), abs(v - c2))), c0) AS n0,
+            coalesce(avg(v) FILTER (abs(v - c1) < abs(v - c0) AND abs(v - c1) <= abs(v - c2)), c1) AS n1,
+            coalesce(avg(v) FILTER (abs(v - c2) < least(abs(v - c0), abs(v - c1))), c2) AS n2
+          FROM lloyd l JOIN dense USING (volume_id) WHERE shift > 0.2::DOUBLE AND turn < 100
+          GROUP BY l.volume_id, l.turn, l.c0, l.c1, l.c2)),
+      best AS (SELECT * FROM lloyd QUALIFY row_number() OVER (PARTITION BY volume_id ORDER BY turn DESC) = 1),
+      own AS (SELECT volume_id, c0, c1, c2, CASE WHEN abs(v - c0) <= least(abs(v - c1), abs(v - c2)) THEN 0
+        WHEN abs(v - c1) <= abs(v - c2) THEN 1 ELSE 2 END AS cluster FROM dense JOIN best USING (volume_id)),
+      centers AS (SELECT volume_id, unnest([0, 1, 2]) AS cluster, unnest([c0, c1, c2]) AS center FROM best)
+      SELECT volume_id, cluster, round(center, 4) AS center, count(own.cluster) AS pixels
+      FROM centers LEFT JOIN own USING (volume_id, cluster) GROUP BY volume_id, cluster, center""",
     "z_blocks": f"""WITH {DENSE}, b AS (SELECT unnest([0, 1, 2]::BIGINT[]) AS block,
         unnest([1, 5, 9]::BIGINT[]) AS z_start, unnest([6, 10, 12]::BIGINT[]) AS z_end)
       SELECT volume_id, block, z_start, z_end, count(*) AS voxels, sum(v) AS total

@@ -43,6 +43,15 @@ def staging_root(spark: SparkSession) -> str:
     return folder
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark).rstrip('/')}/voxtrace-{spark.sparkContext.applicationId}"
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path for a staged table or file set of this application."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -50,6 +59,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lost, and leaves real file sizes for the planner to choose joins from.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete everything this application staged; call it when its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

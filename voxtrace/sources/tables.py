@@ -43,29 +43,32 @@ def dense_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-IMAGE_SHAPE = (61, 50)  # y, x of one price image
+IMAGE_SHAPE = (100, 92)  # y, x of one quantity image
 
 
 def _places(extent: int):
     return F.sequence(F.lit(0).cast("bigint"), F.lit(extent - 1).cast("bigint"))
 
 
-def price_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels (volume_id, z, y, x, v): one image per 50 suppliers and line number.
+def quantity_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels (volume_id, z, y, x, v): two images per 50 suppliers, one per line status.
 
-    y is a sixth of the day of the year, x the quantity, v the mean price; cells without a
-    row are 0.
+    y follows the quantity (two rows per unit, the second for larger discounts), x is a
+    quarter of the day of the year, v the mean discounted quantity in hundredths; cells
+    without a row are 0.
     """
     height, width = IMAGE_SHAPE
+    net = F.col("l_quantity") * (100 - F.round(F.col("l_discount") * 100))
+    lower = F.when(F.round(F.col("l_discount") * 100) > 5, 1).otherwise(0)
     cells = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.floor(F.col("l_suppkey") / 50).cast("bigint").alias("volume_id"),
-            (F.col("l_linenumber") - 1).cast("bigint").alias("z"),
-            F.floor((F.dayofyear("l_shipdate") - 1) / 6).cast("bigint").alias("y"),
-            (F.col("l_quantity") - 1).cast("bigint").alias("x"),
+            F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("bigint").alias("z"),
+            ((F.col("l_quantity") - 1) * 2 + lower).cast("bigint").alias("y"),
+            F.floor((F.dayofyear("l_shipdate") - 1) / 4).cast("bigint").alias("x"),
         )
-        .agg(F.round(F.sum("l_extendedprice") / F.count("*")).alias("v"))
+        .agg(F.round(F.sum(net) / F.count("*")).alias("v"))
     )
     images = cells.select("volume_id", "z").distinct()
     grid = images.select(
