@@ -110,7 +110,10 @@ def label_components(
         placed = placed.withColumn(cube, F.floor(F.col(axis) / edge).cast("int"))
     labeller = _cube_labeller(forward, edge)
     schema = placed.withColumn("node", F.lit(0).cast("bigint")).schema
-    nodes = stage(placed.groupBy(*keys, *cubes).applyInPandas(labeller, schema), "cube-labels")
+    # An explicit partition count: adaptive execution would fold small cubes into few tasks.
+    tasks = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.repartition(tasks, *keys, *cubes)
+    nodes = stage(spread.groupBy(*keys, *cubes).applyInPandas(labeller, schema), "cube-labels")
     if depth <= edge and height <= edge and width <= edge:
         return nodes.select(*columns, "voxel", F.col("node").alias("root"))
 
@@ -185,7 +188,7 @@ def _contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             "roots",
         )
         roots = jumped.drop("was")
-        if not jumped.where("root <> was").count():
+        if jumped.where("root <> was").isEmpty():
             return roots
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtrace.session import stage
+
 Row = tuple[int, int, int, int]
 LINE = ["volume_id", "z", "y"]
 
@@ -87,15 +89,12 @@ def _covered(moved: DataFrame, least: int) -> DataFrame:
 
 
 def _move(runs: DataFrame, element: Sequence[Row]) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(
-                *[F.lit(v).cast("bigint").alias(n) for n, v in zip(("dz", "dy", "lo", "hi"), row)]
-            )
-            for row in element
-        ]
+    """Every run once per row of the element."""
+    rows = ", ".join(
+        f"named_struct('dz', {dz}L, 'dy', {dy}L, 'lo', {lo}L, 'hi', {hi}L)"
+        for dz, dy, lo, hi in element
     )
-    return runs.select("*", F.inline(rows))
+    return runs.select("*", F.expr(f"inline(array({rows}))"))
 
 
 def dilate(
@@ -135,13 +134,15 @@ def erode(runs: DataFrame, element: Sequence[Row]) -> DataFrame:
 def opening(
     mask: DataFrame, element: Sequence[Row], shape: tuple[int, int, int] | None = None
 ) -> DataFrame:
-    return to_voxels(dilate(erode(to_runs(mask), element), element, shape))
+    """Erosion, then dilation; the runs in between are staged to keep both plans small."""
+    return to_voxels(dilate(stage(erode(to_runs(mask), element), "eroded"), element, shape))
 
 
 def closing(
     mask: DataFrame, element: Sequence[Row], shape: tuple[int, int, int] | None = None
 ) -> DataFrame:
-    return to_voxels(erode(dilate(to_runs(mask), element, shape), element))
+    """Dilation, then erosion; the runs in between are staged to keep both plans small."""
+    return to_voxels(erode(stage(dilate(to_runs(mask), element, shape), "dilated"), element))
 
 
 def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def preprocess_slices(voxels: DataFrame, value: str, height: int, width: int) ->
     number, 0 outside. Slices with more non-negative than non-positive pixels are thresholded
     by Otsu; the mask of any other slice is its smallest intensity cluster.
     """
-    scaled = min_max_slices(voxels, value, "_unit", 0.0, 255.0)
+    scaled = stage(min_max_slices(voxels, value, "_unit", 0.0, 255.0), "scaled")
     stretched = stage(
         contrast_stretch(scaled, SLICE, "_unit", "_adj").select(*SLICE, "y", "x", value, "_adj"),
         "stretched",
@@ -124,13 +124,10 @@ def preprocess_slices(voxels: DataFrame, value: str, height: int, width: int) ->
     mask = smooth.join(bounds, SLICE).where(inside).select(*SLICE, "y", "x")
 
     shape = (2**31 - 1, height, width)
-    opened = morph.dilate(
-        morph.erode(morph.to_runs(mask), morph.square(CHAIN_SQUARE)),
-        morph.square(CHAIN_SQUARE),
-        shape,
-    )
-    grown = morph.dilate(opened, morph.disk(CHAIN_DISK), shape)
-    closed = morph.to_voxels(morph.erode(grown, morph.disk(CHAIN_DISK)))
+    square, disk = morph.square(CHAIN_SQUARE), morph.disk(CHAIN_DISK)
+    eroded = stage(morph.erode(morph.to_runs(mask), square), "eroded")
+    opened = stage(morph.dilate(eroded, square, shape), "opened")
+    closed = morph.to_voxels(morph.erode(stage(morph.dilate(opened, disk, shape), "dilated"), disk))
     kept = closed.withColumn("_in", F.lit(True))
     return stretched.join(kept, [*SLICE, "y", "x"], "left").select(
         *SLICE,

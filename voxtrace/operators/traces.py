@@ -104,11 +104,9 @@ def judge_verdict(score: Column) -> tuple[Column, Column]:
 
 
 def canonical_tool(name: Column) -> Column:
-    trimmed = F.trim(name)
-    plain = F.when(
-        trimmed.startswith(TOOL_PREFIX), F.substring(trimmed, len(TOOL_PREFIX) + 1, 1_000_000)
-    ).otherwise(trimmed)
-    return F.when(plain != "", plain)
+    """Name without surrounding blanks and the main graph's prefix; null if nothing is left."""
+    plain = F.regexp_extract(name, rf"(?s)^\s*(?:{TOOL_PREFIX})?(.*?)\s*$", 1)
+    return F.nullif(plain, F.lit(""))
 
 
 def in_order(
