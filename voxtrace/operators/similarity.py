@@ -338,8 +338,9 @@ def nearest_other_patients(
 ) -> DataFrame:
     """For every block, its k nearest blocks of other patients, exactly.
 
-    1. Sort blocks by their first mean. Each block's distances to its ``reach`` neighbours on
-       both sides give an upper bound for its k-th best distance.
+    1. Each block's distances to its ``reach`` neighbours on both sides, in the order of the
+       first mean and in a hashed order, give an upper bound for its k-th best distance. The
+       hashed order gives one even where all near blocks belong to the block's own patient.
     2. A block further away along the first feature than that bound allows cannot be among
        the k best, so blocks meet only within that radius (buckets of the first mean, salted),
        and only if no other single feature rules the pair out.
@@ -349,32 +350,43 @@ def nearest_other_patients(
     every block.
     """
     side = F.struct("n", "mean", "cov")
-    placed = row_numbers(
+    blocks = (
         stats.select("block_id", "patient_id", "class_label", side.alias("s"))
         .withColumn("at", F.get("s.mean", F.lit(0)))
-        .withColumn("variance", F.get("s.cov", F.lit(0))),
-        [],
-        ["at", "block_id"],
-        "pos",
+        .withColumn("variance", F.get("s.cov", F.lit(0)))
+        .withColumn("shuffled", F.xxhash64("block_id"))
+    )
+    placed = row_numbers(
+        row_numbers(blocks, [], ["at", "block_id"], "pos"), [], ["shuffled", "block_id"], "pos_2"
     )
-    placed = stage(placed, "placed-blocks")
+    placed = stage(placed.drop("shuffled"), "placed-blocks")
     left = placed.select(
         F.col("block_id").alias("query_id"), F.col("patient_id").alias("query_patient"),
-        F.col("class_label").alias("query_class"), F.col("s").alias("q"), "at", "variance", "pos",
+        F.col("class_label").alias("query_class"), F.col("s").alias("q"), "at", "variance",
+        "pos", "pos_2",
     )
     right = placed.select(
         "block_id", "patient_id", "class_label", F.col("s").alias("r"), F.col("at").alias("r_at"),
-        F.col("pos").alias("r_pos"),
+        F.col("pos").alias("r_pos"), F.col("pos_2").alias("r_pos_2"),
     )
 
-    steps = F.array(*[F.lit(s) for s in range(-reach, reach + 1) if s])
+    def neighbours(mine: str, theirs: str) -> DataFrame:
+        steps = F.array(*[F.lit(s) for s in range(-reach, reach + 1) if s])
+        return (
+            left.withColumn(theirs, F.explode(F.transform(steps, lambda s: F.col(mine) + s)))
+            .join(right.select(theirs, "block_id", "patient_id", "r"), theirs)
+            .where("patient_id <> query_patient")
+            .select("query_id", "q", "block_id", "r")
+        )
+
+    # A pair found in both orders must count once, or the bound would be too small.
     near = (
-        left.withColumn("r_pos", F.explode(F.transform(steps, lambda s: F.col("pos") + s)))
-        .join(right, "r_pos")
-        .where("patient_id <> query_patient")
+        neighbours("pos", "r_pos")
+        .unionByName(neighbours("pos_2", "r_pos_2"))
+        .dropDuplicates(["query_id", "block_id"])
         .withColumn("t2", hotelling_t2("q", "r"))
     )
-    bound = F.get(F.array_sort(F.collect_list("t2")), F.lit(k - 1))  # at most 2 * reach values
+    bound = F.get(F.array_sort(F.collect_list("t2")), F.lit(k - 1))  # at most 4 * reach values
     bounds = near.groupBy("query_id").agg(bound.alias("bound"))
 
     extent = placed.agg(
@@ -412,7 +424,7 @@ def nearest_other_patients(
         with_extent(right)
         .withColumn("bucket", bucket(F.col("r_at")))
         .withColumn("salt", F.pmod(F.xxhash64("block_id"), F.lit(salts)).cast("int"))
-        .drop("_lo", "_hi", "_v", "_n", "_b")
+        .drop("_lo", "_hi", "_v", "_n", "_b", "r_pos", "r_pos_2")
     )
     allowed = F.coalesce(
         _diagonal_bound("q", "r", p) <= F.col("bound") * slack, F.lit(True)
