@@ -221,11 +221,11 @@ def conditional_counts(df: DataFrame, conditions: Sequence[Condition]) -> DataFr
     names = [c.name for c in conditions]
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
-        raise ValueError(f"Duplicate conditional count name: {repeated[0]!r}")
+        raise ValueError(f"Condition names must be unique: {repeated}")
     aggregates = []
     for i, cond in enumerate(conditions):
         if cond.column not in df.columns:
-            raise ValueError(f"Unknown conditional count column: {cond.column!r}")
+            raise ValueError(f"{cond.name}: there is no column {cond.column!r}")
         op = ALIASES.get(cond.op, cond.op)
         numeric = is_number(df.schema[cond.column].dataType, booleans=True)
         value = cond.value
@@ -234,14 +234,10 @@ def conditional_counts(df: DataFrame, conditions: Sequence[Condition]) -> DataFr
                 value = float(value)
             except ValueError as error:
                 raise ValueError(
-                    f"Condition {cond.name!r} compares numeric column {cond.column!r} "
-                    f"with non-numeric value {cond.value!r}"
+                    f"{cond.name}: {cond.value!r} is no number, but column {cond.column} is numeric"
                 ) from error
         if not numeric and op in {">", ">=", "<", "<="}:
-            raise ValueError(
-                f"Condition {cond.name!r} uses ordered comparison on "
-                f"non-numeric column {cond.column!r}"
-            )
+            raise ValueError(f"{cond.name}: {op} needs a numeric column, {cond.column} is not")
         column = F.col(f"`{cond.column}`")
         aggregates += [
             F.count_if(COMPARISONS[op](column, F.lit(value))).alias(f"n{i}"),

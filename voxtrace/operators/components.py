@@ -26,11 +26,11 @@ def neighbour_offsets(dimensions: int, connectivity: int | None) -> list[tuple[i
     if dimensions == 2:
         axes = AXES_2D.get(connectivity or DEFAULT_2D)
         if axes is None:
-            raise ValueError("2D connectivity must be 4 or 8.")
+            raise ValueError(f"Planar connectivity is one of {sorted(AXES_2D)}")
     elif dimensions == 3:
         axes = AXES_3D.get(connectivity or DEFAULT_3D)
         if axes is None:
-            raise ValueError("3D connectivity must be 6, 18, or 26.")
+            raise ValueError(f"Spatial connectivity is one of {sorted(AXES_3D)}")
     else:
         raise ValueError(f"Components need 2 or 3 dimensions; got {dimensions}.")
     steps = (-1, 0, 1)

@@ -235,7 +235,7 @@ def min_max_slices(
     if dtype in TYPE_MAX:
         scaled = F.least(F.greatest(F.rint(scaled), F.lit(0.0)), F.lit(float(TYPE_MAX[dtype])))
     elif dtype != "float32":
-        raise ValueError(f"Unsupported output dtype: {dtype}")
+        raise ValueError(f"No rule to store scaled values as {dtype}")
     return voxels.join(ranges, SLICE).withColumn(out, scaled).drop("_min", "_max")
 
 
@@ -461,10 +461,10 @@ def stitch(tiles: DataFrame, value: str) -> DataFrame:
 def z_block_bounds(start: int, end: int, size: int, overlap_percent: float) -> list[tuple[int, int]]:
     """Overlapping blocks [z, min(z + size, end)) until the end is reached."""
     if overlap_percent >= 100:
-        raise ValueError("Overlap percentage must be less than 100%")
+        raise ValueError("Blocks must overlap by less than their whole size")
     step = size - int(size * overlap_percent / 100)
     if step <= 0:
-        raise ValueError(f"Block size {size} with overlap {overlap_percent}% gives step {step}")
+        raise ValueError(f"Blocks of {size} slices never advance at {overlap_percent} percent overlap")
     last = max(0, -(-(end - start - size) // step))
     return [
         (start + i * step, min(start + i * step + size, end)) for i in range(last + 1)

@@ -91,7 +91,7 @@ def order_slices(files: DataFrame, group: str, name: str, mode: str = "auto") ->
     folder where one is missing. Repeated indices of a numeric folder are flagged.
     """
     if mode not in {"auto", "numeric", "lexicographic"}:
-        raise ValueError("mode must be one of: auto, numeric, lexicographic")
+        raise ValueError(f"Unknown slice order {mode!r}")
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     digits = F.regexp_extract_all(stem, F.lit(r"(\d+)"), F.lit(1))
     indexed = files.withColumn(
