@@ -147,7 +147,7 @@ def test_opening_and_closing(spark, element):
     assert (closed == erode_numpy(dilate_numpy(mask, offsets), offsets)).all()
 
 
-def test_even_square_is_placed_like_the_reference_definition():
+def test_even_square_reaches_one_place_further_back():
     assert morph.square(20)[0][2:] == (-10, 9) and len(morph.square(20)) == 20
     assert sum(hi - lo + 1 for _, _, lo, hi in morph.disk(25)) == sum(
         x * x + y * y <= 625 for x in range(-25, 26) for y in range(-25, 26)
