@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtrace.llm.mixing import mix
 from voxtrace.llm.textblocks import held_out
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
 
@@ -30,3 +31,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document when sources weigh 5, 2, 1, repeating."""
+    mixed = mix(table(spark, sf_dir, "documents"), keep_text=False)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+QUERIES["op9_mix"] = op9_mix
