@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtrace.llm.mixing import mix
+from voxtrace.llm.packing import pack, pieces
 from voxtrace.llm.textblocks import held_out
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
 
@@ -40,3 +41,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_mix"] = op9_mix
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens."""
+    return pack(pieces(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op8_pack"] = op8_pack
