@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.mixing import mix
 from voxtrace.llm.packing import pack, pieces
 from voxtrace.llm.textblocks import held_out
+from voxtrace.llm.topk import exact_top_k
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +51,38 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_pack"] = op8_pack
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten largest integer inner products of every hundredth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES["op2_topk"] = op2_topk
+ORACLES["op2_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+         vec_id, score
+  FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors found for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+QUERIES["op10_forest"] = op10_forest
