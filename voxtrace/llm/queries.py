@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.mixing import mix
 from voxtrace.llm.packing import pack, pieces
+from voxtrace.llm.substring import kept_digest, remove_repeats
 from voxtrace.llm.textblocks import held_out
 from voxtrace.llm.topk import exact_top_k
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
@@ -62,10 +63,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_topk"] = op2_topk
 ORACLES["op2_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
@@ -86,3 +87,32 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_forest"] = op10_forest
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that remain of each document when repeated windows of 50 words go."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return kept_digest(remove_repeats(documents))
+
+
+QUERIES["op4_substring"] = op4_substring
+ORACLES["op4_substring"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM d, unnest(range(1, len(w) - 48)) AS u(i)
+  WHERE len(w) >= 50
+), l AS (SELECT s, min(doc_id) AS least FROM p GROUP BY s),
+g AS (
+  SELECT p.doc_id, list_sort(list_distinct(flatten(list(range(p.i, p.i + 50))))) AS gone
+  FROM p JOIN l USING (s) WHERE p.doc_id > l.least GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN gone IS NULL THEN w
+              ELSE list_transform(
+                list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(gone, k)), lambda k: w[k]) END,
+         ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -139,3 +139,18 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator
             yield span_hashes(hashes[lo:hi], np.array([0]), np.array([hi - lo]))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def bounded_batches(df: DataFrame, size: int = 32 << 20) -> DataFrame:
+    """``df``, after bounding the bytes of an Arrow batch where the session leaves them open."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in df.sparkSession.conf.get(key) if c.isdigit()) or 0)
+    if not 0 < now <= size:
+        df.sparkSession.conf.set(key, str(size))
+    return df
+
+
+def array_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """list<long> column from the values of all rows and the number in each row."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
