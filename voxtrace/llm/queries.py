@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.mixing import mix
+from voxtrace.llm.neardup import near_duplicates
 from voxtrace.llm.packing import pack, pieces
 from voxtrace.llm.substring import kept_digest, remove_repeats
 from voxtrace.llm.textblocks import held_out
@@ -116,3 +117,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(gone, []))
          ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+QUERIES["op3_neardup"] = op3_neardup
+ORACLES["op3_neardup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(
+    CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM w
+), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+  WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, root) AS (
+  SELECT doc_id, doc_id FROM s
+  UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id
+), m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN m ON m.id = s.doc_id
+"""
