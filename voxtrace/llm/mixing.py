@@ -27,8 +27,8 @@ WEIGHTS = (5, 2, 1)
 #: No document, and so no source, is taken more often than this.
 MOST = 3
 BLOCK_DOCS = 1024
-#: Levels of the splitting tree: 2**LEVELS output shards.
-LEVELS = 4
+#: Words of an output shard, at most on average.
+SHARD_WORDS = 1 << 24
 
 
 def word_count(text: Column) -> Column:
@@ -143,7 +143,7 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     most: int = MOST,
     block_docs: int = BLOCK_DOCS,
-    levels: int = LEVELS,
+    shard_words: int = SHARD_WORDS,
     seed: int = 17,
     keep_text: bool = True,
 ) -> DataFrame:
@@ -156,6 +156,8 @@ def mix(
     narrow = stage(sized.select("doc_id", "source", "size"), "mix_sizes")
     sources = stage(source_targets(narrow, weights, most), "mix_sources")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    levels = max(1, (words // shard_words).bit_length())
     sources = sources.select(
         F.col("source").alias("_source"),
         "source_no",
@@ -208,7 +210,7 @@ def mix(
         "mix_shards",
     )
 
-    # the one block of a source that is drawn in part: large documents first, while they fit
+    # the one block of a source that is drawn in part: in permuted order, what still fits
     part = blocks.where("_part").select("source_no", "_block", (F.col("_extra") - F.col("_before")).alias("_room"))
     units = (
         rows.select("source_no", "_block", "doc_id", "size")
@@ -217,7 +219,9 @@ def mix(
         .agg(F.sum("size").alias("size"))
     )
     filled = units.groupBy("source_no", "_block", "_room").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "doc_id"))).alias("all")
+        F.array_sort(
+            F.collect_list(F.struct(F.xxhash64(F.lit(seed + 3), "doc_id").alias("turn"), "doc_id", "size"))
+        ).alias("all")
     )
     start = F.struct(
         F.col("_room").alias("room"), F.filter("all", lambda x: F.lit(False)).alias("fit")
@@ -229,9 +233,9 @@ def mix(
                 "all",
                 start,
                 lambda s, x: F.when(
-                    (-x["minus"] <= s["room"]) & (x["minus"] < 0),
+                    (x["size"] <= s["room"]) & (x["size"] > 0),
                     F.struct(
-                        (s["room"] + x["minus"]).alias("room"),
+                        (s["room"] - x["size"]).alias("room"),
                         F.concat(s["fit"], F.array(x)).alias("fit"),
                     ),
                 ).otherwise(s),
@@ -267,6 +271,7 @@ def mix(
 
 
 def shard_rows(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: a row for each time a document is taken, with its shard and the order in it."""
+    """The mix itself: a row for each time a document is taken, its shards together and in order."""
     taken = mixed.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    return taken.withColumn("position", F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy"), F.col("doc_id")))
+    taken = taken.withColumn("position", F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy"), F.col("doc_id")))
+    return taken.repartition("shard").sortWithinPartitions("shard", "position", "doc_id")
