@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtrace.llm.context_tree import score_texts
 from voxtrace.llm.forest import forest_top_k
+from voxtrace.llm.licenses import scan_licenses
 from voxtrace.llm.mixing import mix
 from voxtrace.llm.neardup import near_duplicates
 from voxtrace.llm.packing import pack, pieces
@@ -15,6 +17,7 @@ from voxtrace.llm.substring import kept_digest, remove_repeats
 from voxtrace.llm.textblocks import held_out
 from voxtrace.llm.topk import exact_top_k
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
+from voxtrace.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +154,40 @@ r(id, root) AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN m ON m.id = s.doc_id
 """
+
+
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents under a context tree and a word model of six sevenths."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_context_tree"] = op7_context_tree
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op6_licenses"] = op6_licenses
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    records = round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op5_warc"] = op5_warc
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)),
+         '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM d
+"""
