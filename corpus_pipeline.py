@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtrace.llm.mixing import mix, shard_rows
+from voxtrace.llm.mixing import MIX_COLUMNS, mix, shard_rows
 from voxtrace.llm.neardup import near_duplicates
 from voxtrace.llm.packing import pack, pieces
-from voxtrace.llm.substring import remove_repeats
-from voxtrace.llm.textblocks import fresh
+from voxtrace.llm.substring import REPEAT_COLUMNS, remove_repeats
+from voxtrace.llm.textblocks import fresh, set_aside
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score, training_labels
 from voxtrace.session import stage
 
@@ -35,19 +35,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows of 50 words that a smaller id has; texts left empty go."""
+    docs, original = set_aside(docs, REPEAT_COLUMNS)
     reduced = remove_repeats(docs)
     changed = F.col("n_removed") > 0
-    return (
-        reduced.where(~changed | (F.col("n_removed") < F.col("n_words")))
-        .withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-        .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-        .select(docs.columns)
-    )
+    left = reduced.where(~changed | (F.col("n_removed") < F.col("n_words")))
+    left = left.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    return original(left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row for each time a document is taken."""
-    return shard_rows(mix(docs)).select(docs.columns)
+    docs, original = set_aside(docs, MIX_COLUMNS)
+    return original(shard_rows(mix(docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ from voxtrace.llm.textblocks import (
 )
 from voxtrace.session import stage
 
-DEPTH = 3
-SHARE = 2.0**-14
+DEPTH = 5
+SHARE = 2.0**-15
 FREQUENT = 2.0**-20
 #: Stands for the end token among word hashes.
 END = np.uint64(0x6A09E667F3BCC909)
@@ -57,9 +57,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     padded = np.insert(data, np.repeat(offsets[:-1], DEPTH), 0)
     ends = offsets[1:] + DEPTH * np.arange(1, n + 1)
     padded = np.insert(padded, ends, 0)
-    codes = np.zeros(len(padded), np.uint32)
+    codes = np.zeros(len(padded), np.uint64)
     for back in range(DEPTH + 1):
-        codes[DEPTH:] |= padded[DEPTH - back : len(padded) - back].astype(np.uint32) << np.uint32(8 * back)
+        codes[DEPTH:] |= padded[DEPTH - back : len(padded) - back].astype(np.uint64) << np.uint64(8 * back)
     first = offsets[:-1] + (DEPTH + 1) * np.arange(n)
     keep = np.ones(len(padded), bool)
     keep[(first[:, None] + np.arange(DEPTH)).ravel()] = False
@@ -111,7 +111,7 @@ def _decisions(symbols: np.ndarray) -> np.ndarray:
     """
     out = np.zeros((*symbols.shape[:-1], 256, 2))
     for bit in range(8):
-        sums = symbols.reshape(*symbols.shape[:-1], 2 ** (bit + 1), -1).sum(-1)
+        sums = symbols.reshape(*symbols.shape[:-1], 2 ** (bit + 1), 128 >> bit).sum(-1)
         out[..., 2**bit : 2 ** (bit + 1), :] = sums.reshape(*symbols.shape[:-1], 2**bit, 2)
     return out
 
@@ -132,23 +132,25 @@ def _next(n: np.ndarray) -> np.ndarray:
 class ContextTree:
     """Log10 probability of each byte after each context.
 
-    ``contexts[d]``: sorted codes of the contexts kept at depth d (1 to DEPTH); ``table`` has the
-    rows of the root's rest, then for each depth those of the contexts (their rests, if deeper
-    contexts follow). ``row_of`` lays them out over all contexts of DEPTH bytes.
+    ``contexts[d]``: sorted codes of the contexts kept at depth d (1 to DEPTH), the byte just
+    before lowest. ``table`` has one row for the root and then for each context, as it holds
+    where no deeper context is kept.
     """
 
     contexts: list[np.ndarray]
     table: np.ndarray
 
-    def row_of(self) -> np.ndarray:
-        rows = np.zeros((256,) * DEPTH, np.uint16 if len(self.table) < 65536 else np.int32)
-        number = 1
-        for depth, codes in enumerate(self.contexts, 1):
-            # the last axis is the byte just before
-            places = tuple((codes >> 8 * k) & 255 for k in range(depth - 1, -1, -1))
-            rows[(..., *places)] = np.arange(number, number + len(codes))
-            number += len(codes)
-        return rows.ravel()
+    def children(self) -> np.ndarray:
+        """Row of the context that is one byte longer, for each row and byte; 0 where none is kept."""
+        out = np.zeros((len(self.table), 256), np.int32)
+        above, number = 0, 1
+        for depth, codes in enumerate(self.contexts):
+            parent = np.zeros(len(codes), int)
+            if depth:
+                parent = np.searchsorted(self.contexts[depth - 1], codes & ((1 << 8 * depth) - 1))
+            out[above + parent, codes >> 8 * depth] = np.arange(number, number + len(codes))
+            above, number = number, number + len(codes)
+        return out.ravel()
 
 
 def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
@@ -181,16 +183,17 @@ def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
         np.zeros(len(c), int) if d == 0 else np.searchsorted(contexts[d - 1], c & ((1 << 8 * d) - 1))
         for d, c in enumerate(contexts)
     ]
-    decisions = [_decisions(level) for level in levels]
+    decisions = [_decisions(level).astype(np.float32) for level in levels]
+    del levels, symbols
     # from the leaves up: weighted probabilities, and the weight of a node's own estimate
     weighted: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
     stay: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
     rests: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
     for depth in range(DEPTH, -1, -1):
-        n = decisions[depth]
+        n = decisions[depth].astype(float)
         own = _estimate(n)
         if depth == DEPTH:
-            weighted[depth], stay[depth], rests[depth] = own, np.ones_like(own), n
+            weighted[depth], stay[depth], rests[depth] = own, np.ones(own.shape, np.float32), decisions[depth]
             continue
         below, up = decisions[depth + 1], parents[depth + 1]
         rest, product = n.copy(), np.zeros_like(own)
@@ -201,36 +204,38 @@ def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
         has[up] = True
         both = np.logaddexp(own, product) - np.log(2)
         weighted[depth] = np.where(has[:, None], both, own)
-        stay[depth] = np.where(has[:, None], np.exp(own - np.log(2) - both), 1.0)
-        rests[depth] = rest
+        stay[depth] = np.where(has[:, None], np.exp(own - np.log(2) - both), 1.0).astype(np.float32)
+        rests[depth] = rest.astype(np.float32)
+        weighted[depth + 1] = np.zeros(0)
     # from the root down: what the depths above contribute, and the weight that is left for below
-    rows = []
-    given, left = [np.zeros((1, 256, 2))], [np.ones((1, 256))]
+    table = []
+    given, left = np.zeros((1, 256, 2)), np.ones((1, 256))
     for depth in range(DEPTH + 1):
         if depth:
-            up = parents[depth]
-            given.append(mix_above[up])
-            left.append(left_below[up])
-        mix_above = given[depth] + (left[depth] * stay[depth])[..., None] * _next(decisions[depth])
-        left_below = left[depth] * (1 - stay[depth])
-        rows.append(mix_above + left_below[..., None] * _next(rests[depth]))
-    table = []
-    node = np.ones(256, int)
-    for part in rows:
-        logs, node = np.zeros((len(part), 256)), np.ones(256, int)
+            given, left = given[parents[depth]], left[parents[depth]]
+        given = given + (left * stay[depth])[..., None] * _next(decisions[depth].astype(float))
+        left = left * (1 - stay[depth])
+        mixture = given + left[..., None] * _next(rests[depth].astype(float))
+        logs, node = np.zeros((len(mixture), 256)), np.ones(256, int)
         for bit in range(7, -1, -1):
             outcome = (np.arange(256) >> bit) & 1
-            logs += np.log10(part[:, node, outcome])
+            logs += np.log10(mixture[:, node, outcome])
             node = 2 * node + outcome
         table.append(logs.astype(np.float32))
     return ContextTree(contexts, np.concatenate(table))
 
 
-def text_scores(tree: ContextTree, row_of: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def text_scores(tree: ContextTree, children: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Log10 probability of each text, its end included."""
     codes, bounds = _grams(data, offsets)
-    rows = row_of[codes >> np.uint32(8)].astype(np.int64)
-    logs = tree.table.ravel()[rows * 256 + (codes & np.uint32(255))]
+    row, at = np.zeros(len(codes), np.int32), np.arange(len(codes))
+    for back in range(1, DEPTH + 1):
+        byte = ((codes[at] >> np.uint64(8 * back)) & np.uint64(255)).astype(np.int32)
+        longer = children[row[at] * 256 + byte]
+        kept = longer > 0
+        at = at[kept]
+        row[at] = longer[kept]
+    logs = tree.table.ravel()[row.astype(np.int64) * 256 + (codes & np.uint64(255)).astype(np.int64)]
     return np.add.reduceat(logs, bounds[:-1], dtype=np.float64) if len(bounds) > 1 else np.zeros(0)
 
 
@@ -261,8 +266,8 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
         model, (keys, seen) = tree.value, common.value
         if name not in _laid_out:
             _laid_out.clear()
-            _laid_out[name] = model.row_of()
-        row_of = _laid_out[name]
+            _laid_out[name] = model.children()
+        children = _laid_out[name]
         logs = np.log10(seen + 1.0) - norm
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -291,7 +296,7 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
                         pa.array(np.diff(bounds)),
                         pa.array(known.astype(np.int64)),
                         pa.array(base),
-                        pa.array(text_scores(model, row_of, own, part)),
+                        pa.array(text_scores(model, children, own, part)),
                         pa.array(np.diff(part)),
                         array_column(rare[first].view(np.int64), per_doc),
                         array_column(times, per_doc),

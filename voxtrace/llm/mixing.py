@@ -29,6 +29,11 @@ MOST = 3
 BLOCK_DOCS = 1024
 #: Words of an output shard, at most on average.
 SHARD_WORDS = 1 << 24
+#: Names that a mixed table adds or uses on the way: input columns may not have them.
+MIX_COLUMNS = (
+    "size", "source_size", "target", "shards", "taken", "copy", "shard", "position", "source_no", "_source", "_block",
+    "_blocks", "_passes", "_extra", "_part", "_shards", "_no", "_id", "_fits",
+)
 
 
 def word_count(text: Column) -> Column:

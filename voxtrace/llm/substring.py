@@ -53,6 +53,8 @@ COVERS = {
     21: (3, 6, 7, 12, 14),
     31: (1, 5, 11, 24, 25, 27),
 }
+#: Names that the result adds or uses on the way: input columns may not have them.
+REPEAT_COLUMNS = ("kept_text", "n_words", "n_removed", "_copies", "_windows", "_repeat_id")
 HOT = 1 / 65536
 #: One document in so many tells which anchors are hot.
 SAMPLED = 16

@@ -7,7 +7,7 @@ a task follows the chunk and the longest document, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns of these names renamed, and a function that brings back its columns."""
+    columns, reserved = df.columns, {n.lower() for n in names}
+    kept = df
+    moved = {}
+    for c in columns:
+        if c.lower() in reserved:
+            moved[c] = fresh(kept, f"_aside_{c}")
+            kept = kept.withColumnRenamed(c, moved[c])
+    return kept, lambda out: out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in columns])
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id counts as empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))
