@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from voxtrace.plans import registry  # noqa: E402
-from voxtrace.session import local_session  # noqa: E402
+from voxtrace.session import drop_staged, local_session  # noqa: E402
 
 HEADLINES = [
     "col_aggs",
@@ -49,6 +49,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        drop_staged(spark)
     print(
         json.dumps(
             {

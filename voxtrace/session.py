@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,22 +26,26 @@ def local_session(cores: str = "8", name: str = "voxtrace") -> SparkSession:
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables: the session's ``spark.checkpoint.dir``.
 
-    A machine-local folder is only ever chosen for a local master, where driver and
-    executors are one process.
+    Where it is unset, a new folder is made, once per application, but only under a local
+    master, where driver and executors are one process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[application]
 
 
 def _session_folder(spark: SparkSession) -> str:
