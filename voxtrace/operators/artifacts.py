@@ -48,6 +48,8 @@ def lineage(linked: DataFrame) -> DataFrame:
     """(id, root, depth): every artifact's first ancestor, by doubling the known distance.
 
     Each round joins known jumps with known jumps, so a chain of n steps takes log n rounds.
+    Artifacts that are in a cycle of parents, or descend from one, have no first ancestor: root
+    and depth are null. They are what still moves once a jump is longer than all artifacts.
     """
     current = stage(
         linked.select(
@@ -56,6 +58,7 @@ def lineage(linked: DataFrame) -> DataFrame:
         ),
         "lineage",
     )
+    longest, step = current.count(), 1
     while True:
         jump = current.select(
             F.col("id").alias("root"), F.col("root").alias("_up"), F.col("depth").alias("_more")
@@ -67,6 +70,14 @@ def lineage(linked: DataFrame) -> DataFrame:
             ),
             "lineage",
         )
+        step *= 2
+        if step > longest:
+            endless = F.col("depth") >= longest
+            return current.select(
+                "id",
+                F.when(~endless, F.col("root")).alias("root"),
+                F.when(~endless, F.col("depth")).alias("depth"),
+            )
         moved = not current.where("_moved").isEmpty()
         current = current.drop("_moved")
         if not moved:

@@ -311,39 +311,17 @@ def seven_number_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return simple.join(spread, "column", "left")
 
 
-def partial_statistics(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """count, mean, m2 (sum of squared deviations), min and max per chunk."""
+def overall_statistics(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """count, mean, population std, min and max; Spark aggregates map-side and merges stably."""
     return df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
+        F.count(value).alias("count"),
         F.avg(value).alias("mean"),
-        (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
 
 
-def merge_statistics(partials: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Merge chunk statistics; the final std is the population one."""
-    n, mean = F.col("n"), F.col("mean")
-    merged = partials.where("n > 0").groupBy(*keys).agg(
-        F.sum("n").alias("count"),
-        F.sum(n * mean).alias("_s"),
-        F.sum(F.col("m2") + n * mean * mean).alias("_q"),
-        F.min("min").alias("min"),
-        F.max("max").alias("max"),
-    )
-    average = F.col("_s") / F.col("count")
-    variance = F.greatest(F.col("_q") / F.col("count") - average * average, F.lit(0.0))
-    return merged.select(
-        *keys,
-        "count",
-        average.alias("mean"),
-        F.sqrt(variance).alias("std"),
-        "min",
-        "max",
-    )
-
-
 def list_statistics(df: DataFrame, column: str) -> DataFrame:
     """Statistics of an array column; sample statistics need two or more values."""
     values = F.transform(F.col(column), lambda x: x.cast("double"))

@@ -66,15 +66,18 @@ def indexed_status(result: Column, judge: Column) -> tuple[Column, Column, Colum
 
 
 def latest_runs(tasks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per task the latest run and the latest completed one, by (batch time, run).
+    """Per task the latest run and the latest completed one, by (batch time, modification time, run).
 
-    ``runs`` has task_id, run_id, batch_time and completion. Both are partial maxima, so a
+    ``runs`` has task_id, run_id, batch_time, completion and, if known, modified. Both are partial maxima, so a
     task with very many runs is reduced before the shuffle.
     """
-    at = F.struct("batch_time", "run_id")
+    if "modified" not in runs.columns:
+        runs = runs.withColumn("modified", F.lit(0.0))
+    modified = F.coalesce("modified", F.lit(0).cast(runs.schema["modified"].dataType)).alias("modified")
+    at = F.struct("batch_time", modified, "run_id")
     done = F.col("completion") == "run_completed"
     newest = runs.groupBy("task_id").agg(
-        F.max(F.struct("batch_time", "run_id", "completion")).alias("_latest"),
+        F.max(F.struct("batch_time", modified, "run_id", "completion")).alias("_latest"),
         F.max(F.when(done, at)).alias("_completed"),
         F.count("*").alias("present_runs"),
         F.count_if(done).alias("completed_runs"),

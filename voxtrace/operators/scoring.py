@@ -84,7 +84,7 @@ def complete_criteria(runs: DataFrame, scored: DataFrame, skipped: DataFrame) ->
 
 
 def percentage(earned: Column, maximum: Column) -> Column:
-    return F.coalesce(F.round(F.try_divide(earned, maximum), 4), F.lit(0.0))
+    return F.coalesce(F.bround(F.try_divide(earned, maximum), 4), F.lit(0.0))
 
 
 def roll_up(criteria: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def score_fallback(runs: DataFrame) -> DataFrame:
         "run_id",
         earned.alias("earned"),
         maximum.alias("max"),
-        F.round(
+        F.bround(
             F.when(has_fields | usable, F.coalesce(F.try_divide(earned, maximum), F.lit(0.0))).otherwise(share), 4
         ).alias("percentage"),
     )
@@ -206,7 +206,7 @@ def benchmark_aggregates(observed: DataFrame) -> DataFrame:
 
 def _stored_share() -> Column:
     """Section shares are stored with 4 decimals before they are used again, file shares are not."""
-    return F.when(F.col("section_type") == "file", F.col("share")).otherwise(F.round("share", 4))
+    return F.when(F.col("section_type") == "file", F.col("share")).otherwise(F.bround("share", 4))
 
 
 def across_files(observed: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def across_files(observed: DataFrame) -> DataFrame:
     per_file = benchmark_aggregates(observed)
     over_files = per_file.groupBy(*keys).agg(
         F.count("*").alias("n_json_files"),
-        F.round(F.avg("percentage"), 4).alias("macro_mean"),
+        F.bround(F.avg("percentage"), 4).alias("macro_mean"),
         F.stddev_samp("percentage").alias("_std"),
     )
     return (

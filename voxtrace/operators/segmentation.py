@@ -47,27 +47,48 @@ METRICS = {
 
 
 def supported_metrics(requested: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Known and unknown metric names; an error only if none is known."""
-    names = [m.strip().lower() for m in requested]
+    """Known and unknown metric names, each once; an error if none is known."""
+    names = list(dict.fromkeys(m.strip().lower() for m in requested))
     known = [m for m in names if m in METRICS]
+    if not names:
+        raise ValueError("At least one metric is needed")
     if not known:
         raise ValueError(f"No supported metric among {list(requested)}")
-    return known, [m for m in names if m not in METRICS]
+    return known, [m for m in names if m and m not in METRICS]
 
 
 def contingency(
-    prediction: DataFrame, truth: DataFrame, keys: Sequence[str], coordinates: Sequence[str]
+    prediction: DataFrame,
+    truth: DataFrame,
+    keys: Sequence[str],
+    coordinates: Sequence[str],
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, gt, pred, n); labels of float masks are rounded half to even first."""
-    def labels(mask: DataFrame, name: str) -> DataFrame:
-        return mask.select(*keys, *coordinates, F.rint("label").cast("bigint").alias(name))
+    """(keys, gt, pred, n); labels of float masks are rounded half to even first.
 
-    return (
-        labels(prediction, "pred")
-        .join(labels(truth, "gt"), [*keys, *coordinates])
-        .groupBy(*keys, "gt", "pred")
-        .agg(F.count("*").alias("n"))
+    A cell that only one mask has is background in the other. ``cells`` (keys, cells) gives the
+    size of each volume where masks leave background out; the cells of neither mask are counted
+    as background in both. Both masks are stacked and met in one aggregation.
+    """
+    def labels(mask: DataFrame, gt: Column, pred: Column) -> DataFrame:
+        return mask.select(*keys, *coordinates, gt.alias("gt"), pred.alias("pred"))
+
+    label, none = F.rint("label").cast("bigint"), F.lit(None).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    met = (
+        labels(prediction, none, label)
+        .unionByName(labels(truth, label, none))
+        .groupBy(*keys, *coordinates)
+        .agg(F.coalesce(F.max("gt"), zero).alias("gt"), F.coalesce(F.max("pred"), zero).alias("pred"))
+    )
+    table = met.groupBy(*keys, "gt", "pred").agg(F.count("*").alias("n"))
+    if cells is None:
+        return table
+    seen = table.groupBy(*keys).agg(F.sum("n").alias("_seen"))
+    rest = cells.join(seen, list(keys), "left").select(
+        *keys, zero.alias("gt"), zero.alias("pred"), (F.col("cells") - F.coalesce("_seen", zero)).alias("n")
     )
+    return table.unionByName(rest.where("n > 0")).groupBy(*keys, "gt", "pred").agg(F.sum("n").alias("n"))
 
 
 def confusion(table: DataFrame, keys: Sequence[str]) -> DataFrame:

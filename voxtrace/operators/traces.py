@@ -27,8 +27,8 @@ def run_index(events: DataFrame) -> DataFrame:
         F.min("ts").alias("started_at"),
         F.max("ts").alias("ended_at"),
         F.count("*").alias("tool_call_count"),
-        F.count_if(~F.col("success").eqNullSafe(False)).alias("successful_tool_calls"),
-        F.count_if(F.col("success").eqNullSafe(False)).alias("failed_tool_calls"),
+        F.count_if("success").alias("successful_tool_calls"),
+        F.count_if(~F.col("success")).alias("failed_tool_calls"),
         F.min_by("route", F.struct(*ORDER)).alias("first_route"),
         F.max_by("route", F.struct(*ORDER)).alias("last_route"),
     )

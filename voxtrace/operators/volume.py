@@ -43,10 +43,11 @@ def bit_depth(voxels: DataFrame, value: str, dtype: str) -> DataFrame:
             if bits <= 8
             else F.when((F.lit(bits) <= 16) & (span <= 4095), 12).otherwise(16)
         )
+    # extremes per slice first, so that a volume meets in one small row per slice
+    slices = voxels.groupBy("volume_id", "z").agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return (
-        voxels.where(F.col("z") == 0)
-        .groupBy("volume_id")
-        .agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+        slices.groupBy("volume_id")
+        .agg(F.min_by("low", "z").alias("minimum"), F.min_by("high", "z").alias("maximum"))
         .select(
             "volume_id", span.alias("dynamic_range"), depth.cast("bigint").alias("bit_depth")
         )

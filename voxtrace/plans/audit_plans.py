@@ -106,12 +106,8 @@ def feature_summary(spark, sf_dir):
 
 
 def two_level_stats(spark, sf_dir):
-    partials = audit.partial_statistics(
-        table(spark, sf_dir, "lineitem"),
-        [F.month("l_shipdate").alias("chunk")],
-        F.col("l_quantity"),
-    )
-    return round_columns(audit.merge_statistics(partials), {"mean": 6, "std": 6})
+    rows = audit.overall_statistics(table(spark, sf_dir, "lineitem"), [], F.col("l_quantity"))
+    return round_columns(rows, {"mean": 6, "std": 6})
 
 
 def list_stats(spark, sf_dir):

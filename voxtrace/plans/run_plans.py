@@ -9,12 +9,12 @@ from voxtrace.operators import runs as run_ops
 from voxtrace.operators import scoring
 from voxtrace.plans.views_sql import RUNS
 from voxtrace.session import staging_path
-from voxtrace.sources.tables import table, urgent_runs
+from voxtrace.sources.tables import table, order_runs
 
 
 def _runs(spark, sf_dir):
     done = run_ops.completion_status(F.col("status"), F.lit(False), F.lit(False))
-    return urgent_runs(spark, sf_dir).withColumn("completion", done)
+    return order_runs(spark, sf_dir).withColumn("completion", done)
 
 
 def _tasks(spark, sf_dir):
@@ -39,7 +39,7 @@ def _scored(spark, sf_dir):
             for i, (section, code, label, _) in enumerate(scoring.RUBRIC)
         ]
     )
-    runs = urgent_runs(spark, sf_dir)
+    runs = order_runs(spark, sf_dir)
     scored = runs.select("run_id", "status", F.inline(rows)).where(
         (F.col("status") != "error") | (F.col("section") != "tools")
     )
@@ -55,21 +55,20 @@ def score_sink(spark, sf_dir):
     """Score rows written as Parquet by section and read back."""
     path = staging_path(spark, "scores")
     _scored(spark, sf_dir).write.partitionBy("section").parquet(path)
-    back = spark.read.parquet(path).where("section IN ('tools', 'artifacts')")
-    return back.groupBy("section", "criterion_id").agg(
+    return spark.read.parquet(path).groupBy("section", "criterion_id").agg(
         F.sum("earned").alias("earned"), F.count("*").alias("runs")
     )
 
 
 def task_status(spark, sf_dir):
-    return scoring.task_status(urgent_runs(spark, sf_dir), ["task_id"])
+    return scoring.task_status(order_runs(spark, sf_dir), ["task_id"])
 
 
 def batch_summary(spark, sf_dir):
     totals = _scored(spark, sf_dir).groupBy("run_id").agg(
         F.sum("earned").alias("earned"), F.sum("max").alias("max")
     )
-    runs = urgent_runs(spark, sf_dir).join(totals, "run_id")
+    runs = order_runs(spark, sf_dir).join(totals, "run_id")
     return scoring.batch_summary(
         runs.withColumn("batch", F.year("batch_time").cast("bigint")), ["batch"]
     )
@@ -147,7 +146,7 @@ def plan_runs(spark, sf_dir):
 
 def index_refresh(spark, sf_dir):
     index, specified = _index(spark, sf_dir)
-    found = urgent_runs(spark, sf_dir).select(
+    found = order_runs(spark, sf_dir).select(
         F.col("task_id").cast("string").alias("task_id"),
         F.date_format("batch_time", "yyyy-MM-dd").alias("batch"),
         F.col("run_id").cast("string").alias("folder"),
@@ -158,7 +157,7 @@ def index_refresh(spark, sf_dir):
 
 def index_results(spark, sf_dir):
     index, specified = _index(spark, sf_dir)
-    results = urgent_runs(spark, sf_dir).select(
+    results = order_runs(spark, sf_dir).select(
         F.col("task_id").cast("string").alias("task_id"),
         "status",
         F.when(F.col("price") > 200000, F.concat(F.lit("new/"), F.col("run_id"))).alias("path"),
@@ -187,7 +186,7 @@ def selectors(spark, sf_dir):
 def score_fallback(spark, sf_dir):
     status, price = F.col("status"), F.col("price")
     known = status == "passed"
-    rows = urgent_runs(spark, sf_dir).select(
+    rows = order_runs(spark, sf_dir).select(
         "run_id",
         F.when(known, F.pmod("run_id", F.lit(14))).alias("earned"),
         F.when(known & (price > 100000), 13).alias("max"),
@@ -226,7 +225,7 @@ def pooled(spark, sf_dir):
 
 def bounded_err(spark, sf_dir):
     rows = scoring.benchmark_aggregates(_observed(spark, sf_dir))
-    shown = scoring.bounded_errors(rows.where("section_type IN ('file', 'criterion')"))
+    shown = scoring.bounded_errors(rows)
     return shown.select(
         "json_file", "section", "percentage", F.round("error_low", 4).alias("error_low"),
         F.round("error_high", 4).alias("error_high"),
@@ -259,12 +258,12 @@ OBSERVED = f"""{CRITERIA}, filed AS (SELECT criteria.*, lower(c_mktsegment) || '
     UNION ALL SELECT json_file, run_id, earned, max, 'criterion', criterion_id FROM filed),
   observed AS (SELECT json_file, run_id, section_type, section, sum(earned) AS earned, sum(max) AS max,
       sum(earned) / sum(max) AS share FROM long GROUP BY ALL),
-  stored AS (SELECT *, CASE section_type WHEN 'file' THEN share ELSE round(share, 4) END AS kept FROM observed)"""
+  stored AS (SELECT *, CASE section_type WHEN 'file' THEN share ELSE round_even(share, 4) END AS kept FROM observed)"""
 
 
 def _pool_sql(source: str, keys: str, share: str) -> str:
     return f"""SELECT {keys}, sum(earned)::BIGINT AS earned, sum(max)::BIGINT AS max, count(*) AS n_observations,
-      round(sum(earned) / sum(max), 4) AS percentage,
+      round_even(sum(earned) / sum(max), 4) AS percentage,
       {mean_half_width_sql("count(*)", f"stddev_samp({share})")} AS ci95 FROM {source} GROUP BY {keys}"""
 
 
@@ -287,17 +286,17 @@ ORACLES = {
     "score_rollup": f"""WITH {CRITERIA} SELECT run_id, CASE WHEN grouping(section) = 0 THEN 'section'
         WHEN grouping(category) = 0 THEN 'category' WHEN grouping(dimension) = 0 THEN 'dimension' ELSE 'total' END AS level,
       coalesce(section, category, dimension, 'all') AS name, sum(earned)::BIGINT AS earned, sum(max)::BIGINT AS max,
-      round(sum(earned) / sum(max), 4) AS percentage FROM criteria
+      round_even(sum(earned) / sum(max), 4) AS percentage FROM criteria
       GROUP BY GROUPING SETS ((run_id, section), (run_id, category), (run_id, dimension), (run_id))""",
     "score_sink": f"""WITH {CRITERIA} SELECT section, criterion_id, sum(earned)::BIGINT AS earned, count(*) AS runs
-      FROM criteria WHERE section IN ('tools', 'artifacts') GROUP BY ALL""",
+      FROM criteria GROUP BY ALL""",
     "task_status": f"""WITH {RUNS} SELECT task_id, CASE max(CASE status WHEN 'passed' THEN 0 WHEN 'failed' THEN 1 ELSE 2 END)
       WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' ELSE 'error' END AS status, count(*) AS sections FROM runs GROUP BY task_id""",
     "batch_summary": f"""WITH {CRITERIA}, t AS (SELECT run_id, status, year(batch_time) AS batch, sum(earned) AS e,
         sum(max) AS m FROM criteria GROUP BY ALL)
       SELECT batch, count(*) AS n_tasks, count(*) FILTER (status = 'passed') AS n_passed,
         count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'error') AS n_errors,
-        sum(e)::BIGINT AS earned, sum(m)::BIGINT AS max, round(sum(e) / sum(m), 4) AS percentage,
+        sum(e)::BIGINT AS earned, sum(m)::BIGINT AS max, round_even(sum(e) / sum(m), 4) AS percentage,
         sum(e)::BIGINT || '/' || sum(m)::BIGINT AS label FROM t GROUP BY batch""",
     "latest_run": f"""WITH {LATEST} SELECT task_id, latest_run, latest_completed_run, run_completion_status, rerun_status,
       present_runs, completed_runs FROM latest_status""",
@@ -334,12 +333,12 @@ ORACLES = {
         price > 50000 AS labelled FROM runs)
       SELECT run_id, CASE WHEN fields OR labelled THEN (run_id % 14)::DOUBLE WHEN status = 'failed' THEN 0.25 ELSE 0 END AS earned,
         CASE WHEN fields OR labelled THEN 13.0::DOUBLE ELSE 1 END AS max,
-        round(CASE WHEN fields OR labelled THEN run_id % 14 / 13 WHEN status = 'failed' THEN 0.25::DOUBLE ELSE 0 END, 4) AS percentage
+        round_even(CASE WHEN fields OR labelled THEN run_id % 14 / 13 WHEN status = 'failed' THEN 0.25::DOUBLE ELSE 0 END, 4) AS percentage
       FROM r""",
     "bench_agg": f"WITH {OBSERVED} {PER_FILE}",
     "macro_mean": f"""WITH {OBSERVED}, per_file AS ({PER_FILE}),
       pool AS ({_pool_sql("stored", "section_type, section", "kept")}),
-      files AS (SELECT section_type, section, count(*) AS n_json_files, round(avg(percentage), 4) AS macro_mean,
+      files AS (SELECT section_type, section, count(*) AS n_json_files, round_even(avg(percentage), 4) AS macro_mean,
         {mean_half_width_sql("count(*)", "stddev_samp(percentage)")} AS ci95_across_files FROM per_file GROUP BY ALL)
       SELECT * FROM pool JOIN files USING (section_type, section)""",
     "pooled": f"""WITH {OBSERVED}, named AS (SELECT * REPLACE (CASE json_file WHEN 'building.json' THEN 'structures.json'
@@ -347,5 +346,5 @@ ORACLES = {
         FROM stored) {_pool_sql("named", "json_file, section_type, section", "kept")}""",
     "bounded_err": f"""WITH {OBSERVED}, per_file AS ({PER_FILE}) SELECT json_file, section, percentage,
       round(least(ci95, percentage), 4) AS error_low, round(least(ci95, 1 - percentage), 4) AS error_high
-      FROM per_file WHERE section_type IN ('file', 'criterion')""",
+      FROM per_file""",
 }

@@ -23,6 +23,15 @@ def contingency(spark, sf_dir):
     return seg.contingency(prediction, truth, PAIR, PLACE)
 
 
+def sparse_confusion(spark, sf_dir):
+    """Masks that list their foreground only, in volumes of 10 cells more than either lists."""
+    prediction, truth = mask_pair(spark, sf_dir)
+    some, other = prediction.where("label <> 0"), truth.where("label <> 0")
+    places = some.select(*PAIR, *PLACE).unionByName(other.select(*PAIR, *PLACE)).distinct()
+    cells = places.groupBy(*PAIR).agg((F.count("*") + 10).alias("cells"))
+    return seg.confusion(seg.contingency(some, other, PAIR, PLACE, cells), PAIR)
+
+
 def confusion(spark, sf_dir):
     return _counts(spark, sf_dir)
 
@@ -75,7 +84,7 @@ def seg_batch_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        contingency, confusion, seg_metrics, hallucinated, class_names, mask_guard, shape_match,
+        contingency, confusion, sparse_confusion, seg_metrics, hallucinated, class_names, mask_guard, shape_match,
         seg_batch, seg_batch_status,
     )
 }
@@ -119,6 +128,19 @@ SHAPES = f"""{SPARSE}, a AS (SELECT volume_id, max(z) + 1 AS left_n_slices, max(
 ORACLES = {
     "contingency": f"WITH {MASKS} SELECT pair, gt, pred, count(*) AS n FROM masks GROUP BY ALL",
     "confusion": f"WITH {COUNTS} SELECT * FROM counts",
+    "sparse_confusion": """WITH cells AS (SELECT l_suppkey AS pair, l_orderkey, l_linenumber,
+        max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 0 END)::BIGINT AS pred,
+        max(CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END)::BIGINT AS gt FROM lineitem GROUP BY ALL),
+      p AS (SELECT * FROM cells WHERE pred <> 0), t AS (SELECT * FROM cells WHERE gt <> 0),
+      met AS (SELECT pair, coalesce(p.pred, 0) AS pred, coalesce(t.gt, 0) AS gt
+        FROM p FULL JOIN t USING (pair, l_orderkey, l_linenumber)),
+      sizes AS (SELECT pair, count(*) + 10 AS cells FROM met GROUP BY pair),
+      labels AS (SELECT pair, pred AS label FROM met WHERE pred <> 0 UNION SELECT pair, gt FROM met WHERE gt <> 0),
+      counts AS (SELECT pair, label, count(*) FILTER (pred = label AND gt = label) AS tp,
+        count(*) FILTER (pred = label AND gt <> label) AS fp,
+        count(*) FILTER (pred <> label AND gt = label) AS fn,
+        count(*) FILTER (gt = label) = 0 AS hallucinated FROM met JOIN labels USING (pair) GROUP BY pair, label)
+      SELECT pair, label, tp, fp, fn, cells - tp - fp - fn AS tn, hallucinated FROM counts JOIN sizes USING (pair)""",
     "seg_metrics": f"""WITH {COUNTS} SELECT pair, label, {NAME} AS class_name,
       {", ".join(f"{f} AS {m}" for m, f in FORMULAS.items())} FROM counts""",
     "hallucinated": f"""WITH {MASKS} SELECT pair, pred AS label FROM masks WHERE pred <> 0

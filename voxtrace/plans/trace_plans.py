@@ -115,7 +115,7 @@ def render(spark, sf_dir):
 
 def route_checks(spark, sf_dir):
     return traces.route_checks(
-        trace_events(spark, sf_dir).where(F.col("value") > 150), "view", ["view", "click"], ["signup"]
+        trace_events(spark, sf_dir), "view", ["view", "click"], ["signup"]
     )
 
 
@@ -159,7 +159,7 @@ def tool_checks(spark, sf_dir):
 
 
 def subsequence(spark, sf_dir):
-    events = trace_events(spark, sf_dir).where(F.col("value") > 35)
+    events = trace_events(spark, sf_dir)
     return traces.in_order(
         events, trace_events(spark, sf_dir), "route", ["view", "click", "view", "purchase", "signup"]
     )
@@ -353,7 +353,7 @@ def subruns(spark, sf_dir):
 def run_status(spark, sf_dir):
     events = trace_events(spark, sf_dir)
     return traces.run_status(
-        events.where(F.col("value") > 45), events.where(F.col("value") > 185).select("run_id")
+        events, events.where(F.col("value") > 185).select("run_id")
     )
 
 
@@ -490,7 +490,7 @@ ORACLES = {
           WHEN 'PROMO' THEN n || '_1' ELSE n END AS dataset_slug FROM p""",
     "render": """SELECT p_partkey, 'Audit ' || p_name || ' of ' || p_size || CASE WHEN p_size > 25 THEN ' {nothing}'
         ELSE '' END || ': ' || p_brand || ' {' || p_size || '}' AS rendered FROM part""",
-    "route_checks": f"""WITH {TRACE}, e AS (SELECT * FROM trace WHERE value > 150),
+    "route_checks": f"""WITH {TRACE}, e AS (SELECT * FROM trace),
       r AS (SELECT run_id, route, count(*) AS n FROM e GROUP BY ALL),
       c AS (SELECT run_id, list(route) AS routes, coalesce(string_agg(route, ',' ORDER BY route) FILTER (n > 1), '') AS dup,
         max(n) AS most FROM r GROUP BY run_id),
@@ -519,7 +519,7 @@ ORACLES = {
         FROM (SELECT DISTINCT run_id FROM raw_calls) LEFT JOIN m USING (run_id) LEFT JOIN o USING (run_id))
       SELECT *, CASE WHEN c1_tools AND c2_order THEN 'passed' ELSE 'failed' END AS status FROM j""",
     "subsequence": f"""WITH {TRACE}, o AS ({_letters("trace", "route",
-        {"view": "v", "click": "c", "purchase": "p", "signup": "s"}, "value > 35")})
+        {"view": "v", "click": "c", "purchase": "p", "signup": "s"}, "true")})
       SELECT DISTINCT run_id, coalesce(regexp_matches(line, 'v.*c.*v.*p.*s'), false) AS found
       FROM trace LEFT JOIN o USING (run_id)""",
     "artifact_checks": """WITH f AS (SELECT page_id // 5 AS run_id, url, url LIKE 'https%' AS reg,
@@ -577,7 +577,7 @@ ORACLES = {
       FROM routes LEFT JOIN own USING (event_id) LEFT JOIN keyed USING (run_id, key)""",
     "run_status": f"""WITH {TRACE} SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM trace WHERE value > 185) THEN 'error'
         WHEN count(*) FILTER (NOT success) > 0 THEN 'completed_with_tool_errors' ELSE 'completed' END AS status
-      FROM trace WHERE value > 45 GROUP BY run_id""",
+      FROM trace GROUP BY run_id""",
     "last_assistant": """SELECT conv_id AS run_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations
       WHERE role = 'assistant' GROUP BY conv_id""",
     "token_est": """SELECT conv_id AS run_id, ceil(sum(length(text)) / 4)::BIGINT AS tokens,

@@ -1,10 +1,15 @@
 """SQL text of the views in ``voxtrace.sources.tables`` for the DuckDB side of the check."""
 
-DENSE = """dense AS (
+DENSE = """cells AS (
   SELECT l_suppkey // 50 AS volume_id, (month(l_shipdate) - 1)::BIGINT AS z,
          (day(l_shipdate) - 1)::BIGINT AS y, (l_linenumber - 1)::BIGINT AS x,
          round(sum(l_quantity) / count(*)) AS v
-  FROM lineitem WHERE day(l_shipdate) <= 28 GROUP BY ALL)"""
+  FROM lineitem GROUP BY ALL),
+dense AS (
+  SELECT volume_id, g.z, g.y, g.x, coalesce(v, 0)::DOUBLE AS v
+  FROM (SELECT DISTINCT volume_id, a.z, b.y, c.x FROM cells,
+        range(0, 12) a(z), range(0, 31) b(y), range(0, 7) c(x)) g
+  LEFT JOIN cells USING (volume_id, z, y, x))"""
 
 SPARSE = """sparse AS (
   SELECT user_id // 40 AS volume_id, hour(ts)::BIGINT AS z, (day(ts) - 1)::BIGINT AS y,
@@ -39,4 +44,4 @@ RUNS = """runs AS (
   SELECT o_custkey AS task_id, o_orderkey AS run_id, o_orderdate AS batch_time,
          CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN 'failed' ELSE 'error' END AS status,
          o_totalprice AS price
-  FROM orders WHERE o_orderpriority = '1-URGENT')"""
+  FROM orders)"""

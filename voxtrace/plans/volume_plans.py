@@ -511,7 +511,7 @@ ORACLES = {
     "closing": f"""WITH {DENSE}, mask AS (SELECT volume_id, z, y, x FROM dense WHERE v > 25),
       {_ball_sql("closed", "mask", False)} {_change_sql("mask", "closed")}""",
     "tiles": f"""WITH {DENSE} SELECT volume_id, z, y // 3 AS tile_row, x // 3 AS tile_col,
-      count(*) AS pixels, sum(v) AS total FROM dense WHERE y // 3 < 9 AND x // 3 < 2 GROUP BY ALL""",
+      count(*) AS pixels, sum(v) AS total FROM dense WHERE y // 3 < 10 AND x // 3 < 2 GROUP BY ALL""",
     "tiles_overlap": f"""WITH {TILED} SELECT volume_id, z, tile_row, tile_col, y0, x0, count(*) AS pixels,
       sum(v) AS total FROM tiled GROUP BY ALL""",
     "tissue_tiles": f"""WITH {DENSE}, {otsu_sql("dense", ["volume_id", "z"], "v")}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DENSE_SHAPE = (12, 28, 7)  # z, y, x of one dense volume
+DENSE_SHAPE = (12, 31, 7)  # z, y, x of one dense volume
 SPARSE_SHAPE = (24, 30, 40)  # z, y, x of one sparse volume
 VOXEL_UM = 1.6  # edge of a voxel in micrometres
 
@@ -28,19 +28,32 @@ def lineitem_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels (volume_id, z, y, x, v): one intensity volume per 50 suppliers."""
-    day = F.dayofmonth("l_shipdate")
-    return (
+    """Voxels (volume_id, z, y, x, v): one intensity volume per 50 suppliers.
+
+    z is the month, y the day and x the line number; cells without a row, such as the days that
+    a month lacks, are 0.
+    """
+    depth, height, width = DENSE_SHAPE
+    place = ["volume_id", "z", "y", "x"]
+    cells = (
         table(spark, sf_dir, "lineitem")
-        .where(day <= DENSE_SHAPE[1])
         .groupBy(
             F.floor(F.col("l_suppkey") / 50).cast("bigint").alias("volume_id"),
             (F.month("l_shipdate") - 1).cast("bigint").alias("z"),
-            (day - 1).cast("bigint").alias("y"),
+            (F.dayofmonth("l_shipdate") - 1).cast("bigint").alias("y"),
             (F.col("l_linenumber") - 1).cast("bigint").alias("x"),
         )
         .agg(F.round(F.sum("l_quantity") / F.count("*")).alias("v"))
     )
+    volumes = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_suppkey") / 50).cast("bigint").alias("volume_id")
+    ).distinct()
+    grid = volumes
+    for name, extent in zip(place[1:], (depth, height, width), strict=True):
+        grid = grid.select("*", F.explode(_places(extent)).alias(name))
+    empty = grid.withColumn("v", F.lit(None).cast("double"))
+    # stacked and met in one aggregation: at most one row of each cell has a value
+    return cells.unionByName(empty).groupBy(*place).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
 
 
 IMAGE_SHAPE = (100, 92)  # y, x of one quantity image
@@ -167,12 +180,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def urgent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs (orders of top priority) with a status per run."""
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per order, with a status."""
     status = F.col("o_orderstatus")
     return (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderpriority") == "1-URGENT")
         .select(
             F.col("o_custkey").alias("task_id"),
             F.col("o_orderkey").alias("run_id"),

@@ -17,14 +17,13 @@ def read_event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_index(events: DataFrame) -> DataFrame:
-    """Calls per run; the state is one small row per run."""
-    failed = F.col("success").eqNullSafe(False)
+    """Calls per run; the state is one small row per run. An unknown success counts as neither."""
     return events.groupBy("run_id").agg(
         F.min("ts").alias("started_at"),
         F.max("ts").alias("ended_at"),
         F.count("*").alias("tool_call_count"),
-        F.count_if(~failed).alias("successful_tool_calls"),
-        F.count_if(failed).alias("failed_tool_calls"),
+        F.count_if("success").alias("successful_tool_calls"),
+        F.count_if(~F.col("success")).alias("failed_tool_calls"),
     )
 
 
