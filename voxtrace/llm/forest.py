@@ -8,8 +8,9 @@ salted parts. A query descends to its longest matching prefix in the cell of eac
 trees ascend together, one bit at a time, until the query has enough candidates, or its cells
 are used up. Candidates are scored on the original vectors.
 
-The sample (at most ``SAMPLE`` vectors) only sets the number of trees, so that the expected
-share of neighbours that meet a query in a cell reaches ``expected``; all rows are indexed.
+The sample (at most ``SAMPLE`` vectors) only sets how many leading bits name a cell: as many as
+the table's size asks for, while the expected share of neighbours that meet a query in some cell
+stays at ``EXPECTED``; all rows are indexed.
 
 Defined results: vectors that are null, all zero or hold null or non-finite components take no
 part; vectors of unequal length are compared with zeros at the end. Of equal vectors the k + 1
@@ -30,6 +31,7 @@ from voxtrace.llm.topk import matrix, usable
 from voxtrace.session import stage
 
 BITS = 32
+TREES = 24
 CELL_ROWS = 4096
 SAMPLE = 2000
 EXPECTED = 0.97
@@ -59,27 +61,26 @@ def _prefix(strings: np.ndarray, bits: int) -> np.ndarray:
     return strings >> (BITS - bits)
 
 
-def plan_forest(sample: np.ndarray, rows: int, k: int, expected: float = EXPECTED) -> tuple[int, int]:
-    """(leading bits of a cell, number of trees).
+def leading_bits(sample: np.ndarray, rows: int, k: int, trees: int) -> int:
+    """Leading bits of a cell.
 
     A neighbour at angle a shares p leading bits with probability (1 - a / pi)**p. The angles
     are those of the sample's own k nearest, which are wider than in all rows.
     """
     lead = max(0, math.ceil(math.log2(max(1, rows / CELL_ROWS))))
     if len(sample) < 2:
-        return lead, 1
+        return lead
     asked = sample[:200]
     cosines = np.clip(asked @ sample.T, -1, 1)
     cosines[np.arange(len(asked)), np.arange(len(asked))] = -2
     near = -np.sort(-cosines, axis=1)[:, : min(k, len(sample) - 1)]
-    meet = (1 - np.arccos(near) / np.pi) ** lead
-    trees = 1
-    while (1 - (1 - meet) ** trees).mean() < expected and trees < 4096:
-        trees += 1
-    return lead, trees
+    agree = 1 - np.arccos(near) / np.pi
+    while lead and (1 - (1 - agree**lead) ** trees).mean() < EXPECTED:
+        lead -= 1
+    return lead
 
 
-def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7) -> DataFrame:
+def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of ``queries`` among ``vectors``."""
 
     def ready(df: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int
     width = max(width, longest_query[1] or 0)
     longest = max(facts["norm"], longest_query[0] or 0.0)
     few = index.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).toPandas()
-    lead, trees = plan_forest(_lifted(matrix(few["embedding"]), width, longest), rows, k)
+    lead = leading_bits(_lifted(matrix(few["embedding"]), width, longest), rows, k, trees)
 
     @F.pandas_udf("array<long>")
     def strings(column: pd.Series) -> pd.Series:
@@ -146,7 +147,7 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int
             lo, hi = ranges(block, ask, bits)
             counts.append(hi - lo)
         counts = np.array(counts).T.reshape(len(ask), BITS + 1 - lead)
-        return pd.DataFrame({"query_id": who["vec_id"].to_numpy(), "counts": list(counts)})
+        return pd.DataFrame({"query_id": who["vec_id"].to_numpy(np.int64), "counts": pd.Series(list(counts), dtype=object)})
 
     # ascend in step: the longest prefix length at which all trees together give enough entries
     levels = (
