@@ -1,7 +1,8 @@
 """Equal-width histograms, Otsu thresholds and contrast stretching.
 
-Values are counted per (keys, value) before anything else, so later steps see distinct values
-only and the pre-aggregation happens before the shuffle.
+Where the bins are known beforehand, rows are binned map-side, so a task hands on at most one row
+per bin and key. Where the range of a key sets the bins (Otsu), values are counted per
+(keys, value) first, and everything else follows from those counts.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BINS = 4096
-
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return (
@@ -40,34 +39,35 @@ def histogram(
     Values outside a given range are dropped; a constant input widens the range by one half
     on each side.
     """
-    if not 1 <= bins <= MAX_BINS:
-        raise ValueError(f"bins must be within 1..{MAX_BINS}")
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
     if (low is None) != (high is None):
         raise ValueError("give both ends of the range or neither")
-    counted = value_counts(df, [], value)
+    v = F.col(value).cast("double")
     if low is None:
-        v = F.col(value).cast("double")
         ends = df.agg(F.struct(F.min(v).alias("least"), F.max(v).alias("most"))).scalar()
     else:
         ends = F.struct(F.lit(float(low)).alias("least"), F.lit(float(high)).alias("most"))
     least, most = F.col("_ends.least"), F.col("_ends.most")
     half = F.when(least == most, 0.5).otherwise(0.0)
     ranged = (
-        counted.withColumn("_ends", ends)
-        .select("value", "n", (least - half).alias("_lo"), (most + half).alias("_hi"))
+        df.select(v.alias("value"))
+        .where("value is not null")
+        .withColumn("_ends", ends)
+        .select("value", (least - half).alias("_lo"), (most + half).alias("_hi"))
         .where(F.col("value").between(F.col("_lo"), F.col("_hi")))
     )
     filled = (
         ranged.withColumn("bin", bin_number(F.col("value"), F.col("_lo"), F.col("_hi"), bins))
         .groupBy("bin")
-        .agg(F.sum("n").alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        .agg(F.count("*").alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     )
-    # At most MAX_BINS rows from here on.
+    # One row per bin from here on.
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     whole = Window.partitionBy()
     width = (F.max("_hi").over(whole) - F.max("_lo").over(whole)) / bins
     return (
-        every.join(F.broadcast(filled), "bin", "left")
+        every.join(filled, "bin", "left")
         .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
         .withColumn("low_edge", F.max("_lo").over(whole) + F.col("bin") * width)
         .withColumn("high_edge", F.max("_lo").over(whole) + (F.col("bin") + 1) * width)
@@ -135,6 +135,19 @@ def otsu_threshold(
     return otsu_from_counts(value_counts(df, keys, value), keys, bins)
 
 
+def split_counts(
+    counted: DataFrame, keys: Sequence[str], eligible: Column | None = None, bins: int | None = 256
+) -> DataFrame:
+    """Counts (keys, value, n) with the Otsu threshold, min and max of their key beside them.
+
+    The threshold is that of the ``eligible`` values. What lies above or below it follows from
+    these rows, without going back to the data.
+    """
+    own = counted if eligible is None else counted.where(eligible)
+    found = otsu_from_counts(own, keys, bins).select(*keys, "threshold", "min", "max")
+    return counted.join(found, list(keys))
+
+
 # Fixed values of the contrast stretch: 255 unit bins over 0..255, one percent cut on each
 # side, and 0.5 added before the cut at the top.
 STRETCH_TOP = 255
@@ -143,14 +156,14 @@ STRETCH_TOLERANCE = 1
 
 def stretch_limits(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Lower and upper limit per key: first bin whose cumulative count reaches 1 % and 99 %."""
-    counted = value_counts(df, keys, value)
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
-    bins = (
-        counted.where(F.col("value").between(0, STRETCH_TOP))
-        .withColumn("bin", F.least(F.floor("value"), F.lit(STRETCH_TOP - 1)).cast("bigint"))
-        .groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("n"))
+    v = F.col(value).cast("double")
+    inside = F.when(v.between(0, STRETCH_TOP), F.least(F.floor(v), F.lit(STRETCH_TOP - 1)).cast("bigint"))
+    # values outside the bins only count for the total: they are one more row per key, without a bin
+    counted = (
+        df.where(v.isNotNull()).groupBy(*keys, inside.alias("bin")).agg(F.count("*").alias("n"))
     )
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    bins = counted.where("bin is not null")
     up_to = (
         Window.partitionBy(*keys)
         .orderBy("bin")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtrace.operators.histogram import otsu_threshold
+from voxtrace.operators.histogram import otsu_threshold, split_counts, value_counts
 from voxtrace.operators.quantiles import exact_percentiles
 
 SLICE = ["volume_id", "z"]
@@ -114,14 +114,15 @@ def cohort_dimensions(shapes: DataFrame) -> DataFrame:
 
 
 def otsu_slices(voxels: DataFrame, value: str, bins: int | None = 256) -> DataFrame:
-    """Threshold per slice with retained count and fraction; constant slices are flagged."""
-    thresholds = otsu_threshold(voxels, SLICE, value, bins)
+    """Threshold per slice with retained count and fraction of the voxels that have a value;
+    constant slices are flagged."""
+    above = F.col("value") > F.col("threshold")
     return (
-        voxels.join(thresholds.select(*SLICE, "threshold", "min", "max"), SLICE)
+        split_counts(value_counts(voxels, SLICE, value), SLICE, bins=bins)
         .groupBy(*SLICE, "threshold")
         .agg(
-            F.count("*").alias("voxels"),
-            F.count_if(F.col(value) > F.col("threshold")).alias("retained"),
+            F.sum("n").alias("voxels"),
+            F.sum(F.when(above, F.col("n")).otherwise(0)).alias("retained"),
             F.max(F.col("min") == F.col("max")).alias("constant"),
         )
         .withColumn("fraction", F.col("retained") / F.col("voxels"))
@@ -169,15 +170,19 @@ def bone_volume(
     bins: int | None = 256,
 ) -> DataFrame:
     """Voxels above one threshold per volume, taken over positive voxels unless told otherwise."""
-    eligible = voxels if include_zero else voxels.where(F.col(value) > 0)
-    thresholds = otsu_threshold(eligible, ["volume_id"], value, bins)
+    key, v = ["volume_id"], F.col("value")
+    eligible = None if include_zero else v > 0
+
+    def number(of: Column) -> Column:
+        return F.sum(F.when(of, F.col("n")).otherwise(0))
+
     counted = (
-        voxels.join(thresholds.select("volume_id", "threshold"), "volume_id")
+        split_counts(value_counts(voxels, key, value), key, eligible, bins)
         .groupBy("volume_id", "threshold")
         .agg(
-            F.count("*").alias("n_total"),
-            F.count_if(F.col(value) > 0).alias("n_positive"),
-            F.count_if(F.col(value) > F.col("threshold")).alias("n_bone"),
+            F.sum("n").alias("n_total"),
+            number(v > 0).alias("n_positive"),
+            number(v > F.col("threshold")).alias("n_bone"),
         )
     )
     measure = None
