@@ -119,6 +119,16 @@ def test_answers(spark):
     assert json.loads(got['see [1, 2] and {"b": "}"}']["json"]) == {"b": "}"}
 
 
+def test_bracket_spans_take_one_pass():
+    text = "it's [don't {\"a\": 1} won't] {'b': ']'} [1, (2)] {x"
+    spans = [text[a:b] for a, b in tasks.bracket_spans(text, '"')]
+    assert spans[:2] == ["[don't {\"a\": 1} won't]", '{"a": 1}']
+    assert tasks.find_answer(text) == ({"b": "]"},)
+    assert tasks.find_answer("don't [use 'this'] {\"k\": 3}") == ({"k": 3},)
+    assert tasks.find_answer("[" * 50_000 + " {'k': 1}") == ({"k": 1},)
+    assert tasks.find_answer("{'open [1, 2") == ()
+
+
 def test_task_validation_and_expansion(spark):
     sections = {k: {} for k in tasks.EVALUATION_KEYS}
     docs = [

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import contextlib
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -116,84 +120,100 @@ def filter_tasks(
     return kept, wanted.join(known, "wanted", "left_anti")
 
 
-def _answer_udf():
-    @F.pandas_udf("struct<kind string, json string>")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        import ast
-        import json
-
-        closing = {"{": "}", "[": "]"}
-
-        def literal(fragment):
-            for reader in (json.loads, ast.literal_eval):
-                try:
-                    value = reader(fragment)
-                except Exception:  # noqa: BLE001
-                    continue
-                if reader is json.loads or value is None or isinstance(value, (dict, list, int, float, bool)):
-                    return True, value
-            return False, None
-
-        def end_of(text, start):
-            """Place after the bracket that closes the one at ``start``, or None."""
-            open_brackets, quote, i = [], "", start
-            while i < len(text):
-                c = text[i]
-                if quote:
-                    if c == "\\":
-                        i += 1
-                    elif c == quote:
-                        quote = ""
-                elif c in "'\"":
-                    quote = c
-                elif c in closing:
-                    open_brackets.append(closing[c])
-                elif open_brackets and c == open_brackets[-1]:
-                    open_brackets.pop()
-                    if not open_brackets:
-                        return i + 1
-                i += 1
-            return None
-
-        def read(text):
-            if text is None:
-                return "null", None
-            stripped = text.strip()
-            if not stripped:
-                return "text", None
-            found, value = literal(stripped)
-            if not found:
-                other = None
-                for start, c in enumerate(stripped):
-                    end = end_of(stripped, start) if c in closing else None
-                    if end is None:
-                        continue
-                    parsed, candidate = literal(stripped[start:end])
-                    if parsed and isinstance(candidate, dict):
-                        found, value = True, candidate
-                        break
-                    if parsed and other is None:
-                        other = (candidate,)
-                if not found and other:
-                    found, value = True, other[0]
-            if not found:
-                return "text", None
-            kind = {dict: "dict", list: "list", bool: "bool", int: "number", float: "number",
-                    str: "text", type(None): "null"}[type(value)]
-            return kind, json.dumps(value, default=str)
-
-        return pd.DataFrame([read(t) for t in texts], columns=["kind", "json"])
-
-    return parse
+_SIGNS = re.compile(r"[][{}'\"\\\\]")
+
+
+def bracket_spans(text: str, quotes: str) -> list[tuple[int, int]]:
+    """Balanced bracket pairs of ``text``, in order of their beginning, in one pass.
+
+    Brackets between quotes don't count. Outside of brackets a quote is prose, and so is one that
+    never ends: the scan goes on behind it, at most once for each kind of quote.
+    """
+    spans: list[tuple[int, int]] = []
+    waiting: list[tuple[str, int]] = []
+    at, prose = 0, set()
+    quote, quote_end = "", 0
+    while True:
+        sign = _SIGNS.search(text, at)
+        if sign is None:
+            if not quote:
+                return sorted(spans)
+            prose.add(quote)
+            quote, at = "", quote_end
+            continue
+        c, at = sign[0], sign.end()
+        if c == "\\":
+            at += bool(quote)
+        elif quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            if waiting and c in quotes and c not in prose:
+                quote, quote_end = c, at
+        elif c in "[{":
+            waiting.append((c, sign.start()))
+        elif waiting and waiting[-1][0] == ("[" if c == "]" else "{"):
+            spans.append((waiting.pop()[1], at))
+
+
+def _plain_value(text: str) -> tuple[object, ...]:
+    """The value of JSON text or of a Python literal of the same types, in a tuple; else none."""
+    with contextlib.suppress(ValueError, RecursionError):
+        return (json.loads(text),)
+    with contextlib.suppress(ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        value = ast.literal_eval(text)
+        if value is None or isinstance(value, dict | list | int | float):
+            return (value,)
+    return ()
+
+
+def find_answer(text: str) -> tuple[object, ...]:
+    """The value of a whole text, else of the first object in it, else of the first list."""
+    whole = _plain_value(text)
+    if whole:
+        return whole
+    first: tuple[object, ...] = ()
+    for quotes in ("'\"", '"'):  # apostrophes may be prose within brackets, too
+        for lo, hi in bracket_spans(text, quotes):
+            value = _plain_value(text[lo:hi])
+            if value and isinstance(value[0], dict):
+                return value
+            first = first or value
+    return first
+
+
+def _free_text_answers(texts: pd.Series) -> pd.DataFrame:
+    kinds = {dict: "dict", list: "list", bool: "bool", int: "number", float: "number", str: "text", type(None): "null"}
+
+    def answer(text: str | None) -> tuple[str, str | None]:
+        found = find_answer(text.strip()) if text else ()
+        return (kinds[type(found[0])], json.dumps(found[0], default=str)) if found else ("text", None)
+
+    return pd.DataFrame([answer(t) for t in texts], columns=["kind", "json"])
 
 
 def parse_answer(text: Column) -> Column:
     """Struct (kind, json) of a free-text answer.
 
-    The whole text as JSON or literal; else the first balanced object in it, else the first
-    other balanced value; else it stays text.
+    Texts that are JSON as a whole are read by Spark; only the others reach Python, where the
+    first balanced object counts, else the first other balanced value, else it stays text.
     """
-    return _answer_udf()(text)
+    variant = F.try_parse_json(text)
+    shape = F.schema_of_variant(variant)
+    kind = (
+        F.when(shape.startswith("OBJECT"), "dict")
+        .when(shape.startswith("ARRAY"), "list")
+        .when(shape == "BOOLEAN", "bool")
+        .when(shape == "STRING", "text")
+        .when(shape == "VOID", "null")
+        .otherwise("number")
+    )
+    read = F.pandas_udf(_free_text_answers, "struct<kind string, json string>")
+    rest = read(F.when(variant.isNull(), text))
+    return (
+        F.when(text.isNull(), F.struct(F.lit("null").alias("kind"), F.lit(None).cast("string").alias("json")))
+        .when(variant.isNotNull(), F.struct(kind.alias("kind"), F.to_json(variant).alias("json")))
+        .otherwise(rest)
+    )
 
 
 def evaluate_rules(answers: DataFrame, keys: Sequence[str], rules: Mapping[str, str]) -> DataFrame:
