@@ -13,6 +13,7 @@ from voxtrace.plans import (
     segmentation_plans,
     similarity_plans,
     source_plans,
+    task_plans,
     trace_plans,
     volume_plans,
 )
@@ -25,6 +26,7 @@ MODULES = [
     segmentation_plans,
     similarity_plans,
     trace_plans,
+    task_plans,
     run_plans,
 ]
 
