@@ -153,3 +153,45 @@ def test_mask_metrics(spark):
     naming = spark.createDataFrame([(3, True), (3, False), (1, True)], "l int, h boolean")
     names = [r[0] for r in naming.select(seg.class_name(F.col("l"), F.col("h"))).collect()]
     assert names == ["class_3_hallucinated", "class_3", "lacunae"]
+
+
+def test_leave_one_out_is_exact_for_singular_covariances(spark):
+    """Collinear features without shrinkage: no pair of singular blocks may be ruled out."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for block in range(40):
+        a = rng.normal(block % 7, 1, 6)
+        rows += [(block, float(x), float(2 * x)) for x in a]
+    df = spark.createDataFrame(rows, "block_id bigint, f0 double, f1 double")
+    stats = sim.block_statistics(df, "block_id", ["f0", "f1"], shrinkage=0.0)
+    stats = stats.withColumn("patient_id", (F.col("block_id") % 5).cast("string")).withColumn(
+        "class_label", (F.col("block_id") % 2).cast("string")
+    )
+    got = {
+        (r["query_id"], r["block_id"]) for r in sim.nearest_other_patients(stats, 2, k=4, reach=2).collect()
+    }
+    pairs = stats.select("block_id", "patient_id", F.struct("n", "mean", "cov").alias("q"))
+    other = pairs.toDF("other_id", "other_patient", "r")
+    scored = pairs.join(other, F.col("patient_id") != F.col("other_patient")).select(
+        "block_id", "other_id", "other_patient", sim.hotelling_t2("q", "r").alias("t2")
+    )
+    best: dict = {}
+    for r in scored.collect():
+        best.setdefault(r["block_id"], []).append((r["t2"], r["other_patient"], r["other_id"]))
+    assert got == {(q, b) for q, own in best.items() for _, _, b in sorted(own)[:4]}
+
+
+def test_masks_that_list_foreground_only(spark):
+    pred = spark.createDataFrame([(1, 1, 1.0)], "pair int, at int, label double")
+    truth = spark.createDataFrame([(1, 2, 2.0)], "pair int, at int, label double")
+    cells = spark.createDataFrame([(1, 10)], "pair int, cells bigint")
+    rows = {r["label"]: r for r in sim_counts(pred, truth, cells)}
+    assert (rows[1]["tp"], rows[1]["fp"], rows[1]["fn"], rows[1]["tn"]) == (0, 1, 0, 9)
+    assert (rows[2]["tp"], rows[2]["fp"], rows[2]["fn"], rows[2]["tn"]) == (0, 0, 1, 9)
+    assert seg.supported_metrics(["dice", "Dice", "x", "x"]) == (["dice"], ["x"])
+    with pytest.raises(ValueError, match="At least one"):
+        seg.supported_metrics([])
+
+
+def sim_counts(pred, truth, cells):
+    return seg.confusion(seg.contingency(pred, truth, ["pair"], ["at"], cells), ["pair"]).collect()

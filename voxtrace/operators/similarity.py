@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -333,6 +334,22 @@ def _diagonal_bound(left: str, right: str, p: int) -> Column:
     return n1 * n2 / (n1 + n2) * best
 
 
+def _positive_definite(cov: Column, p: int) -> Column:
+    """Whether the smallest eigenvalue of a flattened p x p covariance is clearly above 0."""
+
+    @F.pandas_udf("boolean")
+    def check(rows: pd.Series) -> pd.Series:
+        def regular(flat) -> bool:
+            if flat is None or len(flat) != p * p or not np.isfinite(np.asarray(flat, float)).all():
+                return False
+            values = np.linalg.eigvalsh(np.asarray(flat, float).reshape(p, p))
+            return bool(values[0] > 1e-10 * max(values[-1], 0.0))
+
+        return rows.map(regular)
+
+    return check(cov)
+
+
 def nearest_other_patients(
     stats: DataFrame, p: int, k: int = TOP_K, reach: int = 8, salts: int = 8
 ) -> DataFrame:
@@ -346,8 +363,9 @@ def nearest_other_patients(
        and only if no other single feature rules the pair out.
     3. The exact T2 is computed for the pairs that remain.
 
-    A block with too few eligible neighbours, or without any variance, has no radius and meets
-    every block.
+    A block with too few eligible neighbours has no radius and meets every block. So does one
+    with a singular covariance: the bounds of 2 hold for a regular pooled covariance, which one
+    regular side is enough for; pairs of two singular blocks are never ruled out.
     """
     side = F.struct("n", "mean", "cov")
     blocks = (
@@ -355,6 +373,7 @@ def nearest_other_patients(
         .withColumn("at", F.get("s.mean", F.lit(0)))
         .withColumn("variance", F.get("s.cov", F.lit(0)))
         .withColumn("shuffled", F.xxhash64("block_id"))
+        .withColumn("regular", _positive_definite(F.col("s.cov"), p))
     )
     placed = row_numbers(
         row_numbers(blocks, [], ["at", "block_id"], "pos"), [], ["shuffled", "block_id"], "pos_2"
@@ -363,11 +382,11 @@ def nearest_other_patients(
     left = placed.select(
         F.col("block_id").alias("query_id"), F.col("patient_id").alias("query_patient"),
         F.col("class_label").alias("query_class"), F.col("s").alias("q"), "at", "variance",
-        "pos", "pos_2",
+        F.col("regular").alias("q_regular"), "pos", "pos_2",
     )
     right = placed.select(
         "block_id", "patient_id", "class_label", F.col("s").alias("r"), F.col("at").alias("r_at"),
-        F.col("pos").alias("r_pos"), F.col("pos_2").alias("r_pos_2"),
+        F.col("regular").alias("r_regular"), F.col("pos").alias("r_pos"), F.col("pos_2").alias("r_pos_2"),
     )
 
     def neighbours(mine: str, theirs: str) -> DataFrame:
@@ -395,7 +414,7 @@ def nearest_other_patients(
             F.min("s.n").alias("n"), F.count("*").alias("c"),
         )
     ).scalar()
-    buckets = F.least(F.greatest(F.floor(F.col("_e.c") / 64), F.lit(1)), F.lit(100_000)).cast("bigint")
+    buckets = F.greatest(F.floor(F.col("_e.c") / 64), F.lit(1)).cast("bigint")
     scale = F.col("q.n") * F.col("_n") / (F.col("q.n") + F.col("_n"))
     slack = 1 + 1e-9
     radius = F.sqrt(F.col("bound") * slack * F.greatest("variance", "_v") / scale)
@@ -411,14 +430,16 @@ def nearest_other_patients(
 
     seekers = (
         with_extent(left.join(bounds, "query_id", "left"))
-        .withColumn("radius", F.when(F.col("variance") > 0, radius))
+        .withColumn("radius", F.when(F.col("q_regular"), radius))
         .withColumn("radius", F.coalesce("radius", F.col("_hi") - F.col("_lo") + 1))
         .withColumn(
             "bucket",
             F.explode(F.sequence(bucket(F.col("at") - F.col("radius")), bucket(F.col("at") + F.col("radius")))),
         )
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select("query_id", "query_patient", "query_class", "q", "at", "radius", "bound", "bucket", "salt")
+        .select(
+            "query_id", "query_patient", "query_class", "q", "q_regular", "at", "radius", "bound", "bucket", "salt"
+        )
     )
     targets = (
         with_extent(right)
@@ -428,7 +449,7 @@ def nearest_other_patients(
     )
     allowed = F.coalesce(
         _diagonal_bound("q", "r", p) <= F.col("bound") * slack, F.lit(True)
-    )
+    ) | ~(F.col("q_regular") | F.col("r_regular"))
     pairs = (
         seekers.join(targets, ["bucket", "salt"])
         .where(
