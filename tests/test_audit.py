@@ -41,10 +41,10 @@ def test_groups_with_missing_key_single_row_std_and_cap(mixed):
     assert [r["g"] for r in rows] == ["a", "b"] and all(r["truncated"] for r in rows)
     assert rows[0]["std_v"] is None and rows[0]["rows"] == 2
     every = audit.grouped_aggregates(mixed, ["g"], ["v"], ("count", "median")).collect()
-    assert [r["g"] for r in every] == ["a", "b", None] and not every[0]["truncated"]
+    assert {r["g"] for r in every} == {"a", "b", None} and not any(r["truncated"] for r in every)
     assert {r["g"]: r["median_v"] for r in every} == {"a": 1.0, "b": 5.0, None: 3.0}
     with pytest.raises(ValueError):
-        audit.grouped_aggregates(mixed, ["g"], ["v"], max_groups=201)
+        audit.grouped_aggregates(mixed, ["g"], ["v"], max_groups=0)
 
 
 def test_conditions(mixed):

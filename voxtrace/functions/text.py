@@ -54,17 +54,15 @@ def dataset_slug(value: Column) -> Column:
     return F.when(grouped, slug(F.concat_ws("_", parent, name))).otherwise(slug(name))
 
 
-MAX_RENDER_ROUNDS = 5
-
-
 def render(template: Column, fields: Sequence[str]) -> Column:
-    """Replace ``{field}`` by the row's own fields, up to five rounds; unknown ones stay.
+    """Replace ``{field}`` by the row's own fields, also within their values; unknown ones stay.
 
-    One round replaces all fields at once, so a value that looks like a field is only
-    replaced in the next round.
+    One round replaces all fields at once, so a value that looks like a field is only replaced
+    in the next round. A chain of fields that name each other is no longer than the fields are
+    many, so as many rounds reach its end; fields that name each other in a circle stay.
     """
     text = template
-    for _ in range(MAX_RENDER_ROUNDS):
+    for _ in range(len(fields) + 1):
         text = _render_once(text, fields)
     return text
 

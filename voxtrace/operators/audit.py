@@ -13,8 +13,6 @@ from voxtrace.operators.quantiles import exact_percentiles
 
 DEFAULT_OPERATIONS = ("count", "mean", "std", "min", "max")
 NUMERIC_OPERATIONS = ("mean", "std", "min", "max", "median", "sum")
-MAX_GROUPS = 200
-MAX_PREVIEW = 50
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -151,33 +149,36 @@ def grouped_aggregates(
     keys: Sequence[str],
     columns: Sequence[str],
     operations: Sequence[str] = DEFAULT_OPERATIONS,
-    max_groups: int = 25,
+    max_groups: int | None = None,
     ddof: int = 1,
 ) -> DataFrame:
-    """First ``max_groups`` groups by key, missing keys last, with a truncation flag."""
-    if not 1 <= max_groups <= MAX_GROUPS:
-        raise ValueError(f"max_groups must be within 1..{MAX_GROUPS}")
+    """All groups, or the first ``max_groups`` by key, missing keys last, with a truncation flag."""
+    if max_groups is not None and max_groups < 1:
+        raise ValueError("max_groups must be at least 1")
     select_columns(df, keys)
     chosen = select_columns(df, columns)
     simple = [op for op in operations if op != "median"]
     order = [F.col(f"`{k}`").asc_nulls_last() for k in keys]
-    groups = (
-        df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("rows"),
-            *[_aggregate(df, c, op, ddof).alias(f"{op}_{c}") for c in chosen for op in simple],
-        )
-        .orderBy(*order)
-        .limit(max_groups + 1)
-        .agg(F.collect_list(F.struct(F.struct(*keys).alias("_key"), "*")).alias("_g"))
-        .select(
-            F.inline(F.slice("_g", 1, max_groups)), (F.size("_g") > max_groups).alias("truncated")
-        )
+    groups = df.groupBy(*keys).agg(
+        F.count("*").alias("rows"),
+        *[_aggregate(df, c, op, ddof).alias(f"{op}_{c}") for c in chosen for op in simple],
     )
+    groups = groups.select(F.struct(*keys).alias("_key"), "*")
+    if max_groups is None:
+        groups = groups.withColumn("truncated", F.lit(False))
+    else:
+        groups = (
+            groups.orderBy(*order)
+            .limit(max_groups + 1)
+            .agg(F.collect_list(F.struct("*")).alias("_g"))
+            .select(
+                F.inline(F.slice("_g", 1, max_groups)), (F.size("_g") > max_groups).alias("truncated")
+            )
+        )
     if "median" in operations:
-        keyed = df.select(F.struct(*keys).alias("_key"), *[F.col(f"`{c}`") for c in chosen]).join(
-            F.broadcast(groups.select("_key")), "_key", "left_semi"
-        )  # at most max_groups keys
+        keyed = df.select(F.struct(*keys).alias("_key"), *[F.col(f"`{c}`") for c in chosen])
+        if max_groups is not None:
+            keyed = keyed.join(F.broadcast(groups.select("_key")), "_key", "left_semi")  # so many keys
         medians = _medians(keyed, ["_key"], chosen)
         for c in chosen:
             one = medians.where(F.col("column") == c).select(
@@ -259,8 +260,8 @@ def conditional_counts(df: DataFrame, conditions: Sequence[Condition]) -> DataFr
 
 def preview(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """First n rows in key order; non-finite numbers become null."""
-    if not 0 <= n <= MAX_PREVIEW:
-        raise ValueError(f"preview rows must be within 0..{MAX_PREVIEW}")
+    if n < 0:
+        raise ValueError("preview rows can't be negative")
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     finite = [
         F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")).alias(c) if c in floats

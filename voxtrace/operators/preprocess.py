@@ -17,7 +17,6 @@ CHAIN_SIGMA = 2.0
 CHAIN_SQUARE = 20
 CHAIN_DISK = 25
 CLUSTERS = 3
-CLUSTER_ROUNDS = 100
 CLUSTER_EPSILON = 0.2
 
 
@@ -26,14 +25,15 @@ def kmeans_intensities(
     keys: Sequence[str],
     value: str,
     k: int = CLUSTERS,
-    rounds: int = CLUSTER_ROUNDS,
     epsilon: float = CLUSTER_EPSILON,
 ) -> DataFrame:
     """(keys, cluster, center, pixels): k-means on one feature, all keys at once.
 
     Works on counted values, so a round reads distinct values only. Centers start evenly
     spaced over the range of a key; a key is done once no center of it shifts by more than
-    ``epsilon``, whatever the other keys do. A cluster without values keeps its center.
+    ``epsilon``, whatever the other keys do, and all keys are carried on until they are done: the
+    squared distances fall in every round, so that happens. A cluster without values keeps its
+    center.
     """
     counted = stage(value_counts(df, keys, value), "value-counts")
     step = (F.max("value") - F.min("value")) / k
@@ -48,7 +48,7 @@ def kmeans_intensities(
             "cluster", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
         )
 
-    for _ in range(rounds):
+    while True:
         sums = [
             F.try_divide(
                 F.sum(F.when(F.col("cluster") == i, F.col("value") * F.col("n"))),

@@ -92,7 +92,7 @@ def register_artifacts(spark, sf_dir):
         .otherwise(F.col("path"))
         .alias("path")
     )
-    return catalog.register_artifacts(pages, requested, ["html"], max_files=100)
+    return catalog.register_artifacts(pages, requested, ["html"])
 
 
 QUERIES = {
@@ -156,7 +156,7 @@ ORACLES = {
           SELECT path, 0 AS origin FROM asked WHERE path IN (SELECT path FROM files)
           UNION ALL SELECT path, 1 FROM named WHERE name LIKE '_%.html') GROUP BY path)
       SELECT path, 'registered' AS status, row_number() OVER (ORDER BY origin, path) AS position
-      FROM found QUALIFY position <= 100
+      FROM found
       UNION ALL
       SELECT path, 'not_found', NULL FROM asked WHERE path NOT IN (SELECT path FROM files)""",
 }

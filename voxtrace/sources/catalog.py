@@ -161,16 +161,18 @@ def register_artifacts(
     catalogue: DataFrame,
     requested: DataFrame,
     extensions: Sequence[str] | None,
-    max_files: int,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Requested paths, then matching folder files, unique by path, first ``max_files`` kept.
+    """Requested paths, then matching folder files, unique by path, numbered in that order.
 
-    Requested paths that do not exist come back as skipped rows.
+    Requested paths that do not exist come back as skipped rows, and so do files behind the first
+    ``max_files``, if that is given.
     """
     known = catalogue.select("path").distinct()
     asked = requested.select("path").distinct()
+    none = F.lit(None).cast("bigint")
     missing = asked.join(known, "path", "left_anti").select(
-        "path", F.lit("not_found").alias("status"), F.lit(None).cast("bigint").alias("position")
+        "path", F.lit("not_found").alias("status"), none.alias("position")
     )
     chosen = (
         asked.join(known, "path", "left_semi")
@@ -178,14 +180,11 @@ def register_artifacts(
         .union(known.where(matches_extension(F.col("path"), extensions)).withColumn("origin", F.lit(1)))
         .groupBy("path")
         .agg(F.min("origin").alias("origin"))
-        .orderBy("origin", "path")
-        .limit(max_files)
     )
-    kept = chosen.agg(F.array_sort(F.collect_list(F.struct("origin", "path"))).alias("a")).select(
-        F.posexplode("a").alias("position", "file")
-    )
-    return kept.select(
-        "file.path",
-        F.lit("registered").alias("status"),
-        (F.col("position") + 1).cast("bigint").alias("position"),
+    numbered = row_numbers(chosen, [], ["origin", "path"], "position")
+    beyond = F.lit(False) if max_files is None else F.col("position") > max_files
+    return numbered.select(
+        "path",
+        F.when(beyond, "over_limit").otherwise("registered").alias("status"),
+        F.when(~beyond, F.col("position")).alias("position"),
     ).unionByName(missing)
