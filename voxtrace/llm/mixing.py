@@ -2,10 +2,10 @@
 
 Every source is cut into blocks of about ``block_docs`` documents by a hash of the id. Its target
 is met by whole passes over its blocks plus a draw of further blocks in permuted order; the last
-block drawn is filled document by document. A splitting tree hands the drawn blocks to output
-shards: at each node the quotas of all sources are halved by an exact multivariate
-hypergeometric draw, so every shard holds a fair mix and no block twice. Inside a shard,
-documents are ordered by a hash.
+block drawn is filled document by document, to within half the smallest document left. A
+splitting tree hands the drawn blocks to output shards: at each node the quotas of all sources
+are halved by an exact multivariate hypergeometric draw, so every shard holds a fair mix and no
+block twice. Inside a shard, documents are ordered by a hash.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; documents
 of one source with the same id are taken or left together; a source without words has target 0
@@ -215,39 +215,49 @@ def mix(
         "mix_shards",
     )
 
-    # the one block of a source that is drawn in part: in permuted order, what still fits
-    part = blocks.where("_part").select("source_no", "_block", (F.col("_extra") - F.col("_before")).alias("_room"))
+    # the one block of a source that is drawn in part: in permuted order, what still fits; then
+    # again, for documents that may be taken once more; at last the smallest that is left, if the
+    # sum comes nearer to the target with it
+    part = blocks.where("_part").select(
+        "source_no", "_block", "_passes", (F.col("_extra") - F.col("_before")).alias("_room")
+    )
     units = (
         rows.select("source_no", "_block", "doc_id", "size")
         .join(part, ["source_no", "_block"])
-        .groupBy("source_no", "_block", "_room", "doc_id")
+        .groupBy("source_no", "_block", "_passes", "_room", "doc_id")
         .agg(F.sum("size").alias("size"))
+        .where("size > 0")
     )
-    filled = units.groupBy("source_no", "_block", "_room").agg(
+    filled = units.groupBy("source_no", "_block", "_passes", "_room").agg(
         F.array_sort(
             F.collect_list(F.struct(F.xxhash64(F.lit(seed + 3), "doc_id").alias("turn"), "doc_id", "size"))
         ).alias("all")
     )
-    start = F.struct(
-        F.col("_room").alias("room"), F.filter("all", lambda x: F.lit(False)).alias("fit")
-    )
-    filled = filled.select(
-        "source_no",
+    state = F.struct(F.col("_room").alias("room"), F.filter("all", lambda x: F.lit(False)).alias("fit"))
+    for turn in range(1, most + 1):
+        state = F.aggregate(
+            "all",
+            state,
+            lambda s, x: F.when(
+                (x["size"] <= s["room"]) & (F.col("_passes") + turn <= most),  # noqa: B023
+                F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["fit"], F.array(x)).alias("fit")),
+            ).otherwise(s),
+        )
+    filled = filled.withColumn("_state", state)
+    unused = F.array_except("all", "_state.fit")
+    least = F.array_min(F.transform(unused, lambda x: F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"))))
+    filled = filled.withColumn("_least", least).select(
+        F.col("source_no").alias("_no"),
         F.explode(
-            F.aggregate(
-                "all",
-                start,
-                lambda s, x: F.when(
-                    (x["size"] <= s["room"]) & (x["size"] > 0),
-                    F.struct(
-                        (s["room"] - x["size"]).alias("room"),
-                        F.concat(s["fit"], F.array(x)).alias("fit"),
-                    ),
-                ).otherwise(s),
-            )["fit"]
-        ).alias("_fit"),
-    ).select(F.col("source_no").alias("_no"), F.col("_fit.doc_id").alias("_id"), F.lit(True).alias("_fits"))
-    filled = stage(filled, "mix_filled")
+            F.concat(
+                F.transform("_state.fit", lambda x: x["doc_id"]),
+                F.when(F.col("_least.size") < 2 * F.col("_state.room"), F.array("_least.doc_id")).otherwise(
+                    F.transform(F.filter("all", lambda x: F.lit(False)), lambda x: x["doc_id"])
+                ),
+            )
+        ).alias("_id"),
+    )
+    filled = stage(filled.groupBy("_no", "_id").agg(F.count("*").cast("int").alias("_fits")), "mix_filled")
 
     result = blocked(sized if keep_text else narrow).join(
         shards.drop("_passes"), ["source_no", "_block"], "left"
@@ -258,13 +268,14 @@ def mix(
         & F.col("doc_id").eqNullSafe(F.col("_id")),
         "left",
     )
-    partly = F.coalesce("_part", F.lit(False)) & ~F.coalesce("_fits", F.lit(False))
+    whole = F.slice("_shards", F.lit(1), F.col("_passes").cast("int"))
+    more = F.array_repeat(F.element_at("_shards", -1), F.coalesce("_fits", F.lit(0)))
     none = F.array().cast("array<int>")
     return (
         result.withColumn(
             "shards",
             F.when(F.col("_shards").isNull(), none)
-            .when(partly, F.slice("_shards", F.lit(1), F.col("_passes").cast("int")))
+            .when(F.coalesce("_part", F.lit(False)), F.concat(whole, more))
             .otherwise(F.col("_shards")),
         )
         .withColumn("taken", F.col("size") * F.size("shards"))
