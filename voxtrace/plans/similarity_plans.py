@@ -256,6 +256,40 @@ def _hotelling3_sql() -> str:
       SELECT block_id, round(k * ({form}) / ({det}), 6) AS t2 FROM p"""
 
 
+def _hotelling_sql(columns: list[str]) -> str:
+    """Distance over any number of features, by eliminating one feature of the pooled matrix after
+    another: each step adds its squared difference over its pivot."""
+    p = len(columns)
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    raw = ", ".join(
+        [f"avg({c}) AS m{i}" for i, c in enumerate(columns)]
+        + [f"covar_samp({columns[i]}, {columns[j]}) AS r{i}{j}" for i, j in cells]
+    )
+    trace = " + ".join(f"r{i}{i}" for i in range(p))
+    shrunk = ", ".join(
+        f"0.95::DOUBLE * r{i}{j}" + (f" + 0.05::DOUBLE * ({trace}) / {p}" if i == j else "") + f" AS s{i}{j}"
+        for i, j in cells
+    )
+    pooled = ", ".join(
+        f"((q.n - 1) * q.s{i}{j} + (r.n - 1) * r.s{i}{j}) / (q.n + r.n - 2) AS p{i}{j}" for i, j in cells
+    )
+    delta = ", ".join(f"q.m{i} - r.m{i} AS d{i}" for i in range(p))
+    steps = [
+        f"""e0 AS (SELECT r.block_id, q.n * r.n / (q.n + r.n) AS k, 0::DOUBLE AS form, {delta}, {pooled}
+        FROM shrunk q JOIN shrunk r ON q.block_id = 0 AND q.patient_id <> r.patient_id)"""
+    ]
+    for k in range(p):
+        left = [
+            "block_id", "k", f"form + d{k} * d{k} / p{k}{k} AS form",
+            *[f"d{i} - p{k}{i} / p{k}{k} * d{k} AS d{i}" for i in range(k + 1, p)],
+            *[f"p{i}{j} - p{k}{i} * p{k}{j} / p{k}{k} AS p{i}{j}" for i, j in cells if i > k],
+        ]
+        steps.append(f"e{k + 1} AS (SELECT {', '.join(left)} FROM e{k})")
+    return f"""WITH {LIBRARY}, raw AS (SELECT l_suppkey AS block_id, count(*) AS n, {raw} FROM lineitem GROUP BY ALL),
+      shrunk AS (SELECT raw.*, patient_id, {shrunk} FROM raw JOIN library USING (block_id) WHERE n >= 5),
+      {", ".join(steps)} SELECT block_id, round(k * form, 6) AS t2 FROM e{p}"""
+
+
 PAIRS = f"""{STATS}, {LIBRARY}, full_stats AS (SELECT * FROM stats JOIN library USING (block_id) WHERE n >= 5),
   pairs AS (SELECT q.block_id AS query_id, q.class_label AS query_class, r.block_id, r.patient_id,
       r.class_label, {_t2_sql("q", "r")} AS t2
@@ -282,6 +316,7 @@ ORACLES = {
       round(a, 5) AS cov_00, round(b, 6) AS cov_01, round(b, 6) AS cov_10, round(d, 6) AS cov_11 FROM stats""",
     "hotelling2": f"WITH {ONE} SELECT block_id, round(t2, 6) AS t2 FROM matches",
     "hotelling3": _hotelling3_sql(),
+    "hotelling4": _hotelling_sql(["l_quantity", "l_discount", "l_tax", "l_extendedprice"]),
     "knn_topk": f"""WITH {ONE}, {_top_sql(10)} SELECT rank, block_id, patient_id, class_label,
       round(t2, 6) AS t2, round(weight, 4) AS weight FROM top""",
     "patient_summary": f"""WITH {ONE}, {_top_sql(40)},
