@@ -117,10 +117,12 @@ def _decisions(symbols: np.ndarray) -> np.ndarray:
 
 
 def _estimate(n: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov block probability."""
-    a, b = n[..., 0], n[..., 1]
-    half = np.log(np.pi)
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - half - _log_gamma(a + b + 1)
+    """Log of the Krichevsky-Trofimov block probability, some contexts at a time."""
+    out = np.empty(n.shape[:-1])
+    for lo in range(0, len(n), 256):
+        a, b = (n[lo : lo + 256, ..., k].astype(float) for k in (0, 1))
+        out[lo : lo + 256] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
+    return out
 
 
 def _next(n: np.ndarray) -> np.ndarray:
@@ -183,8 +185,10 @@ def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
         np.zeros(len(c), int) if d == 0 else np.searchsorted(contexts[d - 1], c & ((1 << 8 * d) - 1))
         for d, c in enumerate(contexts)
     ]
-    decisions = [_decisions(level).astype(np.float32) for level in levels]
-    del levels, symbols
+    del symbols
+    decisions = []
+    while levels:
+        decisions.append(_decisions(levels.pop(0)).astype(np.float32))
     # from the leaves up: weighted probabilities, and the weight of a node's own estimate
     weighted: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
     stay: list[np.ndarray] = [np.zeros(0)] * (DEPTH + 1)
@@ -215,13 +219,14 @@ def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
             given, left = given[parents[depth]], left[parents[depth]]
         given = given + (left * stay[depth])[..., None] * _next(decisions[depth].astype(float))
         left = left * (1 - stay[depth])
-        mixture = given + left[..., None] * _next(rests[depth].astype(float))
-        logs, node = np.zeros((len(mixture), 256)), np.ones(256, int)
+        mixture = (given + left[..., None] * _next(rests[depth].astype(float))).astype(np.float32)
+        decisions[depth] = rests[depth] = np.zeros(0)
+        logs, node = np.zeros((len(mixture), 256), np.float32), np.ones(256, int)
         for bit in range(7, -1, -1):
             outcome = (np.arange(256) >> bit) & 1
             logs += np.log10(mixture[:, node, outcome])
             node = 2 * node + outcome
-        table.append(logs.astype(np.float32))
+        table.append(logs)
     return ContextTree(contexts, np.concatenate(table))
 
 
