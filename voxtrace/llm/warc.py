@@ -49,9 +49,12 @@ ARCHIVE_PAGES = 4096
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty if they are too few to train on."""
-    few = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
-    few = few.orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE_PAGES).select("html")
-    samples = [r["html"].encode() for r in few.collect()]
+    some = pages.where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
+    some = some.select("html", F.xxhash64("page_id", "html").alias("turn"))
+    # their hashes first, so that tasks hand on numbers instead of pages
+    turns = [r["turn"] for r in some.select("turn").distinct().orderBy("turn").limit(SAMPLE_PAGES).collect()]
+    few = some.where(F.col("turn") <= turns[-1]).dropDuplicates(["turn"]) if turns else some.limit(0)
+    samples = [r["html"].encode() for r in few.orderBy("turn").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
     except zstandard.ZstdError:
