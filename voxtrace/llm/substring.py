@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from voxtrace.llm.textblocks import (
     SECOND_BASE,
-    array_column,
     bounded_batches,
     chunks,
     mixed,
