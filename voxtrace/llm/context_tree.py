@@ -45,7 +45,8 @@ SHARE = 2.0**-15
 FREQUENT = 2.0**-20
 #: Stands for the end token among word hashes.
 END = np.uint64(0x6A09E667F3BCC909)
-COUNT_CHUNK = 8 << 20
+#: Bytes of text whose grams are counted at once.
+COUNT_CHUNK = 2 << 20
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
