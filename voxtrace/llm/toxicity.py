@@ -243,7 +243,7 @@ def fit_toxicity(
     chosen = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
     fitted = chosen.mapInArrow(numbers, "found array<short>, toxic int").toPandas()
     y = fitted["toxic"].to_numpy(float)
-    if y.min() == y.max():
+    if len(set(y)) < 2:  # the sample holds one class, or none of its ids has a text
         weights, intercept = np.ones(len(ratios)), float(np.log(toxic / other))
     else:
         weights, intercept = _fit([np.asarray(x, np.int64) for x in fitted["found"]], y, ratios)
