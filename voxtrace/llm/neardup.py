@@ -8,8 +8,9 @@ union are the largest of both, and equal registers are the likelier the more two
 2. Bands of registers are hashed to buckets. In each bucket all members are paired with its
    smallest member, not with each other; pairs are kept if the likelihood estimate from their
    registers allows the threshold, and confirmed on the full sets. Links give components.
-3. Buckets whose members are not all in one component by then get new pairs across components:
-   first with one further member in each round, in the end all that are left. So every two
+3. In buckets that then hold several components, every member outside the largest one is held
+   against all members of other components: block by block inside tasks, by registers and, where
+   they allow the threshold, on the full sets. Only confirmed links leave a task. So every two
    different sets that share a bucket are compared, unless they are linked already.
 
 A pair at the threshold misses all buckets with a probability of at most ``MISS``.
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +47,11 @@ REGISTERS = 320
 BASE, RATE, TOP = 1.1, 20.0, 255
 MISS = 1e-6
 #: Standard deviations of the estimate by which it may fall short of the threshold.
-SLACK = 6.0
-#: Rounds that pair a bucket's members with one more member before all the rest are paired.
-ROUNDS = 2
+SLACK = 5.0
+#: Members of a bucket that meet in one task: at most about so many from either side.
+BLOCK = 512
+#: Links in one file of a round's table, about.
+LINKS_PER_FILE = 200_000
 #: Ids (8 bytes each) up to which the documents to confirm are looked up by broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -132,7 +136,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(speakers: DataFrame, rows: int) -> DataFrame:
-    """(bucket, id): one row for each band of each document."""
+    """(bucket, band, id): one row for each band of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = REGISTERS // rows
@@ -147,11 +151,12 @@ def _buckets(speakers: DataFrame, rows: int) -> DataFrame:
                 part = mixed(values[lo : lo + 1024, : bands * rows].astype(np.uint64) + np.uint64(1))
                 key = mixed((part.reshape(-1, bands, rows) * weights).sum(2, dtype=np.uint64) + names)
                 ids = np.repeat(batch.column("doc_id").to_numpy()[lo : lo + 1024], bands)
+                band = np.tile(np.arange(bands, dtype=np.int32), len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["bucket", "id"]
+                    [pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(ids)], ["bucket", "band", "id"]
                 )
 
-    return speakers.select("doc_id", "registers").mapInArrow(run, "bucket long, id long")
+    return speakers.select("doc_id", "registers").mapInArrow(run, "bucket long, band int, id long")
 
 
 def connected(links: DataFrame, name: str) -> DataFrame:
@@ -160,11 +165,16 @@ def connected(links: DataFrame, name: str) -> DataFrame:
     Each id takes the smallest label among its neighbours' labels, then labels follow labels;
     rounds end when nothing changes. Only a boolean reaches the driver.
     """
-    both = stage(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        name,
+    parts = max(1, links.count() // LINKS_PER_FILE)
+
+    def kept(df: DataFrame) -> DataFrame:
+        return stage(df.coalesce(parts), name)  # few files, so that small tables are joined by broadcast
+
+    both = kept(
+        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name)
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    labels = kept(least.select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         far = both.join(labels.select(F.col("id").alias("b"), "component"), "b")
         least = far.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -172,11 +182,10 @@ def connected(links: DataFrame, name: str) -> DataFrame:
             "id", F.col("component").alias("was"), F.least("component", "near").alias("component")
         )
         over = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = stage(
+        jumped = kept(
             moved.join(over, "component", "left").select(
                 "id", "was", F.least("component", "root").alias("component")
-            ),
-            name,
+            )
         )
         labels = jumped.select("id", "component")
         if jumped.where("was <> component").isEmpty():
@@ -215,24 +224,27 @@ class _Confirmer:
         )
         return sized.mapInArrow(run, "a long, b long")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        width, percent = self.width, self.percent
-        pairs = stage(self.likely(pairs), "neardup_likely")
-        needed = stage(
-            pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup_needed"
-        )
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(doc_id, elements): full sets of the documents in ``needed`` (doc_id)."""
+        width = self.width
+        needed = stage(needed.distinct(), "neardup_needed")
         if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             needed = F.broadcast(needed)
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [own.tobytes() for _, own in _sets(batch, width)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "elements"]
                 )
 
-        own = self.documents.join(needed, "doc_id").mapInArrow(sets, "doc_id long, elements binary")
-        own = stage(own, "neardup_sets")
+        own = self.documents.join(needed, "doc_id").mapInArrow(run, "doc_id long, elements binary")
+        return stage(own, "neardup_sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+        pairs = stage(self.likely(pairs), "neardup_likely")
+        own = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -247,6 +259,91 @@ class _Confirmer:
         return joined.mapInArrow(confirm, "a long, b long")
 
 
+    def links_across(self, now: DataFrame, rows: int) -> DataFrame:
+        """Links between components in the buckets of ``now`` (bucket, band, id, component).
+
+        A pair that shares several buckets is compared in the first band they share only. One
+        link of a member to a component is enough for each task.
+        """
+        percent = self.percent
+        lowest = percent / 100
+        lowest -= SLACK * np.sqrt(lowest * (1 - lowest) / REGISTERS)
+        parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        facts = (
+            parts.groupBy("bucket")
+            .agg(
+                F.max_by("component", F.struct("n", "component")).alias("main"),
+                F.sum("n").alias("all"),
+                F.max("n").alias("in_main"),
+            )
+            .where("all > in_main")
+            .select(
+                "bucket",
+                "main",
+                F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+                F.ceil((F.col("all") - F.col("in_main")) / BLOCK).cast("int").alias("outer"),
+            )
+        )
+        rest = stage(now.join(facts, "bucket"), "neardup_rest")
+        full = self.sets(rest.select(F.col("id").alias("doc_id")))
+        own = self.speakers.select("doc_id", "registers", "n_shingles").join(full, "doc_id").withColumnRenamed("doc_id", "id")
+
+        def placed(df: DataFrame, mine: str, count: str, other: str, others: str) -> DataFrame:
+            block = F.pmod(F.xxhash64(F.lit(mine), "id"), F.col(count)).cast("int")
+            spread = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+            out = df.withColumn(mine, block).withColumn(other, spread)
+            met = out.select("bucket", "band", "main", "id", "component", "i", "j").join(own, "id")
+            # columns of their own, since both sides come from the same tables
+            return met.select(*[F.col(c).alias(c) for c in met.columns])
+
+        left = placed(rest.where("component <> main"), "i", "outer", "j", "blocks")
+        right = placed(rest, "j", "blocks", "i", "outer")
+
+        def confirm(outside: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(outside) and len(members):
+                y = np.frombuffer(b"".join(members["registers"]), np.uint8).reshape(-1, REGISTERS)
+                m = members["n_shingles"].to_numpy(float)
+                ids, owner = members["id"].to_numpy(), members["component"].to_numpy()
+                sets = [np.frombuffer(e, np.uint64) for e in members["elements"]]
+                band, main = int(outside["band"].iloc[0]), outside["main"].iloc[0]
+                for row in outside.itertuples(index=False):
+                    x = np.frombuffer(row.registers, np.uint8)
+                    same = y == x
+                    n = float(row.n_shingles)
+                    good = (owner != row.component) & ((owner == main) | (ids > row.id))
+                    good &= 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+                    equal = same.sum(1)
+                    good &= equal >= REGISTERS * (lowest - 0.05)
+                    at = np.flatnonzero(good)
+                    if band and len(at):
+                        before = same[at, : band * rows].reshape(len(at), band, rows)
+                        at = at[~before.all(2).any(1)]
+                    if not len(at):
+                        continue
+                    at = at[np.argsort(-equal[at], kind="stable")]
+                    p, linked = np.frombuffer(row.elements, np.uint64), set()
+                    # the likeliest first, since one link to a component is enough; the rest by estimate
+                    for part in (at[:8], at[8:]):
+                        part = part[~np.isin(owner[part], list(linked))] if linked else part
+                        if not len(part):
+                            continue
+                        value = jaccard_estimate(
+                            np.broadcast_to(x, (len(part), REGISTERS)), y[part], np.full(len(part), n), m[part]
+                        )
+                        for k in part[value >= lowest].tolist():
+                            if owner[k] in linked:
+                                continue
+                            common = len(np.intersect1d(p, sets[k], assume_unique=True))
+                            if 100 * common >= percent * (len(p) + len(sets[k]) - common):
+                                linked.add(owner[k])
+                                found.append((row.id, ids[k]))
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        keys = ("bucket", "i", "j")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(confirm, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text).
 
@@ -265,52 +362,28 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     speakers = stage(
         drawn.where("n_shingles > 0").join(ones, "doc_id").dropDuplicates(["doc_id"]), "neardup_speakers"
     )
-    placed = _buckets(speakers, band_rows(percent / 100))
+    rows = band_rows(percent / 100)
+    placed = _buckets(speakers, rows)
     shared = placed.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    placed = stage(placed.join(shared.select("bucket"), "bucket").distinct(), "neardup_buckets")
+    placed = stage(placed.join(shared.select("bucket", "least"), "bucket").distinct(), "neardup_buckets")
 
     confirmer = _Confirmer(documents, speakers, width, percent)
     # rows with one id and different sets hang together from the start
     links = members.where("doc_id <> speaker").select(F.col("doc_id").alias("a"), F.col("speaker").alias("b"))
-    done = None
-    component: DataFrame | None = None
-    for step in range(ROUNDS + 2):
-        if component is None:
-            now = placed.withColumn("component", F.col("id"))
-        else:
-            now = placed.join(component.select("id", "component"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id")
-            )
-        mixed_buckets = (
-            now.groupBy("bucket")
-            .agg(
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(step), "id") if step else F.col("id")).alias("lead"),
-            )
-            .where("low < high")
-        )
-        if step <= ROUNDS:
-            pairs = now.join(mixed_buckets, "bucket").where(F.col("component") != F.col("lead.component"))
-            pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-        else:
-            rest = stage(now.join(mixed_buckets.select("bucket"), "bucket"), "neardup_rest")
-            left = rest.select("bucket", F.col("id").alias("a"), F.col("component").alias("of_a"))
-            right = rest.select("bucket", F.col("id").alias("b"), F.col("component").alias("of_b"))
-            pairs = left.join(right, "bucket").where("a < b and of_a <> of_b").select("a", "b")
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "neardup_pairs")
-        if pairs.isEmpty():
-            if step <= ROUNDS:
-                continue
-            break
-        done = pairs if done is None else done.unionByName(pairs)
-        links = stage(links.unionByName(confirmer.links(pairs)), "neardup_links")
-        component = connected(links, "neardup_rounds")
-    if component is None:
-        component = connected(links, "neardup_rounds")
+    # each bucket's members with its smallest; the same pair of several buckets counts once
+    pairs = (
+        placed.where("id <> least")
+        .select(F.col("least").alias("a"), F.col("id").alias("b"))
+        .distinct()
+    )
+    links = stage(links.unionByName(confirmer.links(pairs)), "neardup_links")
+    component = connected(links, "neardup_rounds")
+    now = placed.join(component.select("id", "component"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
+    across = stage(confirmer.links_across(now, rows), "neardup_links")
+    if not across.isEmpty():
+        component = connected(links.unionByName(across), "neardup_rounds")
     result = members.join(component.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return result.select(
