@@ -8,10 +8,12 @@ union are the largest of both, and equal registers are the likelier the more two
 2. Bands of registers are hashed to buckets. In each bucket all members are paired with its
    smallest member, not with each other; pairs are kept if the likelihood estimate from their
    registers allows the threshold, and confirmed on the full sets. Links give components.
-3. In buckets that then hold several components, every member outside the largest one is held
-   against all members of other components: block by block inside tasks, by registers and, where
-   they allow the threshold, on the full sets. Only confirmed links leave a task. So every two
-   different sets that share a bucket are compared, unless they are linked already.
+3. In buckets that then hold several components, members are paired with one more member of
+   another component (``ROUNDS`` times).
+4. In buckets that still do, every member outside the largest component is held against all
+   members of other components: block by block inside tasks, by registers and, where they allow
+   the threshold, on the full sets. Only confirmed links leave a task. So every two different
+   sets that share a bucket are compared, unless they are linked already.
 
 A pair at the threshold misses all buckets with a probability of at most ``MISS``.
 
@@ -48,6 +50,8 @@ BASE, RATE, TOP = 1.1, 20.0, 255
 MISS = 1e-6
 #: Standard deviations of the estimate by which it may fall short of the threshold.
 SLACK = 5.0
+#: Further members that those of other components in a bucket are paired with, one by one.
+ROUNDS = 1
 #: Members of a bucket that meet in one task: at most about so many from either side.
 BLOCK = 512
 #: Links in one file of a round's table, about.
@@ -378,12 +382,30 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     )
     links = stage(links.unionByName(confirmer.links(pairs)), "neardup_links")
     component = connected(links, "neardup_rounds")
-    now = placed.join(component.select("id", "component"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    across = stage(confirmer.links_across(now, rows), "neardup_links")
-    if not across.isEmpty():
-        component = connected(links.unionByName(across), "neardup_rounds")
+    for step in range(ROUNDS + 1):
+        now = placed.join(component.select("id", "component"), "id", "left").withColumn(
+            "component", F.coalesce("component", "id")
+        )
+        if step < ROUNDS:
+            several = (
+                now.groupBy("bucket")
+                .agg(
+                    F.min("component").alias("low"),
+                    F.max("component").alias("high"),
+                    F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(step), "id")).alias("lead"),
+                )
+                .where("low < high")
+            )
+            pairs = now.join(several, "bucket").where(F.col("component") != F.col("lead.component"))
+            found = confirmer.links(
+                pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+            )
+        else:
+            found = confirmer.links_across(now, rows)
+        found = stage(found, "neardup_links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            component = connected(links, "neardup_rounds")
     result = members.join(component.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return result.select(
