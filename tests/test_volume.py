@@ -67,7 +67,8 @@ def test_histogram_rules(spark, image):
     flat = hist.histogram(voxels(spark, np.full((1, 2, 2), 7.0)), "v", 4).orderBy("bin").collect()
     assert [r["count"] for r in flat] == np.histogram(np.full(4, 7.0), 4)[0].tolist()
     assert flat[0]["low_edge"] == 6.5 and flat[3]["high_edge"] == 7.5
-    for bad in ((0, None, None), (5000, None, None), (5, 1.0, None)):
+    assert hist.histogram(df, "v", 5000).count() == 5000
+    for bad in ((0, None, None), (5, 1.0, None)):
         with pytest.raises(ValueError):
             hist.histogram(df, "v", *bad)
 
