@@ -10,6 +10,7 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
+from voxtrace.llm import context_tree
 from voxtrace.llm.context_tree import DEPTH, _decisions, _estimate, fit_context_tree, score_texts, training_counts
 from voxtrace.llm.licenses import compile_template, scan_licenses, words_of
 from voxtrace.llm.packing import pack, pack_plan, pieces
@@ -225,6 +226,26 @@ def test_context_tree_is_a_distribution_and_mixes_by_weight(spark):
         number += len(codes)
 
 
+def test_scores_keep_every_context_that_occurs_twice(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "FREQUENT_GRAM", 2.0**-9)  # so that many grams are joined
+    monkeypatch.setattr(context_tree, "TASK_GRAMS", 500)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdeé "), 6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 1 + i % 25))) for i in range(150)] + [(150, None), (151, "")]
+    rows.append((152, "unseen \u4e2d\u6587 wording"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = training_counts(spark.createDataFrame(training, "doc_id long, text string"))
+    total = sum(len((t or "").encode()) + 1 for _, t in training)
+    tree = fit_context_tree(counts, share=2 / total)
+    assert len(tree.contexts[-1]) > 500
+    raw = [(t or "").encode() for _, t in rows]
+    offsets = np.cumsum([0, *map(len, raw)])
+    want = context_tree.text_scores(tree, tree.children(), np.frombuffer(b"".join(raw), np.uint8), offsets)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-4)
+
+
 # -- packing
 
 

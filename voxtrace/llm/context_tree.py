@@ -4,9 +4,16 @@ A byte is eight binary decisions; each has its own context tree over the precedi
 ``DEPTH`` of them. A node's Krichevsky-Trofimov estimate depends on its counts alone, and counts
 add up, so they are gathered from all training texts in one aggregation. The weighted
 probability of a node is half its own estimate plus half the product over its children; the
-ratio of both gives the weights with which all depths are mixed along a context. A context that
-holds less than ``SHARE`` of the training bytes is left in the rest of its parent, one further
-child; so the tree has at most 1 / SHARE contexts at each depth, whatever the corpus.
+ratio of both gives the weights with which all depths are mixed along a context. A context is
+kept if it occurs ``LEAST`` times or more in the training texts; the others share the rest of
+their parent, one further child. So the tree grows with the corpus.
+
+The tree is never in one place. All contexts below one of ``SPLIT`` bytes are one task's, which
+weighs them from the leaves up; the contexts of fewer bytes, of which there is a fixed number at
+most, are weighed on the driver from sums of their children. A byte's probability depends on
+itself and the ``DEPTH`` bytes before it alone, so it is found once for each distinct gram, in
+the same tasks, from the top down. Texts look up the grams that hold ``FREQUENT_GRAM`` of the
+training bytes or more by broadcast, the others by a join.
 
 The word model is add-one smoothed unigrams over lower-cased words and an end token. Words that
 hold ``FREQUENT`` of the training tokens or more (at most 1 / FREQUENT) are looked up by
@@ -19,13 +26,13 @@ repeated ids included; a null id counts as empty text when rows are held out.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtrace.llm.textblocks import (
@@ -42,7 +49,14 @@ from voxtrace.session import stage
 
 DEPTH = 5
 SHARE = 2.0**-15
+#: Occurrences from which on a context is kept.
+LEAST = 2
+#: Bytes of the contexts whose subtrees are dealt to tasks.
+SPLIT = 3
+#: Distinct grams of a task, about.
+TASK_GRAMS = 1 << 19
 FREQUENT = 2.0**-20
+FREQUENT_GRAM = 2.0**-21
 #: Stands for the end token among word hashes.
 END = np.uint64(0x6A09E667F3BCC909)
 #: Bytes of text whose grams are counted at once.
@@ -75,23 +89,34 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, bounds + np.arange(len(bounds))
 
 
-def training_counts(training: DataFrame) -> DataFrame:
-    """(is_token, key, n): byte grams and tokens of all texts."""
+def training_counts(documents: DataFrame, out: Column | None = None) -> DataFrame:
+    """(is_token, key, n): byte grams and tokens of all texts. Of texts where ``out`` holds the
+    grams are listed, but count 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            for lo, hi in chunks(offsets, COUNT_CHUNK):
-                part = offsets[lo : hi + 1]
-                own = data[part[0] : part[-1]]
-                for is_token, keys in ((False, _grams(own, part - part[0])[0]), (True, _tokens(own, part - part[0])[0])):
-                    key, n = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), is_token)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(n)],
-                        ["is_token", "key", "n"],
-                    )
-
-    counted = training.select("text").mapInArrow(count, "is_token boolean, key long, n long")
+            for held in (False, True):
+                mine = batch.filter(pa.compute.equal(batch.column("out"), held))
+                data, offsets = text_buffers(mine.column("text"))
+                for lo, hi in chunks(offsets, COUNT_CHUNK):
+                    part = offsets[lo : hi + 1]
+                    own = data[part[0] : part[-1]]
+                    found = [(False, _grams(own, part - part[0])[0])]
+                    if not held:
+                        found.append((True, _tokens(own, part - part[0])[0]))
+                    for is_token, keys in found:
+                        key, n = np.unique(keys, return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(key), is_token)),
+                                pa.array(key.astype(np.uint64).view(np.int64)),
+                                pa.array(n * (not held)),
+                            ],
+                            ["is_token", "key", "n"],
+                        )
+
+    out = F.lit(False) if out is None else out
+    counted = documents.select("text", out.alias("out")).mapInArrow(count, "is_token boolean, key long, n long")
     return stage(counted.groupBy("is_token", "key").agg(F.sum("n").alias("n")), "lm_counts")
 
 
@@ -157,8 +182,9 @@ class ContextTree:
 
 
 def fit_context_tree(counts: DataFrame, share: float = SHARE) -> ContextTree:
-    """The tree from gram counts (is_token, key, n). At most 256 / share counts of each depth
-    reach the driver."""
+    """The tree as one table, from gram counts (is_token, key, n), without contexts of less than
+    ``share`` of the bytes. For small corpora: up to 256 / share counts of each depth reach the
+    driver. ``gram_logs`` gives the same probabilities for any corpus."""
     grams = counts.where(~F.col("is_token")).select("key", "n")
     total = grams.agg(F.sum("n")).first()[0] or 0
     contexts, symbols = [], []
@@ -245,7 +271,213 @@ def text_scores(tree: ContextTree, children: np.ndarray, data: np.ndarray, offse
     return np.add.reduceat(logs, bounds[:-1], dtype=np.float64) if len(bounds) > 1 else np.zeros(0)
 
 
-_laid_out: dict[str, np.ndarray] = {}
+#: Log gamma at k + 1/2 and k + 1 for small counts k.
+_SMALL = 1 << 12
+_AT_HALF, _AT_ONE = (_log_gamma(np.arange(_SMALL) + step) for step in (0.5, 1.0))
+
+
+def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov block probability of two counts."""
+
+    def gamma(n: np.ndarray, table: np.ndarray, step: float) -> np.ndarray:
+        out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+        big = n >= _SMALL
+        out[big] = _log_gamma(n[big] + step)
+        return out
+
+    return gamma(a, _AT_HALF, 0.5) + gamma(b, _AT_HALF, 0.5) - np.log(np.pi) - gamma(a + b, _AT_ONE, 1.0)
+
+
+@dataclass
+class Level:
+    """The decisions of the contexts of one depth: counts of both outcomes, those that kept
+    children hold, the children's log weighted probability, and whether any child is kept."""
+
+    a: np.ndarray
+    b: np.ndarray
+    below_a: np.ndarray
+    below_b: np.ndarray
+    below: np.ndarray
+    has: np.ndarray
+
+    def __post_init__(self) -> None:
+        own = _block(self.a, self.b)
+        self.rest_a, self.rest_b = self.a - self.below_a, self.b - self.below_b
+        both = np.logaddexp(own, self.below + _block(self.rest_a, self.rest_b)) - np.log(2)
+        self.weighted = np.where(self.has, both, own)
+        self.stay = np.where(self.has, np.exp(own - np.log(2) - both), 1.0)
+
+    def next(self) -> np.ndarray:
+        """Probability of outcome 0 by the context itself."""
+        return (self.a + 0.5) / (self.a + self.b + 1)
+
+    def next_rest(self) -> np.ndarray:
+        """Probability of outcome 0 by the rest, where no child is kept for the context."""
+        return (self.rest_a + 0.5) / (self.rest_a + self.rest_b + 1)
+
+
+def _parents_level(child: Level, kept: np.ndarray, parent: np.ndarray, a: np.ndarray, b: np.ndarray, has: np.ndarray) -> Level:
+    """The level above: ``parent`` is the place there of each of the child level's decisions."""
+    up, size = parent[kept], len(a)
+    sums = [np.bincount(up, x[kept], size) for x in (child.a, child.b, child.weighted)]
+    return Level(a, b, *sums, has)
+
+
+class Subtrees:
+    """The contexts of SPLIT to DEPTH bytes of distinct grams, one bit of the byte at a time."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
+        # the byte just before comes first, the byte itself last
+        code = key & 255
+        for back in range(1, DEPTH + 1):
+            code = code | (((key >> (8 * back)) & 255) << (8 * (DEPTH + 1 - back)))
+        self.n = n.astype(float)
+        self.symbol = code & 255
+        self.codes = {d: code >> (8 * (DEPTH + 1 - d)) << 8 | self.symbol for d in range(SPLIT - 1, DEPTH + 1)}
+        self.order = {d: np.argsort(c, kind="stable") for d, c in self.codes.items()}
+        places = {d: self.places(d, 0) for d in self.codes}
+        self.kept = {d: np.bincount(at, self.n)[at] >= LEAST for d, (at, _) in places.items()}
+        self.has = {d: np.zeros(len(key), bool) for d in self.codes}
+        for d in range(SPLIT - 1, DEPTH):
+            at = places[d][0]
+            self.has[d] = (np.bincount(at, self.kept[d + 1]) > 0)[at]
+
+    def places(self, depth: int, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The decision of each gram, as a number, and a gram of each decision."""
+        order = self.order[depth]
+        nodes = (self.codes[depth] >> (8 - bit))[order]
+        new = np.ones(len(nodes), bool)
+        new[1:] = nodes[1:] != nodes[:-1]
+        at = np.empty(len(nodes), np.int64)
+        at[order] = np.cumsum(new) - 1
+        return at, order[new]
+
+    def levels(self, bit: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, Level]]:
+        """Places and first grams of all depths, and the levels from the leaves up to SPLIT - 1."""
+        one = (self.symbol >> (7 - bit)) & 1 == 1
+        at, first, found = {}, {}, {}
+        for d in range(DEPTH, SPLIT - 2, -1):
+            at[d], first[d] = self.places(d, bit)
+            a, b = (np.bincount(at[d], np.where(one == side, self.n, 0)) for side in (False, True))
+            has = self.has[d][first[d]]
+            if d == DEPTH:
+                zero = np.zeros_like(a)
+                found[d] = Level(a, b, zero, zero, zero, has)
+            else:
+                below = first[d + 1]
+                found[d] = _parents_level(found[d + 1], self.kept[d + 1][below], at[d][below], a, b, has)
+        return at, first, found
+
+    def node(self, bit: int, grams: np.ndarray) -> np.ndarray:
+        """Context of SPLIT - 1 bytes and decision (1 to 255) of some grams, as one key."""
+        code = self.codes[SPLIT - 1][grams]
+        return code >> 8 << 8 | 1 << bit | (code & 255) >> (8 - bit)
+
+    def top(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each bit: node, a, b, below_a, below_b, below of the contexts above the subtrees."""
+        for bit in range(8):
+            _, first, found = self.levels(bit)
+            level = found[SPLIT - 1]
+            yield self.node(bit, first[SPLIT - 1]), level.a, level.b, level.below_a, level.below_b, level.below
+
+    def logs(self, node: np.ndarray, given: np.ndarray, left: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Log10 probability of each gram's byte, from what the contexts above give."""
+        out = np.zeros(len(self.n))
+        for bit in range(8):
+            at, _, found = self.levels(bit)
+            one = (self.symbol >> (7 - bit)) & 1
+            above = np.searchsorted(node, self.node(bit, np.arange(len(out))))
+            p, remains = given[above, one], left[above]
+            other = np.where(one == 1, 1 - rest[above], rest[above])
+            for d in range(SPLIT, DEPTH + 1):
+                level, mine = found[d], at[d]
+                own, stay = level.next()[mine], level.stay[mine]
+                p = p + remains * np.where(self.kept[d], stay * np.where(one == 1, 1 - own, own), other)
+                remains = remains * np.where(self.kept[d], 1 - stay, 0)
+                own = level.next_rest()[mine]
+                other = np.where(one == 1, 1 - own, own)
+            out += np.log10(p)
+        return out
+
+
+def _weigh_top(node: np.ndarray, a: np.ndarray, b: np.ndarray, below_a: np.ndarray, below_b: np.ndarray, below: np.ndarray):
+    """Probabilities that contexts of fewer than SPLIT bytes give to both outcomes of each node,
+    the weight that is left for longer ones, and the probability of outcome 0 in the rest."""
+    at, keys = {SPLIT - 1: np.arange(len(node))}, {SPLIT - 1: node}
+    for d in range(SPLIT - 2, -1, -1):
+        up = keys[d + 1] >> 16 << 8 | keys[d + 1] & 255
+        keys[d], parent = np.unique(up, return_inverse=True)
+        at[d] = parent[at[d + 1]]
+    first = {d: np.searchsorted(keys[d], keys[d] >> 8 << 8 | 1) for d in keys}  # the context's first decision
+    total = {d: np.bincount(at[d], a + b, len(keys[d]))[first[d]] for d in keys}
+    kept = {d: total[d] >= (LEAST if d else 0) for d in keys}
+    found = {SPLIT - 1: Level(a, b, below_a, below_b, below, (below_a + below_b)[first[SPLIT - 1]] > 0)}
+    for d in range(SPLIT - 2, -1, -1):
+        parent = np.empty(len(keys[d + 1]), np.int64)
+        parent[at[d + 1]] = at[d]
+        has = (np.bincount(parent, kept[d + 1], len(keys[d])) > 0)[first[d]]
+        sums = (np.bincount(at[d], x, len(keys[d])) for x in (a, b))
+        found[d] = _parents_level(found[d + 1], kept[d + 1], parent, *sums, has)
+    given, left = np.zeros((len(node), 2)), np.ones(len(node))
+    rest = np.zeros(len(node))
+    for d in range(SPLIT):
+        level, mine = found[d], at[d]
+        holds = kept[d][mine]
+        own, stay = level.next()[mine], level.stay[mine]
+        part = left * np.where(holds, stay * own, rest)
+        whole = left * np.where(holds, stay, 1)
+        given += np.stack([part, whole - part], 1)
+        left = left * np.where(holds, 1 - stay, 0)
+        rest = level.next_rest()[mine]
+    return given, left, rest
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a task's grams."""
+    parts = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def gram_logs(counts: DataFrame) -> DataFrame:
+    """(key, n, log): log10 probability of the last byte of each gram in ``counts``."""
+    grams = counts.where(~F.col("is_token")).select("key", "n")
+    tasks = max(1, -(-grams.count() // TASK_GRAMS))
+    dealt = grams.repartition(tasks, F.shiftright("key", 8) % (1 << 8 * SPLIT))
+    names = ["node", "a", "b", "below_a", "below_b", "below"]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _whole(batches)
+        if len(key):
+            for columns in Subtrees(key, n).top():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    sums = dealt.mapInArrow(top, "node long, " + ", ".join(f"{c} double" for c in names[1:]))
+    above = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in names[1:])).toPandas().sort_values("node")
+    columns = [above[c].to_numpy() for c in names]
+    columns[0] = columns[0].astype(np.int64)
+    model = grams.sparkSession.sparkContext.broadcast((columns[0], *_weigh_top(*columns)))
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = _whole(batches)
+        if len(key):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(n), pa.array(Subtrees(key, n).logs(*model.value))], ["key", "n", "log"]
+            )
+
+    return stage(dealt.mapInArrow(logs, "key long, n long, log double"), "lm_grams")
+
+
+def _by_document(keys: np.ndarray, owner: np.ndarray, documents: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct keys of each document, and how often they occur in it."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    per_doc = np.bincount(owner[first], minlength=documents)
+    return array_column(keys[first].view(np.int64), per_doc), array_column(np.diff(np.append(first, len(keys))), per_doc)
 
 
 def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFrame:
@@ -253,8 +485,14 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
     score, bits_per_byte. Rows that are held out are not learned from."""
     documents = bounded_batches(documents.select("doc_id", "text"))
     out = held_out(F.col("doc_id"), modulus, remainder)
-    counts = training_counts(documents.where(~out))
-    tree = documents.sparkSession.sparkContext.broadcast(fit_context_tree(counts))
+    counts = training_counts(documents, out)
+    grams = gram_logs(counts)
+    bytes_ = grams.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= max(1.0, bytes_ * FREQUENT_GRAM)
+    likely = grams.where(often).select("key", "log").toPandas().sort_values("key")
+    likely = documents.sparkSession.sparkContext.broadcast(
+        (likely["key"].to_numpy(np.int64).view(np.uint64), likely["log"].to_numpy(float))
+    )
     tokens = counts.where("is_token").select(F.col("key").alias("token"), "n")
     facts = tokens.agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).first()
     total, kinds = facts["all"] or 0, facts["kinds"]
@@ -266,14 +504,8 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
         (frequent["key"].to_numpy(np.uint64), frequent["n"].to_numpy(np.int64))
     )
 
-    name = uuid.uuid4().hex
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, seen) = tree.value, common.value
-        if name not in _laid_out:
-            _laid_out.clear()
-            _laid_out[name] = model.children()
-        children = _laid_out[name]
+        (gram_keys, gram_log), (keys, seen) = likely.value, common.value
         logs = np.log10(seen + 1.0) - norm
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -286,15 +518,17 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
                 hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
                 base = np.bincount(doc[hit], logs[at[hit]], hi - lo) if hit.any() else np.zeros(hi - lo)
                 known = np.bincount(doc[hit], minlength=hi - lo)
-                # the other words: distinct within the document
-                rare, owner = hashes[~hit], doc[~hit]
-                order = np.lexsort((rare, owner))
-                rare, owner = rare[order], owner[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare)))
-                per_doc = np.bincount(owner[first], minlength=hi - lo)
+                codes, code_bounds = _grams(own, part)
+                writer = np.repeat(np.arange(hi - lo), np.diff(code_bounds))
+                kinds_, which = np.unique(codes, return_inverse=True)
+                place = np.minimum(np.searchsorted(gram_keys, kinds_), max(0, len(gram_keys) - 1))
+                met = gram_keys[place] == kinds_ if len(gram_keys) else np.zeros(len(kinds_), bool)
+                value = np.zeros(len(kinds_))
+                value[met] = gram_log[place[met]]
+                scores, other = np.bincount(writer, value[which], hi - lo), ~met[which]
+                # the other words and grams: distinct within the document
+                rare, times = _by_document(hashes[~hit], doc[~hit], hi - lo)
+                grams_, gram_times = _by_document(codes[other], writer[other], hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").slice(lo, hi - lo),
@@ -302,19 +536,21 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
                         pa.array(np.diff(bounds)),
                         pa.array(known.astype(np.int64)),
                         pa.array(base),
-                        pa.array(text_scores(model, children, own, part)),
+                        pa.array(scores),
                         pa.array(np.diff(part)),
-                        array_column(rare[first].view(np.int64), per_doc),
-                        array_column(times, per_doc),
+                        rare,
+                        times,
+                        grams_,
+                        gram_times,
                     ],
-                    ["row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "times"],
+                    ["row", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "times", "grams", "gram_times"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = documents.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(
         score,
         f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, n_bytes long, "
-        "rare array<long>, times array<long>",
+        "rare array<long>, times array<long>, grams array<long>, gram_times array<long>",
     )
     scored = stage(scored, "lm_scores")
     words = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("word")).select(
@@ -327,13 +563,21 @@ def score_texts(documents: DataFrame, modulus: int = 7, remainder: int = 2) -> D
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
     )
     zero = F.lit(0)
-    return scored.drop("rare", "times").join(others, "row", "left").select(
+    asked = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("gram")).select(
+        "row", F.col("gram.grams").alias("key"), F.col("gram.gram_times").alias("times")
+    )
+    tails = asked.join(grams.where(~often).select("key", "log"), "key").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("log")).alias("more_score")
+    )
+    total_score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    joined = scored.drop("rare", "times", "grams", "gram_times").join(others, "row", "left").join(tails, "row", "left")
+    return joined.select(
         "doc_id",
         out.alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        total_score.alias("score"),
+        (-total_score / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
