@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from voxtrace.llm import warc
+from voxtrace.llm import forest, warc
 from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.mixing import mix, shard_rows, split_quotas
 from voxtrace.llm.topk import exact_top_k
@@ -80,6 +80,25 @@ def test_forest_finds_neighbours_with_exact_scores(spark):
     assert [r["rank"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))][:20] == list(range(1, 21))
 
 
+def test_forest_finds_neighbours_among_uneven_lengths(spark, monkeypatch):
+    monkeypatch.setattr(forest, "CELL_ROWS", 64)
+    rng = np.random.default_rng(12)
+    wide = rng.standard_normal((20000, 16))
+    wide /= np.sqrt((wide**2).sum(1, keepdims=True))
+    for lengths in (rng.uniform(0.05, 1, 20000), np.where(np.arange(20000) % 100 == 7, 10.0, 1.0)):
+        table = (wide * lengths[:, None]).astype(np.float32)
+        df = vectors(spark, list(enumerate(table.tolist())))
+        got = forest_top_k(df, df.where("vec_id % 200 = 0"), k=20).collect()
+        found = {(r["query_id"], r["vec_id"]) for r in got}
+        exact = table.astype(float)
+        want = set()
+        for q in range(0, 20000, 200):
+            scores = exact @ exact[q]
+            scores[q] = -np.inf
+            want |= {(q, int(i)) for i in np.argsort(-scores)[:20]}
+        assert len(found & want) >= 0.95 * len(want)
+
+
 def test_forest_of_odd_tables(spark):
     none = vectors(spark, [])
     assert forest_top_k(none, none).count() == 0

@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product: a hash-prefix forest.
 
 A tree hashes every vector to a long string of bits, one for each random direction, and keeps
-the strings sorted. Vectors are first brought to equal length by one more component, so that the
-largest inner product is the smallest angle. The sorted array of a tree is cut by its leading
+the strings sorted. Vectors of the table are first brought to equal length by one more component,
+which is 0 for a query, scaled to the same length; so the largest inner product is the smallest
+angle, however uneven the lengths are. The sorted array of a tree is cut by its leading
 bits into cells, one task each; a cell that is still too large (many equal strings) is cut into
 salted parts. A query descends to its longest matching prefix in the cell of each tree. Then all
 trees ascend together, one bit at a time, until the query has enough candidates, or its cells
 are used up. Candidates are scored on the original vectors.
 
-The sample (at most ``SAMPLE`` vectors) only sets how many leading bits name a cell: as many as
-the table's size asks for, while the expected share of neighbours that meet a query in some cell
-stays at ``EXPECTED``; all rows are indexed.
+The true neighbours of at most ``PROBES`` queries, by one scan of all rows, set how many leading
+bits name a cell: as many as the table's size asks for, while the expected share of neighbours
+that meet a query in some cell stays at ``EXPECTED``. Where cells so wide cost more than all rows,
+there are none, and each query meets all rows once. A query whose cells gave too few candidates,
+or candidates so far off that an expected share below ``SURE`` was met, goes up to no prefix too.
 
 Defined results: vectors that are null, all zero or hold null or non-finite components take no
 part; vectors of unequal length are compared with zeros at the end. Of equal vectors the k + 1
@@ -21,6 +24,7 @@ smaller id. A repeated id counts once per vector it has.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +37,9 @@ from voxtrace.session import stage
 BITS = 32
 TREES = 24
 CELL_ROWS = 4096
-SAMPLE = 2000
+PROBES = 200
 EXPECTED = 0.97
+SURE = 0.9
 #: Share of the rows in a query's cells (over all trees) after which the ascent ends.
 ENOUGH = 0.95
 
@@ -51,6 +56,13 @@ def _lifted(vectors: np.ndarray, width: int, longest: float) -> np.ndarray:
     return out
 
 
+def _aimed(queries: np.ndarray, width: int) -> np.ndarray:
+    """Queries of length 1, without a share of the additional component."""
+    out = np.zeros((len(queries), width + 1))
+    out[:, : queries.shape[1]] = queries / np.sqrt((queries**2).sum(1, keepdims=True))
+    return out
+
+
 def _strings(points: np.ndarray, trees: int, directions: np.ndarray) -> np.ndarray:
     """One 32-bit string for each point and tree, most significant bit first."""
     bits = (points @ directions > 0).reshape(len(points), trees, BITS)
@@ -61,23 +73,41 @@ def _prefix(strings: np.ndarray, bits: int) -> np.ndarray:
     return strings >> (BITS - bits)
 
 
-def leading_bits(sample: np.ndarray, rows: int, k: int, trees: int) -> int:
-    """Leading bits of a cell.
+def leading_bits(cosines: np.ndarray, rows: int, trees: int) -> int:
+    """Leading bits of a cell, from the lifted cosines of queries and their true neighbours.
 
-    A neighbour at angle a shares p leading bits with probability (1 - a / pi)**p. The angles
-    are those of the sample's own k nearest, which are wider than in all rows.
+    A neighbour at angle a shares p leading bits with probability (1 - a / pi)**p. As many bits
+    that all trees together hold fewer candidates than the table has rows, or none.
     """
     lead = max(0, math.ceil(math.log2(max(1, rows / CELL_ROWS))))
-    if len(sample) < 2:
-        return lead
-    asked = sample[:200]
-    cosines = np.clip(asked @ sample.T, -1, 1)
-    cosines[np.arange(len(asked)), np.arange(len(asked))] = -2
-    near = -np.sort(-cosines, axis=1)[:, : min(k, len(sample) - 1)]
-    agree = 1 - np.arccos(near) / np.pi
-    while lead and (1 - (1 - agree**lead) ** trees).mean() < EXPECTED:
+    agree = 1 - np.arccos(np.clip(cosines, -1, 1)) / np.pi
+    while lead and agree.size and (1 - (1 - agree**lead) ** trees).mean() < EXPECTED:
         lead -= 1
-    return lead
+    return lead if 2**lead > trees else 0
+
+
+def neighbour_cosines(index: DataFrame, asked: DataFrame, k: int, width: int, longest: float, seed: int) -> np.ndarray:
+    """Lifted cosines of some queries and their k true neighbours among all rows."""
+    few = asked.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(PROBES).toPandas()
+    if not len(few):
+        return np.zeros(0)
+    own = few["vec_id"].to_numpy(np.int64)
+    aims = _aimed(matrix(few["embedding"]), width)[:, :width]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = np.full((len(own), k), -np.inf)
+        for batch in batches:
+            have = matrix(batch["embedding"])
+            cosines = aims[:, : have.shape[1]] @ have.T / longest
+            cosines[own[:, None] == batch["vec_id"].to_numpy(np.int64)[None, :]] = -np.inf
+            top = -np.sort(-np.concatenate([top, cosines], 1), axis=1)[:, :k]
+        probe, _ = np.nonzero(np.isfinite(top))
+        yield pd.DataFrame({"probe": probe, "cosine": top[np.isfinite(top)]})
+
+    along = Window.partitionBy("probe").orderBy(F.desc("cosine"))
+    found = index.select("vec_id", "embedding").mapInPandas(best, "probe long, cosine double")
+    found = found.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= k)
+    return found.select("cosine").toPandas()["cosine"].to_numpy(float)
 
 
 def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, seed: int = 7) -> DataFrame:
@@ -96,28 +126,62 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int
     asked = ready(queries).dropDuplicates(["vec_id", "embedding"])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     facts = index.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("embedding")).alias("width")).first()
-    schema = "query_id long, vec_id long, score double"
     if not facts["n"]:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, width = facts["n"], facts["width"]
-    longest_query = asked.agg(F.max(norm), F.max(F.size("embedding"))).first()
-    width = max(width, longest_query[1] or 0)
-    longest = max(facts["norm"], longest_query[0] or 0.0)
-    few = index.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).toPandas()
-    lead = leading_bits(_lifted(matrix(few["embedding"]), width, longest), rows, k, trees)
-
-    @F.pandas_udf("array<long>")
-    def strings(column: pd.Series) -> pd.Series:
-        points = _lifted(matrix(column), width, longest)
-        return pd.Series(list(_strings(points, trees, _directions(trees, width, seed))))
-
-    def in_cells(df: DataFrame) -> DataFrame:
+    width = max(width, asked.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    longest = facts["norm"]
+    lead = 0
+    if rows > trees * CELL_ROWS // 2:
+        lead = leading_bits(neighbour_cosines(index, asked, k, width, longest, seed), rows, trees)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        # candidates found in several trees count once
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    met = nearest(_search(index, asked, k, trees, seed, lead, width, longest))
+    if not lead:
+        return met
+    met = stage(met, "forest_met")
+    lengths = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.max(norm).alias("length"))
+    cosine = F.col("score") / (F.col("length") * longest)
+    agree = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / math.pi
+    share = 1 - F.pow(1 - F.pow(agree, F.lit(lead)), F.lit(trees))
+    sure = met.join(lengths, "query_id").groupBy("query_id").agg((F.sum(share) / k).alias("sure")).where(F.col("sure") >= SURE)
+    unsure = asked.join(sure.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    unsure = stage(unsure.select("vec_id", "embedding"), "forest_unsure")
+    if unsure.isEmpty():
+        return met
+    more = _search(index, unsure, k, trees, seed, 0, width, longest)
+    return nearest(met.select("query_id", "vec_id", "score").unionByName(more))
+
+
+def _search(
+    index: DataFrame, asked: DataFrame, k: int, trees: int, seed: int, lead: int, width: int, longest: float
+) -> DataFrame:
+    """(query_id, vec_id, score): the best of each cell and part for each query.
+
+    With no leading bits every tree holds all rows, so a query visits one tree.
+    """
+    schema = "query_id long, vec_id long, score double"
+
+    def in_cells(df: DataFrame, asks: bool) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def strings(column: pd.Series) -> pd.Series:
+            vectors = matrix(column)
+            points = _aimed(vectors, width) if asks else _lifted(vectors, width, longest)
+            return pd.Series(list(_strings(points, trees, _directions(trees, width, seed))))
+
         hashed = df.withColumn("all", strings("embedding"))
         return hashed.select(
             "vec_id", "embedding", F.posexplode("all").alias("tree", "string")
         ).withColumn("cell", F.shiftright(F.col("string"), BITS - lead))
 
-    placed = in_cells(index)
+    placed, visiting = in_cells(index, False), in_cells(asked, True)
+    if not lead:
+        visiting = visiting.where(F.col("tree") == F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(trees)))
     sizes = placed.groupBy("tree", "cell").agg(F.count("*").alias("cell_rows"))
     parts = stage(
         sizes.select("tree", "cell", F.ceil(F.col("cell_rows") / (2 * CELL_ROWS)).cast("int").alias("parts")),
@@ -127,7 +191,7 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int
     entries = placed.join(parts, ["tree", "cell"]).withColumn(
         "part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     )
-    visits = in_cells(asked).join(parts, ["tree", "cell"]).withColumn(
+    visits = visiting.join(parts, ["tree", "cell"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
     slots = ["vec_id", "embedding", "string", *keys]
@@ -163,7 +227,7 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int
         levels.withColumn("enough", enough * ENOUGH)
         .where(F.col("entries") >= F.col("enough"))
         .groupBy("query_id")
-        .agg((F.max("above") + lead).alias("bits")),
+        .agg((F.max("above") + lead if lead else F.lit(0)).alias("bits")),
         "forest_stops",
     )
 
@@ -194,14 +258,4 @@ def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     ready_visits = visits.join(stops.withColumnRenamed("query_id", "vec_id"), "vec_id")
-    found = (
-        entries.groupBy(*keys).cogroup(ready_visits.groupBy(*keys)).applyInPandas(ascend, schema)
-    )
-    # candidates found in several trees count once
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return entries.groupBy(*keys).cogroup(ready_visits.groupBy(*keys)).applyInPandas(ascend, schema)
