@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents in sequences of 2,048 tokens."""
-    return pack(pieces(docs))
+    return pack(pieces(docs, specials=True))
 
 
 STAGES = [

@@ -276,6 +276,15 @@ def test_pieces_follow_the_tokenizer(spark):
         assert at <= 64
 
 
+def test_added_token_is_one_id(spark):
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y ", "<|endoftext|", "é<|endoftext|>'s 12", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces(docs, specials=True).collect():
+        ids = np.array([*tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "same words")] * 7, "doc_id long, text string")
     rows = pack(pieces(docs)).collect()

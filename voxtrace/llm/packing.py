@@ -7,7 +7,9 @@ corpus: lengths above a third of the capacity are matched greedily, at most two
 that takes them. Pieces are then numbered within their length and look up their place.
 
 Defined results: a null or empty text is one piece holding only the end token. Repeated ids and
-repeated rows are packed as often as they occur. An empty table gives no pieces.
+repeated rows are packed as often as they occur. An empty table gives no pieces. The string
+``<|endoftext|>`` is one token where ``specials`` is set, as in the library's default call, and
+ordinary text otherwise.
 """
 
 from __future__ import annotations
@@ -35,30 +37,36 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 #: Rows of one length that are numbered in one task, about.
 BUCKET_ROWS = 100_000
 
+#: The added token of the vocabulary.
+SPECIALS = {"<|endoftext|>": 50256}
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
-    """The byte-level vocabulary of ``byte_bpe_50k.json``, as ranks; no string is special."""
+    """The byte-level vocabulary of ``byte_bpe_50k.json``, as ranks, and its added token."""
     if vocabulary not in _encodings:
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encodings[vocabulary] = tiktoken.Encoding(
-            vocabulary, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}
+            vocabulary, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=SPECIALS
         )
     return _encodings[vocabulary]
 
 
-def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(
+    documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, specials: bool = False
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32. A document longer than ``capacity`` is cut into
     full pieces after a first one that takes the remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_to_numpy
+        allowed = set(SPECIALS) if specials else set()
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(batch.column("text")):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), END).astype("<u4")
+                ids = np.append(encode(text.as_py() or "", allowed_special=allowed, disallowed_special=()), END).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):

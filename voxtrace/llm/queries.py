@@ -52,7 +52,7 @@ QUERIES["op9_mix"] = op9_mix
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 tokens."""
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    return pack(pieces(table(spark, sf_dir, "documents"), specials=True))
 
 
 QUERIES["op8_pack"] = op8_pack
