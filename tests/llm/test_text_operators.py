@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from voxtrace.llm import context_tree
 from voxtrace.llm.context_tree import DEPTH, _decisions, _estimate, fit_context_tree, score_texts, training_counts
-from voxtrace.llm.licenses import compile_template, scan_licenses, words_of
+from voxtrace.llm.licenses import TEMPLATES, compile_template, scan_licenses, words_of
 from voxtrace.llm.packing import pack, pack_plan, pieces
 from voxtrace.llm.toxicity import fit_toxicity, toxicity_score
 
@@ -129,6 +129,26 @@ def test_template_automaton():
             compile_template(bad).first_words()
 
 
+def test_altered_licenses_are_rejected(spark):
+    def plain(label):  # the template with all optional parts and one word for each region
+        return re.sub(r"<<.*?>>", " ", re.sub(r"<<var.*?>>", " something ", TEMPLATES[label]))
+
+    whole = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "GPL-2.0", "Apache-2.0"]
+    rows = [(label, plain(label)) for label in whole]
+    rows += [(f"cut {label}", plain(label)[: len(plain(label)) // 2]) for label in whole]
+    rows.append(("restricted MIT", plain("MIT").replace("subject to", "for non-commercial use only, subject to")))
+    rows.append(("restricted BSD", plain("BSD-3-Clause").replace("Neither", "No military use. Neither")))
+    rows.append(("FSF", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"))
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in scan_licenses(docs).collect()}
+    for label in whole:
+        assert label in got[label] and not got[label] & (set(whole) - {label})
+        assert not got[f"cut {label}"] & set(whole)
+    assert not got["restricted MIT"] and not got["restricted BSD"]
+    assert got["FSF"] == {"GPL-3.0-grant"}
+
+
 # -- context tree
 
 

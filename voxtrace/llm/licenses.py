@@ -16,7 +16,7 @@ another; score is 1 where a template matches, 0.5 where only a phrase stands, el
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,23 +28,75 @@ from voxtrace.llm.textblocks import LOWER, bounded_batches, chunks, text_buffers
 # fixed values: the phrases of the contract
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Public notices of common licenses, with the parts that may vary marked up.
-TEMPLATES = {
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License"); you may not use '
-    'this file except in compliance with the License<<endOptional>>',
-    "GPL-3.0": '<<beginOptional>>This <<var;name="work";match=".{1,3}">> is <<endOptional>>licensed under the '
-    "<<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the "
-    "Free Software Foundation<<endOptional>><<beginOptional>>; either<<endOptional>>, version 3",
-    "GPL-2.0": '<<beginOptional>>This <<var;name="work";match=".{1,3}">> is <<endOptional>>licensed under the '
+_GRANT = (
+    'you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the '
+    'Free Software Foundation; either version {version} of the License'
+)
+_GPL = (
+    '<<beginOptional>>This <<var;name="work";match=".{{1,3}}">> is <<endOptional>>free software<<beginOptional>>, '
+    "and<<endOptional>> " + _GRANT + ', or (at your option) any later version. <<beginOptional>>This <<endOptional>>'
+    '<<var;name="work";match=".{{1,3}}">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; '
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+    "Public License for more details. You should have received a copy of the GNU General Public License along with "
+    '<<var;name="work";match=".{{1,3}}">><<beginOptional>>; if not, <<endOptional>><<beginOptional>>see '
+    "<<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>> www.gnu.org/licenses<<endOptional>>"
+    "<<beginOptional>>write to the Free Software Foundation, Inc.<<endOptional>>"
+)
+_SHORT_GPL = (
+    '<<beginOptional>>This <<var;name="work";match=".{{1,3}}">> is <<endOptional>>licensed under the '
     "<<beginOptional>>terms of the <<endOptional>>GNU General Public License<<beginOptional>> as published by the "
-    "Free Software Foundation<<endOptional>><<beginOptional>>; either<<endOptional>>, version 2",
+    "Free Software Foundation<<endOptional>><<beginOptional>>; either<<endOptional>>, version {version}"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the "
+    "above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. {third}"
+    'THIS SOFTWARE IS PROVIDED BY <<var;name="holder";match=".{{1,10}}">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    'DISCLAIMED. IN NO EVENT SHALL <<var;name="holder";match=".{{1,10}}">> BE LIABLE FOR ANY DIRECT, INDIRECT, '
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+    "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+_THIRD = (
+    '<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="holder";match=".{1,10}">> nor the names of its '
+    "contributors may be used to endorse or promote products derived from this software without specific prior written "
+    "permission. "
+)
+
+#: Whole texts of common licenses and license notices, with the parts that may vary marked up.
+#: One-line notices that name a license, and grants without the rest, have labels of their own.
+TEMPLATES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+    "compliance with the License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>>"
+    "<<beginOptional>>https<<endOptional>> www.apache.org/licenses/LICENSE-2.0<<beginOptional>>.txt<<endOptional>> "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+    'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+    "the specific language governing permissions and limitations under the License",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
+    "GPL-3.0": _GPL.format(version=3),
+    "GPL-2.0": _GPL.format(version=2),
+    "GPL-3.0-grant": _GRANT.format(version=3),
+    "GPL-2.0-grant": _GRANT.format(version=2),
+    "GPL-3.0-notice": _SHORT_GPL.format(version=3),
+    "GPL-2.0-notice": _SHORT_GPL.format(version=2),
     "MIT-notice": "<<beginOptional>>Released <<endOptional>>under the MIT License",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of "
     '<<var;name="software";match=".{1,8}">> to deal in the Software without restriction, including without '
     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-    "Software",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted"
-    "<<beginOptional>> provided that the following conditions are met<<endOptional>>",
+    "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) "
+    "<<endOptional>>shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+    '<<var;name="holder";match=".{1,8}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF '
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE",
+    "BSD-2-Clause": _BSD.format(third=""),
+    "BSD-3-Clause": _BSD.format(third=_THIRD),
     "CC-BY": 'Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>Creative Commons '
     '<<endOptional>>CC BY <<var;name="version";match="[1-4]">><<beginOptional>>.0<<endOptional>>',
     "CC-BY-NC": 'Licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>Creative Commons '
@@ -96,7 +148,7 @@ class Automaton:
             raise ValueError("a template must begin with wording")
         return first
 
-    def accepts_from(self, words: list[bytes]) -> int:
+    def accepts_from(self, words: Iterable[bytes]) -> int:
         """Number of leading words in the longest match; 0 if there is none."""
         now, best = self.closure({0}), 0
         for n, word in enumerate(words, 1):
@@ -217,7 +269,7 @@ def scan_licenses(
                     begin = np.flatnonzero(np.isin(ids[: len(keys)], [number[w] for w in firsts[label]]))
                     for b in begin.tolist():
                         stop = min(int(doc_end[b]), b + most[label])
-                        words = [raw[s:e] for s, e in zip(starts[b:stop].tolist(), ends[b:stop].tolist(), strict=True)]
+                        words = (raw[starts[k] : ends[k]] for k in range(b, stop))
                         length = automaton.accepts_from(words)
                         if length:
                             matches.append((b, label, length))
