@@ -300,3 +300,20 @@ def test_nifti_slices(spark, tmp_path):
         assert v == array[z, y, x] + zipped
     head = slices.head()
     assert head["unit"] == "mm" and np.allclose(head["voxel_size"], [0.0016, 0.0016, 0.002])
+
+
+def test_nifti_files_of_several_volumes(spark, tmp_path):
+    array = np.arange(2 * 3 * 4 * 5 * 6).reshape(2, 3, 4, 5, 6)  # axes 5, 4 (volumes), z, y, x
+    head = bytearray(nifti_bytes(array[0, 0], "<i4", 8)[:352])
+    struct.pack_into("<8h", head, 40, 5, *array.shape[::-1], 1, 1)
+    raw = bytes(head) + array.astype("<i4").tobytes()
+    (tmp_path / "a.nii").write_bytes(raw)
+    (tmp_path / "b.nii.gz").write_bytes(gzip.compress(raw))
+    found = nifti.read_slices(spark, str(tmp_path)).collect()
+    assert len(found) == 2 * 2 * 3 * 4
+    volumes = array.reshape(6, 4, 5, 6)
+    assert {(r["volume_id"].rsplit("/", 1)[1], r["z"]) for r in found} == {
+        (f"{name}#{t}", z) for name in ("a.nii", "b.nii.gz") for t in range(6) for z in range(4)
+    }
+    for r in found:
+        assert list(r["pixels"]) == volumes[int(r["volume_id"].rsplit("#")[-1]), r["z"]].ravel().tolist()

@@ -1,7 +1,9 @@
 """NIfTI-1 volumes as one row per z-slice.
 
 Only headers are read to plan the work. Slices of an uncompressed file are then read by
-offset, each by the task that owns it; a compressed file is streamed slice by slice.
+offset, each by the task that owns it; a compressed file is streamed slice by slice. A file of
+more than three axes holds one volume for each index of the others (the fourth axis fastest);
+where there is more than one, its number from 0 follows the path in ``volume_id``, after ``#``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ SLICE_SCHEMA = (
     "voxel_size array<double>, unit string, pixels array<float>"
 )
 HEADER_SCHEMA = (
-    "path string, nx bigint, ny bigint, nz bigint, dtype string, item_bytes bigint, "
+    "path string, nx bigint, ny bigint, nz bigint, volumes bigint, dtype string, item_bytes bigint, "
     "data_offset bigint, big_endian boolean, voxel_size array<double>, unit string, "
     "slope double, intercept double"
 )
@@ -28,6 +30,7 @@ def _header_reader():
 
     def read(batches):
         import gzip
+        import math
         import struct
 
         import numpy as np
@@ -50,7 +53,8 @@ def _header_reader():
                     raise ValueError(f"Unsupported data type {code} in {path}")
                 rows.append(
                     (
-                        path, dim[1], dim[2], dim[3] if dim[0] > 2 else 1, types[code],
+                        path, dim[1], dim[2], dim[3] if dim[0] > 2 else 1,
+                        math.prod(max(1, n) for n in dim[4 : dim[0] + 1]), types[code],
                         np.dtype(types[code]).itemsize, int(offset), order == ">",
                         [float(v) for v in pixdim[1:4]], units.get(head[123] & 7, "unknown"),
                         slope or 1.0, intercept if slope else 0.0,
@@ -58,7 +62,7 @@ def _header_reader():
                 )
             yield pd.DataFrame(
                 rows,
-                columns=["path", "nx", "ny", "nz", "dtype", "item_bytes", "data_offset",
+                columns=["path", "nx", "ny", "nz", "volumes", "dtype", "item_bytes", "data_offset",
                          "big_endian", "voxel_size", "unit", "slope", "intercept"],
             )
 
@@ -85,13 +89,15 @@ def _slice_reader():
         import pandas as pd
         from pyarrow import fs
 
-        def frame(item, z, raw):
+        def frame(item, place, raw):
             kind = np.dtype(item.dtype).newbyteorder(">" if item.big_endian else "<")
             values = np.frombuffer(raw, dtype=kind).astype(np.float32)
+            volume, z = divmod(place, item.nz)
+            name = f"{item.path}#{volume}" if item.volumes > 1 else item.path
             values = values * np.float32(item.slope) + np.float32(item.intercept)
             return pd.DataFrame(
                 {
-                    "volume_id": [item.path], "z": [z], "height": [item.ny], "width": [item.nx],
+                    "volume_id": [name], "z": [z], "height": [item.ny], "width": [item.nx],
                     "dtype": [item.dtype], "voxel_size": [item.voxel_size], "unit": [item.unit],
                     "pixels": [values],
                 }
@@ -105,11 +111,11 @@ def _slice_reader():
                     if inner.endswith(".gz"):
                         stream = gzip.GzipFile(fileobj=raw)
                         stream.read(item.data_offset)
-                        for z in range(item.nz):
-                            yield frame(item, z, stream.read(size))
+                        for place in range(item.nz * item.volumes):
+                            yield frame(item, place, stream.read(size))
                     else:
-                        raw.seek(item.data_offset + item.z * size)
-                        yield frame(item, item.z, raw.read(size))
+                        raw.seek(item.data_offset + item.place * size)
+                        yield frame(item, item.place, raw.read(size))
 
     return read
 
@@ -119,14 +125,14 @@ def read_slices(spark: SparkSession, path: str) -> DataFrame:
     headers = read_headers(spark, path)
     compressed = F.col("path").endswith(".gz")
     work = headers.withColumn(
-        "z",
+        "place",
         F.explode(
             F.when(compressed, F.array(F.lit(0).cast("bigint"))).otherwise(
-                F.sequence(F.lit(0).cast("bigint"), F.col("nz") - 1)
+                F.sequence(F.lit(0).cast("bigint"), F.col("nz") * F.col("volumes") - 1)
             )
         ),
     )
-    return work.repartition("path", "z").mapInPandas(_slice_reader(), SLICE_SCHEMA)
+    return work.repartition("path", "place").mapInPandas(_slice_reader(), SLICE_SCHEMA)
 
 
 def slices_to_voxels(slices: DataFrame) -> DataFrame:
