@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from voxtrace.llm.context_tree import score_texts
 from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.licenses import scan_licenses
+from voxtrace.llm.line_quality import MENU, PHRASES, line_quality
 from voxtrace.llm.mixing import mix
 from voxtrace.llm.neardup import near_duplicates
 from voxtrace.llm.packing import pack, pieces
+from voxtrace.llm.spelling import spelling_variants
 from voxtrace.llm.substring import kept_digest, remove_repeats
 from voxtrace.llm.textblocks import held_out
 from voxtrace.llm.topk import exact_top_k
@@ -191,3 +193,113 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
 FROM d
 """
+
+
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules and what they leave of all documents."""
+    return line_quality(table(spark, sf_dir, "documents")).drop("cleaned_text", "rule_counts")
+
+
+QUERIES["op11_lines"] = op11_lines
+
+
+def _sql_list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in sorted(values))
+
+
+ORACLES["op11_lines"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8
+), twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM win JOIN twice USING (doc_id, s), unnest(range(i, i + 8)) AS u(k) GROUP BY doc_id
+), parts AS (SELECT doc_id, string_split(t, chr(10)) AS p FROM d),
+l AS (
+  SELECT doc_id, i, p[i] AS line, regexp_extract_all(p[i], '[^\\x20\\x09-\\x0D]+') AS w, lower(p[i]) AS low
+  FROM parts, unnest(range(1, len(p) + 1)) AS u(i)
+), m AS (
+  SELECT *, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS seen,
+         len(regexp_extract_all(line, '[|>»·•]')) AS seps, len(regexp_extract_all(line, '[#*$%&|<>]')) AS syms,
+         len(regexp_extract_all(line, '[!?]')) AS marks
+  FROM l WHERE len(w) > 0
+), r AS (
+  SELECT *, CASE
+    WHEN (seps >= 2 AND 4 * seps >= n) OR (n <= 12 AND len(list_filter(
+      list_transform(regexp_extract_all(low, '[^\\x20\\x09-\\x0D]+'), lambda x: trim(x, '|>»·•,/-')),
+      lambda x: x <> '' AND NOT list_contains([{_sql_list(MENU)}], x))) = 0) THEN 1
+    WHEN syms >= 2 AND 10 * syms > n THEN 1
+    WHEN seen AND n >= 3 THEN 1
+    WHEN len(list_filter([{_sql_list(PHRASES)}], lambda x: contains(low, x))) > 0 THEN 1
+    WHEN marks >= 4 AND 2 * marks > n THEN 1
+    WHEN NOT regexp_matches(regexp_replace(line, '[\\x20\\x09-\\x0D]+$', ''), '[.!?:;…。！？]["''”’»)\\]]*$')
+      AND NOT regexp_matches(line, '[.!?…。！？]["''”’»)\\]]*[\\x20\\x09-\\x0D]') THEN 1
+    ELSE 0 END AS gone
+  FROM m
+), s AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (seen) AS n_dup_lines, sum(gone) AS n_lines_removed,
+         sum(gone * n) AS n_words_removed
+  FROM r GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_lines_removed, 0) AS BIGINT) AS n_lines_removed,
+         CAST(coalesce(n_words_removed, 0) AS BIGINT) AS n_words_removed
+  FROM d LEFT JOIN s USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_words_removed > 50 * n_words) AS kept
+FROM f
+"""
+
+#: crc32 of a text ``s`` in SQL: the table of its 256 bytes, and the steps through the text's bytes.
+CRC_TABLE = """
+crc_steps(i, step, k) AS (
+  SELECT i, 0, i FROM range(0, 256) u(i)
+  UNION ALL
+  SELECT i, step + 1, CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END FROM crc_steps WHERE step < 8
+), crc_table AS (SELECT list(k ORDER BY i) AS crc FROM crc_steps WHERE step = 8)"""
+CRC_OF = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(range(0, strlen({s})), lambda i: CAST('0x' || substr(hex(encode({s})), 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling"] = op12_spelling
+ORACLES["op12_spelling"] = f"""
+WITH RECURSIVE {CRC_TABLE}, r AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents
+), g AS (
+  SELECT run, doc_id || ':' || run AS s, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL
+), h AS (SELECT run, c, {CRC_OF.format(s="s")} AS h FROM g, crc_table),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM h
+), v AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), k AS (
+  SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS cut FROM v, unnest(range(1, length(word) + 1)) AS u(p)
+), e AS (
+  SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.p = b.p AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, k.word FROM v a JOIN k ON k.cut = a.word
+  UNION SELECT k.word, a.word FROM v a JOIN k ON k.cut = a.word
+), b AS (
+  SELECT e.a AS word, count(*) AS n_near, max(v.n) AS best_n, arg_min(e.b, (-v.n, e.b)) AS best
+  FROM e JOIN v ON v.word = e.b GROUP BY e.a
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN b USING (word)
+), walk(word, stop) AS (
+  SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.stop WHERE f.form IS NOT NULL
+), ends AS (SELECT walk.word, walk.stop AS root FROM walk JOIN f ON f.word = walk.stop WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
