@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtrace.llm.context_tree import score_texts
+from voxtrace.llm.conversation_trie import conversation_trie
 from voxtrace.llm.forest import forest_top_k
 from voxtrace.llm.licenses import scan_licenses
 from voxtrace.llm.line_quality import MENU, PHRASES, line_quality
@@ -303,3 +304,43 @@ w AS (
 ), ends AS (SELECT walk.word, walk.stop AS root FROM walk JOIN f ON f.word = walk.stop WHERE f.form IS NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
 """
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct prefixes of all rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op13_trie"] = op13_trie
+ORACLES["op13_trie"] = f"""
+WITH RECURSIVE {CRC_TABLE}, t AS (
+  SELECT conv_id, k, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b,
+               md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+        FROM conversations WHERE conv_id IS NOT NULL)
+), i AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+h AS (SELECT conv_id, {CRC_OF.format(s="s")} % 9 AS h FROM i, crc_table),
+r AS (
+  SELECT h.conv_id, 0 AS part, p, k, b FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND p <= h
+  UNION ALL SELECT h.conv_id, 1, p, k, b FROM h JOIN t ON t.conv_id = h.conv_id AND p > h
+), w AS (
+  SELECT h.conv_id, coalesce(list(k ORDER BY part, p) FILTER (k IS NOT NULL), []) AS ks,
+         coalesce(list(b ORDER BY part, p) FILTER (k IS NOT NULL), []) AS bs
+  FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id
+), m AS (
+  SELECT conv_id, d, ks[1:d] AS node, ks[1:d - 1] AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b, len(ks) = d AS stops
+  FROM w, unnest(range(0, len(ks) + 1)) AS u(d)
+), g AS (
+  SELECT node, d, CASE WHEN d > 0 THEN any_value(up) END AS up, min(conv_id) AS conv_id, count(*) AS n,
+         (count(*) - 1) * any_value(b) AS saves,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (stops), '')) AS ends
+  FROM m GROUP BY node, d
+), c AS (SELECT up AS node, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+a AS (
+  SELECT g.node[1:v] AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saves) AS saved
+  FROM g LEFT JOIN c USING (node), unnest(range(0, d + 1)) AS u(v) GROUP BY 1
+)
+SELECT g.conv_id, g.d AS depth, p.conv_id AS parent_conv_id, g.n AS n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN a ON a.node = g.node LEFT JOIN c ON c.node = g.node LEFT JOIN g p ON p.node = g.up
+"""
