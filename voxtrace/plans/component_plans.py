@@ -8,6 +8,7 @@ from voxtrace.functions import text
 from voxtrace.functions.rounding import round_columns
 from voxtrace.operators import components as comp
 from voxtrace.operators import morphometry as morpho
+from voxtrace.operators import mesh
 from voxtrace.operators import morphology as morph
 from voxtrace.operators import volume as vol
 from voxtrace.operators.audit import seven_number_summary
@@ -166,6 +167,17 @@ def exposed_faces(spark, sf_dir):
     return round_columns(rows, {"surface_um2": 6, "ratio_raw": 6, "ratio_um": 6})
 
 
+MESH_DIGITS = {
+    "mesh_area": 6, "mesh_volume": 6, "mesh_area_um2": 6, "mesh_volume_um3": 6, "mesh_ratio_raw": 6,
+    "mesh_ratio_um": 6,
+}
+
+
+def mesh_surface(spark, sf_dir):
+    """Mesh area, mesh volume and their ratios of every lacuna."""
+    return round_columns(mesh.mesh_measures(_lacunae(spark, sf_dir), VOLUME, VOXEL_UM), MESH_DIGITS)
+
+
 def _blocks(spark, sf_dir):
     voxels = sparse_grid(spark, sf_dir).select("volume_id", "z", "y", "x", "v")
     return vol.z_blocks(voxels, 0, SPARSE_SHAPE[0], 10, 30).drop("z_start", "z_end")
@@ -236,7 +248,7 @@ QUERIES = {
     for f in (
         components6, components26, components_2d, component_sizes, component_csv,
         component_totals, class_components, paired_component_counts, clear_border, sample_id,
-        lacuna_moments, lacuna_band, shape_features, shape_axes, exposed_faces, dedupe_centroids,
+        lacuna_moments, lacuna_band, shape_features, shape_axes, exposed_faces, mesh_surface, dedupe_centroids,
         block_density, block_density_legacy, global_density, lacuna_summary,
     )
 }
@@ -293,6 +305,10 @@ FACES = """pairs AS (SELECT a.volume_id, a.root, count(*) AS p FROM lac a JOIN l
     LEFT JOIN pairs USING (volume_id, root))"""
 
 
+#: One row for each configuration of a cell's eight corners, from the operator's rule.
+MESH_TABLE = ", ".join(f"({n}, {a!r}::DOUBLE, {v!r}::DOUBLE)" for n, a, v in mesh.cell_table())
+
+
 def _density_sql(lacunar: str) -> str:
     return f"""RECURSIVE {DENSE}, bl AS (SELECT unnest([0, 1, 2]::BIGINT[]) AS block,
       unnest([0, 4, 8]) AS z_start, unnest([5, 9, 12]) AS z_end),
@@ -393,6 +409,17 @@ ORACLES = {
     "exposed_faces": f"""WITH {LACUNAE}, {FACES} SELECT volume_id, root, voxels, faces,
       round(faces * {VOXEL_UM**2!r}::DOUBLE, 6) AS surface_um2, round(faces / voxels, 6) AS ratio_raw,
       round(faces / voxels / {VOXEL_UM}::DOUBLE, 6) AS ratio_um FROM faces""",
+    "mesh_surface": f"""WITH {LACUNAE}, configs(configuration, area, inside) AS (VALUES {MESH_TABLE}),
+      corner AS (SELECT o AS k, o // 4 AS dz, o // 2 % 2 AS dy, o % 2 AS dx FROM range(0, 8) u(o)),
+      cells AS (SELECT volume_id, root, z - dz AS z, y - dy AS y, x - dx AS x, CAST(sum(1 << k) AS INTEGER) AS configuration
+        FROM lac, corner GROUP BY ALL),
+      m AS (SELECT volume_id, root, sum(area) AS a, sum(inside) AS v FROM cells JOIN configs USING (configuration) GROUP BY ALL),
+      n AS (SELECT volume_id, root, count(*) AS voxels FROM lac GROUP BY ALL)
+      SELECT volume_id, root, voxels, round(a, 6) AS mesh_area, round(v, 6) AS mesh_volume,
+        round(a * {VOXEL_UM**2!r}::DOUBLE, 6) AS mesh_area_um2, round(v * {VOXEL_UM**3!r}::DOUBLE, 6) AS mesh_volume_um3,
+        round(a / v, 6) AS mesh_ratio_raw,
+        round(a * {VOXEL_UM**2!r}::DOUBLE / (voxels * {VOXEL_UM**3!r}::DOUBLE), 6) AS mesh_ratio_um
+      FROM n JOIN m USING (volume_id, root)""",
     "dedupe_centroids": f"""WITH RECURSIVE {SPARSE_BLOCKS},
       {labels_sql("blocked", "volume_id, block", 18, SPARSE_SHAPE)},
       m AS (SELECT volume_id, block, root, count(*) AS voxels, round_even(avg(x) + 1, 6) AS centroid_x,
