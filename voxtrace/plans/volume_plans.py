@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxtrace.functions.rounding import round_columns
 from voxtrace.operators import histogram as hist
 from voxtrace.operators import morphology as morph
+from voxtrace.operators import slices as sl
 from voxtrace.operators import volume as vol
 from voxtrace.operators.preprocess import kmeans_intensities, preprocess_slices
 from voxtrace.plans.views_sql import DENSE, SPARSE
@@ -23,6 +24,11 @@ from voxtrace.sources.tables import (
 DEPTH, HEIGHT, WIDTH = DENSE_SHAPE
 
 
+def _slices(spark, sf_dir):
+    """One row for each image of the dense volumes."""
+    return sl.to_slices(dense_volume(spark, sf_dir), "v", HEIGHT, WIDTH)
+
+
 def vol_geometry(spark, sf_dir):
     return vol.geometry(sparse_grid(spark, sf_dir))
 
@@ -80,18 +86,19 @@ def otsu_integer(spark, sf_dir):
 
 
 def otsu_slices(spark, sf_dir):
-    rows = vol.otsu_slices(dense_volume(spark, sf_dir), "v")
+    rows = sl.otsu(_slices(spark, sf_dir)).drop("height", "width", "pixels")
     return round_columns(rows, {"threshold": 6, "fraction": 6})
 
 
 def otsu_apply(spark, sf_dir):
-    voxels = dense_volume(spark, sf_dir)
-    binary = vol.apply_otsu(voxels, "v", "binary")
-    return vol.apply_otsu(binary, "v", "masked", mode="masked")
+    named = _slices(spark, sf_dir).withColumnRenamed("pixels", "v")
+    binary = sl.otsu(named, "binary", column="v").select(*vol.SLICE, "height", "width", "v", "binary")
+    masked = sl.otsu(binary, "masked", mode="masked", column="v")
+    return sl.explode_slices(masked, ["v", "binary", "masked"])
 
 
 def bv_tv(spark, sf_dir):
-    rows = vol.otsu_volume_summary(vol.otsu_slices(dense_volume(spark, sf_dir), "v"))
+    rows = vol.otsu_volume_summary(sl.otsu(_slices(spark, sf_dir)))
     return round_columns(rows, {"otsu_threshold": 6, "bv_tv": 6})
 
 
@@ -117,31 +124,23 @@ def voxel_measure(spark, sf_dir):
 
 
 def minmax_slices(spark, sf_dir):
-    voxels = dense_volume(spark, sf_dir)
-    scaled = vol.min_max_slices(voxels, "v", "unit")
-    coded = vol.min_max_slices(scaled, "v", "code", 0.0, 255.0, "uint8")
-    return round_columns(coded, {"unit": 6})
+    named = _slices(spark, sf_dir).withColumnRenamed("pixels", "v")
+    scaled = sl.scale(named, "unit", column="v")
+    coded = sl.scale(scaled, "code", 0.0, 255.0, "uint8", column="v")
+    return round_columns(sl.explode_slices(coded, ["v", "unit", "code"]), {"unit": 6})
 
 
 def gauss1(spark, sf_dir):
-    rows = vol.gaussian_slices(dense_volume(spark, sf_dir), "v", "smooth", 1.0, HEIGHT, WIDTH)
+    rows = sl.explode_slices(sl.smooth(_slices(spark, sf_dir), "smooth", 1.0), ["smooth"])
     return round_columns(rows, {"smooth": 5})
 
 
 def grad_mag(spark, sf_dir):
     """Gradient magnitude of the central slice before and after smoothing."""
-    scaled = vol.min_max_slices(
-        vol.central_slices(dense_volume(spark, sf_dir)), "v", "unit"
-    )
-    before = vol.gradient_magnitude(scaled, "unit")
-    smooth = vol.gaussian_slices(scaled, "unit", "smooth", 1.0, HEIGHT, WIDTH)
-    after = vol.gradient_magnitude(smooth, "smooth").withColumnRenamed("gradient", "after")
-    rows = before.join(after, vol.SLICE).select(
-        *vol.SLICE,
-        F.col("gradient").alias("before"),
-        "after",
-        F.try_divide("after", "gradient").alias("ratio"),
-    )
+    central = sl.to_slices(vol.central_slices(dense_volume(spark, sf_dir)), "v", HEIGHT, WIDTH)
+    before = sl.gradient(sl.scale(central, "unit"), "before", column="unit")
+    after = sl.gradient(sl.smooth(before, "smooth", 1.0, column="unit"), "after", column="smooth")
+    rows = after.select(*vol.SLICE, "before", "after", F.try_divide("after", "before").alias("ratio"))
     return round_columns(rows, {"before": 5, "after": 5, "ratio": 4})
 
 
@@ -207,10 +206,30 @@ def tiles_overlap(spark, sf_dir):
 
 
 def tissue_tiles(spark, sf_dir):
-    rows = vol.tissue_tiles(dense_volume(spark, sf_dir), "v", HEIGHT, WIDTH, 28)
+    rows = sl.tissue(_slices(spark, sf_dir), 28).select(*vol.SLICE, "tile_row", "tile_col", "tissue")
     return round_columns(rows, {"tissue": 6})
 
 
+def slice_tiles(spark, sf_dir):
+    """Tiles cut out of slice rows."""
+    return sl.tile(_slices(spark, sf_dir), 9).select(
+        *vol.SLICE,
+        "tile_row",
+        "tile_col",
+        F.size("pixels").cast("bigint").alias("pixels"),
+        F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"),
+    )
+
+
+def slice_stitch(spark, sf_dir):
+    """Overlapping tiles of slice rows, changed by their place and averaged back."""
+    tiled = sl.tile_overlapping(_slices(spark, sf_dir), 5, 30)
+    predicted = tiled.withColumn(
+        "pixels", F.transform("pixels", lambda v: v * 8 + F.col("tile_row") + F.col("tile_col"))
+    )
+    return sl.explode_slices(sl.stitch_tiles(predicted, HEIGHT, WIDTH), ["stitched"])
+
+
 def stitch(spark, sf_dir):
     """Tiles whose values depend on their place are averaged back to pixels."""
     tiled = vol.overlapping_tiles(dense_volume(spark, sf_dir), HEIGHT, WIDTH, 5, 30)
@@ -241,7 +260,7 @@ QUERIES = {
         vol_geometry, bit_depth, histogram10, histogram_range, intensity_stats, snr, volume_mb,
         flat_slices, cohort_dims, otsu, otsu_integer, otsu_slices, otsu_apply, bv_tv, bone_volume,
         voxel_measure, minmax_slices, gauss1, grad_mag, pct_clip, imadjust, mask_diff, opening,
-        closing, tiles, tiles_overlap, tissue_tiles, stitch, z_blocks, preprocess_chain,
+        closing, tiles, tiles_overlap, tissue_tiles, slice_tiles, slice_stitch, stitch, z_blocks, preprocess_chain,
         kmeans_intensity,
     )
 }
@@ -546,3 +565,7 @@ ORACLES = {
       SELECT volume_id, block, z_start, z_end, count(*) AS voxels, sum(v) AS total
       FROM dense JOIN b ON z >= z_start AND z < z_end GROUP BY ALL""",
 }
+
+# the same results from slice rows
+ORACLES["slice_tiles"] = ORACLES["tiles"]
+ORACLES["slice_stitch"] = ORACLES["stitch"]
