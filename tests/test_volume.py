@@ -288,3 +288,47 @@ def test_decile_signal(spark):
     low, high = np.percentile(values, [10, 90])
     want = values[values >= high].mean() / values[values <= low].std()
     assert np.isclose(row["snr"], want)
+
+
+@pytest.mark.parametrize("bins", [2, 16, 256])
+def test_real_valued_counts_give_what_lies_above_the_threshold(spark, bins):
+    rng = np.random.default_rng(bins)
+    groups = {0: rng.normal(0, 1, 3000), 1: rng.normal(5, 3, 40), 2: np.full(9, 1.25), 3: np.array([-2.0, 7.5])}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [(4, None), (0, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    counted = hist.split_counts(df, ["k"], "v", bins)
+    got = {
+        r["k"]: r
+        for r in counted.groupBy("k", "threshold", "min", "max")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.when(hist.above_threshold(), F.col("n")).otherwise(0)).alias("above"),
+            F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("positive"),
+        )
+        .collect()
+    }
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        r = got[k]
+        assert (r["n"], r["min"], r["max"], r["positive"]) == (len(values), values.min(), values.max(), (values > 0).sum())
+        assert r["above"] == (values > r["threshold"]).sum()
+        if len(values) > 2:
+            assert r["threshold"] == pytest.approx(otsu_numpy(values, bins))
+    # a task hands on at most two rows for each bin and sign
+    assert hist.binned_counts(df, ["k"], "v", bins).where("k = 0").count() <= 2 * bins + 2
+
+
+def test_values_that_are_not_eligible_set_no_range(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in [-9, -1, 0, 0, 2, 2, 3, 40, 41]], "volume_id long, v double")
+    row = vol.bone_volume(df, "v", None).head()
+    assert (row["n_total"], row["n_positive"], row["n_bone"]) == (9, 5, 2)
+    every = vol.bone_volume(df, "v", None, include_zero=True).head()
+    assert every["threshold"] < row["threshold"] and every["n_bone"] == 2
+
+
+def test_given_ranges_keep_their_edges_without_values(spark):
+    df = spark.createDataFrame([(1.0,), (None,)], "v double")
+    rows = hist.histogram(df, "v", 2, 5.0, 9.0).orderBy("bin").collect()
+    assert [tuple(r) for r in rows] == [(0, 5.0, 7.0, 0, 0.0), (1, 7.0, 9.0, 0, 0.0)]
+    (row,) = hist.histogram(df, "v", 1, 3.0, 3.0).collect()
+    assert tuple(row) == (0, 2.5, 3.5, 0, 0.0)

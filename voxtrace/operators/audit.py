@@ -185,6 +185,8 @@ def grouped_aggregates(
                 "_key", F.col("p0").alias(f"median_{c}")
             )
             groups = groups.join(one, "_key", "left")
+    if max_groups is not None:
+        groups = groups.orderBy(*order)  # so many rows
     return groups.drop("_key")
 
 

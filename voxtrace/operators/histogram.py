@@ -1,8 +1,10 @@
 """Equal-width histograms, Otsu thresholds and contrast stretching.
 
 Where the bins are known beforehand, rows are binned map-side, so a task hands on at most one row
-per bin and key. Where the range of a key sets the bins (Otsu), values are counted per
-(keys, value) first, and everything else follows from those counts.
+per bin and key. Where the range of a key sets the bins (Otsu), one pass takes the ranges and a
+second one counts in bins: each half of a bin by itself, since the threshold is the centre of a
+bin, so what lies above a threshold follows from those counts as well. Whole numbers with a bin
+of their own are counted per (keys, value).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtrace.session import stage
+
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return (
@@ -65,53 +69,88 @@ def histogram(
     # One row per bin from here on.
     every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
     whole = Window.partitionBy()
-    width = (F.max("_hi").over(whole) - F.max("_lo").over(whole)) / bins
+    first, last = F.max("_lo").over(whole), F.max("_hi").over(whole)
+    if low is not None:
+        # the edges of a given range do not depend on what lies in it
+        widened = 0.5 if low == high else 0.0
+        first, last = F.lit(float(low) - widened), F.lit(float(high) + widened)
+    width = (last - first) / bins
+    total = F.sum("count").over(whole)
+    share = F.try_divide(F.col("count").cast("double"), total)
     return (
         every.join(filled, "bin", "left")
         .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
-        .withColumn("low_edge", F.max("_lo").over(whole) + F.col("bin") * width)
-        .withColumn("high_edge", F.max("_lo").over(whole) + (F.col("bin") + 1) * width)
-        .withColumn("frequency", F.try_divide("count", F.sum("count").over(whole)))
+        .withColumn("low_edge", first + F.col("bin") * width)
+        .withColumn("high_edge", first + (F.col("bin") + 1) * width)
+        .withColumn("frequency", share if low is None else F.coalesce(share, F.lit(0.0)))
         .select("bin", "low_edge", "high_edge", "count", "frequency")
     )
 
 
-def otsu_from_counts(
-    counted: DataFrame, keys: Sequence[str], bins: int | None = 256
+def binned_counts(
+    df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 256, eligible: Column | None = None
 ) -> DataFrame:
-    """Otsu threshold per key from (keys, value, n): ``threshold``, ``min``, ``max``, ``n``.
+    """(keys, bin, upper, positive, n, low, high): counts of values by half of a bin.
 
-    ``bins`` equal bins for real-valued data, or None for one bin per whole number. The
-    threshold is the centre of the bin that maximises the between-class variance, the first
-    one on ties; a constant input gives its own value.
+    The range of a key is that of its ``eligible`` values (of column ``value``); others have no
+    bin. ``upper`` marks values above the centre of their bin; with ``bins`` None a bin is one
+    whole number, and none is above it.
     """
     names = list(keys)
-    measured = [F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("total")]
+    v = F.col("value")
+    chosen = v.isNotNull() if eligible is None else v.isNotNull() & eligible
+    rows = df.select(*names, F.col(value).cast("double").alias("value")).where("value is not null")
+    if bins is None:
+        rows = rows.groupBy(*names, "value").agg(F.count("*").alias("_n"))
+    else:
+        rows = rows.withColumn("_n", F.lit(1).cast("bigint"))
+    ends = [F.min(F.when(chosen, v)).alias("low"), F.max(F.when(chosen, v)).alias("high")]
     if names:
-        ranged = counted.join(counted.groupBy(*names).agg(*measured), names)
+        # written out, so that its size is known where the join with all rows is planned
+        ranges = stage(rows.groupBy(*names).agg(*ends), "otsu_ranges")
+        ranged = rows.join(ranges, names)
     else:
-        one = counted.agg(F.struct(*measured)).scalar()
-        ranged = counted.withColumn("_r", one).select("value", "n", "_r.*")
-    low, high = F.col("min"), F.col("max")
+        one = rows.agg(F.struct(*ends)).scalar()
+        ranged = rows.withColumn("_r", one).select("value", "_n", "_r.*")
+    low, high = F.col("low"), F.col("high")
     if bins is None:
-        number = (F.col("value") - low).cast("bigint")
-        centre = F.col("bin") + low
+        number, upper = (v - low).cast("bigint"), F.lit(False)
     else:
-        number = F.when(low == high, F.lit(0).cast("bigint")).otherwise(
-            bin_number(F.col("value"), low, F.nullif(high, low), bins)
-        )
-        centre = low + (F.col("bin") + 0.5) * (high - low) / bins
-    binned = (
-        ranged.groupBy(*names, "min", "max", "total", number.alias("bin"))
-        .agg(F.sum("n").alias("n"))
-    )
+        number = F.when(low == high, F.lit(0).cast("bigint")).otherwise(bin_number(v, low, F.nullif(high, low), bins))
+        upper = (low < high) & (v > bin_centre(number, low, high, bins))
+    return ranged.groupBy(
+        *names,
+        F.when(chosen, number).alias("bin"),
+        F.when(chosen, upper).alias("upper"),
+        (v > 0).alias("positive"),
+        "low",
+        "high",
+    ).agg(F.sum("_n").alias("n"))
+
+
+def bin_centre(number: Column, low: Column, high: Column, bins: int | None) -> Column:
+    if bins is None:
+        return number + low
+    return F.when(low == high, low).otherwise(low + (number + 0.5) * (high - low) / bins)
+
+
+def otsu_from_bins(counted: DataFrame, keys: Sequence[str], bins: int | None = 256) -> DataFrame:
+    """Otsu threshold per key from ``binned_counts``: ``threshold``, its bin, ``min``, ``max``, ``n``.
+
+    The threshold is the centre of the bin that maximises the between-class variance, the first
+    one on ties; a constant input gives its own value.
+    """
+    names = list(keys)
+    binned = counted.where("bin is not null").groupBy(*names, "low", "high", "bin").agg(F.sum("n").alias("n"))
     # One window per key over its bins: at most ``bins`` rows, or one per whole number.
     ordered = Window.partitionBy(*names).orderBy("bin")
     up_to = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*names)
     moments = (
         binned.withColumn("_w1", F.sum("n").over(up_to))
         .withColumn("_s1", F.sum(F.col("n") * F.col("bin")).over(up_to))
-        .withColumn("_s", F.sum(F.col("n") * F.col("bin")).over(Window.partitionBy(*names)))
+        .withColumn("_s", F.sum(F.col("n") * F.col("bin")).over(whole))
+        .withColumn("total", F.sum("n").over(whole))
     )
     w1, s1 = F.col("_w1").cast("double"), F.col("_s1").cast("double")
     w2 = (F.col("total") - F.col("_w1")).cast("double")
@@ -119,33 +158,41 @@ def otsu_from_counts(
     gap = s1 / w1 - s2 / F.nullif(w2, F.lit(0.0))
     spread = F.coalesce(w1 * w2 * gap * gap, F.lit(-1.0))
     best = moments.groupBy(*names).agg(
-        F.max_by(
-            F.when(low == high, low).otherwise(centre), F.struct(spread, -F.col("bin"))
-        ).alias("threshold"),
-        F.max("min").alias("min"),
-        F.max("max").alias("max"),
+        F.max_by("bin", F.struct(spread, -F.col("bin"))).alias("threshold_bin"),
+        F.max("low").alias("min"),
+        F.max("high").alias("max"),
         F.max("total").alias("n"),
     )
-    return best
+    centre = bin_centre(F.col("threshold_bin"), F.col("min"), F.col("max"), bins)
+    return best.select(*names, centre.alias("threshold"), "threshold_bin", "min", "max", "n")
 
 
 def otsu_threshold(
     df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 256
 ) -> DataFrame:
-    return otsu_from_counts(value_counts(df, keys, value), keys, bins)
+    """threshold, min, max and n per key: ``bins`` equal bins, or None for one per whole number."""
+    return otsu_from_bins(binned_counts(df, keys, value, bins), keys, bins).drop("threshold_bin")
+
+
+def above_threshold() -> Column:
+    """Whether the values of a row of ``split_counts`` exceed the threshold of their key."""
+    number, best = F.col("bin"), F.col("threshold_bin")
+    return F.coalesce((number > best) | ((number == best) & F.col("upper")), F.lit(False))
 
 
 def split_counts(
-    counted: DataFrame, keys: Sequence[str], eligible: Column | None = None, bins: int | None = 256
+    df: DataFrame, keys: Sequence[str], value: str, bins: int | None = 256, eligible: Column | None = None
 ) -> DataFrame:
-    """Counts (keys, value, n) with the Otsu threshold, min and max of their key beside them.
+    """``binned_counts`` with the Otsu threshold, its bin, min and max of their key beside them.
 
-    The threshold is that of the ``eligible`` values. What lies above or below it follows from
-    these rows, without going back to the data.
+    The threshold is that of the ``eligible`` values; all others must lie below their range. What
+    lies above a threshold follows from these rows, without going back to the data.
     """
-    own = counted if eligible is None else counted.where(eligible)
-    found = otsu_from_counts(own, keys, bins).select(*keys, "threshold", "min", "max")
-    return counted.join(found, list(keys))
+    counted = binned_counts(df, keys, value, bins, eligible)
+    if keys:
+        counted = stage(counted, "otsu_counts")
+    found = otsu_from_bins(counted, keys, bins).drop("n")
+    return counted.drop("low", "high").join(found, list(keys))
 
 
 # Fixed values of the contrast stretch: 255 unit bins over 0..255, one percent cut on each

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtrace.operators.histogram import otsu_threshold, split_counts, value_counts
+from voxtrace.operators.histogram import above_threshold, otsu_threshold, split_counts
 from voxtrace.operators.quantiles import exact_percentiles
 
 SLICE = ["volume_id", "z"]
@@ -116,13 +116,12 @@ def cohort_dimensions(shapes: DataFrame) -> DataFrame:
 def otsu_slices(voxels: DataFrame, value: str, bins: int | None = 256) -> DataFrame:
     """Threshold per slice with retained count and fraction of the voxels that have a value;
     constant slices are flagged."""
-    above = F.col("value") > F.col("threshold")
     return (
-        split_counts(value_counts(voxels, SLICE, value), SLICE, bins=bins)
+        split_counts(voxels, SLICE, value, bins)
         .groupBy(*SLICE, "threshold")
         .agg(
             F.sum("n").alias("voxels"),
-            F.sum(F.when(above, F.col("n")).otherwise(0)).alias("retained"),
+            F.sum(F.when(above_threshold(), F.col("n")).otherwise(0)).alias("retained"),
             F.max(F.col("min") == F.col("max")).alias("constant"),
         )
         .withColumn("fraction", F.col("retained") / F.col("voxels"))
@@ -170,19 +169,19 @@ def bone_volume(
     bins: int | None = 256,
 ) -> DataFrame:
     """Voxels above one threshold per volume, taken over positive voxels unless told otherwise."""
-    key, v = ["volume_id"], F.col("value")
-    eligible = None if include_zero else v > 0
+    key = ["volume_id"]
+    eligible = None if include_zero else F.col("value") > 0
 
     def number(of: Column) -> Column:
         return F.sum(F.when(of, F.col("n")).otherwise(0))
 
     counted = (
-        split_counts(value_counts(voxels, key, value), key, eligible, bins)
+        split_counts(voxels, key, value, bins, eligible)
         .groupBy("volume_id", "threshold")
         .agg(
             F.sum("n").alias("n_total"),
-            number(v > 0).alias("n_positive"),
-            number(v > F.col("threshold")).alias("n_bone"),
+            number(F.col("positive")).alias("n_positive"),
+            number(above_threshold()).alias("n_bone"),
         )
     )
     measure = None
