@@ -1,4 +1,6 @@
 import os
+import random
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -42,6 +44,85 @@ def test_tools_by_task(spark):
     assert rows[4]["status"] == "failed"
 
 
+def test_calls_without_any_flag_count(spark):
+    run = spark.createDataFrame([(1, 1, 0)], "run_id bigint, task_id int, sandbox_attempts int")
+    specs = spark.createDataFrame(
+        [(1, ["x"], [], ["x"], False, None)],
+        "task_id int, expected array<string>, forbidden array<string>, sequence array<string>, exact_set boolean, "
+        "requires_sandbox boolean",
+    )
+    calls = spark.createDataFrame(
+        [(1, 1, 1, "x", True, None)],
+        "run_id bigint, ts bigint, event_id bigint, tool string, success boolean, flagged boolean",
+    )
+    row = task_scoring.score_tools(run, specs, calls, spark.createDataFrame([], EVENTS)).head()
+    assert row["c1_tools"] and row["c2_order"] and row["status"] == "passed"
+
+
+def follows(tools, sequence):
+    at = 0
+    for tool in tools:
+        at += at < len(sequence) and tool == sequence[at]
+    return at == len(sequence)
+
+
+@pytest.mark.parametrize("parts", ["1", "7", "64"])
+def test_sequences_over_slices(spark, parts):
+    rng = random.Random(int(parts))
+    calls, runs_ = [], []
+    for run in range(40):
+        tools = [rng.choice("abc") for _ in range(rng.choice([0, 3, 30, 400]))]
+        calls += [(run, k // 3, k, t) for k, t in enumerate(tools)]
+        sequence = [rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 12, 50]))]
+        runs_.append((run, sequence, follows(tools, sequence)))
+    rng.shuffle(calls)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        table = spark.createDataFrame([r[:2] for r in runs_], "run_id bigint, sequence array<string>")
+        made = spark.createDataFrame(calls, "run_id bigint, ts bigint, event_id bigint, tool string")
+        started = time.time()
+        found = task_scoring.sequences_found(table, made)
+        found._jdf.queryExecution().executedPlan()
+        assert time.time() - started < 5
+        got = {r["run_id"]: r["found"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {run: want for run, _, want in runs_}
+    assert any(len(s) == 50 and w for _, s, w in runs_)
+
+
+def test_a_broken_rule_fails_alone(spark):
+    answers = spark.createDataFrame([(1, 1, "4"), (2, 1, "x"), (3, 2, None)], "id int, task_id int, k string")
+    rules = spark.createDataFrame(
+        [(1, "good", "k = '4'"), (1, "raises", "CAST(k AS INT) / (CAST(k AS INT) - 4) > 1"), (1, "number", "CAST(k AS INT) > 3"),
+         (1, "broken", "(("), (1, "unknown", "nope > 1"), (2, "good", "k IS NULL"), (2, "none", None), (9, "other", "true")],
+        "task_id int, rule string, text string",
+    )
+    rows = {(r["id"], r["rule"]): r for r in task_scoring.rules_by_task(answers, ["id"], rules).collect()}
+    assert {k for k, r in rows.items() if r["passed"]} == {(1, "good"), (1, "number"), (3, "good")}
+    assert {k for k, r in rows.items() if r["error"]} == {(i, n) for i in (1, 2) for n in ("broken", "unknown")} | {(3, "none")}
+    assert len(rows) == 12 and spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_points_of_a_run_in_one_exchange(spark):
+    run = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "run_id int, json_file string")
+    scored = spark.createDataFrame(
+        [(1, "A1_correct_primary_route", 1), (1, "C2_correct_tool_order", 1), (1, "C2_correct_tool_order", 0), (9, "B2_no_redundant_task", 1)],
+        "run_id int, criterion_id string, earned int",
+    )
+    skipped = spark.createDataFrame([(2, "artifacts"), (2, "routing"), (8, "tools")], "run_id int, section string")
+    points = scoring.run_points(run, scored, skipped, ["json_file"])
+    got = {r["run_id"]: (r["json_file"], sum(r["points"])) for r in points.collect()}
+    assert got == {1: ("f", 2), 2: ("f", 7), 3: ("g", 0)}
+    # collected above, so that its own plan is a final one
+    for df in (points.select("*"), scoring.roll_up(points), scoring.observations(points), scoring.criteria_of(points)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    levels = {(r["level"], r["name"]): (r["earned"], r["max"]) for r in scoring.roll_up(points).where("run_id = 2").collect()}
+    assert levels["section", "routing"] == (4, 4) and levels["dimension", "D"] == (3, 3)
+    assert levels["category", "Efficiency"] == (1, 3) and levels["total", "all"] == (7, 13) and len(levels) == 15
+
+
 def test_artifacts_by_task(spark):
     run = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "run_id bigint, task_id int")
     specs = spark.createDataFrame(

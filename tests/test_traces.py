@@ -187,7 +187,7 @@ def test_scores(spark):
     runs = spark.createDataFrame([(1,), (2,)], "run_id int")
     scored = spark.createDataFrame([(1, "A1_correct_primary_route", 1), (1, "zz", 1)], "run_id int, criterion_id string, earned int")
     skipped = spark.createDataFrame([(2, "tools")], "run_id int, section string")
-    total = scoring.roll_up(scoring.complete_criteria(runs, scored, skipped)).where("level = 'total'")
+    total = scoring.roll_up(scoring.run_points(runs, scored, skipped)).where("level = 'total'")
     got = {r["run_id"]: (r["earned"], r["max"], r["percentage"]) for r in total.collect()}
     assert got == {1: (1, 13, 0.0769), 2: (3, 13, 0.2308)}
     status = spark.createDataFrame([("passed",), ("error",), ("failed",)], "status string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,89 +28,98 @@ RUBRIC = [
 MAX_POINTS = len(RUBRIC)
 
 
-def rubric_rows(section: Column | None = None) -> Column:
-    """Array of the rubric's criteria, only those of one section if given."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("section"),
-                F.lit(f"{code}_{label}").alias("criterion_id"),
-                F.lit(code[0]).alias("dimension"),
-                F.lit(category).alias("category"),
-            )
-            for s, code, label, category in RUBRIC
-        ]
-    )
-    return rows if section is None else F.filter(rows, lambda r: r["section"] == section)
+CRITERIA = [f"{code}_{label}" for _, code, label, _ in RUBRIC]
+SECTIONS = list(dict.fromkeys(r[0] for r in RUBRIC))
 
 
-def complete_criteria(runs: DataFrame, scored: DataFrame, skipped: DataFrame) -> DataFrame:
-    """All thirteen criteria of every run: scored value, full marks if skipped, else 0.
+def run_points(
+    runs: DataFrame, scored: DataFrame, skipped: DataFrame, carried: Sequence[str] = ()
+) -> DataFrame:
+    """(run_id, carried, points): the thirteen criteria of every run in the rubric's order.
 
-    ``scored`` has (run_id, criterion_id, earned), ``skipped`` has (run_id, section). All
-    three inputs meet in one aggregation on (run_id, criterion_id), without a join.
+    A point is the scored value, a full one if its section is skipped, else 0. ``scored`` has
+    (run_id, criterion_id, earned), ``skipped`` has (run_id, section); where a criterion is
+    scored twice, the larger value counts. ``carried`` are columns of ``runs`` to keep. All three
+    inputs meet in one aggregation on run_id, so a run is one row of an exchange for each task.
     """
-    base = runs.select("run_id", F.inline(rubric_rows())).select(
-        "run_id", "criterion_id", F.lit(0).alias("earned"), F.lit(0).alias("_rank"), F.lit(True).alias("_known")
-    )
-    given = scored.select(
-        "run_id", "criterion_id", F.col("earned").cast("int").alias("earned"),
-        F.lit(1).alias("_rank"), F.lit(False).alias("_known"),
+    places = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CRITERIA))
+    sections = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SECTIONS))
+    # text, since an expression of its own for each criterion takes seconds to build
+    known = runs.selectExpr(
+        "run_id", *[f"`{c}`" for c in carried], "CAST(NULL AS INT) AS _place", "CAST(NULL AS INT) AS _earned",
+        "CAST(NULL AS INT) AS _section", "true AS _known",
+    )
+    given = scored.selectExpr(
+        "run_id", f"CASE criterion_id {places} END AS _place", "CAST(earned AS INT) AS _earned",
+        "CAST(NULL AS INT) AS _section", "false AS _known",
+    )
+    free = skipped.selectExpr(
+        "run_id", "CAST(NULL AS INT) AS _place", "CAST(NULL AS INT) AS _earned",
+        f"CASE section {sections} END AS _section", "false AS _known",
     )
-    free = skipped.select("run_id", F.inline(rubric_rows(F.col("section")))).select(
-        "run_id", "criterion_id", F.lit(1).alias("earned"), F.lit(2).alias("_rank"), F.lit(False).alias("_known")
+    facts = known.unionByName(given, allowMissingColumns=True).unionByName(free, allowMissingColumns=True)
+    wide = facts.groupBy("run_id").agg(
+        *[F.max(c).alias(c) for c in carried],
+        *[F.expr(f"max(CASE WHEN _place = {i} THEN _earned END) AS _p{i}") for i in range(MAX_POINTS)],
+        *[F.expr(f"bool_or(_section = {i}) AS _s{i}") for i in range(len(SECTIONS))],
+        F.expr("bool_or(_known) AS _known"),
     )
-    lookup = {f"{code}_{label}": (s, code[0], category) for s, code, label, category in RUBRIC}
+    cells = ", ".join(
+        f"CAST(CASE WHEN _s{SECTIONS.index(r[0])} THEN 1 ELSE coalesce(_p{i}, 0) END AS BIGINT)"
+        for i, r in enumerate(RUBRIC)
+    )
+    return wide.where("_known").selectExpr("run_id", *[f"`{c}`" for c in carried], f"array({cells}) AS points")
 
-    def of(place: int) -> Column:
-        return F.coalesce(
-            *[F.when(F.col("criterion_id") == k, F.lit(v[place])) for k, v in lookup.items()]
-        )
 
-    return (
-        base.unionByName(given)
-        .unionByName(free)
-        .groupBy("run_id", "criterion_id")
-        .agg(
-            F.max_by("earned", "_rank").cast("bigint").alias("earned"),
-            F.bool_or("_known").alias("_known"),
-        )
-        .where("_known")
-        .select(
-            "run_id", of(0).alias("section"), "criterion_id", of(1).alias("dimension"),
-            of(2).alias("category"), "earned", F.lit(1).cast("bigint").alias("max"),
-        )
-    )
+def criteria_of(points: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """A row for each criterion of each row of ``run_points``; no exchange."""
+    rows = ", ".join(
+        f"named_struct('section', '{section}', 'criterion_id', '{code}_{label}', 'dimension', '{code[0]}', "
+        f"'category', '{category}', 'earned', points[{i}], 'max', 1L)"
+        for i, (section, code, label, category) in enumerate(RUBRIC)
+    )
+    return points.selectExpr(*keys, f"inline(array({rows}))")
+
+
+def complete_criteria(runs: DataFrame, scored: DataFrame, skipped: DataFrame) -> DataFrame:
+    """All thirteen criteria of every run, a row each, from ``run_points``."""
+    return criteria_of(run_points(runs, scored, skipped))
+
+
+def _sums(levels: Sequence[tuple[str, int | None]], kind: str, name: str) -> str:
+    """Rows (kind, name, earned, max) as SQL text: sums over fixed places of ``points``.
+
+    A level is its name and what groups the places: a field of the rubric (a code counts by its
+    letter), -1 for each criterion by itself, None for all of them.
+    """
+    cells = []
+    for level, field in levels:
+        groups: dict[str, list[int]] = {}
+        for i, row in enumerate(RUBRIC):
+            if field is None:
+                group = "all"
+            elif field < 0:
+                group = CRITERIA[i]
+            else:
+                group = row[field][:1] if field == 1 else row[field]
+            groups.setdefault(group, []).append(i)
+        cells += [
+            f"named_struct('{kind}', '{level}', '{name}', '{group}', 'earned', "
+            f"{' + '.join(f'points[{i}]' for i in places)}, 'max', {len(places)}L)"
+            for group, places in groups.items()
+        ]
+    return f"inline(array({', '.join(cells)}))"
 
 
 def percentage(earned: Column, maximum: Column) -> Column:
     return F.coalesce(F.bround(F.try_divide(earned, maximum), 4), F.lit(0.0))
 
 
-def roll_up(criteria: DataFrame) -> DataFrame:
-    """Points per run by section, category and dimension, and in total, in one pass."""
-    level = (
-        F.when(F.grouping("section") == 0, "section")
-        .when(F.grouping("category") == 0, "category")
-        .when(F.grouping("dimension") == 0, "dimension")
-        .otherwise("total")
-    )
-    run, s, c, d = (F.col(x) for x in ("run_id", "section", "category", "dimension"))
-    return (
-        criteria.groupingSets([[run, s], [run, c], [run, d], [run]], run, s, c, d)
-        .agg(
-            level.alias("level"),
-            F.sum("earned").alias("earned"),
-            F.sum("max").alias("max"),
-        )
-        .select(
-            "run_id",
-            "level",
-            F.coalesce("section", "category", "dimension", F.lit("all")).alias("name"),
-            "earned",
-            "max",
-            percentage(F.col("earned"), F.col("max")).alias("percentage"),
-        )
+def roll_up(points: DataFrame) -> DataFrame:
+    """Points per run by section, category and dimension, and in total; no exchange."""
+    levels = [("section", 0), ("category", 3), ("dimension", 1), ("total", None)]
+    return points.selectExpr("run_id", _sums(levels, "level", "name")).withColumn(
+        "percentage", percentage(F.col("earned"), F.col("max"))
     )
 
 
@@ -166,23 +175,14 @@ def score_fallback(runs: DataFrame) -> DataFrame:
     )
 
 
-def observations(criteria: DataFrame) -> DataFrame:
+def observations(points: DataFrame) -> DataFrame:
     """Points per (file, run) for the file, every dimension, category and criterion.
 
-    ``criteria`` has json_file, run_id, criterion_id, dimension, category, earned and max.
+    ``points`` has json_file and is made by ``run_points``; no exchange.
     """
-    places = F.array(
-        F.struct(F.lit("file").alias("section_type"), F.lit("all").alias("section")),
-        F.struct(F.lit("dimension").alias("section_type"), F.col("dimension").alias("section")),
-        F.struct(F.lit("category").alias("section_type"), F.col("category").alias("section")),
-        F.struct(F.lit("criterion").alias("section_type"), F.col("criterion_id").alias("section")),
-    )
-    return (
-        criteria.select("json_file", "run_id", "earned", "max", F.inline(places))
-        .groupBy("json_file", "run_id", "section_type", "section")
-        .agg(F.sum("earned").alias("earned"), F.sum("max").alias("max"))
-        .withColumn("share", F.try_divide("earned", "max"))
-    )
+    levels = [("file", None), ("dimension", 1), ("category", 3), ("criterion", -1)]
+    rows = points.selectExpr("json_file", "run_id", _sums(levels, "section_type", "section"))
+    return rows.withColumn("share", F.try_divide("earned", "max"))
 
 
 def _pool(rows: DataFrame, keys: list[str], share: str) -> DataFrame:

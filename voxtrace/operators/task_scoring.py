@@ -7,11 +7,15 @@ per (run, name) come before runs meet their specifications, so a long run is red
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtrace.operators.ordered import salted_lookup
 from voxtrace.operators.traces import INFRASTRUCTURE_TOOLS, ORDER, canonical_tool
 
 SANDBOX_ROUTE = "code_sandbox"
@@ -74,36 +78,72 @@ def score_routing(runs: DataFrame, specs: DataFrame, events: DataFrame) -> DataF
     )
 
 
+def _slice_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls sorted by (run_id, order) become one row a run: the end place for each start place.
+
+    ``waiting[k]`` holds the start places from which the sequence has been followed up to item k,
+    so a call moves those that wait for its tool, and each of them one item on.
+    """
+    run = places = waiting = None
+
+    def ends() -> pa.RecordBatch:
+        out = np.empty(len(waiting), np.int32)
+        for at, starts in enumerate(waiting):
+            out[starts] = at
+        return pa.RecordBatch.from_arrays(
+            [pa.array([run]), pa.array([number], pa.int32()), pa.array([out.tolist()], pa.list_(pa.int32()))],
+            ["run_id", "_slice", "_ends"],
+        )
+
+    for batch in batches:
+        number = batch.column("_slice")[0].as_py() if len(batch) else None
+        tools, sequences = batch.column("tool").to_pylist(), batch.column("sequence")
+        for i, own in enumerate(batch.column("run_id").to_pylist()):
+            if own != run:
+                if run is not None:
+                    yield ends()
+                run, sequence = own, sequences[i].as_py()
+                places, waiting = {}, [[k] for k in range(len(sequence) + 1)]
+                for k in range(len(sequence) - 1, -1, -1):
+                    places.setdefault(sequence[k], []).append(k)
+            # from the last item to the first, so that no start place moves twice
+            for k in places.get(tools[i], ()):
+                if waiting[k]:
+                    waiting[k + 1] = waiting[k] + waiting[k + 1]
+                    waiting[k] = []
+    if run is not None:
+        yield ends()
+
+
 def sequences_found(runs: DataFrame, calls: DataFrame) -> DataFrame:
     """(run_id, found): whether each run's ``sequence`` of tools occurs in order, gaps allowed.
 
-    The earliest call of each item behind the one before is a partial minimum; a pass for each
-    place of the longest sequence, without sorting or gathering a run.
+    Following a sequence through a slice of the calls maps the item it waits for before the slice
+    to the one it waits for behind it. Calls are range-partitioned by (run_id, order), so a long
+    run is spread over slices; each slice gives one such map a run, and the maps are applied one
+    after the other. One pass, whatever the length of the sequence.
     """
-    place = calls.select(F.struct(*ORDER)).schema[0].dataType
-    state = runs.select(
-        "run_id", "sequence", F.lit(None).cast(place).alias("_reached"), F.lit(True).alias("found")
-    )
-    longest = runs.agg(F.max(F.size("sequence"))).first()[0] or 0
-    placed = calls.select("run_id", "tool", F.struct(*ORDER).alias("_at"))
-    for k in range(1, longest + 1):
-        open_ = state.where((F.size("sequence") >= k) & F.col("found"))
-        hits = (
-            placed.join(
-                open_.select("run_id", F.element_at("sequence", k).alias("tool"), "_reached"), ["run_id", "tool"]
-            )
-            .where(F.col("_reached").isNull() | (F.col("_at") > F.col("_reached")))
-            .groupBy("run_id")
-            .agg(F.min("_at").alias("_next"))
-        )
-        over = F.size("sequence") < k
-        state = state.join(hits, "run_id", "left").select(
-            "run_id",
-            "sequence",
-            F.when(over, F.col("_reached")).otherwise(F.col("_next")).alias("_reached"),
-            F.when(over, F.col("found")).otherwise(F.col("_next").isNotNull()).alias("found"),
-        )
-    return state.select("run_id", "found")
+    wanted = runs.where(F.size("sequence") > 0).select("run_id", "sequence")
+    # only calls of tools in the sequence can move it
+    near = salted_lookup(calls.select("run_id", *ORDER, "tool"), wanted, ["run_id"], list(ORDER))
+    near = near.where(F.array_contains("sequence", F.col("tool")))
+    sliced = (
+        near.repartitionByRange("run_id", *ORDER)
+        .sortWithinPartitions("run_id", *ORDER)
+        .select("run_id", "tool", "sequence", F.spark_partition_id().alias("_slice"))
+    )
+    run_type = runs.schema["run_id"].dataType.simpleString()
+    maps = sliced.mapInArrow(_slice_maps, f"run_id {run_type}, _slice int, _ends array<int>")
+    reached = maps.groupBy("run_id").agg(
+        F.aggregate(
+            F.array_sort(F.collect_list(F.struct("_slice", "_ends"))),
+            F.lit(0),
+            lambda at, s: F.element_at(s["_ends"], at + 1),
+        ).alias("_reached")
+    )
+    return runs.join(reached, "run_id", "left").select(
+        "run_id", (F.coalesce("_reached", F.lit(0)) == F.size("sequence")).alias("found")
+    )
 
 
 def score_tools(runs: DataFrame, specs: DataFrame, calls: DataFrame, events: DataFrame) -> DataFrame:
@@ -124,6 +164,8 @@ def score_tools(runs: DataFrame, specs: DataFrame, calls: DataFrame, events: Dat
         F.coalesce("exact_set", F.lit(False)).alias("exact_set"),
         "requires_sandbox",
     )
+    # a flag that is missing is no flag
+    calls = calls.withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     named = calls.withColumn("tool", canonical_tool(F.col("tool"))).where(F.col("tool").isNotNull())
     named = named.where(~F.col("tool").isin(INFRASTRUCTURE_TOOLS))
     good = ~F.col("success").eqNullSafe(False)
@@ -224,22 +266,40 @@ def score_artifacts(runs: DataFrame, specs: DataFrame, files: DataFrame) -> Data
     )
 
 
-def rules_by_task(
-    answers: DataFrame, keys: list[str], rules: Mapping[int, Mapping[str, str]]
-) -> DataFrame:
-    """(keys, task_id, rule, passed): rules of each row's own task, as SQL boolean text over the
-    columns of ``answers``; equal texts of several tasks are evaluated once."""
-    texts = sorted({text for own in rules.values() for text in own.values()})
-    asked = [(task, rule, text) for task, own in rules.items() for rule, text in own.items()]
-    evaluated = answers
-    for k, text in enumerate(texts):
-        evaluated = evaluated.withColumn(f"_rule_{k}", F.coalesce(F.expr(text).cast("boolean"), F.lit(False)))
-    cases = F.array(
-        *[
-            F.struct(
-                F.lit(task).alias("of"), F.lit(rule).alias("rule"), F.col(f"_rule_{texts.index(text)}").alias("passed")
-            )
-            for task, rule, text in asked
-        ]
-    )
-    return evaluated.select(*keys, "task_id", F.inline(F.filter(cases, lambda c: c["of"] == F.col("task_id")))).drop("of")
+#: Distinct rule texts of a specification table, whose expressions are built on the driver.
+RULE_TEXTS = 10_000
+
+
+def rules_by_task(answers: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+    """(keys, task_id, rule, passed, error): each row of ``answers`` by the rules of its task.
+
+    ``rules``: task_id, rule, text; the text is an SQL boolean over the columns of ``answers``.
+    A rule fails alone: one that cannot be analysed fails everywhere and says why in ``error``,
+    and one that has no truth value in a row, or would raise there, fails in that row.
+    """
+    spark = answers.sparkSession
+    texts = [r[0] for r in rules.select("text").distinct().orderBy("text").limit(RULE_TEXTS + 1).collect()]
+    if len(texts) > RULE_TEXTS:
+        raise ValueError(f"More than {RULE_TEXTS} rule texts")
+    reasons = {}
+    for text in texts:
+        try:
+            answers.select(F.expr(text if text is not None else "(").cast("boolean"))
+        except (AnalysisException, ParseException) as error:
+            reasons[text] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
+    usable = [t for t in texts if t not in reasons]
+    failed = F.coalesce(*[F.when(F.col("text").eqNullSafe(t), F.lit(r)) for t, r in reasons.items()], F.lit(None).cast("string"))
+    number = F.coalesce(*[F.when(F.col("text") == t, F.lit(k)) for k, t in enumerate(usable)], F.lit(-1))
+    asked = rules.select(F.col("task_id").alias("_of"), F.col("rule").alias("_name"), number.alias("_k"), failed.alias("_why"))
+    met = answers.join(asked, F.col("task_id") == F.col("_of"))
+    # without ANSI an operation that would raise gives null; expressions keep the mode they are analysed in
+    setting = "spark.sql.ansi.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        holds = F.coalesce(*[F.when(F.col("_k") == k, F.expr(t).cast("boolean")) for k, t in enumerate(usable)], F.lit(False))
+        return met.select(
+            *keys, "task_id", F.col("_name").alias("rule"), holds.alias("passed"), F.col("_why").alias("error")
+        )
+    finally:
+        spark.conf.set(setting, before)

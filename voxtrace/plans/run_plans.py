@@ -23,32 +23,27 @@ def _tasks(spark, sf_dir):
     )
 
 
-def _earned(ordinal):
-    return F.when(F.pmod(F.col("run_id") + ordinal, F.lit(3)) > 0, 1).otherwise(0)
-
-
-def _scored(spark, sf_dir):
-    """Criteria of every run; failed evaluations leave no tool criteria, passed ones skip artifacts."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(section).alias("section"),
-                F.lit(f"{code}_{label}").alias("criterion_id"),
-                _earned(i).alias("earned"),
-            )
-            for i, (section, code, label, _) in enumerate(scoring.RUBRIC)
-        ]
+def _points(spark, sf_dir, runs=None, carried=()):
+    """Points of every run; failed evaluations leave no tool criteria, passed ones skip artifacts."""
+    rows = ", ".join(
+        f"named_struct('section', '{section}', 'criterion_id', '{code}_{label}', "
+        f"'earned', CASE WHEN pmod(run_id + {i}, 3) > 0 THEN 1 ELSE 0 END)"
+        for i, (section, code, label, _) in enumerate(scoring.RUBRIC)
     )
-    runs = order_runs(spark, sf_dir)
-    scored = runs.select("run_id", "status", F.inline(rows)).where(
+    every = order_runs(spark, sf_dir)
+    scored = every.selectExpr("run_id", "status", f"inline(array({rows}))").where(
         (F.col("status") != "error") | (F.col("section") != "tools")
     )
-    skipped = runs.where("status = 'passed'").select("run_id", F.lit("artifacts").alias("section"))
-    return scoring.complete_criteria(runs, scored, skipped)
+    skipped = every.where("status = 'passed'").select("run_id", F.lit("artifacts").alias("section"))
+    return scoring.run_points(every if runs is None else runs, scored, skipped, carried)
+
+
+def _scored(spark, sf_dir):
+    return scoring.criteria_of(_points(spark, sf_dir))
 
 
 def score_rollup(spark, sf_dir):
-    return scoring.roll_up(_scored(spark, sf_dir))
+    return scoring.roll_up(_points(spark, sf_dir))
 
 
 def score_sink(spark, sf_dir):
@@ -198,14 +193,14 @@ def score_fallback(spark, sf_dir):
 
 
 def _observed(spark, sf_dir):
-    """Criteria of completed runs with the benchmark file of their task."""
+    """Observations of completed runs with the benchmark file of their task."""
     runs = _runs(spark, sf_dir).where("completion = 'run_completed'").select("run_id", "task_id")
     files = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("task_id"),
         F.concat(F.lower("c_mktsegment"), F.lit(".json")).alias("json_file"),
     )
     named = runs.join(files, "task_id").select("run_id", "json_file")
-    return scoring.observations(_scored(spark, sf_dir).join(named, "run_id"))
+    return scoring.observations(_points(spark, sf_dir, named, ["json_file"]))
 
 
 def bench_agg(spark, sf_dir):

@@ -102,7 +102,11 @@ def task_rules(spark, sf_dir):
         "value",
         F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
     )
-    return scoring.rules_by_task(answers, ["event_id"], RULES)
+    rules = spark.createDataFrame(
+        [(task, rule, text) for task, own in RULES.items() for rule, text in own.items()],
+        "task_id int, rule string, text string",
+    )
+    return scoring.rules_by_task(answers, ["event_id"], rules).drop("error")
 
 
 QUERIES = {f.__name__: f for f in (task_routing, task_tools, task_artifacts, task_rules)}
