@@ -57,8 +57,14 @@ def brute_components(rows, width, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_components_against_all_pairs(spark, width, percent):
+@pytest.mark.parametrize(
+    ("width", "percent", "rounds", "dense", "block"),
+    [(3, 85, 2, 4, 512), (5, 80, 2, 4, 512), (5, 80, 0, 4, 3), (3, 85, 0, 0, 3)],
+)
+def test_components_against_all_pairs(spark, monkeypatch, width, percent, rounds, dense, block):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(width)
     texts = variants(rng, 150, 90, 6) + variants(rng, 30, 12, 1)
     texts += ["", " \n", None, "one", "ONE", "two words", texts[0].upper(), texts[3] + "  \t"]
@@ -85,6 +91,17 @@ def test_components_of_odd_tables(spark):
     ]
 
 
+def test_ids_with_several_texts_hang_together(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, a + " x"), (12, b + " y"), (20, c), (21, c), (5, ""), (20, c), (30, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert len(got) == len(rows)
+    assert found == {5: {5}, 9: {5}, 12: {5}, 20: {20}, 21: {20}, 30: {30}}
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

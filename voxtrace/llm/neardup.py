@@ -4,27 +4,31 @@ A document's shingle set is summarised by registers: the least of many hashes of
 as an exponential variable, on an exponentially spaced scale and cut to one byte. Registers of a
 union are the largest of both, and equal registers are the likelier the more two sets share.
 
-1. Documents with the same set form a class; one of them speaks for it.
-2. Bands of registers are hashed to buckets. In each bucket all members are paired with its
-   smallest member, not with each other; pairs are kept if the likelihood estimate from their
-   registers allows the threshold, and confirmed on the full sets. Links give components.
-3. In buckets that then hold several components, members are paired with one more member of
-   another component (``ROUNDS`` times).
-4. In buckets that still do, every member outside the largest component is held against all
-   members of other components: block by block inside tasks, by registers and, where they allow
-   the threshold, on the full sets. Only confirmed links leave a task. So every two different
-   sets that share a bucket are compared, unless they are linked already.
+1. Documents with the same set form a class; from here on classes are compared.
+2. Bands of registers are hashed to buckets. Each bucket has a lead, and each class is paired with
+   one lead, the one that it shares most buckets with. Pairs are kept if the likelihood estimate
+   from their registers allows the threshold, and confirmed on the full sets. Links give components.
+3. In buckets that then hold several components, classes are paired with one lead of another
+   component each, ``ROUNDS`` times.
+4. In buckets that still do, every class outside the largest component is held against all
+   classes of other components, block by block inside tasks, by registers. Pairs that these allow
+   are confirmed on the full sets; where a block has many more such pairs than classes, it is
+   confirmed inside tasks, and only links leave them. So every two classes that share a bucket
+   are compared, unless they are linked already.
 
 A pair at the threshold misses all buckets with a probability of at most ``MISS``.
 
 Defined results: null and empty texts, and those without words, have no shingles and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that share an id count as
-linked; a row with a null id links with nothing and is kept, with a null component.
+linked, whatever their texts; a row with a null id links with nothing and is kept, with a null
+component; an empty table gives an empty one; other columns are not looked at. A text of any
+length counts whole: a task holds its words and its set, and a pair in a task both sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,7 @@ from voxtrace.llm.textblocks import (
     word_hashes,
     word_spans,
 )
+from voxtrace.operators.ordered import salted_lookup
 from voxtrace.session import stage
 
 REGISTERS = 320
@@ -50,10 +55,14 @@ BASE, RATE, TOP = 1.1, 20.0, 255
 MISS = 1e-6
 #: Standard deviations of the estimate by which it may fall short of the threshold.
 SLACK = 5.0
-#: Further members that those of other components in a bucket are paired with, one by one.
-ROUNDS = 1
+#: Rounds in which each class is paired with one lead of another component.
+ROUNDS = 2
 #: Members of a bucket that meet in one task: at most about so many from either side.
 BLOCK = 512
+#: Likely pairs of two blocks, for each of their members, beyond which tasks confirm them inside.
+DENSE = 4
+#: Rows that a task gathers before it compares registers, and pairs compared at a time.
+SCAN_ROWS, SCAN_PAIRS = 1 << 12, 1 << 15
 #: Links in one file of a round's table, about.
 LINKS_PER_FILE = 200_000
 #: Ids (8 bytes each) up to which the documents to confirm are looked up by broadcast.
@@ -114,6 +123,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield lo + k, elements
 
 
+def _set_hashes(elements: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums over a set's hashes, which name it."""
+    return mixed(elements).sum(dtype=np.uint64), mixed(elements ^ _SECOND).sum(dtype=np.uint64)
+
+
 def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set (set_a, set_b) and its registers."""
 
@@ -122,8 +136,9 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
             sizes, a, b, found = [], [], [], []
             for _, own in _sets(batch, width):
                 sizes.append(len(own))
-                a.append(mixed(own).sum(dtype=np.uint64))
-                b.append(mixed(own ^ _SECOND).sum(dtype=np.uint64))
+                one, two = _set_hashes(own)
+                a.append(one)
+                b.append(two)
                 found.append(registers(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,7 +155,7 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(speakers: DataFrame, rows: int) -> DataFrame:
-    """(bucket, band, id): one row for each band of each document."""
+    """(bucket, band, id): one row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = REGISTERS // rows
@@ -154,13 +169,13 @@ def _buckets(speakers: DataFrame, rows: int) -> DataFrame:
             for lo in range(0, len(packed), 1024):
                 part = mixed(values[lo : lo + 1024, : bands * rows].astype(np.uint64) + np.uint64(1))
                 key = mixed((part.reshape(-1, bands, rows) * weights).sum(2, dtype=np.uint64) + names)
-                ids = np.repeat(batch.column("doc_id").to_numpy()[lo : lo + 1024], bands)
+                ids = np.repeat(batch.column("id").to_numpy()[lo : lo + 1024], bands)
                 band = np.tile(np.arange(bands, dtype=np.int32), len(part))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(ids)], ["bucket", "band", "id"]
                 )
 
-    return speakers.select("doc_id", "registers").mapInArrow(run, "bucket long, band int, id long")
+    return speakers.select("id", "registers").mapInArrow(run, "bucket long, band int, id long")
 
 
 def connected(links: DataFrame, name: str) -> DataFrame:
@@ -196,19 +211,30 @@ def connected(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _one_lead(met: DataFrame) -> DataFrame:
+    """Pairs (a, b): each ``id`` with the ``lead`` that it meets in most buckets."""
+    shared = met.groupBy("id", "lead").agg(F.count("*").alias("n"))
+    chosen = shared.groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    return chosen.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
 class _Confirmer:
-    """Keeps pairs (a, b) that reach the threshold, by estimate and then on the full sets."""
+    """Keeps pairs (a, b) of classes that reach the threshold, by estimate and then on the full sets.
+
+    ``speakers``: id, doc_id, set_a, set_b, n_shingles, registers; one row a class.
+    """
 
     def __init__(self, documents: DataFrame, speakers: DataFrame, width: int, percent: int):
         self.documents, self.speakers = documents, speakers
         self.width, self.percent = width, percent
+        lowest = percent / 100
+        self.lowest = lowest - SLACK * np.sqrt(lowest * (1 - lowest) / REGISTERS)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        own = self.speakers.select("doc_id", "n_shingles", "registers")
+        own = self.speakers.select("id", "n_shingles", "registers")
         first = own.toDF("a", "n", "x")
         second = own.toDF("b", "m", "y")
-        lowest = self.percent / 100
-        lowest -= SLACK * np.sqrt(lowest * (1 - lowest) / REGISTERS)
+        lowest = self.lowest
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,26 +255,40 @@ class _Confirmer:
         return sized.mapInArrow(run, "a long, b long")
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        """(doc_id, elements): full sets of the documents in ``needed`` (doc_id)."""
+        """(id, elements): full sets of the classes in ``needed`` (id), from the text of one document each."""
         width = self.width
-        needed = stage(needed.distinct(), "neardup_needed")
-        if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        needed = self.speakers.select("id", "doc_id", "set_a", "set_b").join(needed.distinct(), "id")
+        needed = stage(needed, "neardup_needed")
+        asked = needed.count()
+        if asked <= BROADCAST_ROWS:
             needed = F.broadcast(needed)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [own.tobytes() for _, own in _sets(batch, width)]
+                found, own = [], []
+                a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("set_a", "set_b"))
+                for k, elements in _sets(batch, width):
+                    # of texts that share an id, those of other classes are left out
+                    fits = _set_hashes(elements) == (a[k], b[k])
+                    own.append(fits)
+                    if fits:
+                        found.append(elements.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "elements"]
+                    [batch.column("id").filter(pa.array(own, pa.bool_())), pa.array(found, pa.binary())], ["id", "elements"]
                 )
 
-        own = self.documents.join(needed, "doc_id").mapInArrow(run, "doc_id long, elements binary")
-        return stage(own, "neardup_sets")
+        own = self.documents.join(needed, "doc_id").mapInArrow(run, "id long, elements binary")
+        found = stage(own, "neardup_sets")
+        # rows that repeat an id and its text give a set more than once
+        return stage(found.dropDuplicates(["id"]), "neardup_sets") if found.count() > asked else found
 
     def links(self, pairs: DataFrame) -> DataFrame:
+        return self.confirmed(self.likely(pairs))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        pairs = stage(self.likely(pairs), "neardup_likely")
-        own = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        pairs = stage(pairs, "neardup_likely")
+        own = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,16 +302,11 @@ class _Confirmer:
         joined = pairs.join(own.toDF("b", "y"), "b").join(own.toDF("a", "x"), "a")
         return joined.mapInArrow(confirm, "a long, b long")
 
-
     def links_across(self, now: DataFrame, rows: int) -> DataFrame:
         """Links between components in the buckets of ``now`` (bucket, band, id, component).
 
-        A pair that shares several buckets is compared in the first band they share only. One
-        link of a member to a component is enough for each task.
+        A pair that shares several buckets is compared in the first band they share only.
         """
-        percent = self.percent
-        lowest = percent / 100
-        lowest -= SLACK * np.sqrt(lowest * (1 - lowest) / REGISTERS)
         parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         facts = (
             parts.groupBy("bucket")
@@ -289,19 +324,40 @@ class _Confirmer:
             )
         )
         rest = stage(now.join(facts, "bucket"), "neardup_rest")
-        full = self.sets(rest.select(F.col("id").alias("doc_id")))
-        own = self.speakers.select("doc_id", "registers", "n_shingles").join(full, "doc_id").withColumnRenamed("doc_id", "id")
 
-        def placed(df: DataFrame, mine: str, count: str, other: str, others: str) -> DataFrame:
+        def placed(df: DataFrame, mine: str, count: str, other: str, others: str, side: int) -> DataFrame:
             block = F.pmod(F.xxhash64(F.lit(mine), "id"), F.col(count)).cast("int")
             spread = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
             out = df.withColumn(mine, block).withColumn(other, spread)
-            met = out.select("bucket", "band", "main", "id", "component", "i", "j").join(own, "id")
-            # columns of their own, since both sides come from the same tables
-            return met.select(*[F.col(c).alias(c) for c in met.columns])
+            return out.select("bucket", "i", "j", F.lit(side).alias("side"), "band", "main", "id", "component")
 
-        left = placed(rest.where("component <> main"), "i", "outer", "j", "blocks")
-        right = placed(rest, "j", "blocks", "i", "outer")
+        met = placed(rest.where("component <> main"), "i", "outer", "j", "blocks", 0).unionByName(
+            placed(rest, "j", "blocks", "i", "outer", 1)
+        )
+        own = self.speakers.select("id", "n_shingles", "registers")
+        keys = ["bucket", "i", "j"]
+        sorted_rows = met.join(own, "id").repartition(*keys).sortWithinPartitions(*keys, "side")
+        scan = partial(_scan_blocks, rows=rows, percent=self.percent, lowest=self.lowest, dense=DENSE)
+        found = stage(sorted_rows.mapInArrow(scan, "a long, b long, bucket long, i int, j int"), "neardup_across")
+        links = self.confirmed(found.where("a is not null").select("a", "b").distinct())
+        dense = found.where("a is null").select(*keys)
+        if dense.isEmpty():
+            return links
+        return links.unionByName(self._links_inside(met.join(dense, keys), rows)).distinct()
+
+    def _links_inside(self, met: DataFrame, rows: int) -> DataFrame:
+        """Links of blocks with too many likely pairs, confirmed where the blocks meet.
+
+        One link of a member to a component is enough for each task.
+        """
+        percent, lowest = self.percent, self.lowest
+        met = stage(met, "neardup_dense")
+        full = self.sets(met.select("id"))
+        own = self.speakers.select("id", "registers", "n_shingles").join(full, "id")
+        whole = met.join(own, "id")
+        left, right = (
+            whole.where(F.col("side") == k).select(*[F.col(c).alias(c) for c in whole.columns]) for k in (0, 1)
+        )
 
         def confirm(outside: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             found = []
@@ -348,6 +404,84 @@ class _Confirmer:
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(confirm, "a long, b long").distinct()
 
 
+def _scan_blocks(
+    batches: Iterator[pa.RecordBatch], rows: int, percent: int, lowest: float, dense: float
+) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j, side) become likely pairs, or one row for a dense block."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        for lo in range(0, len(batch), SCAN_ROWS):
+            held.append(batch.slice(lo, SCAN_ROWS))
+            count += len(held[-1])
+            if count < SCAN_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            group = _group_starts(table)
+            if group[-1]:
+                yield _likely_in_blocks(table.slice(0, group[-1]), rows, percent, lowest, dense)
+                held = table.take(np.arange(group[-1], len(table))).to_batches()
+                count = sum(map(len, held))
+    if count:
+        yield _likely_in_blocks(pa.Table.from_batches(held), rows, percent, lowest, dense)
+
+
+def _group_starts(table: pa.Table) -> np.ndarray:
+    bucket, i, j = (table.column(c).to_numpy() for c in ("bucket", "i", "j"))
+    change = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _likely_in_blocks(table: pa.Table, rows: int, percent: int, lowest: float, dense: float) -> pa.RecordBatch:
+    starts = _group_starts(table)
+    ends = np.append(starts[1:], len(table))
+    ids, owner, main, band, side = (table.column(c).to_numpy() for c in ("id", "component", "main", "band", "side"))
+    size = table.column("n_shingles").to_numpy().astype(float)
+    values = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    outside = np.flatnonzero(side == 0)
+    # members of a group follow those outside its largest component
+    first = ends - np.bincount(group[side == 1], minlength=len(starts))
+    many = (ends - first)[group[outside]]
+    found_p, found_q = [], []
+    upto = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    while lo < len(outside):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + SCAN_PAIRS, "right")) - 1)
+        p = np.repeat(outside[lo:hi], many[lo:hi])
+        q = np.repeat(first[group[outside[lo:hi]]], many[lo:hi]) + np.arange(len(p)) - np.repeat(
+            upto[lo:hi] - upto[lo], many[lo:hi]
+        )
+        good = (owner[p] != owner[q]) & ((owner[q] == main[q]) | (ids[q] > ids[p]))
+        good &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+        p, q = p[good], q[good]
+        same = values[p] == values[q]
+        near = same.sum(1) >= REGISTERS * (lowest - 0.05)
+        p, q, same = p[near], q[near], same[near]
+        # the band of the bucket is the first that both share
+        bands = REGISTERS // rows
+        whole = same[:, : bands * rows].reshape(len(p), bands, rows).all(2)
+        new = whole.argmax(1) == band[p]
+        p, q = p[new], q[new]
+        if len(p):
+            likely = jaccard_estimate(values[p], values[q], size[p], size[q]) >= lowest
+            found_p.append(p[likely])
+            found_q.append(q[likely])
+        lo = hi
+    p = np.concatenate(found_p) if found_p else np.zeros(0, np.int64)
+    q = np.concatenate(found_q) if found_q else np.zeros(0, np.int64)
+    crowded = np.bincount(group[p], minlength=len(starts)) > dense * (ends - starts)
+    sparse = ~crowded[group[p]]
+    p, q = p[sparse], q[sparse]
+    blocks = starts[crowded]
+    none, missing = np.zeros(len(blocks), np.int64), np.repeat([False, True], [len(p), len(blocks)])
+    a = pa.array(np.concatenate([np.minimum(ids[p], ids[q]), none]), mask=missing)
+    b = pa.array(np.concatenate([np.maximum(ids[p], ids[q]), none]), mask=missing)
+    at = np.concatenate([p, blocks])
+    columns = [table.column(c).to_numpy()[at] for c in ("bucket", "i", "j")]
+    return pa.RecordBatch.from_arrays([a, b, *map(pa.array, columns)], ["a", "b", "bucket", "i", "j"])
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text).
 
@@ -357,57 +491,65 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = stage(sketches(documents, width), "neardup_sketches")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = drawn.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("speaker"))
-    members = stage(
-        drawn.drop("registers").join(classes, key, "left").select("doc_id", "n_shingles", "speaker"),
-        "neardup_members",
+    comparable = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stage(
+        comparable.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()),
+        "neardup_classes",
     )
-    ones = members.where("doc_id = speaker").select("doc_id").distinct()
+    # a set that a third of all documents share is looked up in parts
+    of_class = salted_lookup(comparable.drop("registers"), classes, key, ["doc_id"])
+    members = stage(of_class.select("doc_id", "n_shingles", "id", *key[:2], "least"), "neardup_members")
+    heads = members.where("doc_id = least").select("doc_id", "id", *key).distinct()
     speakers = stage(
-        drawn.where("n_shingles > 0").join(ones, "doc_id").dropDuplicates(["doc_id"]), "neardup_speakers"
+        comparable.join(heads, ["doc_id", *key]).dropDuplicates(["id"]), "neardup_speakers"
     )
     rows = band_rows(percent / 100)
     placed = _buckets(speakers, rows)
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    placed = stage(placed.join(shared.select("bucket", "least"), "bucket").distinct(), "neardup_buckets")
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("most")).where("lead < most")
+    placed = stage(placed.join(shared.select("bucket", "lead"), "bucket").distinct(), "neardup_buckets")
 
     confirmer = _Confirmer(documents, speakers, width, percent)
-    # rows with one id and different sets hang together from the start
-    links = members.where("doc_id <> speaker").select(F.col("doc_id").alias("a"), F.col("speaker").alias("b"))
-    # each bucket's members with its smallest; the same pair of several buckets counts once
-    pairs = (
-        placed.where("id <> least")
-        .select(F.col("least").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    links = stage(links.unionByName(confirmer.links(pairs)), "neardup_links")
+    # classes that share an id hang together from the start
+    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most")
+    tied = members.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    found = confirmer.links(_one_lead(placed.where("id <> lead").select("id", "lead")))
+    links = stage(tied.unionByName(found).distinct(), "neardup_links")
     component = connected(links, "neardup_rounds")
+    placed = placed.drop("lead")
     for step in range(ROUNDS + 1):
         now = placed.join(component.select("id", "component"), "id", "left").withColumn(
             "component", F.coalesce("component", "id")
         )
         if step < ROUNDS:
-            several = (
+            mixed_buckets = (
                 now.groupBy("bucket")
                 .agg(
                     F.min("component").alias("low"),
                     F.max("component").alias("high"),
-                    F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(step), "id")).alias("lead"),
+                    F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(step), "id")).alias("head"),
                 )
                 .where("low < high")
             )
-            pairs = now.join(several, "bucket").where(F.col("component") != F.col("lead.component"))
-            found = confirmer.links(
-                pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-            )
+            met = now.join(mixed_buckets, "bucket").where(F.col("component") != F.col("head.component"))
+            found = confirmer.links(_one_lead(met.select("id", F.col("head.id").alias("lead"))))
         else:
             found = confirmer.links_across(now, rows)
         found = stage(found, "neardup_links")
         if not found.isEmpty():
             links = links.unionByName(found)
             component = connected(links, "neardup_rounds")
-    result = members.join(component.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return result.select(
-        "doc_id", "n_shingles", linked.alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # the smallest document of all classes of a component
+    linked = component.join(classes.select("id", "least"), "id")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(least, "component").select("id", "component_id")
+    own = members.join(named, "id", "left_anti").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    rest = drawn.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+    )
+    result = (
+        salted_lookup(members, named, ["id"], ["doc_id"])
+        .select("doc_id", "n_shingles", "component_id")
+        .unionByName(own)
+        .unionByName(rest)
+    )
+    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
