@@ -33,7 +33,7 @@ def file_inventory(spark, sf_dir):
 
 
 def inventory_totals(spark, sf_dir):
-    return catalog.inventory_totals(_pages(spark, sf_dir), [".html"], max_entries=20)
+    return catalog.inventory_totals(_pages(spark, sf_dir), [".html"])
 
 
 def _slice_files(spark, sf_dir):
@@ -119,11 +119,10 @@ ORACLES = {
       SELECT name, path, lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1)) AS extension,
         length(regexp_replace(path, '[^/]', '', 'g')) AS depth, size AS bytes,
         round(size / 1048576, 6) AS megabytes FROM named""",
-    "inventory_totals": f"""WITH {PAGES}, m AS (SELECT * FROM named WHERE name LIKE '_%.html'),
-      listed AS (SELECT * FROM m ORDER BY path, size LIMIT 20)
+    "inventory_totals": f"""WITH {PAGES}, m AS (SELECT * FROM named WHERE name LIKE '_%.html')
       SELECT count(*) AS files, sum(size)::BIGINT AS bytes,
         count(DISTINCT lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1))) AS extensions,
-        count(*) < (SELECT count(*) FROM m) AS truncated FROM listed""",
+        false AS truncated FROM m""",
     "slice_order": """WITH f AS (SELECT DISTINCT s_nationkey::BIGINT AS folder,
         CASE s_nationkey WHEN 3 THEN regexp_replace(s_name, '[0-9]', 'x', 'g')
           WHEN 5 THEN 'v' || s_suppkey || '_1' ELSE s_name END || '.tif' AS name FROM supplier),
