@@ -65,6 +65,29 @@ def test_conditions(mixed):
             audit.conditional_counts(mixed, bad)
 
 
+def test_conditions_as_written(spark):
+    df = spark.createDataFrame([(1.0, "a", True), (5.0, "b", False), (None, "7", None)], "`Volume [um3]` double, g string, `is ok` boolean")
+    given = [
+        "volume um3 >= 2", "g != '7'", "is_ok == true", {"column": "VOLUME_UM3", "gt": 0, "lt": 5, "name": "v"},
+        {"column": "g", "op": "EQ", "value": "a"}, Condition("plain", "g", "==", "b"),
+    ]
+    counts = {r["name"]: (r["count"], r["valid_count"]) for r in audit.count_conditions(df, given).collect()}
+    assert counts == {
+        "volume um3 >= 2": (1, 2), "g != '7'": (2, 3), "is_ok == true": (1, 2), "v > 0": (2, 2), "v < 5": (1, 2),
+        "g == a": (1, 3), "plain": (1, 3),
+    }
+    chosen = audit.parse_conditions({"a>=-2": True, "b < 3": False, "c<=x y": 1})
+    assert [(c.column, c.op, c.value) for c in chosen] == [("a", ">=", -2), ("c", "<=", "x y")]
+    assert audit.count_conditions(df, None).count() == 0
+    twice = spark.createDataFrame([(1, 2)], "`a b` int, ab int")
+    for frame, bad in (
+        (df, ["volume"]), (df, ["> 5"]), (df, ["g >"]), (df, ["zz > 1"]), (twice, ["A_B > 1"]), (df, [{"gt": 1}]),
+        (df, [{"column": "g", "op": "like", "value": "a"}]), (df, [{"column": "g"}]), (df, [5]),
+    ):
+        with pytest.raises(ValueError):
+            audit.count_conditions(frame, bad)
+
+
 def test_preview_turns_infinity_into_null(spark):
     df = spark.createDataFrame([(2, float("inf")), (1, 4.0), (3, float("nan"))], "k int, v double")
     assert [r["v"] for r in audit.preview(df, ["k"], 3).collect()] == [4.0, None, None]

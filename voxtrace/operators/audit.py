@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,6 +261,97 @@ def conditional_counts(df: DataFrame, conditions: Sequence[Condition]) -> DataFr
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+# The shorthand keys of a threshold.
+THRESHOLDS = ("gt", "gte", "ge", "lt", "lte", "le", "eq", "ne", "neq")
+
+
+def _literal(text: str) -> object:
+    """The value a text names: a boolean, quoted text, a number, else the text itself."""
+    text = text.strip()
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            continue
+    return text
+
+
+def _from_text(text: str) -> Condition:
+    text = text.strip()
+    # the column is at least one character, so an operator is looked for behind it
+    found = re.compile("[<>=!]=|[<>]").search(text, 1)
+    if found is None or not text[found.end() :].strip():
+        raise ValueError(f"{text!r} is no condition like 'Volume >= 50'")
+    return Condition(text, text[: found.start()].strip(), found.group(), _literal(text[found.end() :]))
+
+
+def parse_conditions(given: Sequence[object] | Mapping[str, object] | None) -> list[Condition]:
+    """Conditions from what a user may write.
+
+    ``given`` is a list of texts ("Volume >= 50"), of mappings with column, operator (or op) and
+    value, of mappings with a column and thresholds (``{"column": c, "gt": 5, "lt": 9}``, each a
+    condition of its own) and of conditions; or one mapping from texts to whether they are wanted.
+    """
+    if given is None:
+        return []
+    if isinstance(given, Mapping):
+        return [_from_text(str(text)) for text, wanted in given.items() if wanted]
+    conditions = []
+    for item in given:
+        if isinstance(item, Condition):
+            conditions.append(item)
+        elif isinstance(item, str):
+            conditions.append(_from_text(item))
+        elif not isinstance(item, Mapping) or "column" not in item:
+            raise ValueError(f"A condition needs a column: {item!r}")
+        else:
+            column, name = str(item["column"]), item.get("name")
+            limits = [(key, item[key]) for key in THRESHOLDS if key in item]
+            for key, value in limits:
+                op = ALIASES[key]
+                first = name.strip() if isinstance(name, str) and name.strip() else column
+                conditions.append(Condition(f"{first} {op} {value}", column, op, value))
+            if limits:
+                continue
+            op = item.get("operator", item.get("op"))
+            if op is None or "value" not in item:
+                raise ValueError(f"A condition needs an operator and a value: {item!r}")
+            op = ALIASES.get(str(op).strip().lower(), str(op).strip())
+            conditions.append(Condition(name or f"{column} {op} {item['value']}", column, op, item["value"]))
+    unknown = sorted({c.op for c in conditions} - {*COMPARISONS, *ALIASES})
+    if unknown:
+        raise ValueError(f"Unknown comparisons: {unknown}")
+    return conditions
+
+
+def find_column(df: DataFrame, wanted: str) -> str:
+    """The column of this name, else the only one alike in letters (of any case) and digits."""
+    if wanted in df.columns:
+        return wanted
+
+    def bare(name: str) -> str:
+        return re.sub("[^a-z0-9]", "", name.lower())
+
+    alike = [c for c in df.columns if bare(c) == bare(wanted)]
+    if len(alike) != 1:
+        raise ValueError(f"{wanted!r} names {'several columns: ' + ', '.join(alike) if alike else 'no column'}")
+    return alike[0]
+
+
+def count_conditions(df: DataFrame, given: Sequence[object] | Mapping[str, object] | None) -> DataFrame:
+    """``conditional_counts`` of conditions as a user writes them, on the columns they mean."""
+    conditions = [replace(c, column=find_column(df, c.column)) for c in parse_conditions(given)]
+    if not conditions:
+        return df.sparkSession.createDataFrame(
+            [], "name string, count long, valid_count long, missing_excluded long, fraction double"
+        )
+    return conditional_counts(df, conditions)
+
+
 def preview(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """First n rows in key order; non-finite numbers become null."""
     if n < 0:

@@ -76,6 +76,19 @@ def cond_counts(spark, sf_dir):
     )
 
 
+def text_conditions(spark, sf_dir):
+    """Conditions as texts, thresholds and aliases, with columns named loosely."""
+    given = [
+        "L Quantity > 25",
+        "l_linestatus == 'F'",
+        {"column": "l-tax", "gte": 0.05, "lt": 0.02},
+        {"name": "discount", "column": "l_discount", "le": 0.03},
+        {"column": "l_returnflag", "op": "not_equal", "value": "R"},
+    ]
+    counts = audit.count_conditions(lineitem_with_missing(spark, sf_dir), given)
+    return round_columns(counts, {"fraction": 6})
+
+
 def preview(spark, sf_dir):
     return audit.preview(
         table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
@@ -156,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         src_csv_infer, audit_structure, audit_missing, col_aggs, col_std_pop, group_aggs,
-        cond_counts, preview, numeric_summary, feature_summary, two_level_stats, list_stats,
+        cond_counts, text_conditions, preview, numeric_summary, feature_summary, two_level_stats, list_stats,
         scalar_math, ci95,
     )
 }
@@ -251,6 +264,17 @@ ORACLES = {
             _condition("not_open", "l_linestatus", "l_linestatus <> 'O'"),
         ]
     ),
+    "text_conditions": f"WITH {MISSING} "
+    + " UNION ALL ".join(
+        [
+            _condition("L Quantity > 25", "l_quantity", "l_quantity > 25"),
+            _condition("l_linestatus == ''F''", "l_linestatus", "l_linestatus = 'F'"),
+            _condition("l-tax >= 0.05", "l_tax", "l_tax >= 0.05::DOUBLE"),
+            _condition("l-tax < 0.02", "l_tax", "l_tax < 0.02::DOUBLE"),
+            _condition("discount <= 0.03", "l_discount", "l_discount <= 0.03::DOUBLE"),
+            _condition("l_returnflag != R", "l_returnflag", "l_returnflag <> 'R'"),
+        ]
+    ),
     "preview": """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
       ORDER BY o_orderkey LIMIT 20""",
     "numeric_summary": "WITH texts AS (SELECT "
