@@ -96,6 +96,158 @@ def latest_runs(tasks: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+# The columns of a status row, and the fields of a task that may hold its variant's path.
+STATUS_COLUMNS = (
+    "rerun_status", "run_completion_status", "judge_outcome", "task_id", "source_task_id", "question",
+    "variant_path", "latest_batch", "latest_run_folder", "latest_judge_status", "latest_result_status",
+    "latest_judge_raw_score_1_to_5", "latest_judge_pass_threshold_1_to_5", "latest_result_score_label",
+    "latest_result_score_percentage", "present_run_count", "completed_run_count", "latest_completed_batch",
+    "latest_completed_run_folder", "proof", "latest_run_dir", "latest_completed_run_dir",
+)
+VARIANT_FIELDS = (
+    "volume_relative_path", "dataset_relative_path", "volume_relative_path_variant", "dataset_relative_path_variant",
+)
+
+
+def _shown(value: Column, text: bool) -> Column:
+    """A value as it stands in a proof: texts in quotes, numbers bare, a missing one as None."""
+    if text:
+        plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+        double = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+        quoted = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        value = F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(quoted)
+    return F.coalesce(value.cast("string"), F.lit("None"))
+
+
+def compact(text: Column, limit: int = 220) -> Column:
+    """One line with single spaces, cut to ``limit`` characters with dots at the end; null is empty."""
+    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit - 3), F.lit("...")))
+
+
+def run_proof(runs: DataFrame) -> Column:
+    """What the two files of a run say, as one text."""
+    texts = {f.name for f in runs.schema if f.dataType.typeName() == "string"}
+
+    def part(label: str, column: str, always: bool = False) -> Column:
+        shown = F.concat(F.lit(f"{label}="), _shown(F.col(column), column in texts))
+        return shown if always else F.when(F.col(column).isNotNull(), shown)
+
+    judge, result = "judge_response.json", "result.json"
+    error = F.concat(
+        F.coalesce("first_error.type", F.lit("error")), F.lit(": "), F.coalesce("first_error.message", F.lit(""))
+    )
+    judged = F.concat_ws(
+        " | ",
+        part(f"{judge}.status", "judge_status", True),
+        part(f"{judge}.raw_score_1_to_5", "judge_score"),
+        part(f"{judge}.pass_threshold_1_to_5", "judge_threshold"),
+    )
+    finished = F.concat_ws(
+        " | ",
+        part(f"{result}.status", "result_status", True),
+        part(f"{result}.score.label", "score_label"),
+        part(f"{result}.score.percentage", "score_percentage"),
+        F.when(F.col("first_error").isNotNull(), F.concat(F.lit(f"{result}.errors[0]="), compact(error))),
+    )
+    return F.concat_ws(
+        " | ",
+        F.when(F.col("judge_error").isNull(), judged).otherwise(F.concat(F.lit(f"{judge}="), "judge_error")),
+        F.when(F.col("result_error").isNull(), finished).otherwise(F.concat(F.lit(f"{result}="), "result_error")),
+    )
+
+
+def status_rows(tasks: DataFrame, runs: DataFrame, specification: str = "tasks") -> DataFrame:
+    """One row per specified task: its latest run, its latest completed run, counts and the proof.
+
+    ``tasks``: id and, if known, source_task_id, question and any of ``VARIANT_FIELDS``. ``runs``: task_id, batch,
+    run_folder, run_dir, has_summary, judge_error and result_error (null if the file could be read, else "missing" or
+    what is wrong), judge_status, judge_score, judge_threshold, result_status, score_label, score_percentage,
+    first_error (type, message; null if there is none) and, if known, modified. Values of a file that could
+    not be read count as missing; runs without a task take no part; missing values are empty texts.
+
+    Runs are reduced by partial maxima of (batch time, modification time, folder), so neither a task with
+    very many runs nor their texts are gathered: the texts of a run travel with a maximum of each task only.
+    """
+    of_file = {
+        "judge_error": ("judge_status", "judge_score", "judge_threshold"),
+        "result_error": ("result_status", "score_label", "score_percentage", "first_error"),
+    }
+    for error, columns in of_file.items():
+        runs = runs.withColumns({c: F.when(F.col(error).isNull(), F.col(c)) for c in columns})
+    modified = F.col("modified") if "modified" in runs.columns else F.lit(0.0)
+    readable = F.when(F.col("result_error").isNull(), F.coalesce("result_status", F.lit("")))
+    judge_file = F.coalesce(F.col("judge_error") != "missing", F.lit(True))
+    completion = completion_status(readable, F.coalesce("has_summary", F.lit(False)), judge_file)
+    records = runs.where(F.coalesce("task_id", F.lit("")) != "").select(
+        "task_id",
+        completion.alias("completion"),
+        F.struct(
+            batch_time(F.col("batch")).alias("at"), F.coalesce(modified.cast("double"), F.lit(0.0)).alias("modified"),
+            "run_folder", "run_dir", "batch",
+        ).alias("place"),
+        F.struct(
+            judge_outcome(F.col("judge_status")).alias("outcome"), "judge_status", "result_status",
+            F.col("judge_score").cast("string").alias("judge_score"),
+            F.col("judge_threshold").cast("string").alias("judge_threshold"),
+            "score_label", F.col("score_percentage").cast("string").alias("score_percentage"),
+            run_proof(runs).alias("proof"), completion.alias("completion"),
+        ).alias("facts"),
+    )
+    done = F.col("completion") == "run_completed"
+    newest = records.groupBy("task_id").agg(
+        F.max(F.struct("place", "facts")).alias("_last"),
+        F.max(F.when(done, F.col("place"))).alias("_done"),
+        F.count("*").alias("_present"),
+        F.count_if(done).alias("_completed"),
+    )
+
+    def given(column: str, otherwise: Column) -> Column:
+        return F.coalesce(F.col(column).cast("string"), otherwise) if column in tasks.columns else otherwise
+
+    empty = F.lit("")
+    variants = [
+        F.col(c) for c in VARIANT_FIELDS if c in tasks.columns and tasks.schema[c].dataType.typeName() == "string"
+    ]
+    wanted = tasks.select(
+        F.col("id").cast("string").alias("task_id"),
+        given("source_task_id", F.col("id").cast("string")).alias("source_task_id"),
+        given("question", empty).alias("question"),
+        F.coalesce(*variants, empty).alias("variant_path"),
+    )
+    found, missing = F.col("_last.facts"), F.lit("missing_run")
+    last, completed = F.col("_last.place"), F.col("_done")
+    none = F.lit(f"No present run folder matched this expanded {specification}.json task_id.")
+    completion = found["completion"]
+    values = {
+        "rerun_status": F.when(completion == "run_completed", "passed").otherwise(F.coalesce(completion, missing)),
+        "run_completion_status": F.coalesce(completion, missing),
+        "judge_outcome": F.coalesce(found["outcome"], F.lit("judge_unavailable")),
+        "latest_batch": last["batch"],
+        "latest_run_folder": last["run_folder"],
+        "latest_judge_status": found["judge_status"],
+        "latest_result_status": found["result_status"],
+        "latest_judge_raw_score_1_to_5": found["judge_score"],
+        "latest_judge_pass_threshold_1_to_5": found["judge_threshold"],
+        "latest_result_score_label": found["score_label"],
+        "latest_result_score_percentage": found["score_percentage"],
+        "present_run_count": F.coalesce("_present", F.lit(0).cast("bigint")),
+        "completed_run_count": F.coalesce("_completed", F.lit(0).cast("bigint")),
+        "latest_completed_batch": completed["batch"],
+        "latest_completed_run_folder": completed["run_folder"],
+        "proof": F.coalesce(found["proof"], none),
+        "latest_run_dir": last["run_dir"],
+        "latest_completed_run_dir": completed["run_dir"],
+    }
+    counts = ("present_run_count", "completed_run_count")
+    return wanted.join(newest, "task_id", "left").select(
+        *[
+            (values[c] if c in counts else F.coalesce(values.get(c, F.col(c)), empty)).alias(c)
+            for c in STATUS_COLUMNS
+        ]
+    )
+
+
 def status_pivot(latest: DataFrame, source: str) -> DataFrame:
     """passed, run_error, missing_run and total per source."""
     names = ["passed", "run_error", "missing_run"]

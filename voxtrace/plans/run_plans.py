@@ -73,6 +73,30 @@ def latest_run(spark, sf_dir):
     return run_ops.latest_runs(_tasks(spark, sf_dir), _runs(spark, sf_dir)).drop("source_id")
 
 
+def status_rows(spark, sf_dir):
+    """Status of each customer's orders as runs, with the files they left."""
+    runs = order_runs(spark, sf_dir).selectExpr(
+        "cast(task_id AS string) AS task_id",
+        "concat('bench_', date_format(batch_time, 'dd-MM-yyyy_HH-mm-ss')) AS batch",
+        "concat(run_id, '_', task_id, '_run-', lower(hex(run_id))) AS run_folder",
+        "CASE WHEN run_id % 7 = 0 THEN 'missing' END AS judge_error",
+        "status AS judge_status",
+        "run_id % 5 + 1 AS judge_score",
+        "CASE WHEN run_id % 3 > 0 THEN 4 END AS judge_threshold",
+        "CASE WHEN run_id % 11 = 0 THEN 'missing' END AS result_error",
+        "CASE WHEN run_id % 4 > 0 THEN status END AS result_status",
+        "CASE WHEN status <> 'error' THEN concat(run_id % 14, '/13') END AS score_label",
+        "CASE WHEN status = 'passed' THEN run_id % 101 END AS score_percentage",
+        "CASE WHEN status = 'error' THEN named_struct('type', 'Timeout', 'message', concat('run  ', run_id, '\\nended')) END AS first_error",
+        "run_id % 2 = 0 AS has_summary",
+    )
+    tasks = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "c_name AS question", "CASE WHEN c_nationkey < 10 THEN c_mktsegment END AS volume_relative_path"
+    )
+    runs = runs.withColumn("run_dir", F.concat_ws("/", "batch", "run_folder"))
+    return run_ops.status_rows(tasks, runs, "customers")
+
+
 def completion(spark, sf_dir):
     status = F.col("o_orderstatus")
     result = F.when(status == "F", "passed").when(
@@ -230,7 +254,7 @@ def bounded_err(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        score_rollup, score_sink, task_status, batch_summary, latest_run, completion,
+        score_rollup, score_sink, task_status, batch_summary, latest_run, status_rows, completion,
         batch_folders, status_pivot, plan_runs, index_refresh, index_results, selectors,
         score_fallback, bench_agg, macro_mean, pooled, bounded_err,
     )
@@ -295,6 +319,42 @@ ORACLES = {
         sum(e)::BIGINT || '/' || sum(m)::BIGINT AS label FROM t GROUP BY batch""",
     "latest_run": f"""WITH {LATEST} SELECT task_id, latest_run, latest_completed_run, run_completion_status, rerun_status,
       present_runs, completed_runs FROM latest_status""",
+    "status_rows": f"""WITH {RUNS}, r AS (SELECT task_id, run_id, batch_time, status,
+        'bench_' || strftime(batch_time, '%d-%m-%Y_%H-%M-%S') AS batch,
+        run_id || '_' || task_id || '_run-' || lower(to_hex(run_id)) AS folder, run_id % 7 > 0 AS judged,
+        run_id % 11 > 0 AS finished, CASE WHEN run_id % 4 > 0 AND run_id % 11 > 0 THEN status END AS result FROM runs),
+      d AS (SELECT *, batch || '/' || folder AS dir, CASE WHEN result IN ('passed', 'failed') THEN 'run_completed'
+          WHEN NOT finished OR result = 'error' THEN 'run_error'
+          WHEN run_id % 2 = 0 OR judged THEN 'run_completed' ELSE 'run_error' END AS done,
+        CASE WHEN judged THEN 'judge_response.json.status=''' || status || ''' | judge_response.json.raw_score_1_to_5=' || (run_id % 5 + 1)
+            || CASE WHEN run_id % 3 > 0 THEN ' | judge_response.json.pass_threshold_1_to_5=4' ELSE '' END
+          ELSE 'judge_response.json=missing' END || ' | ' ||
+        CASE WHEN finished THEN 'result.json.status=' || coalesce('''' || result || '''', 'None')
+            || CASE WHEN status <> 'error' THEN ' | result.json.score.label=''' || (run_id % 14) || '/13''' ELSE '' END
+            || CASE WHEN status = 'passed' THEN ' | result.json.score.percentage=' || (run_id % 101) ELSE '' END
+            || CASE WHEN status = 'error' THEN ' | result.json.errors[0]=Timeout: run ' || run_id || ' ended' ELSE '' END
+          ELSE 'result.json=missing' END AS proof FROM r),
+      n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY batch_time DESC, folder DESC) AS back,
+        row_number() OVER (PARTITION BY task_id, done ORDER BY batch_time DESC, folder DESC) AS done_back,
+        count(*) OVER (PARTITION BY task_id) AS present,
+        count(*) FILTER (done = 'run_completed') OVER (PARTITION BY task_id) AS completed FROM d),
+      l AS (SELECT * FROM n WHERE back = 1), c AS (SELECT * FROM n WHERE done = 'run_completed' AND done_back = 1)
+      SELECT coalesce(CASE l.done WHEN 'run_completed' THEN 'passed' ELSE l.done END, 'missing_run') AS rerun_status,
+        coalesce(l.done, 'missing_run') AS run_completion_status,
+        CASE WHEN l.judged AND l.status <> 'error' THEN 'judge_' || l.status ELSE 'judge_unavailable' END AS judge_outcome,
+        c_custkey::VARCHAR AS task_id, c_custkey::VARCHAR AS source_task_id, c_name AS question,
+        CASE WHEN c_nationkey < 10 THEN c_mktsegment ELSE '' END AS variant_path,
+        coalesce(l.batch, '') AS latest_batch, coalesce(l.folder, '') AS latest_run_folder,
+        CASE WHEN l.judged THEN l.status ELSE '' END AS latest_judge_status, coalesce(l.result, '') AS latest_result_status,
+        CASE WHEN l.judged THEN (l.run_id % 5 + 1)::VARCHAR ELSE '' END AS latest_judge_raw_score_1_to_5,
+        CASE WHEN l.judged AND l.run_id % 3 > 0 THEN '4' ELSE '' END AS latest_judge_pass_threshold_1_to_5,
+        CASE WHEN l.finished AND l.status <> 'error' THEN (l.run_id % 14) || '/13' ELSE '' END AS latest_result_score_label,
+        CASE WHEN l.finished AND l.status = 'passed' THEN (l.run_id % 101)::VARCHAR ELSE '' END AS latest_result_score_percentage,
+        coalesce(l.present, 0) AS present_run_count, coalesce(l.completed, 0) AS completed_run_count,
+        coalesce(c.batch, '') AS latest_completed_batch, coalesce(c.folder, '') AS latest_completed_run_folder,
+        coalesce(l.proof, 'No present run folder matched this expanded customers.json task_id.') AS proof,
+        coalesce(l.dir, '') AS latest_run_dir, coalesce(c.dir, '') AS latest_completed_run_dir
+      FROM customer LEFT JOIN l ON l.task_id = c_custkey LEFT JOIN c ON c.task_id = c_custkey""",
     "completion": """WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O'
           THEN CASE WHEN o_totalprice > 200000 THEN 'error' END ELSE 'skipped' END AS r,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'passed' WHEN '2-HIGH' THEN 'failed' WHEN '3-MEDIUM' THEN 'error' END AS j
