@@ -1,30 +1,32 @@
-"""Approximate nearest neighbours by inner product: a hash-prefix forest.
-
-A tree hashes every vector to a long string of bits, one for each random direction, and keeps
-the strings sorted. Vectors of the table are first brought to equal length by one more component,
-which is 0 for a query, scaled to the same length; so the largest inner product is the smallest
-angle, however uneven the lengths are. The sorted array of a tree is cut by its leading
-bits into cells, one task each; a cell that is still too large (many equal strings) is cut into
-salted parts. A query descends to its longest matching prefix in the cell of each tree. Then all
-trees ascend together, one bit at a time, until the query has enough candidates, or its cells
-are used up. Candidates are scored on the original vectors.
-
-The true neighbours of at most ``PROBES`` queries, by one scan of all rows, set how many leading
-bits name a cell: as many as the table's size asks for, while the expected share of neighbours
-that meet a query in some cell stays at ``EXPECTED``. Where cells so wide cost more than all rows,
-there are none, and each query meets all rows once. A query whose cells gave too few candidates,
-or candidates so far off that an expected share below ``SURE`` was met, goes up to no prefix too.
+"""Approximate nearest neighbours by inner product: forests of hash prefixes.
+
+Rows are cut into blocks of bounded size by a hash. Each block holds a forest: a tree hashes every
+vector to a long string of bits, one for each random direction, and keeps the strings in a sorted
+array. Vectors are first brought to equal length by one more component, which is 0 for a query; so
+the largest inner product is the smallest angle, however uneven the lengths are.
+
+A query descends to its longest matching prefix in each tree. Then all trees ascend together, one
+bit at a time, until the ranges of the query's prefix hold enough entries in all trees of the
+block. The rows in these ranges are scored once each, on the original vectors; other rows are
+not looked at. Queries meet the blocks in blocks of their own; only the k best of a query and a
+block leave a task.
+
+How many entries are enough is a share of the block's rows, learnt from at most ``PROBES``
+queries: their true neighbours are found by one scan, and each tells at which share it would have
+been reached. The share that reaches ``RECALL`` of them holds for all queries and blocks, since
+blocks are alike. Where neighbours are close it is small; where all vectors are nearly as far
+as the nearest ones no index can do with few, and the share says so.
 
 Defined results: vectors that are null, all zero or hold null or non-finite components take no
-part; vectors of unequal length are compared with zeros at the end. Of equal vectors the k + 1
-with the smallest ids are kept, which are all that can be among k neighbours. Ties go to the
-smaller id. A repeated id counts once per vector it has.
+part, nor do rows without an id; vectors of unequal length are compared with zeros at the end. Of
+equal vectors the k + 1 with the smallest ids are kept, which are all that can be among k
+neighbours. Ties go to the smaller id. A repeated id counts once, by its best vector. An empty
+table, or no query, gives no rows. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,226 +38,173 @@ from voxtrace.session import stage
 
 BITS = 32
 TREES = 24
-CELL_ROWS = 4096
-PROBES = 200
-EXPECTED = 0.97
-SURE = 0.9
-#: Share of the rows in a query's cells (over all trees) after which the ascent ends.
-ENOUGH = 0.95
-
-
-def _directions(trees: int, width: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((width + 1, trees * BITS))
-
-
-def _lifted(vectors: np.ndarray, width: int, longest: float) -> np.ndarray:
-    """Unit-scaled vectors with the component that makes their lengths equal."""
-    out = np.zeros((len(vectors), width + 1))
-    out[:, : vectors.shape[1]] = vectors / longest
-    out[:, width] = np.sqrt(np.maximum(0, 1 - (out[:, :width] ** 2).sum(1)))
-    return out
-
-
-def _aimed(queries: np.ndarray, width: int) -> np.ndarray:
-    """Queries of length 1, without a share of the additional component."""
-    out = np.zeros((len(queries), width + 1))
-    out[:, : queries.shape[1]] = queries / np.sqrt((queries**2).sum(1, keepdims=True))
-    return out
+BLOCK_ROWS = 4096
+QUERY_ROWS = 2048
+PROBES = 100
+#: Share of the probes' true neighbours that the ascent has to reach.
+RECALL = 0.96
+#: Queries whose ranges are held at once in a task.
+AT_ONCE = 512
+
+
+class Forest:
+    """The trees of one block of rows."""
+
+    def __init__(self, rows: pd.DataFrame, trees: int, width: int, longest: float, seed: int):
+        rows = rows.sort_values("vec_id", kind="stable")
+        self.ids = rows["vec_id"].to_numpy(np.int64)
+        self.vectors = self._padded(rows["embedding"], width)
+        self.directions = np.random.default_rng(seed).standard_normal((width + 1, trees * BITS))
+        self.trees, self.width = trees, width
+        rest = np.sqrt(np.maximum(0, 1 - ((self.vectors / longest) ** 2).sum(1, keepdims=True)))
+        strings = self._strings(np.hstack([self.vectors / longest, rest]))
+        self.order = np.argsort(strings, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(strings.T, self.order, 1)
+
+    @staticmethod
+    def _padded(vectors: pd.Series, width: int) -> np.ndarray:
+        found = matrix(vectors)
+        return np.pad(found, ((0, 0), (0, width - found.shape[1])))
+
+    def _strings(self, points: np.ndarray) -> np.ndarray:
+        """One string of bits for each point and tree, the first direction as the highest bit."""
+        high = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        parts = [
+            (points @ self.directions[:, t * BITS : (t + 1) * BITS] > 0) @ high for t in range(self.trees)
+        ]
+        return np.stack(parts, axis=1)
+
+    def strings_of(self, queries: np.ndarray) -> np.ndarray:
+        return self._strings(np.hstack([queries, np.zeros((len(queries), 1))]))
+
+    def ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where rows that share 0 to ``BITS`` leading bits lie: (tree, bits, query) from, to."""
+        shape = (self.trees, BITS + 1, len(strings))
+        low, high = np.empty(shape, np.int32), np.empty(shape, np.int32)
+        for t in range(self.trees):
+            for bits in range(BITS + 1):
+                first = strings[:, t] >> (BITS - bits) << (BITS - bits)
+                low[t, bits] = np.searchsorted(self.sorted[t], first)
+                high[t, bits] = np.searchsorted(self.sorted[t], first + (1 << (BITS - bits)))
+        return low, high
+
+    def needs(self, query: int, low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Entries of the query's prefixes one bit below the length at which each row is reached."""
+        place = np.argsort(self.order, axis=1)[:, rows]
+        inside = (low[:, :, query, None] <= place[:, None]) & (place[:, None] < high[:, :, query, None])
+        entries = np.append((high - low)[:, :, query].sum(0), 0)
+        # ranges of longer prefixes lie within those of shorter ones
+        return entries[inside.any(0).sum(0)]
+
+    def reached(self, query: int, bits: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(self.ids), bool)
+        for t in range(self.trees):
+            found[self.order[t, low[t, bits, query] : high[t, bits, query]]] = True
+        return np.flatnonzero(found)
+
+    def search(self, queries: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": [], "scored": []}
+        least = min(k + 1, len(self.ids))
+        once = len(np.unique(self.ids)) == len(self.ids)
+        for at in range(0, len(queries), AT_ONCE):
+            some = queries.iloc[at : at + AT_ONCE]
+            wanted = self._padded(some["embedding"], self.width)
+            low, high = self.ranges(self.strings_of(wanted))
+            entries = (high - low).sum(0)
+            stops = np.maximum(0, (entries > share * len(self.ids)).sum(0) - 1)
+            for number, (query_id, bits) in enumerate(zip(some["vec_id"].to_numpy(np.int64), stops, strict=True)):
+                mine = self.reached(number, bits, low, high)
+                while len(mine) < least and bits:
+                    bits -= 1
+                    mine = self.reached(number, bits, low, high)
+                mine = mine[self.ids[mine] != query_id]
+                if not len(mine):
+                    continue
+                scored = len(mine)
+                if once and scored > k:  # all that can be among the k best, ties and rounding included
+                    rough = self.vectors[mine] @ wanted[number]
+                    floor = np.partition(rough, scored - k)[scored - k]
+                    mine = mine[rough >= floor - 1e-9 * (1 + abs(floor))]
+                score = (self.vectors[mine] * wanted[number]).sum(1)
+                best = np.lexsort((self.ids[mine], -score))
+                _, first = np.unique(self.ids[mine][best], return_index=True)
+                best = best[np.sort(first)[:k]]
+                out["query_id"] += [query_id] * len(best)
+                out["vec_id"] += self.ids[mine[best]].tolist()
+                out["score"] += score[best].tolist()
+                out["scored"] += [scored] + [0] * (len(best) - 1)
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "scored": "int64"})
 
 
-def _strings(points: np.ndarray, trees: int, directions: np.ndarray) -> np.ndarray:
-    """One 32-bit string for each point and tree, most significant bit first."""
-    bits = (points @ directions > 0).reshape(len(points), trees, BITS)
-    return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def entries_share(blocks: DataFrame, asked: DataFrame, k: int, trees: int, width: int, longest: float, seed: int) -> float:
+    """Share of a block's rows, as entries in all its trees, that reaches ``RECALL`` of true neighbours."""
+    probes = asked.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(PROBES).toPandas()
 
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        forest = Forest(rows, trees, width, longest, seed)
+        wanted = forest._padded(probes["embedding"], width)
+        low, high = forest.ranges(forest.strings_of(wanted))
+        out = []
+        for number, own in enumerate(probes["vec_id"].to_numpy(np.int64)):
+            score = np.where(forest.ids == own, -np.inf, forest.vectors @ wanted[number])
+            best = np.argsort(-score, kind="stable")[:k]
+            best = best[np.isfinite(score[best])]
+            need = forest.needs(number, low, high, best) / len(forest.ids)
+            out.append(pd.DataFrame({"probe": number, "score": score[best], "need": need}))
+        return pd.concat(out)
 
-def _prefix(strings: np.ndarray, bits: int) -> np.ndarray:
-    return strings >> (BITS - bits)
+    nearest = Window.partitionBy("probe").orderBy(F.desc("score"))
+    found = blocks.groupBy("block").applyInPandas(measure, "probe int, score double, need double")
+    found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return found.agg(F.percentile("need", F.lit(RECALL)).alias("share")).first()["share"] or 0.0
 
 
-def leading_bits(cosines: np.ndarray, rows: int, trees: int) -> int:
-    """Leading bits of a cell, from the lifted cosines of queries and their true neighbours.
+def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, seed: int = 7) -> DataFrame:
+    """(query_id, rank, vec_id, score, n_scored): the k nearest found of ``queries`` among ``vectors``.
 
-    A neighbour at angle a shares p leading bits with probability (1 - a / pi)**p. As many bits
-    that all trees together hold fewer candidates than the table has rows, or none.
+    ``n_scored``: rows that were scored for the query.
     """
-    lead = max(0, math.ceil(math.log2(max(1, rows / CELL_ROWS))))
-    agree = 1 - np.arccos(np.clip(cosines, -1, 1)) / np.pi
-    while lead and agree.size and (1 - (1 - agree**lead) ** trees).mean() < EXPECTED:
-        lead -= 1
-    return lead if 2**lead > trees else 0
-
-
-def neighbour_cosines(index: DataFrame, asked: DataFrame, k: int, width: int, longest: float, seed: int) -> np.ndarray:
-    """Lifted cosines of some queries and their k true neighbours among all rows."""
-    few = asked.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(PROBES).toPandas()
-    if not len(few):
-        return np.zeros(0)
-    own = few["vec_id"].to_numpy(np.int64)
-    aims = _aimed(matrix(few["embedding"]), width)[:, :width]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.full((len(own), k), -np.inf)
-        for batch in batches:
-            have = matrix(batch["embedding"])
-            cosines = aims[:, : have.shape[1]] @ have.T / longest
-            cosines[own[:, None] == batch["vec_id"].to_numpy(np.int64)[None, :]] = -np.inf
-            top = -np.sort(-np.concatenate([top, cosines], 1), axis=1)[:, :k]
-        probe, _ = np.nonzero(np.isfinite(top))
-        yield pd.DataFrame({"probe": probe, "cosine": top[np.isfinite(top)]})
-
-    along = Window.partitionBy("probe").orderBy(F.desc("cosine"))
-    found = index.select("vec_id", "embedding").mapInPandas(best, "probe long, cosine double")
-    found = found.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= k)
-    return found.select("cosine").toPandas()["cosine"].to_numpy(float)
-
-
-def forest_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of ``queries`` among ``vectors``."""
+    schema = "query_id long, vec_id long, score double, scored long"
 
     def ready(df: DataFrame) -> DataFrame:
         wide = usable(df).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        return wide.where(F.exists("embedding", lambda x: x != 0))
+        return wide.where(F.exists("embedding", lambda x: x != 0)).dropDuplicates(["vec_id", "embedding"])
 
     # equal vectors: k + 1 smallest ids
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = stage(
-        ready(vectors).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"),
-        "forest_rows",
-    )
-    asked = ready(queries).dropDuplicates(["vec_id", "embedding"])
+    index = ready(vectors).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
+    index, asked = stage(index, "forest_rows"), stage(ready(queries), "forest_queries")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     facts = index.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("embedding")).alias("width")).first()
-    if not facts["n"]:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, width = facts["n"], facts["width"]
-    width = max(width, asked.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    longest = facts["norm"]
-    lead = 0
-    if rows > trees * CELL_ROWS // 2:
-        lead = leading_bits(neighbour_cosines(index, asked, k, width, longest, seed), rows, trees)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def nearest(found: DataFrame) -> DataFrame:
-        # candidates found in several trees count once
-        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    met = nearest(_search(index, asked, k, trees, seed, lead, width, longest))
-    if not lead:
-        return met
-    met = stage(met, "forest_met")
-    lengths = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.max(norm).alias("length"))
-    cosine = F.col("score") / (F.col("length") * longest)
-    agree = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / math.pi
-    share = 1 - F.pow(1 - F.pow(agree, F.lit(lead)), F.lit(trees))
-    sure = met.join(lengths, "query_id").groupBy("query_id").agg((F.sum(share) / k).alias("sure")).where(F.col("sure") >= SURE)
-    unsure = asked.join(sure.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    unsure = stage(unsure.select("vec_id", "embedding"), "forest_unsure")
-    if unsure.isEmpty():
-        return met
-    more = _search(index, unsure, k, trees, seed, 0, width, longest)
-    return nearest(met.select("query_id", "vec_id", "score").unionByName(more))
-
-
-def _search(
-    index: DataFrame, asked: DataFrame, k: int, trees: int, seed: int, lead: int, width: int, longest: float
-) -> DataFrame:
-    """(query_id, vec_id, score): the best of each cell and part for each query.
-
-    With no leading bits every tree holds all rows, so a query visits one tree.
-    """
-    schema = "query_id long, vec_id long, score double"
-
-    def in_cells(df: DataFrame, asks: bool) -> DataFrame:
-        @F.pandas_udf("array<long>")
-        def strings(column: pd.Series) -> pd.Series:
-            vectors = matrix(column)
-            points = _aimed(vectors, width) if asks else _lifted(vectors, width, longest)
-            return pd.Series(list(_strings(points, trees, _directions(trees, width, seed))))
-
-        hashed = df.withColumn("all", strings("embedding"))
-        return hashed.select(
-            "vec_id", "embedding", F.posexplode("all").alias("tree", "string")
-        ).withColumn("cell", F.shiftright(F.col("string"), BITS - lead))
-
-    placed, visiting = in_cells(index, False), in_cells(asked, True)
-    if not lead:
-        visiting = visiting.where(F.col("tree") == F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(trees)))
-    sizes = placed.groupBy("tree", "cell").agg(F.count("*").alias("cell_rows"))
-    parts = stage(
-        sizes.select("tree", "cell", F.ceil(F.col("cell_rows") / (2 * CELL_ROWS)).cast("int").alias("parts")),
-        "forest_cells",
-    )
-    keys = ["tree", "cell", "part"]
-    entries = placed.join(parts, ["tree", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    )
-    visits = visiting.join(parts, ["tree", "cell"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asking = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    if not facts["n"] or not asking["n"]:
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_scored long")
+    width, longest = max(facts["width"], asking["width"]), facts["norm"]
+    n_blocks, n_asking = math.ceil(facts["n"] / BLOCK_ROWS), math.ceil(asking["n"] / QUERY_ROWS)
+
+    def dealt(column: str, n: int):
+        return F.pmod(F.xxhash64("vec_id", "embedding", F.lit(seed)), F.lit(n)).cast("int").alias(column)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    blocks = index.select("vec_id", "embedding", dealt("block", n_blocks))
+    share = entries_share(blocks, asked, k, trees, width, longest, seed)
+
+    def search(rows: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(who):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "scored": []})
+        return Forest(rows, trees, width, longest, seed).search(who, k, share)
+
+    keys = ["block", "asking"]
+    held = blocks.withColumn("asking", every(n_asking))
+    visits = asked.select("vec_id", "embedding", dealt("asking", n_asking)).withColumn("block", every(n_blocks))
+    met = held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(search, schema)
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.sum("scored").alias("scored"))
+    mine = Window.partitionBy("query_id")
+    return (
+        met.withColumn("n_scored", F.sum("scored").over(mine))
+        .withColumn("rank", F.row_number().over(mine.orderBy(F.desc("score"), "vec_id")))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score", "n_scored")
     )
-    slots = ["vec_id", "embedding", "string", *keys]
-    entries, visits = entries.select(*slots), visits.select(*slots)
-
-    def ranges(block: np.ndarray, strings_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where strings with the same ``bits`` leading bits lie in a sorted block."""
-        low = _prefix(strings_, bits) << (BITS - bits)
-        return np.searchsorted(block, low), np.searchsorted(block, low + (1 << (BITS - bits)))
-
-    def descend(cell: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
-        """For each visit: the number of entries at each prefix length, from the cell's on."""
-        block = np.sort(cell["string"].to_numpy(np.int64))
-        ask = who["string"].to_numpy(np.int64)
-        counts = []
-        for bits in range(lead, BITS + 1):
-            lo, hi = ranges(block, ask, bits)
-            counts.append(hi - lo)
-        counts = np.array(counts).T.reshape(len(ask), BITS + 1 - lead)
-        return pd.DataFrame({"query_id": who["vec_id"].to_numpy(np.int64), "counts": pd.Series(list(counts), dtype=object)})
-
-    # ascend in step: the longest prefix length at which all trees together give enough entries
-    levels = (
-        entries.groupBy(*keys)
-        .cogroup(visits.groupBy(*keys))
-        .applyInPandas(descend, "query_id long, counts array<long>")
-        .select("query_id", F.posexplode("counts").alias("above", "entries"))
-        .groupBy("query_id", "above")
-        .agg(F.sum("entries").alias("entries"))
-    )
-    enough = F.max(F.when(F.col("above") == 0, F.col("entries"))).over(Window.partitionBy("query_id"))
-    stops = stage(
-        levels.withColumn("enough", enough * ENOUGH)
-        .where(F.col("entries") >= F.col("enough"))
-        .groupBy("query_id")
-        .agg((F.max("above") + lead if lead else F.lit(0)).alias("bits")),
-        "forest_stops",
-    )
-
-    def ascend(cell: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(cell) and len(who):
-            cell = cell.sort_values("string", kind="stable")
-            block, ids = cell["string"].to_numpy(np.int64), cell["vec_id"].to_numpy(np.int64)
-            have, want = matrix(cell["embedding"]), matrix(who["embedding"])
-            have = np.pad(have, ((0, 0), (0, width - have.shape[1])))
-            want = np.pad(want, ((0, 0), (0, width - want.shape[1])))
-            for query_id, string, bits, vector in zip(
-                who["vec_id"].to_numpy(np.int64), who["string"].to_numpy(np.int64), who["bits"].to_numpy(), want, strict=True
-            ):
-                lo, hi = ranges(block, np.array([string]), int(bits))
-                mine = np.arange(lo[0], hi[0])
-                score = have[mine] @ vector
-                others = ids[mine] != query_id
-                mine, score = mine[others], score[others]
-                if len(mine) > k:  # all that can be among the k best, ties and rounding included
-                    floor = np.partition(score, len(score) - k)[len(score) - k]
-                    close = score >= floor - 1e-9 * (1 + abs(floor))
-                    mine, score = mine[close], score[close]
-                best = np.lexsort((ids[mine], -score))[: 2 * k]
-                out["query_id"] += [query_id] * len(best)
-                out["vec_id"] += ids[mine[best]].tolist()
-                out["score"] += score[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    ready_visits = visits.join(stops.withColumnRenamed("query_id", "vec_id"), "vec_id")
-    return entries.groupBy(*keys).cogroup(ready_visits.groupBy(*keys)).applyInPandas(ascend, schema)
