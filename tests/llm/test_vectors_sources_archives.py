@@ -1,6 +1,7 @@
 """Exact and approximate search, mixing, archives: brute force, round trips and edge cases."""
 
 import collections
+import math
 import os
 import struct
 
@@ -11,7 +12,7 @@ import zstandard
 
 from voxtrace.llm import forest, warc
 from voxtrace.llm.forest import forest_top_k
-from voxtrace.llm.mixing import mix, shard_rows, split_quotas
+from voxtrace.llm.mixing import hypergeometric, mix, shard_rows, split_quotas
 from voxtrace.llm.topk import exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, c string"
@@ -218,6 +219,23 @@ def test_splitting_tree_is_exact(spark):
     assert len(per_shard) == 8 and max(per_shard.values()) - min(per_shard.values()) <= 1
 
 
+def test_hypergeometric_quantiles(spark):
+    cases = [(t, m, c) for t, m, c in ((1, 1, 1), (1, 0, 1), (7, 3, 4), (40, 40, 13), (50, 20, 50), (60, 0, 30), (400, 150, 200), (3000, 2900, 1500))]
+    rows = [(t, m, c, (i + 0.5) / 40) for t, m, c in cases for i in range(40)] + [(0, 0, 0, 0.5)]
+    df = spark.createDataFrame(rows, "t long, m long, c long, u double")
+    for r in df.withColumn("k", hypergeometric(*(df[c] for c in "tmcu"))).collect():
+        t, m, c, u = r["t"], r["m"], r["c"], r["u"]
+        sums, total = 0, math.comb(t, c)
+        for k in range(max(0, c + m - t), min(m, c) + 1):
+            sums += math.comb(m, k) * math.comb(t - m, c - k)
+            if sums / total > u:
+                break
+        assert r["k"] == k
+    large = df.limit(1).selectExpr("6000000000L AS t", "2000000000L AS m", "3000000000L AS c", "0.5D AS u")
+    k = large.select(hypergeometric(*(large[c] for c in "tmcu")).alias("k")).head()["k"]
+    assert abs(k - 10**9) <= 5
+
+
 # -- archives
 
 

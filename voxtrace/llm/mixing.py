@@ -4,18 +4,19 @@ Every source is cut into blocks of about ``block_docs`` documents by a hash of t
 is met by whole passes over its blocks plus a draw of further blocks in permuted order; the last
 block drawn is filled document by document, to within half the smallest document left. A
 splitting tree hands the drawn blocks to output shards: at each node the quotas of all sources
-are halved by an exact multivariate hypergeometric draw, so every shard holds a fair mix and no
+are halved by a multivariate hypergeometric draw, so every shard holds a fair mix and no
 block twice. Inside a shard, documents are ordered by a hash.
 
 Defined results: a null text has size 0; null is a source of its own, after all others; documents
 of one source with the same id are taken or left together; a source without words has target 0
-and its documents are not taken, nor is anything when the table is empty. All draws come from
+and its documents are not taken, nor is anything when the table is empty; a very long text is one
+document like others, and further columns of documents stay, but none may be named as in ``MIX_COLUMNS``. All draws come from
 hashes of ``seed``, so a rerun gives the same mix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,12 +74,72 @@ def _uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times and computes it once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _log_factorial(n: Column) -> Column:
+    """Logarithm of n!, less a constant: Stirling's series eight places up, where it is exact to 1e-12."""
+    low = F.lit(1.0)
+    for step in range(1, 9):
+        low = low * (n + step)
+    z = n + F.lit(9.0)
+    return (z - 0.5) * F.log(z) - z + 1 / (12 * z) - 1 / (360 * z * z * z) - F.log(low)
+
+
+def hypergeometric(total: Column, marked: Column, chosen: Column, u: Column) -> Column:
+    """Marked units among ``chosen`` of ``total``, at the quantile ``u`` of their distribution.
+
+    The weights of the counts around the mean are summed until they reach ``u``; those further off than
+    twelve standard deviations weigh less than a double can tell. So the work grows with the deviation,
+    not with the units.
+    """
+
+    def weight(f: Column, k: Column) -> Column:
+        left = f["total"] - f["marked"] - f["chosen"] + k
+        return -sum((_log_factorial(x) for x in (f["marked"] - k, f["chosen"] - k, left)), _log_factorial(k))
+
+    def around(f: Column) -> Column:
+        first = F.greatest(F.lit(0).cast("long"), f["chosen"] + f["marked"] - f["total"], f["mid"] - f["reach"])
+        last = F.least(f["chosen"], f["marked"], f["mid"] + f["reach"])
+        return _let(
+            F.struct(weight(f, f["mid"]).alias("top"), first.alias("first"), last.alias("last")),
+            lambda g: _let(
+                F.transform(F.sequence(g["first"], g["last"]), lambda k: F.exp(weight(f, k) - g["top"])),
+                lambda weights: F.least(g["last"], g["first"] + below(weights)),
+            ),
+        )
+
+    def below(weights: Column) -> Column:
+        """How many leading weights together stay within u of their sum."""
+        goal = u * F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), goal.alias("goal"))
+        return F.aggregate(
+            weights,
+            start,
+            lambda s, x: F.struct(
+                (s["sum"] + x).alias("sum"),
+                (s["n"] + (s["sum"] + x <= s["goal"]).cast("long")).alias("n"),
+                s["goal"].alias("goal"),
+            ),
+        )["n"]
+
+    share = marked / total
+    deviation = F.sqrt(chosen * share * (1 - share) * (total - chosen) / F.greatest(total - 1, F.lit(1)))
+    facts = F.struct(
+        total.alias("total"), marked.alias("marked"), chosen.alias("chosen"),
+        F.floor(chosen * share).cast("long").alias("mid"), (F.ceil(12 * deviation) + 12).cast("long").alias("reach"),
+    )
+    return F.when(total > 0, _let(facts, around)).otherwise(F.lit(0).cast("long"))
+
+
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """(source_no, quota) to (shard, source_no, first, last): disjoint ranges of each source's draws.
 
-    One row holds a node of the tree, with one number per source. Each unit goes left with
-    probability (left places still free) / (units still to place): without replacement, over all
-    sources, which is the multivariate hypergeometric law.
+    One row holds a node of the tree, with one number per source. The left half takes its units of
+    one source after another, each time a hypergeometric draw from the units and left places still
+    open; together that is the multivariate hypergeometric law.
     """
     tree = quotas.agg(
         F.transform(
@@ -95,25 +156,15 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         )
 
         def source(state: Column, quota: Column) -> Column:
-            number = F.size(state["left"])
-            drawn = F.aggregate(
-                F.when(quota > 0, F.sequence(F.lit(1).cast("long"), quota)).otherwise(
-                    F.array().cast("array<long>")
-                ),
-                F.struct(state["rest"].alias("rest"), state["free"].alias("free")),
-                lambda s, k: F.struct(
-                    (s["rest"] - 1).alias("rest"),
-                    (
-                        s["free"]
-                        - (_uniform(F.lit(seed), node, number, k) * s["rest"] < s["free"]).cast("long")
-                    ).alias("free"),
+            u = _uniform(F.lit(seed), node, F.size(state["left"]))
+            return _let(
+                hypergeometric(state["rest"], quota, state["free"], u),
+                lambda taken: F.struct(
+                    (state["rest"] - quota).alias("rest"),
+                    (state["free"] - taken).alias("free"),
+                    F.concat(state["left"], F.array(taken)).alias("left"),
                 ),
             )
-            return F.struct(
-                drawn["rest"].alias("rest"),
-                drawn["free"].alias("free"),
-                F.concat(state["left"], F.array(state["free"] - drawn["free"])).alias("left"),
-            )
 
         return F.aggregate(units, start, source)["left"]
 
@@ -205,7 +256,14 @@ def mix(
         ),
     ).where("_turn < _passes + cast(_drawn as long)")
     draws = draws.withColumn("_place", F.col("_turn") * F.col("_count") + F.col("_rank"))
-    placed = draws.join(ranges, "source_no").where("_place >= first and _place < last")
+    # a draw meets the few ranges that share its stretch of the source, each as long as a range on average
+    stretches = quotas.select("source_no", F.greatest(F.lit(1), F.ceil(F.col("quota") / (1 << levels))).alias("_long"))
+    draws = draws.join(stretches, "source_no").withColumn("_stretch", F.floor(F.col("_place") / F.col("_long")))
+    ranges = ranges.where("first < last").join(stretches, "source_no").withColumn(
+        "_stretch",
+        F.explode(F.sequence(F.floor(F.col("first") / F.col("_long")), F.floor((F.col("last") - 1) / F.col("_long")))),
+    )
+    placed = draws.join(ranges.drop("_long"), ["source_no", "_stretch"]).where("_place >= first and _place < last")
     shards = stage(
         placed.groupBy("source_no", "_block", "_part", "_passes").agg(
             F.transform(
