@@ -195,3 +195,29 @@ def test_masks_that_list_foreground_only(spark):
 
 def sim_counts(pred, truth, cells):
     return seg.confusion(seg.contingency(pred, truth, ["pair"], ["at"], cells), ["pair"]).collect()
+
+
+def test_block_moments_of_all_features_and_their_distances(spark):
+    rng = np.random.default_rng(8)
+    p = len(sim.FEATURES)
+    parts = {b: rng.standard_normal((n, p)) * rng.uniform(0.5, 3, p) + 1e9 * (b == "far") for b, n in
+             (("hot", 4000), ("far", 300), ("small", 40), ("one", 1), (None, 30))}
+    rows = [(b, *r) for b, x in parts.items() for r in x.tolist()]
+    rows += [("hot", *[None] * p), ("small", *[float("nan")] * p), ("gone", float("inf"), *[0.0] * (p - 1))]
+    schema = "block string, " + ", ".join(f"`{f}` double" for f in sim.FEATURES)
+    df = spark.createDataFrame(rows, schema).repartition(8)
+    stats = sim.block_moments(df, "block")
+    got = {r["block"]: r for r in stats.collect()}
+    assert set(got) == set(parts)
+    want = {b: stats_numpy(x) for b, x in parts.items()}
+    for b, (n, mean, cov) in want.items():
+        assert got[b]["n"] == n
+        assert np.allclose(got[b]["mean"], mean, rtol=1e-12, atol=1e-9)
+        # values near 1e9 have seven digits behind the point
+        assert np.allclose(np.array(got[b]["cov"]).reshape(p, p), cov, rtol=1e-6, atol=1e-5 if b == "far" else 1e-9)
+    sides = stats.select(F.struct("n", "mean", "cov").alias("l"), "block").where("block = 'hot'").drop("block")
+    pairs = sides.crossJoin(stats.select("block", F.struct("n", "mean", "cov").alias("r")))
+    found = {r["block"]: r["t2"] for r in pairs.select("block", sim.hotelling_t2("l", "r").alias("t2")).collect()}
+    for b in ("small", "one", None):
+        assert np.isclose(found[b], t2_numpy(want["hot"], want[b]), rtol=1e-6)
+    assert sim.block_moments(df.limit(0), "block").count() == 0

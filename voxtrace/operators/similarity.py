@@ -6,10 +6,11 @@ aggregates. Everything after works on one row per block.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +90,90 @@ def block_statistics(
     )
 
 
+#: Blocks whose sums a task holds before it hands them on.
+HELD_BLOCKS = 512
+
+
+def _merged(parts: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, co-moments) of rows whose parts have these."""
+    n = parts["n"].to_numpy(float)
+    means, moments = np.stack(parts["mean"].to_numpy()), np.stack(parts["moments"].to_numpy())
+    # means as distances from the first one, so that large values keep their digits
+    away = means - means[0]
+    shift = n @ away / n.sum()
+    spread = away - shift
+    between = np.einsum("b,bi,bj->ij", n, spread, spread)
+    return int(n.sum()), means[0] + shift, moments.sum(0) + between.ravel()
+
+
+def block_moments(
+    rows: DataFrame, key: str, features: Sequence[str] = FEATURES, shrinkage: float = SHRINKAGE
+) -> DataFrame:
+    """``block_statistics`` for many features: (key, n, mean, cov); a null key is a block of its own.
+
+    A task reduces its rows to one (n, mean, co-moment matrix) per block over Arrow batches; these parts
+    are merged in salted groups and then per block, so a block may hold any share of the rows. The plan
+    does not grow with the square of the features.
+    """
+    p = len(features)
+    part = rows.select(
+        F.col(f"`{key}`").alias("_key"), F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("_x")
+    )
+    kind = part.schema["_key"].dataType.simpleString()
+    schema = f"_key {kind}, _salt int, n long, mean array<double>, moments array<double>"
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list] = {}
+
+        def out() -> pd.DataFrame:
+            found = [(k, *_merged(pd.DataFrame(v, columns=["n", "mean", "moments"]))) for k, v in held.items()]
+            table = pd.DataFrame(found, columns=["_key", "n", "mean", "moments"])
+            table["_salt"] = np.random.default_rng(TaskContext.get().partitionId()).integers(0, 32, len(table))
+            held.clear()
+            return table[["_key", "_salt", "n", "mean", "moments"]]
+
+        for batch in batches:
+            x = np.array([[np.nan if v is None else v for v in r] for r in batch["_x"]], float).reshape(-1, p)
+            good = np.isfinite(x).all(1)
+            codes, keys = pd.factorize(batch["_key"].astype(object), use_na_sentinel=False)
+            keys = [None if pd.isna(k) else k for k in keys]
+            codes, x = codes[good], x[good]
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for places in np.split(order, cuts):
+                if not len(places):
+                    continue
+                own, k = x[places], keys[codes[places[0]]]
+                mean = own[0] + (own - own[0]).mean(0)
+                mine = held.setdefault(k, [])
+                mine.append((len(own), mean, ((own - mean).T @ (own - mean)).ravel()))
+                if len(mine) > 8:
+                    held[k] = [_merged(pd.DataFrame(mine, columns=["n", "mean", "moments"]))]
+            if len(held) > HELD_BLOCKS:
+                yield out()
+        if held:
+            yield out()
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        n, mean, moments = _merged(parts)
+        return pd.DataFrame(
+            {"_key": parts["_key"].iloc[:1], "_salt": 0, "n": n, "mean": [mean.tolist()], "moments": [moments.tolist()]}
+        )
+
+    def finish(parts: pd.DataFrame) -> pd.DataFrame:
+        n, mean, moments = _merged(parts)
+        cov = (moments / max(1, n - 1)).reshape(p, p)
+        cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / p * np.eye(p)
+        return pd.DataFrame({"_key": parts["_key"].iloc[:1], "n": n, "mean": [mean.tolist()], "cov": [cov.ravel().tolist()]})
+
+    merged = part.mapInPandas(reduce, schema).groupBy("_key", "_salt").applyInPandas(merge, schema)
+    return (
+        merged.groupBy("_key")
+        .applyInPandas(finish, f"_key {kind}, n long, mean array<double>, cov array<double>")
+        .withColumnRenamed("_key", key)
+    )
+
+
 def _t2_udf():
     @F.pandas_udf("double")
     def t2(

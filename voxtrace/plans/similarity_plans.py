@@ -36,6 +36,34 @@ def block_stats(spark, sf_dir):
     )
 
 
+# 22 features of an order line: quantity, discount, tax and price in thousands, their squares and
+# products, square roots, logarithms and the line's number.
+_BASE = ["l_quantity", "l_discount", "l_tax", "l_extendedprice / 1000"]
+LINE_FEATURES = [
+    *_BASE,
+    *[f"({a}) * ({b})" for i, a in enumerate(_BASE) for b in _BASE[i:]],
+    *[f"sqrt({a})" for a in _BASE],
+    *[f"ln(1 + {a})" for a in _BASE[:3]],
+    "l_linenumber",
+]
+
+
+def block_moments(spark, sf_dir):
+    """Mean and shrunk covariance of 22 features for the lines of each supplier's remainder by 64."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 64).cast("bigint").alias("block"),
+        *[F.expr(f"cast({f} AS double)").alias(f"f{i}") for i, f in enumerate(LINE_FEATURES)],
+    )
+    stats = sim.block_moments(lines, "block", [f"f{i}" for i in range(len(LINE_FEATURES))])
+    cells = stats.select("block", "n", "mean", F.posexplode("cov").alias("place", "value"))
+    p = len(LINE_FEATURES)
+    row, column = F.floor(F.col("place") / p).cast("bigint"), (F.col("place") % p).cast("bigint")
+    mean = F.get("mean", row.cast("int"))
+    return cells.select(
+        "block", "n", row.alias("i"), column.alias("j"), F.round(mean, 6).alias("mean"), F.round("value", 4).alias("cov")
+    )
+
+
 def _matches(spark, sf_dir, features=TWO):
     """Block 0 against every block of another patient."""
     stats = stage(_library_stats(spark, sf_dir, features), "library-stats")
@@ -198,7 +226,7 @@ def stats_refresh(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        block_stats, hotelling2, hotelling3, hotelling4, knn_topk, patient_summary, class_vote, feature_diffs,
+        block_stats, block_moments, hotelling2, hotelling3, hotelling4, knn_topk, patient_summary, class_vote, feature_diffs,
         ref_filter, ref_exclude, ref_guard, loo_matches, loo_accuracy, loo_distances,
         loo_calibration, loo_auc, stats_refresh,
     )
@@ -311,7 +339,20 @@ LOO = f"""{PAIRS}, {_top_sql(5, "pairs", "PARTITION BY query_id")},
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, n DESC, best, class_label) = 1),
   loo AS (SELECT *, predicted_class = query_class AS correct FROM preds JOIN truth USING (query_id))"""
 
+_P = len(LINE_FEATURES)
+_PAIRS = [(i, j) for i in range(_P) for j in range(_P)]
+_COVARIANCES = ", ".join(f"covar_samp(f{i}, f{j})" for i, j in _PAIRS)
+MOMENTS = f"""x AS (SELECT (l_suppkey % 64)::BIGINT AS block,
+    {", ".join(f"({f})::DOUBLE AS f{i}" for i, f in enumerate(LINE_FEATURES))} FROM lineitem),
+  s AS (SELECT block, count(*) AS n, [{", ".join(f"avg(f{i})" for i in range(_P))}] AS m, [{_COVARIANCES}] AS c
+    FROM x GROUP BY block),
+  t AS (SELECT *, list_sum(list_transform(range({_P}), lambda i: c[i * {_P + 1} + 1])) / {_P} AS variance FROM s)"""
+
 ORACLES = {
+    "block_moments": f"""WITH {MOMENTS}, e AS (SELECT block, n, m, c, variance, unnest(range({_P * _P})) AS place FROM t)
+      SELECT block, n, place // {_P} AS i, place % {_P} AS j, round(m[place // {_P} + 1], 6) AS mean,
+        round(0.95::DOUBLE * c[place + 1] + CASE WHEN place // {_P} = place % {_P} THEN 0.05::DOUBLE * variance ELSE 0 END, 4) AS cov
+      FROM e""",
     "block_stats": f"""WITH {STATS} SELECT block_id, n, round(m0, 6) AS mean_0, round(m1, 6) AS mean_1,
       round(a, 5) AS cov_00, round(b, 6) AS cov_01, round(b, 6) AS cov_10, round(d, 6) AS cov_11 FROM stats""",
     "hotelling2": f"WITH {ONE} SELECT block_id, round(t2, 6) AS t2 FROM matches",
