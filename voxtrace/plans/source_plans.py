@@ -95,11 +95,22 @@ def register_artifacts(spark, sf_dir):
     return catalog.register_artifacts(pages, requested, ["html"])
 
 
+def register_ordered(spark, sf_dir):
+    """Paths in the order of their request, last page first; every fifth page is no file."""
+    pages = _pages(spark, sf_dir)
+    path, number = F.col("path"), F.col("page_id")
+    requested = pages.select(
+        F.when(number % 7 == 0, F.concat(path, F.lit(".old"))).otherwise(path).alias("path"), (-number).alias("place")
+    )
+    catalogue = pages.select("path", (number % 5 > 0).alias("is_file"))
+    return catalog.register_artifacts(catalogue, requested, ["html"], max_files=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         src_json_status, file_inventory, inventory_totals, slice_order, lib_validate,
-        numbered_runs, register_artifacts,
+        numbered_runs, register_artifacts, register_ordered,
     )
 }
 
@@ -158,4 +169,16 @@ ORACLES = {
       FROM found
       UNION ALL
       SELECT path, 'not_found', NULL FROM asked WHERE path NOT IN (SELECT path FROM files)""",
+    "register_ordered": f"""WITH {PAGES}, known AS (SELECT path, bool_or(page_id % 5 > 0) AS is_file FROM files GROUP BY path),
+      asked AS (SELECT CASE WHEN page_id % 7 = 0 THEN path || '.old' ELSE path END AS path, min(-page_id) AS place
+        FROM files GROUP BY 1),
+      found AS (SELECT path, min((origin, place)) AS o FROM (
+          SELECT path, 0 AS origin, place FROM asked WHERE path IN (SELECT path FROM known WHERE is_file)
+          UNION ALL SELECT path, 1, 0 FROM named WHERE name LIKE '_%.html' AND path IN (SELECT path FROM known WHERE is_file))
+        GROUP BY path),
+      n AS (SELECT path, row_number() OVER (ORDER BY o, path) AS position FROM found)
+      SELECT path, CASE WHEN position > 100 THEN 'over_limit' ELSE 'registered' END AS status,
+        CASE WHEN position <= 100 THEN position END AS position FROM n
+      UNION ALL SELECT path, CASE WHEN is_file IS NULL THEN 'not_found' ELSE 'not_a_file' END, NULL
+      FROM asked LEFT JOIN known USING (path) WHERE NOT coalesce(is_file, false)""",
 }

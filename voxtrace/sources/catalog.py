@@ -162,26 +162,54 @@ def register_artifacts(
     requested: DataFrame,
     extensions: Sequence[str] | None,
     max_files: int | None = None,
+    folder: str | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Requested paths, then matching folder files, unique by path, numbered in that order.
 
-    Requested paths that do not exist come back as skipped rows, and so do files behind the first
-    ``max_files``, if that is given.
+    ``requested`` may have a ``place``, the order of the request (else the paths' own order);
+    ``catalogue`` may have ``is_file``, false for a path that is no file. Files come from ``folder``
+    and from folders at most ``max_depth`` below it (0: none), or from the whole catalogue. Skipped rows
+    are requested paths that do not exist (not_found) or are no files (not_a_file), a folder that does
+    not exist (folder_not_found) or is a file (not_a_folder), and files behind the first ``max_files``
+    (over_limit), if that is given.
     """
-    known = catalogue.select("path").distinct()
-    asked = requested.select("path").distinct()
+    is_file = F.coalesce("is_file", F.lit(True)) if "is_file" in catalogue.columns else F.lit(True)
+    known = catalogue.groupBy("path").agg(F.max(is_file).alias("is_file"))
+    files = known.where("is_file").select("path")
+    place = F.col("place").cast("bigint") if "place" in requested.columns else F.lit(0).cast("bigint")
+    asked = requested.groupBy("path").agg(F.min(place).alias("place"))
     none = F.lit(None).cast("bigint")
-    missing = asked.join(known, "path", "left_anti").select(
-        "path", F.lit("not_found").alias("status"), none.alias("position")
+    missing = asked.join(known, "path", "left").where(~F.coalesce("is_file", F.lit(False))).select(
+        "path", F.when(F.col("is_file").isNull(), "not_found").otherwise("not_a_file").alias("status"), none.alias("position")
     )
+    inside, behind = files.where(matches_extension(F.col("path"), extensions)), F.lit(0).cast("bigint")
+    if folder is not None:
+        root = folder.rstrip("/")
+        below = F.col("path").startswith(root + "/")
+        inside = inside.where(below)
+        if max_depth is not None:
+            rest = F.substring("path", len(root) + 2, 1 << 30)
+            inside = inside.where(F.length(rest) - F.length(F.replace(rest, F.lit("/"), F.lit(""))) <= max_depth)
+        at_root = F.col("path").isin(root, root + "/")
+        state = known.agg(
+            F.coalesce(F.bool_or(below | (at_root & ~F.col("is_file"))), F.lit(False)).alias("there"),
+            F.coalesce(F.bool_or(at_root & F.col("is_file")), F.lit(False)).alias("file"),
+        )
+        missing = missing.union(
+            state.where("file OR NOT there").select(
+                F.lit(folder), F.when(F.col("file"), "not_a_folder").otherwise("folder_not_found"), none
+            )
+        )
     chosen = (
-        asked.join(known, "path", "left_semi")
-        .withColumn("origin", F.lit(0))
-        .union(known.where(matches_extension(F.col("path"), extensions)).withColumn("origin", F.lit(1)))
+        asked.join(files, "path", "left_semi")
+        .select("path", F.lit(0).alias("origin"), "place")
+        .union(inside.select("path", F.lit(1).alias("origin"), behind.alias("place")))
         .groupBy("path")
-        .agg(F.min("origin").alias("origin"))
+        .agg(F.min(F.struct("origin", "place")).alias("first"))
+        .select("path", "first.origin", "first.place")
     )
-    numbered = row_numbers(chosen, [], ["origin", "path"], "position")
+    numbered = row_numbers(chosen, [], ["origin", "place", "path"], "position")
     beyond = F.lit(False) if max_files is None else F.col("position") > max_files
     return numbered.select(
         "path",
