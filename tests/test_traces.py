@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxtrace.functions import predicates, text
 from voxtrace.operators import artifacts as art
 from voxtrace.operators import runs as run_ops
-from voxtrace.operators import scoring, tasks, traces
+from voxtrace.operators import run_lines, scoring, tasks, traces
 from voxtrace.sources import catalog, json_docs, library, nifti
 from voxtrace.streaming import rollup
 
@@ -226,7 +226,7 @@ def test_registry_and_lineage(spark):
 def test_stream_equals_batch(spark, tmp_path):
     df = events(spark, [(i % 3, i, i, "r", i % 4 != 0) for i in range(30)]).withColumn("args", F.lit("{}"))
     source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    batch = traces.run_index(df).drop("first_route", "last_route")
+    batch = traces.run_index(df)
     for part in (df.where("event_id < 10"), df.where("event_id >= 10")):
         part.write.mode("append").json(source)
         rollup.keep_index(rollup.read_event_stream(spark, source), target, progress).awaitTermination()
@@ -234,6 +234,74 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got.select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_stretches_of_batches():
+    for fanout in (2, 8):
+        written, most = [], 0
+        for number in range(1000):
+            live, covered = rollup.split_covered(written)
+            written = [s for s in written if s not in [c for c, end in covered if end < number]]
+            written.append((number, number))
+            whole = rollup.stretch_after(number, fanout)
+            written += [whole] if whole else []
+            live, _ = rollup.split_covered(written)
+            assert [n for a, b in live for n in range(a, b + 1)] == list(range(number + 1))
+            most = max(most, len(live))
+        assert most <= (fanout - 1) * (10 if fanout == 2 else 4)
+        assert len(written) < 3 * fanout + most
+
+
+def test_index_of_many_batches(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [
+        (int(rng.integers(0, 4)) or None, int(rng.integers(0, 90)), i, "abc"[i % 3], [True, False, None][i % 7 % 3])
+        for i in range(70)
+    ]
+    df = events(spark, rows).coalesce(1)
+    target = str(tmp_path / "index")
+    assert rollup.latest_index(spark, target).count() == 0
+    for number in range(7):  # late events: order of arrival is not that of time
+        rollup.add_batch(df.where(F.col("event_id") % 7 == number), target, number, 2)
+        if number in (3, 6):  # a batch repeated after a failure
+            rollup.add_batch(df.where(F.col("event_id") % 7 == number), target, number, 2)
+    assert rollup.split_covered(rollup.written_stretches(spark, target))[0] == [(0, 3), (4, 5), (6, 6)]
+    want = traces.run_index(df)
+    got = rollup.latest_index(spark, target).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # a folder that was not written to its end is not read
+    (tmp_path / "index" / "batches-0-6").mkdir()
+    assert got.count() == rollup.latest_index(spark, target).count()
+
+
+def test_run_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(traces, "SEGMENT", 3)
+    odd = ['a"b', "x\ny", "é, ]", None, "a"]
+    rows = [(1, i, i, odd[i % 5], i % 2 == 0) for i in range(11)] + [(2, 0, 20, "z", None), (5, 1, 21, "q", False)]
+    sessions = spark.createDataFrame(
+        [(1, " T 1/b ", "s1", "/s/1"), (2, "  ", "", None), (3, "n" * 130, "s3", "/s/3")],
+        "run_id bigint, test_name string, session_id string, session_path string",
+    )
+    df = events(spark, rows).repartition(5).withColumn("session_id", F.lit("not this one"))
+    folder = str(tmp_path / "lines")
+    run_lines.write_lines(run_lines.line_parts(df, sessions, "base"), folder)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "lines").glob("part-*")))
+    lines = {d["run_id"]: d for d in map(json.loads, filter(str.strip, text.split("\n")))}
+    assert sorted(lines) == [1, 2, 3, 5]
+    one = lines[1]
+    assert one["routes"] == [odd[i % 5] for i in range(11)]
+    assert (one["test_name"], one["run_file"]) == ("T_1_b", "base/T_1_b/s1/1.json")
+    assert (one["tool_call_count"], one["successful_tool_calls"], one["failed_tool_calls"]) == (11, 6, 5)
+    assert one["started_at_unix"] == 1704067200.0 and one["ended_at"] == "2024-01-01T00:10:00.000000"
+    assert lines[2]["run_file"] == "base/_ungrouped/no_session/2.json" and lines[2]["failed_tool_calls"] == 0
+    assert lines[3]["routes"] == [] and lines[3]["started_at"] is None and len(lines[3]["test_name"]) == 120
+    assert lines[5]["session_id"] is None and lines[5]["routes"] == ["q"]
+    back = {r["run_id"]: r for r in run_lines.read_lines(spark, folder).collect()}
+    assert back[1]["routes"] == one["routes"] and set(back) == set(lines)
+    # a second run appends, an empty table adds nothing
+    run_lines.write_lines(run_lines.line_parts(df.limit(0), sessions.limit(0), "base"), folder)
+    run_lines.write_lines(run_lines.line_parts(df.where("run_id = 5"), sessions.limit(0), "base"), folder)
+    assert run_lines.read_lines(spark, folder).count() == 5
+
+
 def test_json_status(spark, tmp_path):
     cases = {'{"a": 1}': "ok", "[1]": "not_object", '{"a": 1},': "invalid_json", "nope": "invalid_json", '{"a": 1} {"b": 2}': "invalid_json"}
     for i, t in enumerate(cases):

@@ -34,19 +34,26 @@ def run_index(events: DataFrame) -> DataFrame:
     )
 
 
+def route_segments(events: DataFrame) -> DataFrame:
+    """Routes of every run in order, as arrays (run_id, segment, routes) of a bounded length."""
+    placed = row_numbers(events.select("run_id", "route", *ORDER), ["run_id"], ORDER, "_n")
+    segment = F.floor((F.col("_n") - 1) / SEGMENT).cast("bigint")
+    return placed.groupBy("run_id", segment.alias("segment")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_n", "route"))), lambda r: r["route"]).alias("routes")
+    )
+
+
 def ordered_routes(events: DataFrame) -> DataFrame:
     """Routes of every run in order, as text, in segments of a bounded number of routes.
 
     Short runs have one segment; a long run goes on in the next rows, and nothing is left out.
+    ``run_lines`` writes them as one line per run.
     """
-    placed = row_numbers(events.select("run_id", "route", *ORDER), ["run_id"], ORDER, "_n")
-    segment = F.floor((F.col("_n") - 1) / SEGMENT).cast("bigint")
-    return placed.groupBy("run_id", segment.alias("segment")).agg(
-        F.count("*").alias("routes"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_n", "route"))), lambda r: r["route"]),
-            ",",
-        ).alias("route_list"),
+    return route_segments(events).select(
+        "run_id",
+        "segment",
+        F.size("routes").cast("bigint").alias("routes"),
+        F.array_join("routes", ",").alias("route_list"),
     )
 
 
@@ -311,7 +318,7 @@ def sub_runs(routes: DataFrame, tools: DataFrame) -> DataFrame:
         F.count("*").alias("key_n"), failed.alias("key_failed"), names.alias("key_tools")
     )
     placed = row_numbers(routes.select("run_id", "key", "event_id", "ts"), ["run_id", "key"], ORDER, "call_index")
-    joined = placed.join(own, "event_id", "left").join(of_key, ["run_id", "key"], "left")
+    joined = salted_lookup(placed.join(own, "event_id", "left"), of_key, ["run_id", "key"], ["event_id"], "left")
     has_own = F.col("own_n").isNotNull()
     return joined.select(
         "run_id",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtrace.functions import predicates, text
 from voxtrace.operators import artifacts as art
+from voxtrace.operators import run_lines
 from voxtrace.operators import tasks as task_ops
 from voxtrace.operators import traces
 from voxtrace.plans.views_sql import TRACE
@@ -34,7 +35,22 @@ def trace_stream(spark, sf_dir):
     )
     query.awaitTermination()
     rows = rollup.latest_index(spark, f"{root}/index")
-    return rows.drop("started_at", "ended_at")
+    return rows.drop("started_at", "ended_at", "first_route", "last_route")
+
+
+def trace_lines(spark, sf_dir):
+    """One JSON line per run, written and read back; customers stand for the sessions of runs."""
+    key = F.col("c_custkey")
+    sessions = table(spark, sf_dir, "customer").select(
+        key.alias("run_id"),
+        F.when(key % 5 != 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" #/"), key % 3)).alias("test_name"),
+        F.when(key % 7 != 0, F.col("c_name")).alias("session_id"),
+        F.when(key % 7 != 0, F.concat(F.lit("/sessions/"), "c_name")).alias("session_path"),
+    )
+    folder = staging_path(spark, "run_lines")
+    run_lines.write_lines(run_lines.line_parts(trace_events(spark, sf_dir), sessions, "traces"), folder)
+    rows = run_lines.read_lines(spark, folder)
+    return rows.withColumn("routes", F.array_join("routes", ","))
 
 
 def task_validate(spark, sf_dir):
@@ -409,7 +425,7 @@ def lineage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        trace_index, trace_routes, trace_stream, task_validate, expand_variants, slug, render,
+        trace_index, trace_lines, trace_routes, trace_stream, task_validate, expand_variants, slug, render,
         route_checks, dup_tasks, judge_norm, tool_checks, subsequence, artifact_checks,
         answer_parse, rules, answer_points, predicate_checks, variant_predicates, task_filter,
         tool_calls, artifacts_last, artifacts_first, msg_split, interval_assign, subruns,
@@ -473,6 +489,21 @@ ORACLES = {
     "trace_stream": f"""WITH {TRACE} SELECT run_id, count(*) AS tool_call_count,
       count(*) FILTER (success) AS successful_tool_calls, count(*) FILTER (NOT success) AS failed_tool_calls
       FROM trace GROUP BY run_id""",
+    "trace_lines": f"""WITH {TRACE}, s AS (SELECT c_custkey AS run_id,
+        CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || '_' || c_custkey % 3 ELSE '_ungrouped' END AS test_name,
+        CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS session_id FROM customer),
+      e AS (SELECT run_id, min(ts) AS a, max(ts) AS b, count(*) AS n, count(*) FILTER (success) AS ok,
+        count(*) FILTER (NOT success) AS failed, string_agg(route, ',' ORDER BY ts, event_id) AS routes
+        FROM trace GROUP BY run_id)
+      SELECT run_id, coalesce(test_name, '_ungrouped') AS test_name, session_id,
+        '/sessions/' || session_id AS session_path,
+        strftime(a, '%Y-%m-%dT%H:%M:%S.%f') AS started_at, epoch_us(a) / 1e6 AS started_at_unix,
+        strftime(b, '%Y-%m-%dT%H:%M:%S.%f') AS ended_at, epoch_us(b) / 1e6 AS ended_at_unix,
+        coalesce(n, 0) AS tool_call_count, coalesce(ok, 0) AS successful_tool_calls,
+        coalesce(failed, 0) AS failed_tool_calls, coalesce(routes, '') AS routes,
+        'traces/' || coalesce(test_name, '_ungrouped') || '/' || coalesce(session_id, 'no_session') || '/'
+          || run_id || '.json' AS run_file
+      FROM s FULL JOIN e USING (run_id)""",
     "task_validate": f"""WITH p AS (SELECT *, CASE WHEN p_type NOT IN ('PROMO', 'SMALL')
         THEN p_name || ' ' || p_brand END AS task_id FROM part),
       f AS (SELECT *, min(p_partkey) OVER (PARTITION BY task_id) AS first_key FROM p)
