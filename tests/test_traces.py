@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtrace.functions import predicates, text
+from voxtrace.functions import payload, predicates, text
 from voxtrace.operators import artifacts as art
 from voxtrace.operators import runs as run_ops
 from voxtrace.operators import run_lines, scoring, tasks, traces
@@ -302,6 +302,33 @@ def test_run_lines(spark, tmp_path, monkeypatch):
     assert run_lines.read_lines(spark, folder).count() == 5
 
 
+def test_reduced_payload(spark):
+    tree = {"name": "r", "path": "/r", "type": "directory", "children": [
+        {"type": "file"}, 3, {"type": "symlink", "children": [{"type": "file"}]}, {"type": ["odd"]}]}
+    wide = {f"k{i}": i for i in range(80)}
+    deep = {"a": [{"b": "x" * 1805}] * 26, "tree_struct": tree, "n": None, "f": 1.5, "t": True}
+    cases = {
+        "deep": deep, "wide": wide | {"z": 1, "y": 2}, "fits": wide, "edge": wide | {"tree_struct": tree},
+        "tree": {"tree_struct": [tree]}, "list": [], "text": "é" * 1801, "beyond": wide | {"z": 1, "tree_struct": tree},
+    }
+    texts = [(k, json.dumps(v)) for k, v in cases.items()]
+    texts += [("null", None), ("bad", "{" * 1900), ("nested", "[" * 50000 + "]" * 50000), ("empty", "")]
+    df = spark.createDataFrame(texts, "name string, payload string")
+    got = {r["name"]: r["p"] for r in df.select("name", payload.reduce_payload(F.col("payload")).alias("p")).collect()}
+    small = {k: json.loads(got[k]) for k in cases}
+    counts = {"summary": payload.TREE_NOTE, "root_name": "r", "root_path": "/r", "file_count": 2, "directory_count": 2}
+    item = {"b": "x" * 1800 + "... [truncated 5 chars]"}
+    assert small["deep"] == {"a": [item] * 24 + [{"omitted_items": 2}], "tree_struct": counts, "n": None, "f": 1.5, "t": True}
+    assert small["wide"] == wide | {"omitted_keys": 2} and small["fits"] == wide
+    assert small["edge"] == wide | {"tree_struct": counts} and small["beyond"] == wide | {"omitted_keys": 2}
+    assert small["tree"] == {"tree_struct": {"summary": payload.NO_TREE_NOTE}} and small["list"] == []
+    assert small["text"] == "é" * 1800 + "... [truncated 1 chars]"
+    assert got["null"] is None and got["empty"] == "" and got["bad"] == "{" * 1800 + "... [truncated 100 chars]"
+    assert got["nested"] == "[" * 1800 + "... [truncated 98200 chars]"
+    said = spark.createDataFrame([(1, "y" * 2401), (2, None)], "turn int, text string")
+    assert [r["text"] for r in payload.reduce_messages(said).sort("turn").collect()] == ["y" * 2400 + "... [truncated 1 chars]", None]
+
+
 def test_json_status(spark, tmp_path):
     cases = {'{"a": 1}': "ok", "[1]": "not_object", '{"a": 1},': "invalid_json", "nope": "invalid_json", '{"a": 1} {"b": 2}': "invalid_json"}
     for i, t in enumerate(cases):

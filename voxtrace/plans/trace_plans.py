@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxtrace.functions import predicates, text
+from voxtrace.functions import payload, predicates, text
 from voxtrace.operators import artifacts as art
 from voxtrace.operators import run_lines
 from voxtrace.operators import tasks as task_ops
@@ -397,6 +397,44 @@ def reduce_lists(spark, sf_dir):
     )
 
 
+def reduced_payloads(spark, sf_dir):
+    """Nested payloads of the documents, reduced: what is left of their texts, lists, maps and trees."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    numbers = F.sequence(F.lit(1), F.pmod(key, F.lit(100)).cast("int") + 1)
+    leaf = F.struct(F.lit("file").alias("type"))
+    tree = F.struct(
+        F.lit("root").alias("name"), F.col("source").alias("path"), F.lit("directory").alias("type"),
+        F.array_repeat(leaf, F.pmod(key, F.lit(40)).cast("int")).alias("children"),
+    )
+    inner = F.struct(
+        F.array(F.struct("text")).alias("parts"),
+        F.map_from_arrays(F.transform(numbers, lambda n: F.concat(F.lit("k"), n)), numbers).alias("values"),
+        tree.alias(payload.TREE_KEY),
+    )
+    whole = F.to_json(F.struct("doc_id", F.split("text", " ").alias("words"), inner.alias("inner")))
+    small = docs.select("doc_id", payload.reduce_payload(whole).alias("_small"))
+
+    def part(path: str):
+        return F.get_json_object("_small", path)
+
+    words = F.from_json(part("$.words"), "array<string>")
+    return small.select(
+        "doc_id",
+        part("$.inner.parts[0].text").alias("text"),
+        F.array_join(words, " ").alias("words"),
+        F.size(F.json_object_keys(part("$.inner.values"))).cast("bigint").alias("n_keys"),
+        part("$.inner.values.omitted_keys").cast("bigint").alias("omitted_keys"),
+        part("$.inner.tree_struct.root_path").alias("root_path"),
+        part("$.inner.tree_struct.file_count").cast("bigint").alias("files"),
+        part("$.inner.tree_struct.directory_count").cast("bigint").alias("folders"),
+    )
+
+
+def reduced_messages(spark, sf_dir):
+    return payload.reduce_messages(messages(spark, sf_dir))
+
+
 def registry_merge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     priority = F.col("o_orderpriority")
@@ -430,6 +468,7 @@ QUERIES = {
         answer_parse, rules, answer_points, predicate_checks, variant_predicates, task_filter,
         tool_calls, artifacts_last, artifacts_first, msg_split, interval_assign, subruns,
         run_status, last_assistant, token_est, truncate, reduce_lists, registry_merge, lineage,
+        reduced_payloads, reduced_messages,
     )
 }
 
@@ -463,6 +502,13 @@ FOUND = """found AS (SELECT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+/[0-9]?)
     (CASE WHEN url LIKE 'https%' THEN 1 ELSE 0 END)::BIGINT AS source, page_id AS position FROM pages)"""
 
 
+def _cut_sql(value: str, limit: int) -> str:
+    return (
+        f"CASE WHEN length({value}) > {limit} THEN substr({value}, 1, {limit}) || '... [truncated ' "
+        f"|| (length({value}) - {limit}) || ' chars]' ELSE {value} END"
+    )
+
+
 def _found_sql(pick: str) -> str:
     return f"""WITH {FOUND} SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name,
       {pick}(source, source * 1000000000 + position) AS source,
@@ -618,6 +664,16 @@ ORACLES = {
     "reduce_lists": f"""SELECT vec_id, least(len(embedding), {text.MAX_LIST}) AS items,
       round(embedding[{text.MAX_LIST}]::DOUBLE, 6) AS last_item, greatest(len(embedding) - {text.MAX_LIST}, 0) AS omitted
       FROM embeddings""",
+    "reduced_payloads": f"""WITH w AS (SELECT *, string_split(text, ' ') AS w FROM documents)
+      SELECT doc_id, {_cut_sql("text", text.MAX_TEXT)} AS text,
+        array_to_string([{_cut_sql("x", text.MAX_TEXT)} FOR x IN w[1:{text.MAX_LIST}]], ' ')
+          || CASE WHEN len(w) > {text.MAX_LIST} THEN ' {{"omitted_items":' || (len(w) - {text.MAX_LIST}) || '}}' ELSE '' END
+          AS words,
+        least(doc_id % 100 + 1, {text.MAX_MAP} + 1) AS n_keys,
+        CASE WHEN doc_id % 100 + 1 > {text.MAX_MAP} THEN doc_id % 100 + 1 - {text.MAX_MAP} END AS omitted_keys,
+        source AS root_path, doc_id % 40 AS files, 1::BIGINT AS folders FROM w""",
+    "reduced_messages": f"""SELECT conv_id AS run_id, turn, role AS type,
+      {_cut_sql("text", text.MAX_MESSAGE)} AS text FROM conversations""",
     "registry_merge": """WITH b AS (SELECT 0 AS side, o_orderkey AS position, o_totalprice AS value, * FROM orders
         UNION ALL SELECT 1, o_orderkey, -o_totalprice, * FROM orders WHERE o_orderstatus = 'F'),
       k AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'id:' || o_custkey WHEN '2-HIGH' THEN 'origin:in/' || o_custkey
