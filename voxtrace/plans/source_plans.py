@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxtrace.sources import catalog
+from voxtrace.sources import catalog, slice_folders
 from voxtrace.sources.json_docs import json_status
 from voxtrace.sources.library import validate_library
 from voxtrace.sources.tables import table
@@ -106,11 +106,45 @@ def register_ordered(spark, sf_dir):
     return catalog.register_artifacts(catalogue, requested, ["html"], max_files=100)
 
 
+def _order_slices(spark, sf_dir):
+    """A slice per order, 1 x 7 quantities by line number; every tenth customer's slices end early."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        *[F.max(F.when(F.col("l_linenumber") == n, F.col("l_quantity"))).alias(f"q{n}") for n in range(1, 8)],
+        F.max("l_linenumber").alias("lines"),
+    )
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    key = F.col("o_custkey")
+    width = F.when(key % 10 == 0, F.col("lines")).otherwise(7)
+    pixels = F.array(*[F.coalesce(f"q{n}", F.lit(0.0)) for n in range(1, 8)])
+    return orders.select(
+        key.alias("folder"),
+        F.when(key % 11 == 0, F.lit("x.tif")).otherwise(F.concat(F.lit("s"), "o_orderkey", F.lit(".tif"))).alias("name"),
+        F.lit(1).alias("height"),
+        width.cast("int").alias("width"),
+        F.slice(pixels, 1, F.when(key % 13 == 0, width - 1).otherwise(width).cast("int")).alias("pixels"),
+    )
+
+
+def slice_folders_report(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("folder"))
+    return slice_folders.volume_report(_order_slices(spark, sf_dir), "auto", customers)
+
+
+def slice_folder_volumes(spark, sf_dir):
+    volumes = slice_folders.folder_volumes(_order_slices(spark, sf_dir))
+    return volumes.select(
+        "volume_id", "z", "height", "width",
+        F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x).alias("total"),
+        F.element_at("pixels", 1).alias("first_pixel"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         src_json_status, file_inventory, inventory_totals, slice_order, lib_validate,
-        numbered_runs, register_artifacts, register_ordered,
+        numbered_runs, register_artifacts, register_ordered, slice_folders_report,
+        slice_folder_volumes,
     )
 }
 
@@ -119,7 +153,25 @@ PAGES = """files AS (
          length(html) AS size FROM pages),
 named AS (SELECT *, regexp_extract(path, '([^/]*)/*$', 1) AS name FROM files)"""
 
+SLICES = """slices AS (SELECT o_custkey AS folder, o_orderkey,
+    CASE WHEN o_custkey % 11 = 0 THEN 'x.tif' ELSE 's' || o_orderkey || '.tif' END AS name,
+    CASE WHEN o_custkey % 10 = 0 THEN max(l_linenumber) ELSE 7 END::BIGINT AS width, sum(q) AS total,
+    max(q) FILTER (l_linenumber = 1) AS q1
+  FROM orders JOIN (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+    ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+report AS (SELECT folder, count(name) AS depth, min(width) AS a, max(width) AS b,
+    CASE WHEN count(name) = 0 THEN 'no_slices' WHEN folder % 13 = 0 THEN 'broken_slice'
+      WHEN min(width) < max(width) THEN 'unequal_shapes' WHEN count(name) > count(DISTINCT name) THEN 'repeated_slice'
+      ELSE 'ok' END AS status
+  FROM (SELECT c_custkey AS folder FROM customer) FULL JOIN slices USING (folder) GROUP BY folder)"""
+
 ORACLES = {
+    "slice_folders_report": f"""WITH {SLICES} SELECT folder, depth, CASE WHEN depth > 0 THEN 1::BIGINT END AS height,
+      CASE WHEN a = b THEN a END AS width, status FROM report""",
+    "slice_folder_volumes": f"""WITH {SLICES} SELECT folder AS volume_id,
+        row_number() OVER (PARTITION BY folder ORDER BY o_orderkey) - 1 AS z, 1::BIGINT AS height, width, total,
+        coalesce(q1, 0) AS first_pixel
+      FROM slices JOIN report USING (folder) WHERE status = 'ok'""",
     "src_json_status": """WITH d AS (SELECT event_id, CASE event_type WHEN 'error' THEN NULL
         WHEN 'signup' THEN props || ',' WHEN 'view' THEN '[' || props || ']' ELSE props END AS doc
         FROM events)
