@@ -80,3 +80,13 @@ def test_salted_lookup_keeps_every_row(table, spark):
     assert inner.count() == table.where("k < 20").count()
     assert left.count() == 3000
     assert left.where("name is null").count() == table.where("k >= 20").count()
+
+
+def test_salted_lookup_broadcasts_no_copies(spark, tmp_path, capsys):
+    """A small file counts its rows once, the look-up holds each sixteen times."""
+    names = spark.range(0, 20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("name"))
+    names.write.parquet(str(tmp_path / "names"))
+    rows = spark.range(0, 500).select((F.col("id") % 30).alias("k"), F.col("id").alias("o"))
+    for how in ("inner", "left"):
+        salted_lookup(rows, spark.read.parquet(str(tmp_path / "names")), ["k"], ["o"], how).explain()
+        assert "Broadcast" not in capsys.readouterr().out

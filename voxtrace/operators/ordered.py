@@ -126,7 +126,9 @@ def salted_lookup(
     """Join many rows to at most one ``right`` row per key when some keys are hot.
 
     Each left row goes to one of ``salts`` copies of its key, chosen by a hash of the
-    ``spread`` columns; the right side, one row per key, is copied ``salts`` times.
+    ``spread`` columns; the right side, one row per key, is copied ``salts`` times. Both sides are
+    shuffled whatever their estimated size: the planner does not know of the copies, and would
+    send a small file's rows ``salts`` times through the driver.
     """
     salted_left = left.withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(salts)).cast("int")
@@ -134,4 +136,4 @@ def salted_lookup(
     salted_right = right.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return salted_left.join(salted_right.hint("merge"), [*on, "_salt"], how).drop("_salt")
