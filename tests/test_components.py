@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxtrace.functions.text import sample_id
 from voxtrace.operators import components as comp
 from voxtrace.operators import morphometry as morpho
+from voxtrace.session import stage
 
 KEYS = ["volume_id"]
 
@@ -151,3 +152,19 @@ def test_sample_ids(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r[0]: r[1] for r in df.select("p", sample_id(F.col("p"))).collect()} == cases
+
+
+def test_cubes_are_merged_without_broadcasts(spark, monkeypatch, capsys):
+    """Files of staged labels are small, their rows are not: no step may go through the driver."""
+    def shown(df, name):
+        df.explain()
+        return stage(df, name)
+
+    monkeypatch.setattr(comp, "stage", shown)
+    line = spark.range(0, 12).selectExpr("0L AS k", "id AS z", "0L AS y", "0L AS x")
+    found = comp.label_components(line, ["k"], (12, 2, 2), 6, edge=4)
+    found.explain()
+    assert {r["root"] for r in found.collect()} == {0}
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") >= 4
+    assert "Broadcast" not in plans

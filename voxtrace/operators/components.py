@@ -154,7 +154,7 @@ def _face_edges(nodes: DataFrame, keys, forward, edge: int) -> DataFrame:
         )
     )
     return (
-        reached.join(face.withColumnRenamed("node", "b"), [*keys, "z", "y", "x"])
+        reached.join(face.withColumnRenamed("node", "b").hint("merge"), [*keys, "z", "y", "x"])
         .where("a <> b")
         .select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -162,7 +162,11 @@ def _face_edges(nodes: DataFrame, keys, forward, edge: int) -> DataFrame:
 
 
 def _contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smallest node of every connected node, by minimum labels and pointer jumping."""
+    """Smallest node of every connected node, by minimum labels and pointer jumping.
+
+    Staged labels compress to a small part of their rows, so their files' sizes say nothing of a
+    broadcast: all joins shuffle, and no round sends a table to the driver.
+    """
     both = stage(
         edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).union(
             edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))
@@ -173,11 +177,11 @@ def _contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     roots = stage(roots, "roots")
     while True:
         seen = both.join(
-            roots.select(*keys, F.col("node").alias("other"), F.col("root").alias("near")),
+            roots.select(*keys, F.col("node").alias("other"), F.col("root").alias("near")).hint("merge"),
             [*keys, "other"],
         )
         lowest = seen.groupBy(*keys, "node").agg(F.min("near").alias("near"))
-        lowered = roots.join(lowest, [*keys, "node"]).select(
+        lowered = roots.join(lowest.hint("merge"), [*keys, "node"]).select(
             *keys, "node", F.col("root").alias("was"), F.least("root", "near").alias("mid")
         )
         jump = roots.select(*keys, F.col("node").alias("mid"), F.col("root").alias("far"))
