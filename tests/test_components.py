@@ -1,5 +1,8 @@
 """Connected components and shapes against a flood fill, for any cube size."""
 
+from datetime import datetime
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from voxtrace.functions.text import sample_id
 from voxtrace.operators import components as comp
 from voxtrace.operators import morphometry as morpho
+from voxtrace.plans import component_plans
 from voxtrace.session import stage
 
 KEYS = ["volume_id"]
@@ -168,3 +172,22 @@ def test_cubes_are_merged_without_broadcasts(spark, monkeypatch, capsys):
     plans = capsys.readouterr().out
     assert plans.count("SortMergeJoin") >= 4
     assert "Broadcast" not in plans
+
+
+def test_shape_axes_agree_on_equal_axes(spark, tmp_path):
+    """Four voxels of a tetrahedron have equal axes: no span to divide by, on either side."""
+    corners = [(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 0)]
+    events = [
+        (datetime(2024, 1, 5 + 3 * (v % 6) + y, 4 + v % 13 + z), 40 * v + 3 + (7 * v) % 30 + x)
+        for v in range(24) for z, y, x in corners
+    ]
+    spark.createDataFrame(
+        [(k, at, user, "view", 1.0) for k, (at, user) in enumerate(events)],
+        "event_id bigint, ts timestamp, user_id bigint, event_type string, value double",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in component_plans.shape_axes(spark, str(tmp_path)).collect()}
+    assert len(got) == 24 and {r[3:5] for r in got} == {(0.0, 0.0)}
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert set(con.execute(component_plans.ORACLES["shape_axes"]).fetchall()) == got

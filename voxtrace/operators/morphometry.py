@@ -17,6 +17,8 @@ from voxtrace.operators.ordered import row_numbers
 LACUNA_MIN, LACUNA_MAX = 58, 899
 LACUNA_CONNECTIVITY = 18
 BORDER_BAND = 2
+# Variances along the longest and the shortest axis that differ by less are equal.
+EQUAL_AXES = 1e-8
 
 
 def select_lacunae(
@@ -53,10 +55,10 @@ def _axes_udf(voxel_um: float):
                 matrices[:, i, j] = column
         values, vectors = np.linalg.eigh(matrices)
         values, vectors = values[:, ::-1], vectors[:, :, ::-1]
-        # Rounding makes equal axes exactly equal and an empty axis exactly zero.
+        # Rounding makes an empty axis exactly zero; axes closer than EQUAL_AXES have no span.
         values = np.round(np.maximum(values, 0), 9)
         roots = np.sqrt(values)
-        span = roots[:, 0] - roots[:, 2]
+        span = np.where(values[:, 0] - values[:, 2] < EQUAL_AXES, 0.0, roots[:, 0] - roots[:, 2])
         with np.errstate(divide="ignore", invalid="ignore"):
             stretch = np.where(values[:, 0] > 0, span / roots[:, 0], 0.0)
             flatness = np.where(span != 0, 2 * (roots[:, 1] - roots[:, 2]) / span - 1, 0.0)
@@ -79,7 +81,8 @@ def shape_features(labelled: DataFrame, keys: Sequence[str], voxel_um: float) ->
     """Principal axes of the coordinate covariance of every component.
 
     The covariances are ordinary aggregates; only the 3x3 eigenvalues are taken in batches
-    outside the SQL engine. The sign of an axis is arbitrary.
+    outside the SQL engine. The sign of an axis is arbitrary. Components as long in all directions
+    have a stretch and an oblateness of 0.
     """
     pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
     moments = labelled.groupBy(*keys, "root").agg(

@@ -402,8 +402,10 @@ ORACLES = {
       v AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS raw3 FROM r),
       w AS (SELECT *, CASE WHEN raw3 < 1e-6::DOUBLE THEN 0 ELSE raw3 END AS e3,
         CASE WHEN 3 * q - e1 - raw3 < 1e-6::DOUBLE THEN 0 ELSE 3 * q - e1 - raw3 END AS e2 FROM v)
-      SELECT volume_id, root, voxels, round((sqrt(e1) - sqrt(e3)) / sqrt(e1), 4) AS stretch,
-        round(2 * (sqrt(e2) - sqrt(e3)) / (sqrt(e1) - sqrt(e3)) - 1, 4) AS oblateness,
+      SELECT volume_id, root, voxels,
+        round(CASE WHEN e1 - e3 < {morpho.EQUAL_AXES!r}::DOUBLE THEN 0 ELSE (sqrt(e1) - sqrt(e3)) / sqrt(e1) END, 4) AS stretch,
+        round(CASE WHEN e1 - e3 < {morpho.EQUAL_AXES!r}::DOUBLE THEN 0
+          ELSE 2 * (sqrt(e2) - sqrt(e3)) / (sqrt(e1) - sqrt(e3)) - 1 END, 4) AS oblateness,
         round(e1 / 2 * {VOXEL_UM}::DOUBLE, 4) AS major_um, round(e3 * {VOXEL_UM}::DOUBLE, 4) AS minor_um,
         round(e3 / (e1 / 2), 4) AS axis_ratio FROM w""",
     "exposed_faces": f"""WITH {LACUNAE}, {FACES} SELECT volume_id, root, voxels, faces,
