@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtrace.operators import segmentation as seg
 from voxtrace.operators import similarity as sim
+from voxtrace.plans import segmentation_plans
 
 P = 4
 NAMES = [f"f {i}" for i in range(P)]
@@ -221,3 +222,18 @@ def test_block_moments_of_all_features_and_their_distances(spark):
     for b in ("small", "one", None):
         assert np.isclose(found[b], t2_numpy(want["hot"], want[b]), rtol=1e-6)
     assert sim.block_moments(df.limit(0), "block").count() == 0
+
+
+def test_masks_are_dealt_before_they_are_grouped(spark, sf_dir, capsys):
+    """Cells are nearly unique: a table of them beside the scan would hold a whole file split."""
+    for name in ("contingency", "confusion", "seg_metrics", "hallucinated", "seg_batch", "sparse_confusion"):
+        segmentation_plans.QUERIES[name](spark, sf_dir).explain()
+        below = capsys.readouterr().out.split("REPARTITION_BY_NUM")
+        assert len(below) > 1 and not any("Aggregate" in b for b in below[-1:]), name
+
+
+def test_cells_listed_twice_have_their_largest_label(spark):
+    pred = spark.createDataFrame([(1, 5, 1.0), (1, 5, 2.0), (1, 6, 0.0)], "pair int, at int, label double")
+    truth = spark.createDataFrame([(1, 5, 1.0), (1, 6, 0.0), (1, 6, 1.0)], "pair int, at int, label double")
+    got = seg.contingency(pred, truth, ["pair"], ["at"]).collect()
+    assert {(r["gt"], r["pred"], r["n"]) for r in got} == {(1, 2, 1), (1, 0, 1)}

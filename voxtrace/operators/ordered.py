@@ -115,6 +115,17 @@ def carry_forward(
     )
 
 
+def dealt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows hash-partitioned by ``columns``, in as many tasks as the session shuffles to.
+
+    For groups of few rows each: a table of groups on the map side would hold nearly every row of
+    a file split, and merge hardly any. An explicit number keeps adaptive execution from folding
+    partitions into few tasks by their compressed size.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *[F.col(f"`{c}`") for c in columns])
+
+
 def salted_lookup(
     left: DataFrame,
     right: DataFrame,

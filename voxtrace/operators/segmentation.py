@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtrace.operators.ordered import dealt
+
 # Default class names and the metrics reported by default.
 CLASS_MAP = {1: "lacunae", 2: "cracks"}
 DEFAULT_METRICS = ("dice", "iou", "precision", "recall", "f1")
@@ -68,16 +70,17 @@ def contingency(
 
     A cell that only one mask has is background in the other. ``cells`` (keys, cells) gives the
     size of each volume where masks leave background out; the cells of neither mask are counted
-    as background in both. Both masks are stacked and met in one aggregation.
+    as background in both; a cell listed more than once has its largest label. Both masks are
+    stacked and met in one aggregation, behind one shuffle of their rows.
     """
     def labels(mask: DataFrame, gt: Column, pred: Column) -> DataFrame:
         return mask.select(*keys, *coordinates, gt.alias("gt"), pred.alias("pred"))
 
     label, none = F.rint("label").cast("bigint"), F.lit(None).cast("bigint")
     zero = F.lit(0).cast("bigint")
+    stacked = labels(prediction, none, label).unionByName(labels(truth, label, none))
     met = (
-        labels(prediction, none, label)
-        .unionByName(labels(truth, label, none))
+        dealt(stacked, [*keys, *coordinates])
         .groupBy(*keys, *coordinates)
         .agg(F.coalesce(F.max("gt"), zero).alias("gt"), F.coalesce(F.max("pred"), zero).alias("pred"))
     )

@@ -117,7 +117,7 @@ def sparse_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Prediction and ground truth masks, one pair of masks per supplier.
 
-    A coordinate is (l_orderkey, l_linenumber); repeated coordinates keep the largest label.
+    A coordinate is (l_orderkey, l_linenumber); repeated coordinates stand for their largest label.
     """
     items = table(spark, sf_dir, "lineitem")
     coordinate = [
@@ -128,10 +128,7 @@ def mask_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     predicted = F.when(flag == "A", 1.0).when(flag == "N", 2.0).otherwise(0.0)
     truth = F.when(status == "F", 1.0).otherwise(0.0)
-    return (
-        items.groupBy(*coordinate).agg(F.max(predicted).alias("label")),
-        items.groupBy(*coordinate).agg(F.max(truth).alias("label")),
-    )
+    return items.select(*coordinate, predicted.alias("label")), items.select(*coordinate, truth.alias("label"))
 
 
 def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
