@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtrace.operators import segmentation as seg
 from voxtrace.operators import volume as vol
+from voxtrace.operators.ordered import dealt
 from voxtrace.plans.views_sql import MASKS, SPARSE
 from voxtrace.sources.tables import mask_pair, sparse_grid, table
 
@@ -27,8 +28,8 @@ def sparse_confusion(spark, sf_dir):
     """Masks that list their foreground only, in volumes of 10 cells more than either lists."""
     prediction, truth = mask_pair(spark, sf_dir)
     some, other = prediction.where("label <> 0"), truth.where("label <> 0")
-    places = some.select(*PAIR, *PLACE).unionByName(other.select(*PAIR, *PLACE)).distinct()
-    cells = places.groupBy(*PAIR).agg((F.count("*") + 10).alias("cells"))
+    places = some.select(*PAIR, *PLACE).unionByName(other.select(*PAIR, *PLACE))
+    cells = dealt(places, [*PAIR, *PLACE]).distinct().groupBy(*PAIR).agg((F.count("*") + 10).alias("cells"))
     return seg.confusion(seg.contingency(some, other, PAIR, PLACE, cells), PAIR)
 
 
