@@ -94,3 +94,11 @@ def test_components_keep_their_own_surface(spark):
     for r in found:
         assert r.mesh_area == pytest.approx(alone.mesh_area) and r.mesh_volume == pytest.approx(alone.mesh_volume)
     assert measures(spark, np.zeros((2, 2, 2), bool)) == []
+
+
+def test_cells_are_dealt_before_they_are_grouped(spark, capsys):
+    """The upstream partitions hold whole components, which a task would group at once."""
+    voxels = spark.range(0, 3).selectExpr("1L AS volume_id", "0L AS root", "id AS z", "0L AS y", "0L AS x")
+    mesh.cell_counts(voxels.repartition(2, "volume_id", "root"), ["volume_id"]).explain()
+    below = capsys.readouterr().out.split("REPARTITION_BY_NUM")
+    assert len(below) == 3 and "Aggregate" not in below[1]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtrace.operators.components import component_sizes
+from voxtrace.operators.ordered import dealt
+from voxtrace.session import stage
 
 CORNERS = list(product((0, 1), repeat=3))  # (z, y, x); the corner's bit is its place here
 
@@ -115,7 +117,11 @@ def cell_table() -> list[tuple[int, float, float]]:
 
 
 def cell_counts(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, root, configuration, cells): cells of each configuration, by one explode of voxels."""
+    """(keys, root, configuration, cells): cells of each configuration, by one explode of voxels.
+
+    Cells are dealt to tasks by their place, so neither a large component nor a file split is one
+    task's table.
+    """
     corners = F.array(
         *[
             F.struct(
@@ -125,10 +131,11 @@ def cell_counts(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
             for k, corner in enumerate(CORNERS)
         ]
     )
-    bits = labelled.select(*keys, "root", "z", "y", "x", F.inline(corners)).groupBy(
-        *keys, "root", *[(F.col(a) - F.col(f"d{a}")).alias(a) for a in "zyx"]
+    place = [*keys, "root", "z", "y", "x"]
+    bits = labelled.select(*keys, "root", "z", "y", "x", F.inline(corners)).select(
+        *keys, "root", *[(F.col(a) - F.col(f"d{a}")).alias(a) for a in "zyx"], "bit"
     )
-    cells = bits.agg(F.bit_or("bit").alias("configuration"))
+    cells = dealt(bits, place).groupBy(*place).agg(F.bit_or("bit").alias("configuration"))
     return cells.groupBy(*keys, "root", "configuration").agg(F.count("*").alias("cells"))
 
 
@@ -139,6 +146,7 @@ def mesh_measures(labelled: DataFrame, keys: Sequence[str], voxel_um: float) ->
     voxels. Neighbouring components do not hide parts of each other's surface.
     """
     spark = labelled.sparkSession
+    labelled = stage(labelled.select(*keys, "root", "z", "y", "x"), "mesh-voxels")
     table = spark.createDataFrame(cell_table(), "configuration int, area double, inside double")
     summed = (
         cell_counts(labelled, keys)
