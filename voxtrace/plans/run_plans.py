@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxtrace.functions.student_t import mean_half_width_sql
 from voxtrace.operators import runs as run_ops
 from voxtrace.operators import scoring
+from voxtrace.operators.ordered import dealt
 from voxtrace.plans.views_sql import RUNS
 from voxtrace.session import staging_path
 from voxtrace.sources.tables import table, order_runs
@@ -49,7 +50,10 @@ def score_rollup(spark, sf_dir):
 def score_sink(spark, sf_dir):
     """Score rows written as Parquet by section and read back."""
     path = staging_path(spark, "scores")
-    _scored(spark, sf_dir).write.partitionBy("section").parquet(path)
+    # a task sorts its rows by section, so runs are dealt anew before each becomes a row per criterion
+    # (by run_id alone, as they come, the planner would drop the shuffle and fold its tasks)
+    points = dealt(_points(spark, sf_dir), ["run_id", "points"])
+    scoring.criteria_of(points).write.partitionBy("section").parquet(path)
     return spark.read.parquet(path).groupBy("section", "criterion_id").agg(
         F.sum("earned").alias("earned"), F.count("*").alias("runs")
     )
