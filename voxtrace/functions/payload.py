@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from itertools import islice
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -77,18 +75,14 @@ def reduced(value: Any) -> Any:
             return value
 
 
-@F.pandas_udf(StringType())
-def _reduced_json(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(payload: str | None) -> str | None:
-        if payload is None:
-            return None
-        try:
-            return json.dumps(reduced(json.loads(payload)), ensure_ascii=False)
-        except (ValueError, RecursionError):
-            return _cut(payload)
-
-    for payload in payloads:
-        yield payload.map(one)
+@F.udf(StringType(), useArrow=False)  # rows of a hundred at a time; Arrow would hold ten thousand payloads
+def _reduced_json(payload: str | None) -> str | None:
+    if payload is None:
+        return None
+    try:
+        return json.dumps(reduced(json.loads(payload)), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return _cut(payload)
 
 
 def reduce_payload(payload: Column) -> Column:
