@@ -153,7 +153,7 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator
             yield np.zeros(0, np.uint64)
 
 
-def bounded_batches(df: DataFrame, size: int = 32 << 20) -> DataFrame:
+def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     """``df``, after bounding the bytes of an Arrow batch where the session leaves them open."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int("".join(c for c in df.sparkSession.conf.get(key) if c.isdigit()) or 0)

@@ -22,7 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtrace.llm.textblocks import BASE, BYTE_KEYS, LOWER, chunks, held_out, mixed, powers, text_buffers
+from voxtrace.llm.textblocks import (
+    BASE,
+    BYTE_KEYS,
+    LOWER,
+    bounded_batches,
+    chunks,
+    held_out,
+    mixed,
+    powers,
+    text_buffers,
+)
 from voxtrace.session import stage
 
 #: Lengths of the n-grams; a space stands for every run of separators.
@@ -191,7 +201,7 @@ def fit_toxicity(
     ``features`` numbers.
     """
     marked = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = _with_text(documents, marked)
+    rows = bounded_batches(_with_text(documents, marked))
     counted = rows.select("text", "toxic").mapInArrow(
         _count_grams, "gram long, toxic_texts long, other_texts long"
     )
