@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxtrace.llm import neardup
@@ -102,6 +103,36 @@ def test_ids_with_several_texts_hang_together(spark):
     assert found == {5: {5}, 9: {5}, 12: {5}, 20: {20}, 21: {20}, 30: {30}}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 6, 20])
+def test_blocks_pass_on_no_more_rows_than_they_have_members(n):
+    # n classes of the main component and n others, all alike by their registers: n * n likely pairs
+    registers = np.full(neardup.REGISTERS, 7, np.uint8).tobytes()
+    side = np.repeat([0, 1], n).astype(np.int32)
+    ids = np.arange(2 * n, dtype=np.int64)
+    fixed = {c: np.full(2 * n, v) for c, v in (("bucket", 5), ("main", 99), ("n_shingles", 50))}
+    narrow = {c: np.zeros(2 * n, np.int32) for c in ("i", "j", "band")}
+    table = pa.table(
+        {**fixed, **narrow, "side": side, "id": ids, "component": np.where(side == 1, 99, ids), "registers": [registers] * (2 * n)}
+    )
+    got = neardup._likely_in_blocks(table, 7, 85, 0.7, neardup.DENSE).to_pylist()
+    assert len(got) <= 2 * n
+    assert {x for r in got for x in ([r["id"]] if r["a"] is None else [r["a"], r["b"]])} == set(range(2 * n))
+
+
+def test_components_grow_by_links_as_if_made_anew(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))]
+    table = lambda part: spark.createDataFrame(part, "a long, b long")
+    grown = neardup.connected(table(links[:100]), "test_rounds")
+    grown = neardup.merged(grown, table(links[100:180]), "test_rounds")
+    grown = neardup.merged(grown, table(links[180:]), "test_rounds")
+    want = neardup.connected(table(links), "test_rounds")
+    own = {r["id"]: r["component"] for r in want.collect()}
+    got = {r["id"]: r["component"] for r in grown.collect()}
+    assert grown.count() == len(got)
+    assert {i: got.get(i, i) for i in own} == own
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -12,9 +12,10 @@ union are the largest of both, and equal registers are the likelier the more two
    component each, ``ROUNDS`` times.
 4. In buckets that still do, every class outside the largest component is held against all
    classes of other components, block by block inside tasks, by registers. Pairs that these allow
-   are confirmed on the full sets; where a block has many more such pairs than classes, it is
-   confirmed inside tasks, and only links leave them. So every two classes that share a bucket
-   are compared, unless they are linked already.
+   are confirmed on the full sets. Where a block has more such pairs than classes in them, those
+   classes leave it instead of the pairs: they meet again with their sets, and only links leave
+   that task. So every two classes that share a bucket are compared, unless they are linked
+   already, and no table of pairs is longer than that of the members of buckets.
 
 A pair at the threshold misses all buckets with a probability of at most ``MISS``.
 
@@ -59,8 +60,8 @@ SLACK = 5.0
 ROUNDS = 2
 #: Members of a bucket that meet in one task: at most about so many from either side.
 BLOCK = 512
-#: Likely pairs of two blocks, for each of their members, beyond which tasks confirm them inside.
-DENSE = 4
+#: Likely pairs of two blocks, for each class in such a pair, beyond which tasks confirm them inside.
+DENSE = 1
 #: Rows that a task gathers before it compares registers, and pairs compared at a time.
 SCAN_ROWS, SCAN_PAIRS = 1 << 12, 1 << 15
 #: Links in one file of a round's table, about.
@@ -211,6 +212,20 @@ def connected(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def merged(components: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``components`` (id, component) after more ``links`` (a, b) of their ids or of new ones.
+
+    Links become links of components first, so that rounds go over what has changed only.
+    """
+    for end in ("a", "b"):
+        own = components.select(F.col("id").alias(end), "component")
+        links = links.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    roots = connected(stage(links.where("a <> b").distinct(), name), name)
+    old = components.join(roots.toDF("component", "root"), "component", "left")
+    old = old.select("id", F.coalesce("root", "component").alias("component"))
+    return stage(old.unionByName(roots.join(components.select("id"), "id", "left_anti")), name)
+
+
 def _one_lead(met: DataFrame) -> DataFrame:
     """Pairs (a, b): each ``id`` with the ``lead`` that it meets in most buckets."""
     shared = met.groupBy("id", "lead").agg(F.count("*").alias("n"))
@@ -338,20 +353,20 @@ class _Confirmer:
         keys = ["bucket", "i", "j"]
         sorted_rows = met.join(own, "id").repartition(*keys).sortWithinPartitions(*keys, "side")
         scan = partial(_scan_blocks, rows=rows, percent=self.percent, lowest=self.lowest, dense=DENSE)
-        found = stage(sorted_rows.mapInArrow(scan, "a long, b long, bucket long, i int, j int"), "neardup_across")
+        kinds = "bucket long, i int, j int, side int, band int, main long, id long, component long"
+        found = stage(sorted_rows.mapInArrow(scan, f"a long, b long, {kinds}"), "neardup_across")
         links = self.confirmed(found.where("a is not null").select("a", "b").distinct())
-        dense = found.where("a is null").select(*keys)
+        dense = found.where("a is null").drop("a", "b")
         if dense.isEmpty():
             return links
-        return links.unionByName(self._links_inside(met.join(dense, keys), rows)).distinct()
+        return links.unionByName(self._links_inside(dense, rows)).distinct()
 
     def _links_inside(self, met: DataFrame, rows: int) -> DataFrame:
-        """Links of blocks with too many likely pairs, confirmed where the blocks meet.
+        """Links of blocks with too many likely pairs, confirmed where the classes in them meet.
 
         One link of a member to a component is enough for each task.
         """
         percent, lowest = self.percent, self.lowest
-        met = stage(met, "neardup_dense")
         full = self.sets(met.select("id"))
         own = self.speakers.select("id", "registers", "n_shingles").join(full, "id")
         whole = met.join(own, "id")
@@ -407,7 +422,7 @@ class _Confirmer:
 def _scan_blocks(
     batches: Iterator[pa.RecordBatch], rows: int, percent: int, lowest: float, dense: float
 ) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j, side) become likely pairs, or one row for a dense block."""
+    """Rows sorted by (bucket, i, j, side) become likely pairs, or the members of a dense block that are in one."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -470,16 +485,19 @@ def _likely_in_blocks(table: pa.Table, rows: int, percent: int, lowest: float, d
         lo = hi
     p = np.concatenate(found_p) if found_p else np.zeros(0, np.int64)
     q = np.concatenate(found_q) if found_q else np.zeros(0, np.int64)
-    crowded = np.bincount(group[p], minlength=len(starts)) > dense * (ends - starts)
+    paired = np.zeros(len(table), bool)
+    paired[p] = paired[q] = True
+    crowded = np.bincount(group[p], minlength=len(starts)) > dense * np.bincount(group[paired], minlength=len(starts))
     sparse = ~crowded[group[p]]
     p, q = p[sparse], q[sparse]
-    blocks = starts[crowded]
-    none, missing = np.zeros(len(blocks), np.int64), np.repeat([False, True], [len(p), len(blocks)])
+    members = np.flatnonzero(paired & crowded[group])
+    none, missing = np.zeros(len(members), np.int64), np.repeat([False, True], [len(p), len(members)])
     a = pa.array(np.concatenate([np.minimum(ids[p], ids[q]), none]), mask=missing)
     b = pa.array(np.concatenate([np.maximum(ids[p], ids[q]), none]), mask=missing)
-    at = np.concatenate([p, blocks])
-    columns = [table.column(c).to_numpy()[at] for c in ("bucket", "i", "j")]
-    return pa.RecordBatch.from_arrays([a, b, *map(pa.array, columns)], ["a", "b", "bucket", "i", "j"])
+    at = np.concatenate([p, members])
+    names = ["bucket", "i", "j", "side", "band", "main", "id", "component"]
+    columns = [pa.array(table.column(c).to_numpy()[at]) for c in names]
+    return pa.RecordBatch.from_arrays([a, b, *columns], ["a", "b", *names])
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -536,8 +554,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             found = confirmer.links_across(now, rows)
         found = stage(found, "neardup_links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            component = connected(links, "neardup_rounds")
+            component = merged(component, found, "neardup_rounds")
     # the smallest document of all classes of a component
     linked = component.join(classes.select("id", "least"), "id")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
