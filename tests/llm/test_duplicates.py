@@ -133,6 +133,16 @@ def test_components_grow_by_links_as_if_made_anew(spark):
     assert {i: got.get(i, i) for i in own} == own
 
 
+def test_rounds_go_over_new_links_only(spark, monkeypatch):
+    table = lambda part: spark.createDataFrame(part, "a long, b long")
+    rounds, real = [], neardup.connected
+    monkeypatch.setattr(neardup, "connected", lambda links, name: rounds.append(links.count()) or real(links, name))
+    whole = real(table([(k, k + 1) for k in range(0, 200, 2)]), "test_rounds")
+    grown = neardup.merged(whole, table([(1, 3), (0, 2), (5, 4)]), "test_rounds")
+    assert rounds == [1]  # two of the links join the same components, one joins none
+    assert {r["id"]: r["component"] for r in grown.where("id < 6").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
